@@ -103,7 +103,7 @@ DATE_SHAPE = r"^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[1-2][0-9]|3[0-1])$"
 def valid_date_text(c) -> Column:
     """``YYYY-MM-DD`` shape and a real calendar day (31 February fails)."""
     t = _c(c).cast("string")
-    return F.coalesce(t.rlike(DATE_SHAPE) & F.try_to_date(t, F.lit("yyyy-MM-dd")).isNotNull(), F.lit(False))
+    return F.coalesce(t.rlike(DATE_SHAPE) & F.try_to_date(t, "yyyy-MM-dd").isNotNull(), F.lit(False))
 
 
 def is_empty(c) -> Column:

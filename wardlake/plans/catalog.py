@@ -242,3 +242,312 @@ def q_room_available(spark, sf_dir):
     req = _events(spark, sf_dir, "signup").select(F.col("event_id").alias("request_id"),
                                                     (F.col("event_id") % 100).alias("id_room"))
     return reads.room_available(standin_tables(spark, sf_dir), req)
+
+
+# ------------------------------------------------------------------ C1 .. C7
+from ..operators import checks  # noqa: E402
+
+# SQL form of each table's rule list (same rules as checks.default_rules on
+# the stand-in tables), written out independently of the DataFrame code.
+_RULES_SQL = {
+    "service": ("id_service", [("pk", ["id_service"]), ("nn", ["name"]), ("len", "name", 50)]),
+    "room": ("id_room", [("pk", ["id_room"]), ("nn", ["id_service", "room_no"]),
+                         ("fk", "id_service", "service", "id_service")]),
+    "staff": ("id_staff", [("pk", ["id_staff"]), ("nn", ["full_name", "email", "role"]),
+                           ("fk", "id_service", "service", "id_service"),
+                           ("dom", "role", ["admin", "nurse"]), ("uniq", "email", "id_staff"),
+                           ("len", "full_name", 30), ("len", "email", 50)]),
+    "patient": ("id_patient", [("pk", ["id_patient"]),
+                               ("nn", ["full_name", "nin", "birth_date", "sex", "address", "blood_group"]),
+                               ("dom", "sex", ["homme", "famme"]), ("len", "full_name", 30),
+                               ("len", "nin", 15), ("len", "address", 100), ("len", "phone", 15),
+                               ("len", "blood_group", 3)]),
+    "stay": ("id_stay", [("pk", ["id_stay"]), ("nn", ["id_patient"]),
+                         ("fk", "id_patient", "patient", "id_patient"), ("fk", "id_room", "room", "id_room")]),
+    "prescription": ("id_stay,p_line,p_part,p_supp,p_qty",
+                     [("nn", ["id_stay", "drug", "dose", "frequency"]), ("fk", "id_stay", "stay", "id_stay"),
+                      ("len", "drug", 30), ("len", "instructions", 100)]),
+    "observation": ("id_stay,t_line,t_part,t_supp",
+                    [("pk", ["id_stay", "t_line", "t_part", "t_supp"]), ("nn", ["id_stay", "id_nurse", "state"]),
+                     ("fk", "id_stay", "stay", "id_stay"), ("fk", "id_nurse", "staff", "id_staff"),
+                     ("dec", "temperature", 5, 2), ("len", "state", 30), ("len", "blood_pressure", 20)]),
+}
+
+
+def _violation_sql(table: str) -> str:
+    key, rules = _RULES_SQL[table]
+    joins, cases = [], []
+    for i, r in enumerate(rules):
+        kind = r[0]
+        if kind == "pk":
+            ks = r[1]
+            on = " AND ".join(f"d{i}.{k} = x.{k}" for k in ks)
+            joins.append(f"LEFT JOIN (SELECT {', '.join(ks)}, true AS d FROM {table} "
+                         f"GROUP BY {', '.join(ks)} HAVING count(*) > 1) d{i} ON {on}")
+            nul = " OR ".join(f"x.{k} IS NULL" for k in ks)
+            cases.append((f"d{i}.d IS NOT NULL OR {nul}", f"primary_key:{','.join(ks)}"))
+        elif kind == "nn":
+            cases.append((" OR ".join(f"x.{c} IS NULL" for c in r[1]), f"not_null:{','.join(r[1])}"))
+        elif kind == "fk":
+            _, col, parent, pcol = r
+            cases.append((f"x.{col} IS NOT NULL AND x.{col} NOT IN "
+                          f"(SELECT {pcol} FROM {parent} WHERE {pcol} IS NOT NULL)", f"foreign_key:{col}"))
+        elif kind == "dom":
+            vals = ", ".join(f"'{v}'" for v in r[2])
+            cases.append((f"x.{r[1]} IS NOT NULL AND x.{r[1]} NOT IN ({vals})", f"domain:{r[1]}"))
+        elif kind == "uniq":
+            _, col, order = r
+            cases.append((f"EXISTS (SELECT 1 FROM {table} y WHERE lower(y.{col}) = lower(x.{col}) "
+                          f"AND y.{order} < x.{order})", f"unique:{col}"))
+        elif kind == "len":
+            cases.append((f"coalesce(length(x.{r[1]}) > {r[2]}, false)", f"max_length:{r[1]}"))
+        elif kind == "dec":
+            _, col, p, s = r
+            cases.append((f"x.{col} IS NOT NULL AND TRY_CAST(CAST(x.{col} AS VARCHAR) AS DECIMAL({p},{s})) IS NULL",
+                          f"decimal_range:{col}"))
+    reason = "coalesce(" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for c, n in cases) + ")"
+    row_key = "concat_ws('/', " + ", ".join(f"CAST(x.{k} AS VARCHAR)" for k in key.split(",")) + ")"
+    return (f"SELECT * FROM (SELECT '{table}' AS table_name, {row_key} AS row_key, {reason} AS reason "
+            f"FROM {table} x {' '.join(joins)}) WHERE reason IS NOT NULL")
+
+
+@register("table_violations", with_standin("\nUNION ALL\n".join(_violation_sql(t) for t in _RULES_SQL)))
+def q_table_violations(spark, sf_dir):
+    return checks.table_violations(standin_tables(spark, sf_dir))
+
+
+@register("observation_key_check", with_standin("""
+SELECT o.id_stay, o.t_line, o.t_part, o.t_supp, 'primary_key:id_stay,t_line' AS reason
+FROM observation o JOIN (SELECT id_stay, t_line FROM observation GROUP BY 1, 2 HAVING count(*) > 1) d
+  ON d.id_stay = o.id_stay AND d.t_line = o.t_line"""))
+def q_observation_key_check(spark, sf_dir):
+    obs = standin_tables(spark, sf_dir).observation.select("id_stay", "t_line", "t_part", "t_supp")
+    _, bad = checks.violations(obs, [checks.primary_key("id_stay", "t_line")])
+    return bad
+
+
+@register("bed_flag_mismatches", with_standin("""
+SELECT r.id_room, r.available, CAST(count(s.id_stay) AS BIGINT) AS active_stays
+FROM room r LEFT JOIN stay s ON s.id_room = r.id_room AND s.date_out IS NULL
+GROUP BY r.id_room, r.available
+HAVING (coalesce(r.available, false) AND count(s.id_stay) > 0)
+    OR (NOT coalesce(r.available, false) AND count(s.id_stay) = 0)"""))
+def q_bed_flag_mismatches(spark, sf_dir):
+    return checks.bed_flag_mismatches(standin_tables(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ M2, M4, M7, M9
+from ..operators import changes  # noqa: E402
+from ..sources import requests as rq  # noqa: E402
+
+BATCH_TS = "2024-02-01 00:00:00"  # fixed "now" of the registered change batches
+
+_EMPTY = "coalesce(trim({0}) IN ('', '0', 'false', '0.0'), true)"
+_DATE_SHAPE = "^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[1-2][0-9]|3[0-1])$"
+
+_ADMIT_SQL = f"""
+WITH req AS (SELECT event_id AS request_id, ts AS requested_at, CAST(user_id AS VARCHAR) AS id_patient_t,
+                    CAST(event_id % 100 AS VARCHAR) AS id_room_t, strftime(ts, '%Y-%m-%d') AS date_t
+             FROM events WHERE event_type = 'signup'),
+r AS (SELECT req.*, TRY_CAST(trim(id_patient_t) AS BIGINT) AS id_patient,
+             CASE WHEN {_EMPTY.format('id_room_t')} THEN NULL ELSE TRY_CAST(trim(id_room_t) AS BIGINT) END AS bed
+      FROM req),
+c AS (SELECT r.*, CASE
+        WHEN NOT coalesce(TRY_CAST(trim(r.id_patient_t) AS BIGINT) > 0, false) THEN 'invalid: id_patient'
+        WHEN r.id_room_t IS NULL THEN 'missing: id_room'
+        WHEN NOT coalesce(regexp_matches(r.date_t, '{_DATE_SHAPE}')
+                          AND try_strptime(r.date_t, '%Y-%m-%d') IS NOT NULL, false) THEN 'invalid: date_in'
+        WHEN p.id_patient IS NULL THEN 'unknown patient'
+        WHEN r.bed IS NOT NULL AND b.id_room IS NULL THEN 'unknown bed'
+        WHEN r.bed IS NOT NULL AND NOT coalesce(b.available, false) THEN 'bed not free'
+      END AS reason
+      FROM r LEFT JOIN patient p ON p.id_patient = r.id_patient LEFT JOIN room b ON b.id_room = r.bed),
+w AS (SELECT c.*, row_number() OVER (PARTITION BY id_patient ORDER BY requested_at NULLS FIRST, request_id) AS rp,
+             CASE WHEN bed IS NULL THEN 1 ELSE
+               row_number() OVER (PARTITION BY bed ORDER BY requested_at NULLS FIRST, request_id) END AS rb
+      FROM c WHERE reason IS NULL),
+acc AS (SELECT (SELECT max(id_stay) FROM stay) + row_number() OVER (ORDER BY requested_at NULLS FIRST, request_id)
+               AS id_stay, request_id, id_patient, bed AS id_room,
+               CAST(strptime(date_t, '%Y-%m-%d') AS TIMESTAMP) AS date_in, CAST(NULL AS TIMESTAMP) AS date_out
+        FROM w WHERE rp = 1 AND rb = 1)
+"""
+
+
+def _admit(spark, sf_dir):
+    return changes.admit_existing(standin_tables(spark, sf_dir), rq.admission_requests(spark, sf_dir))
+
+
+@register("admit_existing_rejects", with_standin(_ADMIT_SQL + """
+SELECT request_id, reason FROM c WHERE reason IS NOT NULL
+UNION ALL SELECT request_id, 'conflict' FROM w WHERE rp > 1 OR rb > 1"""))
+def q_admit_rejects(spark, sf_dir):
+    return _admit(spark, sf_dir).rejects
+
+
+@register("admit_existing_new_stays", with_standin(_ADMIT_SQL + "SELECT * FROM acc"))
+def q_admit_new_stays(spark, sf_dir):
+    return _admit(spark, sf_dir).accepted
+
+
+@register("admit_existing_rooms", with_standin(_ADMIT_SQL + """
+SELECT id_room, id_service, room_no, bed_no,
+       CASE WHEN id_room IN (SELECT id_room FROM acc WHERE id_room IS NOT NULL) THEN false ELSE available END
+       AS available
+FROM room"""))
+def q_admit_rooms(spark, sf_dir):
+    return _admit(spark, sf_dir).tables.room
+
+
+_DISCHARGE_SQL = f"""
+WITH cur AS (SELECT id_patient, id_stay, id_room FROM (
+    SELECT s.*, row_number() OVER (PARTITION BY id_patient ORDER BY date_in DESC NULLS LAST, id_stay DESC) AS rn
+    FROM stay s WHERE date_out IS NULL) WHERE rn = 1),
+req AS (SELECT event_id AS request_id, ts AS requested_at, user_id AS id_patient,
+               coalesce(TRY_CAST(strftime(ts, '%Y-%m-%d %H:%M:%S') AS TIMESTAMP),
+                        TIMESTAMP '{BATCH_TS}') AS new_out
+        FROM events WHERE event_type = 'purchase'),
+r AS (SELECT req.*, cur.id_stay, cur.id_room FROM req LEFT JOIN cur ON cur.id_patient = req.id_patient),
+w AS (SELECT r.*, row_number() OVER (PARTITION BY id_stay ORDER BY requested_at NULLS FIRST, request_id) AS rk
+      FROM r WHERE id_stay IS NOT NULL AND id_stay <> 0),
+done AS (SELECT * FROM w WHERE rk = 1)
+"""
+
+
+def _discharge(spark, sf_dir):
+    return changes.discharge_by_patient(standin_tables(spark, sf_dir), rq.discharge_requests(spark, sf_dir),
+                                        BATCH_TS)
+
+
+@register("discharge_by_patient_stays", with_standin(_DISCHARGE_SQL + """
+SELECT s.id_stay, s.id_patient, CASE WHEN d.id_stay IS NOT NULL THEN NULL ELSE s.id_room END AS id_room,
+       s.date_in, CASE WHEN d.id_stay IS NOT NULL THEN d.new_out ELSE s.date_out END AS date_out
+FROM stay s LEFT JOIN done d ON d.id_stay = s.id_stay"""))
+def q_discharge_stays(spark, sf_dir):
+    return _discharge(spark, sf_dir).tables.stay
+
+
+@register("discharge_by_patient_rejects", with_standin(_DISCHARGE_SQL + """
+SELECT request_id, 'no active stay' AS reason FROM r WHERE id_stay IS NULL
+UNION ALL SELECT request_id, 'invalid: id_stay' FROM r WHERE id_stay = 0
+UNION ALL SELECT request_id, 'conflict' FROM w WHERE rk > 1"""))
+def q_discharge_rejects(spark, sf_dir):
+    return _discharge(spark, sf_dir).rejects
+
+
+_TRANSFER_SQL = f"""
+WITH req AS (SELECT event_id AS request_id, ts AS requested_at, CAST(event_id AS VARCHAR) AS id_stay_t,
+                    CAST(event_id * 7 % 100 AS VARCHAR) AS id_room_t, CAST(user_id % 100 AS VARCHAR) AS id_staff_t
+             FROM events WHERE event_type = 'click'),
+r AS (SELECT req.*, TRY_CAST(id_stay_t AS BIGINT) AS id_stay, TRY_CAST(id_room_t AS BIGINT) AS bed,
+             TRY_CAST(id_staff_t AS BIGINT) AS id_staff FROM req),
+c AS (SELECT r.*, s.id_room AS old_bed, CASE
+        WHEN {_EMPTY.format('r.id_stay_t')} OR {_EMPTY.format('r.id_staff_t')} OR r.id_room_t IS NULL
+          THEN 'missing: field'
+        WHEN st.id_service IS NULL THEN 'unknown staff service'
+        WHEN b.id_room IS NULL THEN 'unknown bed'
+        WHEN st.id_service <> b.id_service THEN 'service mismatch'
+        WHEN s.id_stay IS NULL THEN 'unknown stay'
+        WHEN NOT coalesce(b.available, false) AND NOT coalesce(s.id_room = r.bed, false) THEN 'bed not free'
+      END AS reason
+      FROM r LEFT JOIN staff st ON st.id_staff = r.id_staff LEFT JOIN room b ON b.id_room = r.bed
+      LEFT JOIN stay s ON s.id_stay = r.id_stay),
+w AS (SELECT c.*, row_number() OVER (PARTITION BY id_stay ORDER BY requested_at NULLS FIRST, request_id) AS rs,
+             row_number() OVER (PARTITION BY bed ORDER BY requested_at NULLS FIRST, request_id) AS rb
+      FROM c WHERE reason IS NULL),
+mv AS (SELECT * FROM w WHERE rs = 1 AND rb = 1),
+chg AS (SELECT old_bed AS id_room, true AS available FROM mv WHERE old_bed IS NOT NULL AND old_bed <> bed
+        UNION ALL SELECT bed, false FROM mv),
+per_bed AS (SELECT id_room, bool_and(available) AS available FROM chg GROUP BY id_room)
+"""
+
+
+def _transfer(spark, sf_dir):
+    return changes.transfer(standin_tables(spark, sf_dir), rq.transfer_requests(spark, sf_dir))
+
+
+@register("transfer_rejects", with_standin(_TRANSFER_SQL + """
+SELECT request_id, reason FROM c WHERE reason IS NOT NULL
+UNION ALL SELECT request_id, 'conflict' FROM w WHERE rs > 1 OR rb > 1"""))
+def q_transfer_rejects(spark, sf_dir):
+    return _transfer(spark, sf_dir).rejects
+
+
+@register("transfer_rooms", with_standin(_TRANSFER_SQL + """
+SELECT r.id_room, r.id_service, r.room_no, r.bed_no, coalesce(p.available, r.available) AS available
+FROM room r LEFT JOIN per_bed p ON p.id_room = r.id_room"""))
+def q_transfer_rooms(spark, sf_dir):
+    return _transfer(spark, sf_dir).tables.room
+
+
+def _clean_sql(c: str) -> str:
+    s = f"regexp_replace({c}, '<[^>]*>', '', 'g')"
+    for raw, esc in (("&", "&amp;"), ('"', "&quot;"), ("''", "&#039;"), ("<", "&lt;"), (">", "&gt;")):
+        s = f"replace({s}, '{raw}', '{esc}')"
+    return s
+
+
+_OBS_SQL = f"""
+WITH req AS (
+  SELECT event_id AS request_id, ts AS requested_at, CAST(event_id AS VARCHAR) AS id_stay_t,
+         CAST(user_id AS VARCHAR) AS id_nurse_t, '<b>' || props || '</b>' AS state_t,
+         CAST(value AS VARCHAR) AS temp_t, CAST(event_id % 60 + 50 AS VARCHAR) AS hr_t,
+         CAST(event_id % 10 + 90 AS VARCHAR) AS spo2_t, CAST(value AS VARCHAR) AS weight_t,
+         CASE WHEN event_id % 2 = 1 THEN CAST(CAST(value * 10 AS DECIMAL(10,1)) AS VARCHAR) || 'cm'
+              ELSE CAST(CAST(value * 10 AS DECIMAL(10,1)) AS VARCHAR) END AS height_t,
+         'note <i>' || event_type || '</i> & "ok"' AS remark_t,
+         strftime(ts, '%Y-%m-%dT%H:%M') AS at_t
+  FROM events WHERE event_type = 'view'),
+cl AS (
+  SELECT request_id, requested_at,
+         TRY_CAST(trim({_clean_sql('id_stay_t')}) AS BIGINT) AS id_stay,
+         TRY_CAST(trim({_clean_sql('id_nurse_t')}) AS BIGINT) AS id_nurse,
+         {_clean_sql('state_t')} AS state, {_clean_sql("'120/80'")} AS blood_pressure,
+         {_clean_sql('remark_t')} AS remark,
+         TRY_CAST({_clean_sql('temp_t')} AS DECIMAL(5,2)) AS temperature, temp_t,
+         TRY_CAST(trim({_clean_sql('hr_t')}) AS INTEGER) AS heart_rate,
+         TRY_CAST(trim({_clean_sql('spo2_t')}) AS INTEGER) AS spo2,
+         TRY_CAST({_clean_sql("'5.5'")} AS DECIMAL(3,1)) AS glucose,
+         TRY_CAST({_clean_sql('weight_t')} AS DECIMAL(5,2)) AS weight, weight_t,
+         CASE WHEN regexp_extract(trim(height_t), '^[+-]?[0-9]*\\.?[0-9]+', 0) <> ''
+              THEN TRY_CAST(regexp_extract(trim(height_t), '^[+-]?[0-9]*\\.?[0-9]+', 0) AS DECIMAL(38,10))
+         END AS cm,
+         coalesce(TRY_CAST(at_t AS TIMESTAMP), TIMESTAMP '{BATCH_TS}') AS observed_at
+  FROM req),
+c AS (
+  SELECT cl.*, CASE WHEN cm > 0 THEN CAST(round(cm * 0.01, 2) AS DECIMAL(4,2)) ELSE 0.00 END AS height,
+         CASE
+           WHEN temperature IS NULL AND temp_t IS NOT NULL THEN 'out of range: temperature'
+           WHEN weight IS NULL AND weight_t IS NOT NULL THEN 'out of range: weight'
+           WHEN id_stay IS NULL OR id_nurse IS NULL OR state IS NULL OR blood_pressure IS NULL
+                OR temperature IS NULL OR heart_rate IS NULL OR spo2 IS NULL OR glucose IS NULL
+                OR weight IS NULL OR remark IS NULL THEN 'missing value'
+           WHEN id_stay NOT IN (SELECT id_stay FROM stay) THEN 'unknown stay'
+           WHEN id_nurse NOT IN (SELECT id_staff FROM staff) THEN 'unknown nurse'
+           WHEN length(state) > 30 THEN 'too long: state'
+           WHEN length(blood_pressure) > 20 THEN 'too long: blood_pressure'
+         END AS reason
+  FROM cl)
+"""
+
+
+def _ingest(spark, sf_dir):
+    return changes.ingest_observations(standin_tables(spark, sf_dir), rq.observation_requests(spark, sf_dir),
+                                       BATCH_TS)
+
+
+@register("ingest_observations_accepted", with_standin(_OBS_SQL + """
+SELECT request_id, row_number() OVER (ORDER BY requested_at NULLS FIRST, request_id) AS id_obs, id_stay, id_nurse,
+       state, blood_pressure, CAST(temperature AS DOUBLE) AS temperature, heart_rate, spo2,
+       CAST(glucose AS DOUBLE) AS glucose, CAST(weight AS DOUBLE) AS weight, CAST(height AS DOUBLE) AS height,
+       remark, observed_at
+FROM c WHERE reason IS NULL"""))
+def q_ingest_accepted(spark, sf_dir):
+    acc = _ingest(spark, sf_dir).accepted
+    return acc.select(*[F.col(c).cast("double").alias(c) if c in ("temperature", "glucose", "weight", "height")
+                        else F.col(c) for c in acc.columns])
+
+
+@register("ingest_observations_rejects", with_standin(_OBS_SQL + """
+SELECT request_id, reason FROM c WHERE reason IS NOT NULL"""))
+def q_ingest_rejects(spark, sf_dir):
+    return _ingest(spark, sf_dir).rejects
