@@ -551,3 +551,51 @@ def q_ingest_accepted(spark, sf_dir):
 SELECT request_id, reason FROM c WHERE reason IS NOT NULL"""))
 def q_ingest_rejects(spark, sf_dir):
     return _ingest(spark, sf_dir).rejects
+
+
+# ------------------------------------------------------------------ X6, X7 on whole texts
+from ..functions.cleaning import clean_text  # noqa: E402
+
+
+def _clean_text_sql(c: str) -> str:
+    s = f"regexp_replace({c}, '<[^>]*>', '', 'g')"
+    for raw, esc in (("&", "&amp;"), ('"', "&quot;"), ("''", "&#039;"), ("<", "&lt;"), (">", "&gt;")):
+        s = f"replace({s}, '{raw}', '{esc}')"
+    return s
+
+
+@register("clean_pages", f"SELECT page_id, {_clean_text_sql('html')} AS text FROM pages")
+def q_clean_pages(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", clean_text("html").alias("text"))
+
+
+@register("clean_documents", f"SELECT doc_id, {_clean_text_sql('text')} AS text FROM documents")
+def q_clean_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", clean_text("text").alias("text"))
+
+
+# ------------------------------------------------------------------ ST2
+from ..streaming import observations as st  # noqa: E402
+
+
+@register("stream_newest_observation", with_standin(f"WITH {_NEWEST_OBS} SELECT * FROM newest_obs"))
+def q_stream_newest_observation(spark, sf_dir):
+    """The newest observation per stay computed by the streaming operator
+    over the observation feed (lineitem read as a file stream)."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
+    # a file stream watches a folder; the glob keeps it to the observation feed
+    feed = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
+    obs = feed.select(F.col("l_orderkey").alias("id_stay"), F.col("l_suppkey").alias("id_nurse"),
+                      F.col("l_returnflag").alias("state"), F.col("l_linestatus").alias("blood_pressure"),
+                      F.col("l_quantity").alias("temperature"), F.col("l_linenumber").alias("heart_rate"),
+                      F.col("l_shipdate").alias("observed_at"), F.col("l_linenumber").alias("t_line"),
+                      F.col("l_partkey").alias("t_part"), F.col("l_suppkey").alias("t_supp"))
+    ties = ("t_line", "t_part", "t_supp")
+    out_dir = f"{checkpoint_dir(spark).rstrip('/')}/newest-obs-{uuid.uuid4().hex[:8]}"
+    st.start_newest_observation(spark, obs, out_dir, ties).awaitTermination()
+    return st.read_newest_observation(spark, out_dir, ties)
