@@ -51,12 +51,17 @@ def beds_in_service(t: Tables) -> DataFrame:
                   .join(services, on="id_service", how="inner"))
 
 
-def newest_observation(t: Tables, with_nurse: bool = False) -> DataFrame:
+def newest_observation(t: Tables, with_nurse: bool = False, stays: DataFrame | None = None) -> DataFrame:
     """Newest observation per stay (by time, then the tie-break columns).
 
     ``with_nurse`` first keeps only observations whose nurse exists and adds
-    the nurse's name, as the stay summary does."""
+    the nurse's name, as the stay summary does.  ``stays`` (a DataFrame with
+    ``id_stay``) restricts the work to those stays before aggregating: a
+    semi join the planner broadcasts when the stay set is small, and whose
+    ``id_stay`` partitioning the aggregate reuses when it is large."""
     obs = t.observation
+    if stays is not None:
+        obs = obs.join(stays.select("id_stay"), on="id_stay", how="left_semi")
     if with_nurse:
         nurses = t.staff.select(F.col("id_staff").alias("id_nurse"), F.col("full_name").alias("nurse_name"))
         obs = obs.join(nurses, on="id_nurse", how="inner")
@@ -105,7 +110,7 @@ def patient_detail(t: Tables, as_of, patients=None) -> DataFrame:
     stays, the one with the newest observation wins (then newest entry)."""
     patient = _keys_df(t.patient, "id_patient", patients)
     active = _keys_df(t.stay, "id_patient", patients).filter(F.col("date_out").isNull())
-    obs = newest_observation(t)
+    obs = newest_observation(t, stays=active.select("id_stay"))
     payload = _obs_payload(t)
     stay_obs = (active.select("id_stay", "id_patient", "date_in", "date_out", "id_room")
                       .join(obs, on="id_stay", how="left"))
@@ -152,7 +157,8 @@ def service_census(t: Tables, staff=None, ordered: bool = True) -> DataFrame:
     (nurse, stay).  Ordered by entry time, newest first."""
     active = t.stay.filter(F.col("date_out").isNull() & F.col("id_room").isNotNull())
     beds = beds_in_service(t)
-    state = newest_observation(t).select("id_stay", F.col("state").alias("latest_state"))
+    state = (newest_observation(t, stays=active.select("id_stay"))
+             .select("id_stay", F.col("state").alias("latest_state")))
     census = (active.join(beds.select("id_room", "room_no", "bed_no", "id_service", "service_name"),
                           on="id_room", how="inner")
                     .join(_nurse_services(t), on="id_service", how="left_semi")
