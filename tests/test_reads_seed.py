@@ -102,3 +102,10 @@ def test_lookups(spark, seed):
 def test_invariant_and_constraints(seed):
     assert checks.bed_flag_mismatches(seed).count() == 0
     assert checks.table_violations(seed).count() == 0
+
+
+def test_search_batch(spark, seed):
+    terms = spark.createDataFrame([(1, "a", 2), (2, "0712", 2), (3, "dale", 3), (4, "x", 1)],
+                                  "term_id long, term string, id_staff long")
+    got = rows(reads.search_patients_batch(seed, terms), "term_id", "full_name")
+    assert got == [(1, "Harry S. Truman"), (1, "Laura Palmer"), (2, "Laura Palmer"), (3, "Dale Cooper")]

@@ -6,6 +6,8 @@ whole-stage code generation.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -145,3 +147,46 @@ def like_ci(c, term) -> Column:
     t = F.lit(term) if isinstance(term, str) else _c(term)
     pattern = F.concat(F.lit("%"), F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit("%"))
     return F.like(F.collate(_c(c), "UTF8_LCASE"), F.collate(pattern, "UTF8_LCASE"))
+
+
+# ------------------------------------------------------------------ text folding for search
+def _accent_map() -> tuple[str, str]:
+    """Lower-case Latin letters with diacritics (U+00C0..U+017F) and their
+    base letters, built by Unicode decomposition; the few letters without a
+    decomposition are listed as fixed values."""
+    src, dst = [], []
+    for cp in range(0xC0, 0x180):
+        ch = chr(cp)
+        if not ch.isalpha() or ch != ch.lower():
+            continue
+        base = unicodedata.normalize("NFD", ch)[0]
+        if base != ch and base.isascii():
+            src.append(ch)
+            dst.append(base)
+    # Letters with a stroke or dot that do not decompose.
+    for ch, base in (("đ", "d"), ("ħ", "h"), ("ı", "i"), ("ŀ", "l"), ("ł", "l"), ("ø", "o"), ("ŧ", "t")):
+        src.append(ch)
+        dst.append(base)
+    return "".join(src), "".join(dst)
+
+
+ACCENTED, ACCENT_BASE = _accent_map()
+
+
+def fold(c) -> Column:
+    """Lower case and Latin accents removed: the form search compares in
+    (a plain codegen'd comparison, no per-row collation)."""
+    return F.translate(F.lower(_c(c)), ACCENTED, ACCENT_BASE)
+
+
+def contains_folded(c, term) -> Column:
+    t = F.lit(term) if isinstance(term, str) else _c(term)
+    return F.contains(fold(c), fold(t))
+
+
+def trigrams(c) -> Column:
+    """Distinct 3-character substrings of a (folded) text; empty when shorter."""
+    s = _c(c)
+    n = F.char_length(s)
+    grams = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(s, i, 3))
+    return F.when(n >= 3, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))

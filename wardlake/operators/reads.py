@@ -18,7 +18,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cleaning import age_years, contains_ci_ai, day_text, like_ci
+from ..functions.cleaning import age_years, contains_folded, day_text, fold, like_ci, trigrams
 from ..sources.snapshot import Tables
 from .latest import latest_per_key
 
@@ -181,7 +181,7 @@ def service_census(t: Tables, staff=None, ordered: bool = True) -> DataFrame:
 
 # ---------------------------------------------------------------- Q6
 def name_or_nin_matches(term, wildcards: bool = False) -> Column:
-    test = like_ci if wildcards else contains_ci_ai
+    test = like_ci if wildcards else contains_folded
     return test("full_name", term) | test("nin", term)
 
 
@@ -192,6 +192,55 @@ def search_patients(t: Tables, term: str, staff=None, wildcards: bool = False) -
     return service_census(t, staff=staff, ordered=False).filter(name_or_nin_matches(term, wildcards))
 
 
+def search_patients_batch(t: Tables, terms: DataFrame, wildcards: bool = False) -> DataFrame:
+    """Many searches at once.  ``terms`` has ``term_id``, ``term`` and
+    ``id_staff`` (the nurse asking); each term is matched against the census
+    of its nurse's service (case and accents ignored).
+
+    A term of 3+ characters is looked up through a trigram index: the census
+    rows' folded name and national id are split into distinct trigrams, each
+    term picks its rarest trigram in its service, and only rows holding that
+    trigram are verified.  So a term is never compared with every patient of
+    the service.  Shorter terms (and ``wildcards=True`` patterns) are few
+    distinct values; they are de-duplicated per service and matched by an
+    equi-join on the service with the text test as join condition."""
+    nurses = (t.staff.filter((F.col("role") == "nurse") & F.col("id_service").isNotNull())
+                     .select("id_staff", "id_service"))
+    asks = (terms.select("term_id", "term", "id_staff").join(nurses, on="id_staff", how="inner")
+                 .withColumn("_nterm", fold("term")))
+    census = service_census(t, ordered=False)
+    keyed = census.select("id_service", "id_stay", fold("full_name").alias("_nname"), fold("nin").alias("_nnin"))
+    indexed = F.char_length("_nterm") >= 3
+    if wildcards:
+        indexed = F.lit(False)
+
+    # short terms / patterns: distinct per service, equi-join on the service
+    short = asks.filter(~indexed).select("id_service", "_nterm").distinct()
+    test = (lambda col: like_ci(F.col(col), F.col("_nterm"))) if wildcards else \
+        (lambda col: F.contains(F.col(col), F.col("_nterm")))
+    short_hits = (short.join(keyed, on="id_service", how="inner")
+                       .filter(test("_nname") | test("_nnin")).select("id_service", "_nterm", "id_stay"))
+    short_out = asks.filter(~indexed).join(short_hits, on=["id_service", "_nterm"], how="inner")
+
+    # long terms: rarest trigram per term, equi-join on (service, trigram), verify
+    grams = keyed.select("id_service", "id_stay", "_nname", "_nnin",
+                         F.explode(F.array_distinct(F.concat(trigrams("_nname"), trigrams("_nnin")))).alias("_g"))
+    freq = grams.groupBy("id_service", "_g").agg(F.count(F.lit(1)).alias("_f"))
+    term_grams = (asks.filter(indexed)
+                      .select("term_id", "id_service", "_nterm", F.explode(trigrams("_nterm")).alias("_g"))
+                      .join(freq, on=["id_service", "_g"], how="left")
+                      .withColumn("_f", F.coalesce(F.col("_f"), F.lit(0))))
+    rarest = latest_per_key(term_grams, ["term_id"], ["_f", "_g"], ["id_service", "_nterm"], newest=False)
+    long_out = (rarest.filter(F.col("_f") > 0).join(grams, on=["id_service", "_g"], how="inner")
+                      .filter(F.contains(F.col("_nname"), F.col("_nterm")) | F.contains(F.col("_nnin"), F.col("_nterm")))
+                      .select("term_id", "id_stay"))
+    long_out = asks.filter(indexed).join(long_out, on="term_id", how="inner")
+
+    hits = (short_out.select("term_id", "id_staff", "id_stay")
+            .unionByName(long_out.select("term_id", "id_staff", "id_stay")))
+    return hits.join(census, on="id_stay", how="inner").select("term_id", "id_staff", *census.columns)
+
+
 # ---------------------------------------------------------------- Q7, Q8
 def free_rooms(t: Tables, services=None) -> DataFrame:
     """Available beds, with their service."""

@@ -599,3 +599,29 @@ def q_stream_newest_observation(spark, sf_dir):
     out_dir = f"{checkpoint_dir(spark).rstrip('/')}/newest-obs-{uuid.uuid4().hex[:8]}"
     st.start_newest_observation(spark, obs, out_dir, ties).awaitTermination()
     return st.read_newest_observation(spark, out_dir, ties)
+
+
+# ------------------------------------------------------------------ Q6 batch form
+def _search_terms(spark, sf_dir):
+    """``click`` events ask nurse ``user_id % 100`` for the patient whose
+    name ends in the user id (``#000000123``)."""
+    ev = _events(spark, sf_dir, "click")
+    return ev.select(F.col("event_id").alias("term_id"),
+                     F.concat(F.lit("#"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("term"),
+                     (F.col("user_id") % 100).alias("id_staff"))
+
+
+@register("search_patients_batch", with_standin(_CENSUS_SQL.replace(
+    "WHERE s.date_out IS NULL",
+    """JOIN (SELECT e.event_id AS term_id, '#' || lpad(CAST(e.user_id AS VARCHAR), 9, '0') AS term,
+                e.user_id % 100 AS id_staff, st.id_service AS term_service
+         FROM events e JOIN staff st ON st.id_staff = e.user_id % 100
+         WHERE e.event_type = 'click' AND st.role = 'nurse' AND st.id_service IS NOT NULL) q
+      ON q.term_service = r.id_service
+         AND (contains(lower(strip_accents(p.full_name)), lower(q.term))
+              OR contains(lower(strip_accents(p.nin)), lower(q.term)))
+WHERE s.date_out IS NULL""").replace(
+    "SELECT r.id_service, sv.name AS service_name",
+    "SELECT q.term_id, q.id_staff, r.id_service, sv.name AS service_name", 1)))
+def q_search_patients_batch(spark, sf_dir):
+    return reads.search_patients_batch(standin_tables(spark, sf_dir), _search_terms(spark, sf_dir))
