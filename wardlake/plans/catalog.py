@@ -625,3 +625,31 @@ WHERE s.date_out IS NULL""").replace(
     "SELECT q.term_id, q.id_staff, r.id_service, sv.name AS service_name", 1)))
 def q_search_patients_batch(spark, sf_dir):
     return reads.search_patients_batch(standin_tables(spark, sf_dir), _search_terms(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ M8
+_AVAIL_SQL = """
+WITH req AS (SELECT event_id AS request_id, ts AS requested_at, event_id % 100 AS id_room,
+                    CASE WHEN value > 25 THEN true ELSE false END AS flag
+             FROM events WHERE event_type = 'error'),
+last AS (SELECT * FROM (
+  SELECT req.*, row_number() OVER (PARTITION BY id_room ORDER BY requested_at DESC NULLS LAST, request_id DESC) AS rn
+  FROM req WHERE id_room IN (SELECT id_room FROM room)) WHERE rn = 1)
+"""
+
+
+def _availability(spark, sf_dir):
+    return changes.set_availability(standin_tables(spark, sf_dir), rq.availability_requests(spark, sf_dir))
+
+
+@register("set_availability_rooms", with_standin(_AVAIL_SQL + """
+SELECT r.id_room, r.id_service, r.room_no, r.bed_no, coalesce(l.flag, r.available) AS available
+FROM room r LEFT JOIN last l ON l.id_room = r.id_room"""))
+def q_set_availability_rooms(spark, sf_dir):
+    return _availability(spark, sf_dir).tables.room
+
+
+@register("set_availability_rejects", with_standin(_AVAIL_SQL + """
+SELECT request_id, 'unknown bed' AS reason FROM req WHERE id_room NOT IN (SELECT id_room FROM room)"""))
+def q_set_availability_rejects(spark, sf_dir):
+    return _availability(spark, sf_dir).rejects

@@ -107,3 +107,11 @@ REQUEST_SCHEMAS = {
     "availability": schemas.AVAILABILITY_REQ, "observation": schemas.OBSERVATION_REQ,
     "prescription": schemas.PRESCRIPTION_REQ, "staff": schemas.STAFF_REQ,
 }
+
+
+def availability_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``error`` events: set bed ``event_id % 100`` free ('yes') when the
+    event value is above 25, taken ('no') otherwise."""
+    ev = _events(spark, sf_dir, "error")
+    return ev.select(*_base(ev), (F.col("event_id") % 100).cast("string").alias("id_room"),
+                     F.when(F.col("value") > 25, F.lit("yes")).otherwise(F.lit("no")).alias("available"))
