@@ -653,3 +653,47 @@ def q_set_availability_rooms(spark, sf_dir):
 SELECT request_id, 'unknown bed' AS reason FROM req WHERE id_room NOT IN (SELECT id_room FROM room)"""))
 def q_set_availability_rejects(spark, sf_dir):
     return _availability(spark, sf_dir).rejects
+
+
+# ------------------------------------------------------------------ M12
+_STAFF_SQL = """
+WITH req AS (
+  SELECT event_id AS request_id, ts AS requested_at, CAST(user_id % 30 AS VARCHAR) AS svc_t,
+         'Nurse ' || CAST(user_id AS VARCHAR) AS full_name,
+         CASE WHEN event_id % 50 = 0 THEN 'SUPPLIER.' || lpad(CAST(user_id % 100 AS VARCHAR), 9, '0') || '@ward.test'
+              ELSE 'n' || CAST(event_id % 700 AS VARCHAR) || '@Ward.test' END AS email,
+         CASE event_id % 4 WHEN 0 THEN 'Nurse' WHEN 1 THEN 'admin' WHEN 2 THEN 'nurse' ELSE 'doctor' END AS role_t
+  FROM events WHERE event_type = 'signup'),
+r AS (SELECT req.*, TRY_CAST(trim(svc_t) AS BIGINT) AS id_service, lower(trim(role_t)) AS role,
+             lower(email) AS lemail FROM req),
+c AS (SELECT r.*, CASE
+        WHEN r.role IS NULL OR r.role NOT IN ('admin', 'nurse') THEN 'unknown role'
+        WHEN r.role = 'nurse' AND r.id_service IS NULL THEN 'missing: id_service'
+        WHEN r.id_service IS NOT NULL AND r.id_service NOT IN (SELECT id_service FROM service) THEN 'unknown service'
+        WHEN r.full_name IS NULL OR r.email IS NULL THEN 'missing value'
+        WHEN length(r.full_name) > 30 THEN 'too long: full_name'
+        WHEN length(r.email) > 50 THEN 'too long: email'
+        WHEN r.lemail IN (SELECT lower(email) FROM staff) THEN 'duplicate email'
+      END AS reason FROM r),
+w AS (SELECT c.*, row_number() OVER (PARTITION BY lemail ORDER BY requested_at NULLS FIRST, request_id) AS rk
+      FROM c WHERE reason IS NULL)
+"""
+
+
+def _load_staff(spark, sf_dir):
+    return changes.load_staff(standin_tables(spark, sf_dir), rq.staff_requests(spark, sf_dir))
+
+
+@register("load_staff_rejects", with_standin(_STAFF_SQL + """
+SELECT request_id, reason FROM c WHERE reason IS NOT NULL
+UNION ALL SELECT request_id, 'duplicate email' FROM w WHERE rk > 1"""))
+def q_load_staff_rejects(spark, sf_dir):
+    return _load_staff(spark, sf_dir).rejects
+
+
+@register("load_staff_new", with_standin(_STAFF_SQL + """
+SELECT request_id, (SELECT max(id_staff) FROM staff)
+       + row_number() OVER (ORDER BY requested_at NULLS FIRST, request_id) AS id_staff
+FROM w WHERE rk = 1"""))
+def q_load_staff_new(spark, sf_dir):
+    return _load_staff(spark, sf_dir).accepted

@@ -115,3 +115,19 @@ def availability_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _events(spark, sf_dir, "error")
     return ev.select(*_base(ev), (F.col("event_id") % 100).cast("string").alias("id_room"),
                      F.when(F.col("value") > 25, F.lit("yes")).otherwise(F.lit("no")).alias("available"))
+
+
+def staff_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``signup`` events as staff registrations: service ``user_id % 30``
+    (some unknown), a repeating e-mail (some already taken, some repeated in
+    the batch, case varies) and a role among Nurse/admin/nurse/doctor."""
+    ev = _events(spark, sf_dir, "signup")
+    email = (F.when(F.col("event_id") % 50 == 0,
+                    F.concat(F.lit("SUPPLIER."), F.lpad((F.col("user_id") % 100).cast("string"), 9, "0"),
+                             F.lit("@ward.test")))
+              .otherwise(F.concat(F.lit("n"), (F.col("event_id") % 700).cast("string"), F.lit("@Ward.test"))))
+    role = (F.when(F.col("event_id") % 4 == 0, F.lit("Nurse")).when(F.col("event_id") % 4 == 1, F.lit("admin"))
+             .when(F.col("event_id") % 4 == 2, F.lit("nurse")).otherwise(F.lit("doctor")))
+    return ev.select(*_base(ev), (F.col("user_id") % 30).cast("string").alias("id_service"),
+                     F.concat(F.lit("Nurse "), F.col("user_id").cast("string")).alias("full_name"),
+                     email.alias("email"), role.alias("role"))
