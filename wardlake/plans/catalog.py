@@ -697,3 +697,112 @@ SELECT request_id, (SELECT max(id_staff) FROM staff)
 FROM w WHERE rk = 1"""))
 def q_load_staff_new(spark, sf_dir):
     return _load_staff(spark, sf_dir).accepted
+
+
+# ------------------------------------------------------------------ M5 + M6 (status route)
+_STATUS_SQL = f"""
+WITH req AS (
+  SELECT event_id AS request_id, ts AS requested_at, event_id AS id_stay,
+         CASE WHEN value > 25 THEN 'reactivate' ELSE 'discharge' END AS action, event_id % 100 AS bed,
+         coalesce(TRY_CAST(strftime(ts, '%Y-%m-%d %H:%M:%S') AS TIMESTAMP), TIMESTAMP '{BATCH_TS}') AS new_out
+  FROM events WHERE event_type = 'purchase'),
+dq AS (SELECT q.*, s.id_room AS old_bed, CASE
+         WHEN q.id_stay = 0 THEN 'invalid: id_stay'
+         WHEN s.id_stay IS NULL THEN 'unknown stay'
+         WHEN s.date_out IS NOT NULL THEN 'not active' END AS reason
+       FROM req q LEFT JOIN stay s ON s.id_stay = q.id_stay WHERE q.action = 'discharge'),
+dw AS (SELECT dq.*, row_number() OVER (PARTITION BY id_stay ORDER BY requested_at NULLS FIRST, request_id) AS rk
+       FROM dq WHERE reason IS NULL),
+dd AS (SELECT * FROM dw WHERE rk = 1),
+stay1 AS (SELECT s.id_stay, s.id_patient, CASE WHEN d.id_stay IS NOT NULL THEN NULL ELSE s.id_room END AS id_room,
+                 s.date_in, CASE WHEN d.id_stay IS NOT NULL THEN d.new_out ELSE s.date_out END AS date_out
+          FROM stay s LEFT JOIN dd d ON d.id_stay = s.id_stay),
+room1 AS (SELECT r.id_room, r.id_service, r.room_no, r.bed_no,
+                 CASE WHEN r.id_room IN (SELECT old_bed FROM dd WHERE old_bed IS NOT NULL) THEN true
+                      ELSE r.available END AS available FROM room r),
+rq AS (SELECT q.*, CASE
+         WHEN q.id_stay = 0 THEN 'invalid: id_stay'
+         WHEN NOT coalesce(q.bed > 0, false) THEN 'invalid: id_room'
+         WHEN b.id_room IS NULL THEN 'unknown bed'
+         WHEN NOT coalesce(b.available, false) THEN 'bed not free'
+         WHEN s.id_stay IS NULL THEN 'unknown stay' END AS reason
+       FROM req q LEFT JOIN room1 b ON b.id_room = q.bed LEFT JOIN stay1 s ON s.id_stay = q.id_stay
+       WHERE q.action = 'reactivate'),
+rw AS (SELECT rq.*, row_number() OVER (PARTITION BY id_stay ORDER BY requested_at NULLS FIRST, request_id) AS rs,
+              row_number() OVER (PARTITION BY bed ORDER BY requested_at NULLS FIRST, request_id) AS rb
+       FROM rq WHERE reason IS NULL),
+ra AS (SELECT * FROM rw WHERE rs = 1 AND rb = 1)
+"""
+
+
+def _status(spark, sf_dir):
+    return changes.apply_status(standin_tables(spark, sf_dir), rq.status_requests(spark, sf_dir), BATCH_TS)
+
+
+@register("apply_status_stays", with_standin(_STATUS_SQL + """
+SELECT s.id_stay, s.id_patient, CASE WHEN a.id_stay IS NOT NULL THEN a.bed ELSE s.id_room END AS id_room,
+       s.date_in, CASE WHEN a.id_stay IS NOT NULL THEN NULL ELSE s.date_out END AS date_out
+FROM stay1 s LEFT JOIN ra a ON a.id_stay = s.id_stay"""))
+def q_apply_status_stays(spark, sf_dir):
+    return _status(spark, sf_dir).tables.stay
+
+
+@register("apply_status_rooms", with_standin(_STATUS_SQL + """
+SELECT id_room, id_service, room_no, bed_no,
+       CASE WHEN id_room IN (SELECT bed FROM ra) THEN false ELSE available END AS available
+FROM room1"""))
+def q_apply_status_rooms(spark, sf_dir):
+    return _status(spark, sf_dir).tables.room
+
+
+@register("apply_status_rejects", with_standin(_STATUS_SQL + """
+SELECT request_id, reason FROM dq WHERE reason IS NOT NULL
+UNION ALL SELECT request_id, 'conflict' FROM dw WHERE rk > 1
+UNION ALL SELECT request_id, reason FROM rq WHERE reason IS NOT NULL
+UNION ALL SELECT request_id, 'conflict' FROM rw WHERE rs > 1 OR rb > 1"""))
+def q_apply_status_rejects(spark, sf_dir):
+    return _status(spark, sf_dir).rejects
+
+
+# ------------------------------------------------------------------ M1
+_ADMIT_NEW_SQL = f"""
+WITH req AS (
+  SELECT event_id AS request_id, ts AS requested_at, 'Patient ' || CAST(user_id AS VARCHAR) AS full_name,
+         lpad(CAST(event_id AS VARCHAR), 9, '0') AS nin,
+         '19' || lpad(CAST(event_id % 50 + 50 AS VARCHAR), 2, '0') || '-' || lpad(CAST(event_id % 12 + 1 AS VARCHAR), 2, '0')
+              || '-' || lpad(CAST(event_id % 31 + 1 AS VARCHAR), 2, '0') AS birth_t,
+         CASE event_id % 3 WHEN 0 THEN 'homme' WHEN 1 THEN 'famme' ELSE 'autre' END AS sex,
+         event_id % 100 AS bed,
+         coalesce(TRY_CAST(strftime(ts, '%Y-%m-%d %H:%M:%S') AS TIMESTAMP), TIMESTAMP '{BATCH_TS}') AS date_in
+  FROM events WHERE event_type = 'signup'),
+c AS (SELECT q.*, CASE
+        WHEN NOT coalesce(regexp_matches(q.birth_t, '{_DATE_SHAPE}')
+                          AND try_strptime(q.birth_t, '%Y-%m-%d') IS NOT NULL, false) THEN 'invalid: birth_date'
+        WHEN q.sex NOT IN ('homme', 'famme') THEN 'invalid: sex'
+        WHEN NOT coalesce(q.bed > 0, false) THEN 'invalid: id_room'
+        WHEN b.id_room IS NULL OR NOT coalesce(b.available, false) THEN 'bed not free' END AS reason
+      FROM req q LEFT JOIN room b ON b.id_room = q.bed),
+w AS (SELECT c.*, row_number() OVER (PARTITION BY bed ORDER BY requested_at NULLS FIRST, request_id) AS rb
+      FROM c WHERE reason IS NULL),
+acc AS (SELECT w.*, row_number() OVER (ORDER BY requested_at NULLS FIRST, request_id) AS n FROM w WHERE rb = 1)
+"""
+
+
+def _admit_new(spark, sf_dir):
+    return changes.admit_new(standin_tables(spark, sf_dir), rq.new_patient_requests(spark, sf_dir), BATCH_TS)
+
+
+@register("admit_new_accepted", with_standin(_ADMIT_NEW_SQL + """
+SELECT request_id, (SELECT max(id_patient) FROM patient) + n AS id_patient, (SELECT max(id_stay) FROM stay) + n AS id_stay,
+       full_name, nin, bed AS id_room, date_in
+FROM acc"""))
+def q_admit_new_accepted(spark, sf_dir):
+    return _admit_new(spark, sf_dir).accepted.select("request_id", "id_patient", "id_stay", "full_name", "nin",
+                                                      "id_room", "date_in")
+
+
+@register("admit_new_rejects", with_standin(_ADMIT_NEW_SQL + """
+SELECT request_id, reason FROM c WHERE reason IS NOT NULL
+UNION ALL SELECT request_id, 'conflict' FROM w WHERE rb > 1"""))
+def q_admit_new_rejects(spark, sf_dir):
+    return _admit_new(spark, sf_dir).rejects

@@ -131,3 +131,34 @@ def staff_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(*_base(ev), (F.col("user_id") % 30).cast("string").alias("id_service"),
                      F.concat(F.lit("Nurse "), F.col("user_id").cast("string")).alias("full_name"),
                      email.alias("email"), role.alias("role"))
+
+
+def status_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``purchase`` events on the status route: stay ``event_id`` is
+    reactivated in bed ``event_id % 100`` when the value is above 25, else
+    discharged at the event time."""
+    ev = _events(spark, sf_dir, "purchase")
+    return ev.select(*_base(ev), F.col("event_id").cast("string").alias("id_stay"),
+                     F.when(F.col("value") > 25, F.lit("reactivate")).otherwise(F.lit("discharge")).alias("action"),
+                     (F.col("event_id") % 100).cast("string").alias("id_room"),
+                     F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("date_out"))
+
+
+def new_patient_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``signup`` events as admissions of new patients into bed
+    ``event_id % 100``; some birth dates do not exist and some sexes are
+    outside the domain."""
+    ev = _events(spark, sf_dir, "signup")
+    e = F.col("event_id")
+
+    def two(x):
+        return F.lpad(x.cast("string"), 2, "0")
+
+    birth = F.concat(F.lit("19"), two(e % 50 + 50), F.lit("-"), two(e % 12 + 1), F.lit("-"), two(e % 31 + 1))
+    sex = F.when(e % 3 == 0, F.lit("homme")).when(e % 3 == 1, F.lit("famme")).otherwise(F.lit("autre"))
+    return ev.select(*_base(ev), F.concat(F.lit("Patient "), F.col("user_id").cast("string")).alias("full_name"),
+                     F.lpad(e.cast("string"), 9, "0").alias("nin"), birth.alias("birth_date"), sex.alias("sex"),
+                     F.concat(F.lit("Street "), F.col("user_id").cast("string")).alias("address"),
+                     F.lit(None).cast("string").alias("phone"), F.lit("O+").alias("blood_group"),
+                     (e % 100).cast("string").alias("id_room"),
+                     F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("admission_date"))
