@@ -78,3 +78,19 @@ def test_cleaning_goldens(spark):
     assert (r.d, r.d2) == (False, True)
     assert r.age == 0 and r.future == 4
     assert r.yes is True and r.empty is True
+
+
+def test_json_answers_keep_nulls(spark, seed):
+    import tempfile as tf
+
+    from wardlake.operators import reads as R
+    from wardlake.sources import sinks
+    df = R.patient_card(seed, "2025-06-01", patients=[1])
+    text = df.select(sinks.answer_json(df).alias("j")).collect()[0].j
+    assert json.loads(text)["id_patient"] == 1 and "phone" in json.loads(text)
+    out = tf.mkdtemp(prefix="wardlake-json-", dir="/tmp") + "/free"
+    sinks.write_answers(R.free_rooms(seed), out)
+    back = spark.read.json(out)
+    assert back.count() == 4
+    nested = sinks.keyed_answers(R.free_rooms(seed), "id_service", "rooms").collect()
+    assert sorted(len(r.rooms) for r in nested) == [1, 1, 1, 1]
