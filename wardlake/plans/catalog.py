@@ -806,3 +806,78 @@ SELECT request_id, reason FROM c WHERE reason IS NOT NULL
 UNION ALL SELECT request_id, 'conflict' FROM w WHERE rb > 1"""))
 def q_admit_new_rejects(spark, sf_dir):
     return _admit_new(spark, sf_dir).rejects
+
+
+# ------------------------------------------------------------------ M3
+_UPDATE_SQL = f"""
+WITH cur AS (SELECT id_patient, id_stay, id_room FROM (
+    SELECT s.*, row_number() OVER (PARTITION BY id_patient ORDER BY date_in DESC NULLS LAST, id_stay DESC) AS rn
+    FROM stay s WHERE date_out IS NULL) WHERE rn = 1),
+req AS (
+  SELECT event_id AS request_id, ts AS requested_at, user_id AS id_patient,
+         'Updated ' || CAST(user_id AS VARCHAR) AS full_name, lpad(CAST(event_id AS VARCHAR), 9, '0') AS nin,
+         '1980-01-01' AS birth_t, 'homme' AS sex, 'New address' AS address, CAST(NULL AS VARCHAR) AS phone,
+         'A+' AS blood_group,
+         CASE WHEN event_id % 3 = 0 THEN '' ELSE CAST(event_id % 100 AS VARCHAR) END AS room_t,
+         CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS adm_t
+  FROM events WHERE event_type = 'click'),
+r AS (SELECT req.*, NOT {_EMPTY.format('room_t')} AS wants_bed, TRY_CAST(trim(room_t) AS BIGINT) AS bed FROM req),
+c AS (SELECT r.*, cur.id_stay AS cur_stay, cur.id_room AS old_bed, CASE
+        WHEN p.id_patient IS NULL THEN 'unknown patient'
+        WHEN NOT coalesce(regexp_matches(r.birth_t, '{_DATE_SHAPE}')
+                          AND try_strptime(r.birth_t, '%Y-%m-%d') IS NOT NULL, false) THEN 'invalid: birth_date'
+        WHEN r.sex NOT IN ('homme', 'famme') THEN 'invalid: sex'
+        WHEN r.wants_bed AND b.id_room IS NULL THEN 'unknown bed'
+        WHEN r.wants_bed AND NOT coalesce(b.available, false) AND NOT coalesce(cur.id_room = r.bed, false)
+          THEN 'bed not free'
+        WHEN r.wants_bed AND cur.id_stay IS NULL AND {_EMPTY.format('r.adm_t')}
+          THEN 'no active stay and no admission date'
+      END AS reason
+      FROM r LEFT JOIN patient p ON p.id_patient = r.id_patient LEFT JOIN room b ON b.id_room = r.bed
+      LEFT JOIN cur ON cur.id_patient = r.id_patient),
+w AS (SELECT c.*, row_number() OVER (PARTITION BY id_patient ORDER BY requested_at NULLS FIRST, request_id) AS rp,
+             CASE WHEN wants_bed THEN row_number() OVER (PARTITION BY wants_bed, bed
+                                                         ORDER BY requested_at NULLS FIRST, request_id)
+                  ELSE 1 END AS rb
+      FROM c WHERE reason IS NULL),
+win AS (SELECT * FROM w WHERE rp = 1 AND rb = 1),
+mv AS (SELECT * FROM win WHERE wants_bed AND cur_stay IS NOT NULL),
+op AS (SELECT win.*, (SELECT max(id_stay) FROM stay) + row_number() OVER (ORDER BY requested_at NULLS FIRST, request_id)
+              AS new_stay FROM win WHERE wants_bed AND cur_stay IS NULL)
+"""
+
+
+def _update(spark, sf_dir):
+    return changes.update_patient(standin_tables(spark, sf_dir), rq.patient_update_requests(spark, sf_dir), BATCH_TS)
+
+
+@register("update_patient_stays", with_standin(_UPDATE_SQL + f"""
+SELECT s.id_stay, s.id_patient, CASE WHEN m.cur_stay IS NOT NULL THEN m.bed ELSE s.id_room END AS id_room,
+       s.date_in, s.date_out
+FROM stay s LEFT JOIN mv m ON m.cur_stay = s.id_stay
+UNION ALL
+SELECT new_stay, id_patient, bed, coalesce(TRY_CAST(adm_t AS TIMESTAMP), TIMESTAMP '{BATCH_TS}'),
+       CAST(NULL AS TIMESTAMP) FROM op"""))
+def q_update_patient_stays(spark, sf_dir):
+    return _update(spark, sf_dir).tables.stay
+
+
+@register("update_patient_patients", with_standin(_UPDATE_SQL + """
+SELECT p.id_patient,
+       CASE WHEN u.id_patient IS NOT NULL THEN u.full_name ELSE p.full_name END AS full_name,
+       CASE WHEN u.id_patient IS NOT NULL THEN u.nin ELSE p.nin END AS nin,
+       CASE WHEN u.id_patient IS NOT NULL THEN CAST(u.birth_t AS DATE) ELSE p.birth_date END AS birth_date,
+       CASE WHEN u.id_patient IS NOT NULL THEN u.sex ELSE p.sex END AS sex,
+       CASE WHEN u.id_patient IS NOT NULL THEN u.address ELSE p.address END AS address,
+       CASE WHEN u.id_patient IS NOT NULL THEN u.phone ELSE p.phone END AS phone,
+       CASE WHEN u.id_patient IS NOT NULL THEN u.blood_group ELSE p.blood_group END AS blood_group
+FROM patient p LEFT JOIN win u ON u.id_patient = p.id_patient"""))
+def q_update_patient_patients(spark, sf_dir):
+    return _update(spark, sf_dir).tables.patient
+
+
+@register("update_patient_rejects", with_standin(_UPDATE_SQL + """
+SELECT request_id, reason FROM c WHERE reason IS NOT NULL
+UNION ALL SELECT request_id, 'conflict' FROM w WHERE rp > 1 OR rb > 1"""))
+def q_update_patient_rejects(spark, sf_dir):
+    return _update(spark, sf_dir).rejects

@@ -162,3 +162,18 @@ def new_patient_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.lit(None).cast("string").alias("phone"), F.lit("O+").alias("blood_group"),
                      (e % 100).cast("string").alias("id_room"),
                      F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("admission_date"))
+
+
+def patient_update_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``click`` events as patient updates: patient ``user_id`` gets new
+    fields; two in three also ask for bed ``event_id % 100``, and every
+    other one carries an admission date for when no stay is active."""
+    ev = _events(spark, sf_dir, "click")
+    e = F.col("event_id")
+    return ev.select(*_base(ev), F.col("user_id").cast("string").alias("id_patient"),
+                     F.concat(F.lit("Updated "), F.col("user_id").cast("string")).alias("full_name"),
+                     F.lpad(e.cast("string"), 9, "0").alias("nin"), F.lit("1980-01-01").alias("birth_date"),
+                     F.lit("homme").alias("sex"), F.lit("New address").alias("address"),
+                     F.lit(None).cast("string").alias("phone"), F.lit("A+").alias("blood_group"),
+                     F.when(e % 3 == 0, F.lit("")).otherwise((e % 100).cast("string")).alias("id_room"),
+                     F.when(e % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("admission_date"))
