@@ -56,3 +56,20 @@ def test_hot_key_newest_is_partial_aggregate(spark):
     t = standin_tables(spark, SF)
     plan = plan_text(reads.current_stay(t))
     assert "partial_max" in plan
+
+
+def test_bucketed_snapshot_avoids_shuffle_on_stay_key(spark, seed):
+    import tempfile
+
+    from wardlake.sources.snapshot import read_catalog_snapshot, save_catalog_snapshot
+    loc = tempfile.mkdtemp(prefix="wardlake-db-", dir="/tmp")
+    save_catalog_snapshot(seed, "ward_bucketed", 4, location=loc)
+    t = read_catalog_snapshot(spark, "ward_bucketed")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # force the large-table plan
+    try:
+        q = t.stay.join(reads.newest_observation(t), on="id_stay", how="left")
+        plan = plan_text(q)
+        assert "Exchange" not in plan, plan
+        assert len(q.collect()) == 8
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

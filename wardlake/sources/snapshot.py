@@ -63,3 +63,27 @@ def read_jdbc(spark: SparkSession, url: str, table: str, schema_name: str, **opt
     df = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options).load()
     target = schemas.TABLE_SCHEMAS[schema_name]
     return df.toDF(*[f.name for f in target.fields][: len(df.columns)])
+
+
+# Bucketing keys: stays, observations and prescriptions meet on id_stay (the
+# newest-observation aggregate and every stay join); patients on id_patient.
+BUCKET_KEYS = {"stay": "id_stay", "observation": "id_stay", "prescription": "id_stay",
+               "patient": "id_patient", "room": "id_room", "staff": "id_staff", "service": "id_service"}
+
+
+def save_catalog_snapshot(tables: Tables, database: str, buckets: int, location: str | None = None,
+                          mode: str = "overwrite") -> None:
+    """Save a snapshot as catalog tables bucketed (and sorted) by their join
+    key, so joins and aggregates on that key read co-located buckets with no
+    shuffle.  All tables that meet on a key share the bucket count."""
+    spark = tables.stay.sparkSession
+    loc = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{loc}")
+    for name, df in tables.as_dict().items():
+        key = BUCKET_KEYS[name]
+        (df.write.mode(mode).format("parquet").bucketBy(buckets, key).sortBy(key)
+           .saveAsTable(f"{database}.{name}"))
+
+
+def read_catalog_snapshot(spark: SparkSession, database: str, **ties) -> Tables:
+    return Tables(**{n: spark.table(f"{database}.{n}") for n in TABLE_NAMES}, **ties)
