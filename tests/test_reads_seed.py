@@ -109,3 +109,15 @@ def test_search_batch(spark, seed):
                                   "term_id long, term string, id_staff long")
     got = rows(reads.search_patients_batch(seed, terms), "term_id", "full_name")
     assert got == [(1, "Harry S. Truman"), (1, "Laura Palmer"), (2, "Laura Palmer"), (3, "Dale Cooper")]
+
+
+def test_foreign_key_rule_finds_orphans(spark, seed):
+    from wardlake import schemas
+    bad_stay = spark.createDataFrame([(99, 42, 5, None, None)], schemas.STAY)
+    t = seed.replace(stay=seed.stay.unionByName(bad_stay))
+    got = rows(checks.table_violations(t), "table_name", "row_key", "reason")
+    assert got == [("stay", "99", "foreign_key:id_patient")]
+    bad_room = spark.createDataFrame([(50, 9, 1, 1, True)], schemas.ROOM)
+    t = seed.replace(room=seed.room.unionByName(bad_room))
+    got = rows(checks.table_violations(t), "table_name", "row_key", "reason")
+    assert ("room", "50", "foreign_key:id_service") in got

@@ -48,8 +48,14 @@ def _reason(*pairs: tuple[Column, str]) -> Column:
 
 
 def _exists(df: DataFrame, t_df: DataFrame, col: str, t_col: str, flag: str) -> DataFrame:
-    known = t_df.select(F.col(t_col).alias(col)).distinct().withColumn(flag, F.lit(True))
-    return df.join(known, on=col, how="left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    """Flag whether ``col`` names a row of ``t_df``: a correlated EXISTS,
+    planned as an existence join (no DISTINCT over the key column, and a
+    duplicated key can never duplicate a request)."""
+    probe = f"_probe{flag}"  # a name only the outer side has, so the reference cannot bind inside
+    keys = t_df.select(F.col(t_col).alias(f"_key{flag}"))
+    return (df.withColumn(probe, F.col(col))
+              .withColumn(flag, keys.where(F.col(f"_key{flag}") == F.col(probe).outer()).exists())
+              .drop(probe))
 
 
 def _with_bed(df: DataFrame, t: Tables, col: str = "bed") -> DataFrame:
@@ -480,9 +486,8 @@ def load_staff(t: Tables, requests: DataFrame) -> ChangeResult:
     r = requests.select(*ORDER, X.to_long("id_service").alias("id_service"), "full_name", "email",
                         F.lower(F.trim("role")).alias("role"))
     r = _exists(r, t.service, "id_service", "id_service", "_svc")
-    known = t.staff.select(F.lower("email").alias("_email"), F.lit(True).alias("_taken")).distinct()
-    r = (r.withColumn("_email", F.lower("email")).join(known, on="_email", how="left")
-          .withColumn("_taken", F.coalesce(F.col("_taken"), F.lit(False))))
+    r = r.withColumn("_email", F.lower("email"))
+    r = _exists(r, t.staff.select(F.lower("email").alias("_staff_email")), "_email", "_staff_email", "_taken")
     lim = schemas.TEXT_LIMITS["staff"]
     checked = r.withColumn("reason", _reason(
         (~F.col("role").isin(list(schemas.ROLE_VALUES)) | F.col("role").isNull(), "unknown role"),

@@ -105,9 +105,12 @@ def violations(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFra
         elif rule.kind == "foreign_key":
             col = rule.cols[0]
             parent, pcol = rule.arg
-            known = parent.select(F.col(pcol).alias(col)).distinct().withColumn(flag, F.lit(True))
-            flagged = flagged.join(known, on=col, how="left")
-            tests.append((rule.reason, F.col(col).isNotNull() & F.col(flag).isNull()))
+            # a probe name only the outer side has, so the reference cannot bind inside
+            probe, key = f"_vprobe{i}", f"_vkey{i}"
+            keys = parent.select(F.col(pcol).alias(key))
+            flagged = (flagged.withColumn(probe, F.col(col))
+                              .withColumn(flag, keys.where(F.col(key) == F.col(probe).outer()).exists()))
+            tests.append((rule.reason, F.col(col).isNotNull() & ~F.col(flag)))
         elif rule.kind == "unique":
             col = rule.cols[0]
             key = f"_k{i}"

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import reads
-from ..sources.standin import STANDIN_AS_OF, standin_tables, with_standin
+from ..sources.standin import STANDIN_AS_OF, read_table, standin_tables, with_standin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,7 +30,7 @@ def register(name: str, sql: str | None):
 
 
 def _events(spark, sf_dir, kind):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").filter(F.col("event_type") == kind)
+    return read_table(spark, sf_dir, "events").filter(F.col("event_type") == kind)
 
 
 # Age as whole calendar years, sign dropped (DuckDB form).
@@ -566,13 +566,13 @@ def _clean_text_sql(c: str) -> str:
 
 @register("clean_pages", f"SELECT page_id, {_clean_text_sql('html')} AS text FROM pages")
 def q_clean_pages(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = read_table(spark, sf_dir, "pages")
     return pages.select("page_id", clean_text("html").alias("text"))
 
 
 @register("clean_documents", f"SELECT doc_id, {_clean_text_sql('text')} AS text FROM documents")
 def q_clean_documents(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     return docs.select("doc_id", clean_text("text").alias("text"))
 
 
@@ -587,7 +587,8 @@ def q_stream_newest_observation(spark, sf_dir):
     import uuid
 
     from ..session import checkpoint_dir
-    schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
+    from ..sources.standin import DRIVER_SCHEMAS
+    schema = DRIVER_SCHEMAS["lineitem"]
     # a file stream watches a folder; the glob keeps it to the observation feed
     feed = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
     obs = feed.select(F.col("l_orderkey").alias("id_stay"), F.col("l_suppkey").alias("id_nurse"),
@@ -881,3 +882,29 @@ SELECT request_id, reason FROM c WHERE reason IS NOT NULL
 UNION ALL SELECT request_id, 'conflict' FROM w WHERE rp > 1 OR rb > 1"""))
 def q_update_patient_rejects(spark, sf_dir):
     return _update(spark, sf_dir).rejects
+
+
+# ------------------------------------------------------------------ C1-C6 on data with violations
+_RULES_SQL["staff_req"] = _RULES_SQL["staff"]
+_STAFF_REQ_CTE = """
+WITH staff_req AS (
+  SELECT event_id AS id_staff, CAST(user_id % 30 AS BIGINT) AS id_service, 'Nurse ' || CAST(user_id AS VARCHAR) AS full_name,
+         CASE WHEN event_id % 50 = 0 THEN 'SUPPLIER.' || lpad(CAST(user_id % 100 AS VARCHAR), 9, '0') || '@ward.test'
+              ELSE 'n' || CAST(event_id % 700 AS VARCHAR) || '@Ward.test' END AS email,
+         lower(CASE event_id % 4 WHEN 0 THEN 'Nurse' WHEN 1 THEN 'admin' WHEN 2 THEN 'nurse' ELSE 'doctor' END) AS role
+  FROM events WHERE event_type = 'signup')
+"""
+
+
+@register("staff_table_violations", with_standin(_STAFF_REQ_CTE + _violation_sql("staff_req")))
+def q_staff_table_violations(spark, sf_dir):
+    """The constraint rules of the staff table applied to a staff table built
+    from the registration stream (duplicate e-mails, unknown services and
+    roles occur)."""
+    t = standin_tables(spark, sf_dir)
+    req = rq.staff_requests(spark, sf_dir)
+    staff_like = req.select(F.col("request_id").alias("id_staff"), F.col("id_service").cast("bigint").alias("id_service"),
+                            "full_name", "email", F.lower("role").alias("role"))
+    _, bad = checks.violations(staff_like, checks.default_rules(t)["staff"])
+    return bad.select(F.lit("staff_req").alias("table_name"), F.col("id_staff").cast("string").alias("row_key"),
+                      "reason")

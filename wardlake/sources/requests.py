@@ -37,8 +37,8 @@ def decode_json_column(df: DataFrame, col: str, schema: T.StructType) -> DataFra
 
 # ------------------------------------------------------------ from events
 def _events(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    return (spark.read.parquet(f"{sf_dir}/events.parquet")
-                 .filter(F.col("event_type") == kind))
+    from .standin import read_table
+    return read_table(spark, sf_dir, "events").filter(F.col("event_type") == kind)
 
 
 def _base(ev: DataFrame) -> list:

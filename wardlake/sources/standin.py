@@ -34,8 +34,49 @@ STANDIN_AS_OF = "2005-02-28"  # fixed "today" for ages on these tables
 BLOOD_GROUPS = ["A+", "A-", "B+", "B-", "AB+", "AB-", "O+", "O-"]
 
 
+# Declared schemas of the driver's tables: reading with a schema skips the
+# footer-inference job Spark otherwise runs for every read.
+DRIVER_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "benchmark": "item_id bigint, text string",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
+# DataFrames are immutable, lazy plans: build each source relation once per
+# session and folder, and let every query start from the same plan objects.
+_CACHE: dict = {}
+
+
+def _cached(spark: SparkSession, key: tuple, build):
+    hit = _CACHE.get(key)
+    if hit is not None and hit[0] is spark:
+        return hit[1]
+    value = build()
+    _CACHE[key] = (spark, value)
+    return value
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    def build():
+        reader = spark.read
+        if name in DRIVER_SCHEMAS:
+            reader = reader.schema(DRIVER_SCHEMAS[name])
+        return reader.parquet(f"{sf_dir}/{name}.parquet")
+    return _cached(spark, ("table", sf_dir, name), build)
 
 
 def _mod(c: str, n: int) -> Column:
@@ -43,6 +84,10 @@ def _mod(c: str, n: int) -> Column:
 
 
 def standin_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    return _cached(spark, ("tables", sf_dir), lambda: _build_standin(spark, sf_dir))
+
+
+def _build_standin(spark: SparkSession, sf_dir: str) -> Tables:
     nation = read_table(spark, sf_dir, "nation")
     supplier = read_table(spark, sf_dir, "supplier")
     customer = read_table(spark, sf_dir, "customer")
