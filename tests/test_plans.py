@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 # Queries whose plan legitimately holds a Window: the running sum over the
 # one-row-per-partition count table that numbers new rows.
 NUMBERING = {"admit_existing_new_stays", "admit_existing_rooms", "ingest_observations_accepted",
-             "load_staff_new", "admit_new_accepted", "apply_status_stays", "apply_status_rooms"}
+             "load_staff_new", "admit_new_accepted", "update_patient_stays"}
 
 
 def plan_text(df) -> str:
