@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,9 +30,16 @@ def assign_dense_ids(df: DataFrame, order: Sequence[str], name: str, base: Colum
     spark = df.sparkSession
     checkpoint_dir(spark)
     order_cols = [F.col(c).asc_nulls_first() for c in order]
-    ranged = (df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
-                .withColumn("_mono", F.monotonically_increasing_id()))
-    ranged = ranged.checkpoint(eager=True)
+    # Range partitioning samples its input in a job of its own; keep the input
+    # cached so the sample and the shuffle do not both recompute it.  (A cache
+    # is only a cache: if lost it is recomputed from the deterministic input.)
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ranged = (src.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+                     .withColumn("_mono", F.monotonically_increasing_id()))
+        ranged = ranged.checkpoint(eager=True)
+    finally:
+        src.unpersist()
     pid = F.shiftright(F.col("_mono"), _ROW_BITS)
     counts = ranged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
     running = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
