@@ -94,3 +94,35 @@ def test_json_answers_keep_nulls(spark, seed):
     assert back.count() == 4
     nested = sinks.keyed_answers(R.free_rooms(seed), "id_service", "rooms").collect()
     assert sorted(len(r.rooms) for r in nested) == [1, 1, 1, 1]
+
+
+def test_ingest_stream_ids_continue_across_batches(spark, seed):
+    folder = tempfile.mkdtemp(prefix="wardlake-req2-", dir="/tmp")
+    out_dir = tempfile.mkdtemp(prefix="wardlake-ing2-", dir="/tmp")
+    good = dict(request_id=1, requested_at="2025-06-01T08:00:00", id_stay="3", id_nurse="2", state="Ok",
+                blood_pressure="120/80", temperature="37.2", heart_rate="80", spo2="97", glucose="5.5",
+                weight="70", height="170", remark="fine", observed_at="2025-06-01T08:00")
+    with open(f"{folder}/a.json", "w") as f:
+        f.write(json.dumps(good) + "\n" + json.dumps(dict(good, request_id=2)) + "\n")
+    q = st.start_observation_ingest(spark, seed, folder, out_dir, "2025-06-01 00:00:00")
+    q.awaitTermination()
+    with open(f"{folder}/b.json", "w") as f:
+        f.write(json.dumps(dict(good, request_id=3)) + "\n")
+    # a new run of the same query continues from its checkpoint: only b.json is new
+    from wardlake.streaming.observations import ingest_batch
+    src = spark.read.schema(st.read_observation_requests(spark, folder).schema).json(f"{folder}/b.json")
+    ingest_batch(seed, src, 7, out_dir, "2025-06-01 00:00:00", base_id=8)
+    acc = sorted((r.request_id, r.id_obs) for r in spark.read.parquet(f"{out_dir}/accepted").collect())
+    assert acc == [(1, 9), (2, 10), (3, 11)]
+
+
+def test_json_requests_split_malformed(spark):
+    from wardlake import schemas as S
+    from wardlake.sources.requests import read_json_requests
+    folder = tempfile.mkdtemp(prefix="wardlake-json-req-", dir="/tmp")
+    with open(f"{folder}/r.json", "w") as f:
+        f.write(json.dumps({"request_id": 1, "id_stay": "3", "action": "discharge", "id_room": "3"}) + "\n")
+        f.write("{broken\n")
+    good, bad = read_json_requests(spark, folder, S.STATUS_REQ)
+    assert [r.request_id for r in good.collect()] == [1]
+    assert [r.reason for r in bad.collect()] == ["malformed"]

@@ -378,9 +378,11 @@ def clean_observations(requests: DataFrame, batch_ts: str, strict: bool = False)
     )
 
 
-def ingest_observations(t: Tables, requests: DataFrame, batch_ts: str, strict: bool = False) -> ChangeResult:
+def ingest_observations(t: Tables, requests: DataFrame, batch_ts: str, strict: bool = False,
+                        id_base: Column | None = None) -> ChangeResult:
     """Append cleaned observations; a value the table cannot hold (missing,
-    out of range, unknown stay or nurse) rejects the request."""
+    out of range, unknown stay or nurse) rejects the request.  New ids start
+    after ``id_base`` (default: the table's greatest id)."""
     c = clean_observations(requests, batch_ts, strict)
     c = _exists(c, t.stay, "id_stay", "id_stay", "_stay")
     c = _exists(c, t.staff, "id_nurse", "id_staff", "_nurse")
@@ -399,7 +401,8 @@ def ingest_observations(t: Tables, requests: DataFrame, batch_ts: str, strict: b
     checked = c.withColumn("reason", _reason(*checks))
     rejects = checked.filter(F.col("reason").isNotNull()).select("request_id", "reason")
     good = checked.filter(F.col("reason").isNull())
-    new = _next_ids(good, t.observation, "id_obs", "id_obs")
+    new = (assign_dense_ids(good, ORDER, "id_obs", id_base) if id_base is not None
+           else _next_ids(good, t.observation, "id_obs", "id_obs"))
     out_cols = ["id_obs", "id_stay", "id_nurse", "state", "blood_pressure", "temperature", "heart_rate",
                 "spo2", "glucose", "weight", "height", "remark", "observed_at"]
     accepted = new.select("request_id", *out_cols)

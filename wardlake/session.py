@@ -53,6 +53,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="wardlake-ckpt-", dir=os.environ.get("WARDLAKE_TMP", "/tmp"))
+        if sc.master.startswith("local"):
+            # one machine: a scratch folder is shared by "all executors"
+            conf_dir = tempfile.mkdtemp(prefix="wardlake-ckpt-", dir=os.environ.get("WARDLAKE_TMP", "/tmp"))
+        else:
+            # a cluster without a named folder: use the warehouse, which every executor can reach
+            conf_dir = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_wardlake_checkpoints"
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

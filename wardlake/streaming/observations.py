@@ -37,24 +37,33 @@ def read_observation_requests(spark: SparkSession, folder: str) -> DataFrame:
                  .option("columnNameOfCorruptRecord", "_corrupt_record").json(folder))
 
 
-def ingest_batch(t: Tables, batch: DataFrame, batch_id: int, out_dir: str, batch_ts: str) -> None:
+def ingest_batch(t: Tables, batch: DataFrame, batch_id: int, out_dir: str, batch_ts: str, base_id: int) -> None:
     """One micro-batch: split malformed lines, ingest the rest, write both
-    outputs under ``batch_id=<n>`` (overwrite: a replay is idempotent)."""
+    outputs under ``batch_id=<n>`` (overwrite: a replay is idempotent).
+
+    New ids continue after ``base_id`` (the snapshot's greatest id) plus the
+    accepted counts of the earlier batches, kept in a one-row-per-batch
+    ``counts`` table, so no batch rescans what earlier batches wrote."""
+    spark = batch.sparkSession
     batch = batch.persist()
     try:
         malformed = batch.filter(F.col("_corrupt_record").isNotNull()).select(
             "request_id", F.lit("malformed").alias("reason"))
         good = batch.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-        # ids continue after the snapshot and every batch already written
-        prior = t.observation.select("id_obs")
         try:
-            written = batch.sparkSession.read.parquet(f"{out_dir}/accepted").select("id_obs")
-            prior = prior.unionByName(written.filter(F.col("batch_id") != batch_id) if "batch_id" in written.columns
-                                      else written)
-        except Exception:  # nothing written yet
-            pass
-        res = changes.ingest_observations(t.replace(observation=prior.select("id_obs")), good, batch_ts)
-        res.accepted.write.mode("overwrite").parquet(f"{out_dir}/accepted/batch_id={batch_id}")
+            counts = spark.read.parquet(f"{out_dir}/counts")
+            before = counts.filter(F.col("batch_id") < batch_id).agg(F.sum("n")).scalar()
+        except Exception:  # first batch: no counts yet
+            before = F.lit(0)
+        base = F.lit(base_id) + F.coalesce(before, F.lit(0))
+        res = changes.ingest_observations(t, good, batch_ts, id_base=base)
+        accepted = res.accepted.persist()
+        try:
+            accepted.write.mode("overwrite").parquet(f"{out_dir}/accepted/batch_id={batch_id}")
+            accepted.agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(
+                f"{out_dir}/counts/batch_id={batch_id}")
+        finally:
+            accepted.unpersist()
         res.rejects.unionByName(malformed).write.mode("overwrite").parquet(f"{out_dir}/rejects/batch_id={batch_id}")
     finally:
         batch.unpersist()
@@ -62,9 +71,11 @@ def ingest_batch(t: Tables, batch: DataFrame, batch_id: int, out_dir: str, batch
 
 def start_observation_ingest(spark: SparkSession, t: Tables, in_folder: str, out_dir: str, batch_ts: str,
                              available_now: bool = True):
+    # the snapshot's greatest id, taken once (one number) rather than per batch
+    base_id = (t.observation.agg(F.max("id_obs")).first()[0] or 0) if "id_obs" in t.observation.columns else 0
     stream = read_observation_requests(spark, in_folder)
     writer = (stream.writeStream.option("checkpointLocation", _stream_checkpoint(spark, "obs-ingest"))
-                    .foreachBatch(lambda df, bid: ingest_batch(t, df, bid, out_dir, batch_ts)))
+                    .foreachBatch(lambda df, bid: ingest_batch(t, df, bid, out_dir, batch_ts, base_id)))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
 
