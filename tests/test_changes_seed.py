@@ -168,3 +168,28 @@ def test_load_staff(spark, seed):
     assert rows(res.rejects, "request_id", "reason") == [(2, "missing: id_service"), (4, "duplicate email"),
                                                          (5, "duplicate email"), (6, "unknown role")]
     assert rows(res.accepted, "request_id", "id_staff") == [(1, 4), (3, 5)]
+
+
+def test_jobs_read_and_apply(spark, seed):
+    import json
+    import tempfile
+
+    from wardlake.jobs import run
+    from wardlake.sources.snapshot import read_snapshot, write_snapshot
+    root = tempfile.mkdtemp(prefix="wardlake-snap-", dir="/tmp")
+    write_snapshot(seed, f"{root}/v1")
+    run(spark, ["read", "admin_overview", "--snapshot", f"{root}/v1", "--out", f"{root}/answers",
+                "--as-of", "2025-06-01", "--format", "json"])
+    assert spark.read.json(f"{root}/answers").count() == 7
+    req_dir = f"{root}/incoming"
+    import os
+    os.makedirs(req_dir)
+    with open(f"{req_dir}/r.json", "w") as f:
+        f.write(json.dumps({"request_id": 1, "requested_at": "2025-06-01T08:00:00", "id_stay": "4",
+                            "id_room": "9", "id_staff": "2"}) + "\n")
+        f.write(json.dumps({"request_id": 2, "requested_at": "2025-06-01T08:00:00", "id_stay": "4",
+                            "id_room": "6", "id_staff": "2"}) + "\n")
+    run(spark, ["apply", "transfer", "--snapshot", f"{root}/v1", "--requests", req_dir, "--out", f"{root}/v2"])
+    v2 = read_snapshot(spark, f"{root}/v2")
+    assert v2.stay.filter("id_stay = 4").collect()[0].id_room == 9
+    assert rows(spark.read.parquet(f"{root}/v2/_rejects"), "request_id", "reason") == [(2, "service mismatch")]
