@@ -12,6 +12,7 @@ kept); nothing is collected on the driver.
 from __future__ import annotations
 
 import argparse
+import datetime
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,6 +92,12 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         s.add_argument("--strict", action="store_true")
         s.add_argument("--own-only", action="store_true")
     args = p.parse_args(argv)
+    # "now" of the job: fixed once, so every task of the batch sees the same value
+    started = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
+    if getattr(args, "batch_ts", "x") is None:
+        args.batch_ts = started.strftime("%Y-%m-%d %H:%M:%S")
+    if getattr(args, "as_of", "x") is None:
+        args.as_of = started.strftime("%Y-%m-%d")
 
     if args.mode == "registered":
         from .plans import catalog
