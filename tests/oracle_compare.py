@@ -98,7 +98,7 @@ if __name__ == "__main__":
     from wardlake.session import get_session
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or None
-    spark = get_session("local[8]", 8)
+    spark = get_session("local[8]", 8, extra={"spark.driver.memory": "12g"})
     res = compare(spark, sf, names)
     bad = [k for k, v in res.items() if v.get("oracle_rows") is not None and not v.get("values_ok")]
     print("FAILED:", bad if bad else "none", f"({len(res)} queries)")

@@ -50,7 +50,7 @@ def test_admin_overview_order_and_values(seed):
 
 
 def test_service_census(seed):
-    out = reads.service_census(seed, staff=[1, 2, 3]).collect()
+    out = reads.service_census(seed, staff=[1, 2, 3], per_staff=True).collect()
     by = {}
     for r in out:
         by.setdefault(r.id_staff, []).append((r.full_name, r.id_stay, r.room_no, r.latest_state))
@@ -74,7 +74,9 @@ def test_search(seed):
 
 def test_free_rooms(seed):
     assert rows(reads.free_rooms(seed), "id_service", "id_room") == [(1, 11), (2, 9), (3, 6), (4, 7)]
-    assert rows(reads.free_rooms_for_staff(seed, [1, 2, 3]), "id_staff", "id_room") == [(2, 9), (3, 6)]
+    assert rows(reads.free_rooms_for_staff(seed, [1, 2, 3], per_staff=True), "id_staff", "id_room") == [(2, 9), (3, 6)]
+    assert rows(reads.free_rooms_for_staff(seed, [1, 2, 3]), "id_service", "id_room") == [(2, 9), (3, 6)]
+    assert rows(reads.service_census(seed, staff=[2, 2, 1]), "id_service", "id_stay") == [(2, 4), (2, 7)]
 
 
 def test_prescriptions_and_summary(seed):

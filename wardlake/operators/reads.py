@@ -148,33 +148,40 @@ def _nurse_services(t: Tables) -> DataFrame:
     return t.staff.filter((F.col("role") == "nurse") & F.col("id_service").isNotNull()).select("id_service")
 
 
-def service_census(t: Tables, staff=None, ordered: bool = True) -> DataFrame:
+def service_census(t: Tables, staff=None, ordered: bool = True, per_staff: bool = False) -> DataFrame:
     """Patients now in a bed, with the newest health state of the stay.
 
-    Without ``staff``: one row per active stay with a bed, keyed by service,
-    for every service that has a nurse.  With ``staff`` (ids or a DataFrame
-    of ``id_staff``): the census of each named nurse's service, one row per
-    (nurse, stay).  Ordered by entry time, newest first."""
+    One row per active stay with a bed, keyed by service, for every service
+    that has a nurse.  With ``staff`` (ids or a DataFrame of ``id_staff``):
+    only the services of those nurses, still one row per stay, so many
+    nurses of one service never multiply its census.  ``per_staff=True``
+    repeats the rows once per asking nurse (``id_staff`` first), the shape
+    of a single nurse's answer; its size is nurses x census, so use it for a
+    bounded set of nurses.  Ordered by entry time, newest first."""
     active = t.stay.filter(F.col("date_out").isNull() & F.col("id_room").isNotNull())
     beds = beds_in_service(t)
     state = (newest_observation(t, stays=active.select("id_stay"))
              .select("id_stay", F.col("state").alias("latest_state")))
+    services = _nurse_services(t)
+    nurses = None
+    if staff is not None:
+        nurses = (_keys_df(t.staff, "id_staff", staff)
+                  .filter((F.col("role") == "nurse") & F.col("id_service").isNotNull())
+                  .select("id_staff", "id_service"))
+        services = nurses.select("id_service")
     census = (active.join(beds.select("id_room", "room_no", "bed_no", "id_service", "service_name"),
                           on="id_room", how="inner")
-                    .join(_nurse_services(t), on="id_service", how="left_semi")
+                    .join(services, on="id_service", how="left_semi")
                     .join(t.patient.select(*PATIENT_COLS), on="id_patient", how="inner")
                     .join(state, on="id_stay", how="left"))
     cols = ["id_service", "service_name", *PATIENT_COLS, "id_stay", "date_in", "date_out",
             "id_room", "room_no", "bed_no", "latest_state"]
-    if staff is not None:
-        nurses = (_keys_df(t.staff, "id_staff", staff)
-                  .filter((F.col("role") == "nurse") & F.col("id_service").isNotNull())
-                  .select("id_staff", "id_service"))
+    first = "id_service"
+    if nurses is not None and per_staff:
         census = nurses.join(census, on="id_service", how="inner")
-        cols = ["id_staff", *cols]
+        cols, first = ["id_staff", *cols], "id_staff"
     out = census.select(*cols)
     if ordered:
-        first = "id_staff" if staff is not None else "id_service"
         out = out.orderBy(F.col(first), F.col("date_in").desc(), F.col("id_stay"))
     return out
 
@@ -249,12 +256,16 @@ def free_rooms(t: Tables, services=None) -> DataFrame:
                 .select("id_room", "room_no", "bed_no", "available", "id_service"))
 
 
-def free_rooms_for_staff(t: Tables, staff) -> DataFrame:
-    """Available beds of each named staff member's service.  Unknown staff or
-    staff without a service get no rows; the role is not checked."""
+def free_rooms_for_staff(t: Tables, staff, per_staff: bool = False) -> DataFrame:
+    """Available beds of the named staff members' services (the role is not
+    checked; unknown staff or staff without a service add nothing).  One row
+    per bed; ``per_staff=True`` repeats it per asking staff member
+    (``id_staff`` first), for a bounded set of staff."""
     who = _keys_df(t.staff, "id_staff", staff).select("id_staff", "id_service")
-    return (who.join(free_rooms(t), on="id_service", how="inner")
-               .select("id_staff", "id_room", "room_no", "bed_no", "available"))
+    if per_staff:
+        return (who.join(free_rooms(t), on="id_service", how="inner")
+                   .select("id_staff", "id_room", "room_no", "bed_no", "available"))
+    return free_rooms(t).join(who.select("id_service"), on="id_service", how="left_semi")
 
 
 # ---------------------------------------------------------------- Q9, Q10

@@ -144,16 +144,13 @@ def q_search_patients_name(spark, sf_dir):
     return reads.search_patients(standin_tables(spark, sf_dir), SEARCH_TERM_NAME)
 
 
-@register("service_census_for_staff", with_standin(f"""
-WITH {_NEWEST_OBS}
-SELECT st.id_staff, r.id_service, sv.name AS service_name, {_P}, s.id_stay, s.date_in, s.date_out,
-       s.id_room, r.room_no, r.bed_no, o.state AS latest_state
-FROM staff st JOIN room r ON r.id_service = st.id_service
-JOIN stay s ON s.id_room = r.id_room JOIN service sv ON sv.id_service = r.id_service
-JOIN patient p ON p.id_patient = s.id_patient LEFT JOIN newest_obs o ON o.id_stay = s.id_stay
-WHERE s.date_out IS NULL AND st.role = 'nurse'
-  AND st.id_staff IN (SELECT user_id FROM events WHERE event_type = 'purchase')"""))
+@register("service_census_for_staff", with_standin(_CENSUS_SQL.replace(
+    "ns AS (SELECT DISTINCT id_service FROM staff WHERE role = 'nurse' AND id_service IS NOT NULL)",
+    """ns AS (SELECT DISTINCT id_service FROM staff WHERE role = 'nurse' AND id_service IS NOT NULL
+               AND id_staff IN (SELECT user_id FROM events WHERE event_type = 'purchase'))""")))
 def q_service_census_for_staff(spark, sf_dir):
+    """The census of the services of the nurses named in the requests: one
+    row per stay, however many nurses of a service ask."""
     asked = _events(spark, sf_dir, "purchase").select(F.col("user_id").alias("id_staff"))
     return reads.service_census(standin_tables(spark, sf_dir), staff=asked, ordered=False)
 
@@ -166,9 +163,9 @@ def q_free_rooms(spark, sf_dir):
 
 
 @register("free_rooms_for_staff", with_standin("""
-SELECT st.id_staff, r.id_room, r.room_no, r.bed_no, r.available
-FROM staff st JOIN room r ON r.id_service = st.id_service
-WHERE r.available AND st.id_staff IN (SELECT user_id FROM events WHERE event_type = 'view')"""))
+SELECT r.id_room, r.room_no, r.bed_no, r.available, r.id_service FROM room r
+WHERE r.available AND r.id_service IN (
+  SELECT id_service FROM staff WHERE id_staff IN (SELECT user_id FROM events WHERE event_type = 'view'))"""))
 def q_free_rooms_for_staff(spark, sf_dir):
     asked = _events(spark, sf_dir, "view").select(F.col("user_id").alias("id_staff"))
     return reads.free_rooms_for_staff(standin_tables(spark, sf_dir), asked)
