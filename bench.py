@@ -34,8 +34,11 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
+    extra = {"spark.driver.memory": os.environ.get("BENCH_MEM", "8g")}
+    if os.environ.get("BENCH_EVENTLOG"):  # stage and task times, read offline from a scratch folder
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENTLOG"]})
     spark = get_session(f"local[{cpus}]", shuffle_partitions=max(cpus * 2, 8), app_name="wardlake-bench",
-                        extra={"spark.driver.memory": os.environ.get("BENCH_MEM", "8g")})
+                        extra=extra)
     times = {}
     for key, name in HEADLINE.items():
         fn = catalog.QUERIES[name]

@@ -87,3 +87,10 @@ def save_catalog_snapshot(tables: Tables, database: str, buckets: int, location:
 
 def read_catalog_snapshot(spark: SparkSession, database: str, **ties) -> Tables:
     return Tables(**{n: spark.table(f"{database}.{n}") for n in TABLE_NAMES}, **ties)
+
+
+def append_rows(df: DataFrame, root: str, name: str) -> None:
+    """Append checked rows to one table of a snapshot folder (the insert
+    path: run the constraint checks first, append only the good rows)."""
+    target = schemas.TABLE_SCHEMAS[name]
+    df.select(*[df[f.name].cast(f.dataType) for f in target.fields]).write.mode("append").parquet(f"{root}/{name}")
