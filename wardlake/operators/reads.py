@@ -37,18 +37,30 @@ def _keys_df(t_df: DataFrame, col: str, keys) -> DataFrame:
     return t_df.filter(F.col(col).isin(list(keys)))
 
 
+def _service_names(t: Tables) -> DataFrame:
+    return t.service.select("id_service", F.col("name").alias("service_name"))
+
+
+def with_bed_and_service(df: DataFrame, t: Tables, bed_cols: list[str], how: str = "left") -> DataFrame:
+    """Join ``df`` (with ``id_room``) to its bed and then to the bed's
+    service.  Two joins against the base tables, not one against a
+    pre-joined view: each side keeps its own size estimate, so a small
+    table is broadcast by the static plan and a large one is not."""
+    cols = ["id_room", *[c for c in bed_cols if c != "id_room"]]
+    if "id_service" not in cols:
+        cols.append("id_service")
+    return (df.join(t.room.select(*cols), on="id_room", how=how)
+              .join(_service_names(t), on="id_service", how=how))
+
+
 def beds_with_service(t: Tables) -> DataFrame:
     """Beds with their service name (Q13 plus the name)."""
-    services = t.service.select("id_service", F.col("name").alias("service_name"))
-    return (t.room.select("id_room", "room_no", "bed_no", "available", "id_service")
-                  .join(services, on="id_service", how="left"))
+    return with_bed_and_service(t.room.select("id_room"), t, ["room_no", "bed_no", "available"])
 
 
 def beds_in_service(t: Tables) -> DataFrame:
     """Beds whose service exists (inner join), with the service name."""
-    services = t.service.select("id_service", F.col("name").alias("service_name"))
-    return (t.room.select("id_room", "room_no", "bed_no", "available", "id_service")
-                  .join(services, on="id_service", how="inner"))
+    return with_bed_and_service(t.room.select("id_room"), t, ["room_no", "bed_no", "available"], how="inner")
 
 
 def newest_observation(t: Tables, with_nurse: bool = False, stays: DataFrame | None = None) -> DataFrame:
@@ -79,9 +91,7 @@ def roster(t: Tables, active_only: bool = False) -> DataFrame:
     stays = t.stay.filter(F.col("id_room").isNotNull())
     if active_only:
         stays = stays.filter(F.col("date_out").isNull())
-    beds = beds_in_service(t)
-    return (stays.select("id_stay", "id_patient", "id_room")
-                 .join(beds.select("id_room", "service_name"), on="id_room", how="inner")
+    return (with_bed_and_service(stays.select("id_stay", "id_patient", "id_room"), t, [], how="inner")
                  .join(t.patient.select("id_patient", "full_name", "sex"), on="id_patient", how="inner")
                  .select("id_stay", "id_patient", "full_name", "sex", "service_name"))
 
@@ -93,9 +103,7 @@ def patient_card(t: Tables, as_of, patients=None) -> DataFrame:
     patient = _keys_df(t.patient, "id_patient", patients)
     stays = _keys_df(t.stay, "id_patient", patients)
     last = latest_per_key(stays, ["id_patient"], ["id_stay"], ["date_in", "date_out", "id_room"])
-    beds = beds_with_service(t).select("id_room", "room_no", "service_name", "id_service")
-    return (patient.join(last, on="id_patient", how="left")
-                   .join(beds, on="id_room", how="left")
+    return (with_bed_and_service(patient.join(last, on="id_patient", how="left"), t, ["room_no"])
                    .select(*[c for c in PATIENT_COLS if c != "birth_date"],
                            day_text("birth_date").alias("birth_date"),
                            "id_stay", day_text("date_in").alias("date_in"), "date_out", "id_room",
@@ -117,9 +125,7 @@ def patient_detail(t: Tables, as_of, patients=None) -> DataFrame:
     pick = latest_per_key(stay_obs, ["id_patient"],
                           ["observed_at", *t.obs_ties, "date_in", "id_stay"],
                           ["date_out", "id_room", *payload])
-    beds = beds_with_service(t).select("id_room", "room_no", "service_name")
-    return (patient.join(pick, on="id_patient", how="left")
-                   .join(beds, on="id_room", how="left")
+    return (with_bed_and_service(patient.join(pick, on="id_patient", how="left"), t, ["room_no"])
                    .select(*[c for c in PATIENT_COLS if c != "birth_date"],
                            day_text("birth_date").alias("birth_date"),
                            "id_stay", "date_in", "date_out", "room_no", "service_name",
@@ -132,9 +138,7 @@ def admin_overview(t: Tables, as_of, ordered: bool = True) -> DataFrame:
     """Every patient with the newest stay (by entry time, then id), its bed,
     service and the age; ordered by name (case and accents ignored)."""
     last = latest_per_key(t.stay, ["id_patient"], ["date_in", "id_stay"], ["date_out", "id_room"])
-    beds = beds_with_service(t).select("id_room", "room_no", "bed_no", "id_service", "service_name")
-    out = (t.patient.join(last, on="id_patient", how="left")
-                    .join(beds, on="id_room", how="left")
+    out = (with_bed_and_service(t.patient.join(last, on="id_patient", how="left"), t, ["room_no", "bed_no"])
                     .select(*PATIENT_COLS, "id_stay", "date_in", "date_out", "id_room", "room_no",
                             "bed_no", "id_service", "service_name",
                             age_years("birth_date", as_of).alias("age")))
@@ -159,7 +163,6 @@ def service_census(t: Tables, staff=None, ordered: bool = True, per_staff: bool
     of a single nurse's answer; its size is nurses x census, so use it for a
     bounded set of nurses.  Ordered by entry time, newest first."""
     active = t.stay.filter(F.col("date_out").isNull() & F.col("id_room").isNotNull())
-    beds = beds_in_service(t)
     state = (newest_observation(t, stays=active.select("id_stay"))
              .select("id_stay", F.col("state").alias("latest_state")))
     services = _nurse_services(t)
@@ -169,8 +172,7 @@ def service_census(t: Tables, staff=None, ordered: bool = True, per_staff: bool
                   .filter((F.col("role") == "nurse") & F.col("id_service").isNotNull())
                   .select("id_staff", "id_service"))
         services = nurses.select("id_service")
-    census = (active.join(beds.select("id_room", "room_no", "bed_no", "id_service", "service_name"),
-                          on="id_room", how="inner")
+    census = (with_bed_and_service(active, t, ["room_no", "bed_no"], how="inner")
                     .join(services, on="id_service", how="left_semi")
                     .join(t.patient.select(*PATIENT_COLS), on="id_patient", how="inner")
                     .join(state, on="id_stay", how="left"))
