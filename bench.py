@@ -37,7 +37,8 @@ def main() -> None:
     extra = {"spark.driver.memory": os.environ.get("BENCH_MEM", "8g")}
     if os.environ.get("BENCH_EVENTLOG"):  # stage and task times, read offline from a scratch folder
         extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENTLOG"]})
-    spark = get_session(f"local[{cpus}]", shuffle_partitions=max(cpus * 2, 8), app_name="wardlake-bench",
+    shuffle = int(os.environ.get("BENCH_SHUFFLE", str(max(cpus * 2, 8))))
+    spark = get_session(f"local[{cpus}]", shuffle_partitions=shuffle, app_name="wardlake-bench",
                         extra=extra)
     times = {}
     for key, name in HEADLINE.items():
