@@ -36,6 +36,15 @@ class Tables:
     def as_dict(self) -> dict[str, DataFrame]:
         return {n: getattr(self, n) for n in TABLE_NAMES}
 
+    def checkpoint(self, names: tuple = TABLE_NAMES) -> "Tables":
+        """Cut the lineage of the named tables (reliable checkpoint in the
+        cluster's checkpoint folder).  Each change batch's output refers to
+        its input tables several times, so chaining batches without cutting
+        lineage (or writing a snapshot) makes the plan grow with every step."""
+        from ..session import checkpoint_dir
+        checkpoint_dir(self.stay.sparkSession)
+        return self.replace(**{n: getattr(self, n).checkpoint(eager=True) for n in names})
+
 
 def read_snapshot(spark: SparkSession, root: str) -> Tables:
     """Read every table with its declared schema (never inferred)."""
