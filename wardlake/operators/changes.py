@@ -47,20 +47,31 @@ def _reason(*pairs: tuple[Column, str]) -> Column:
     return F.coalesce(*[F.when(bad, F.lit(r)) for bad, r in pairs])
 
 
+def _named(t_df: DataFrame, t_col: str, df: DataFrame, col: str) -> DataFrame:
+    """The rows of a (large) table whose key the batch names.  A semi join
+    whose build side is the batch's distinct keys: with a small batch the
+    table is streamed past a broadcast key set instead of being shuffled, so
+    the lookup work follows the batch size, not the table size."""
+    asked = df.select(F.col(col).alias(t_col)).where(F.col(t_col).isNotNull()).distinct()
+    return t_df.join(asked, on=t_col, how="left_semi")
+
+
 def _exists(df: DataFrame, t_df: DataFrame, col: str, t_col: str, flag: str) -> DataFrame:
     """Flag whether ``col`` names a row of ``t_df``: a correlated EXISTS,
     planned as an existence join (no DISTINCT over the key column, and a
-    duplicated key can never duplicate a request)."""
+    duplicated key can never duplicate a request), against only the rows
+    the batch names."""
     probe = f"_probe{flag}"  # a name only the outer side has, so the reference cannot bind inside
-    keys = t_df.select(F.col(t_col).alias(f"_key{flag}"))
+    keys = _named(t_df.select(t_col), t_col, df, col).select(F.col(t_col).alias(f"_key{flag}"))
     return (df.withColumn(probe, F.col(col))
               .withColumn(flag, keys.where(F.col(f"_key{flag}") == F.col(probe).outer()).exists())
               .drop(probe))
 
 
 def _with_bed(df: DataFrame, t: Tables, col: str = "bed") -> DataFrame:
-    beds = t.room.select(F.col("id_room").alias(col), F.col("id_service").alias(col + "_service"),
-                         F.col("available").alias(col + "_free"), F.lit(True).alias(col + "_exists"))
+    named = _named(t.room, "id_room", df, col)
+    beds = named.select(F.col("id_room").alias(col), F.col("id_service").alias(col + "_service"),
+                        F.col("available").alias(col + "_free"), F.lit(True).alias(col + "_exists"))
     return (df.join(beds, on=col, how="left")
               .withColumn(col + "_exists", F.coalesce(F.col(col + "_exists"), F.lit(False)))
               .withColumn(col + "_free", F.coalesce(F.col(col + "_free"), F.lit(False))))
@@ -192,10 +203,11 @@ def transfer(t: Tables, requests: DataFrame, lenient: bool = False) -> ChangeRes
     new bed to be free, unless it is the stay's own bed (a no-op)."""
     r = requests.select(*ORDER, X.to_long("id_stay").alias("id_stay"), X.to_long("id_room").alias("bed"),
                         X.to_long("id_staff").alias("id_staff"), F.col("id_room").alias("_bed_text"))
-    staff = t.staff.select("id_staff", F.col("id_service").alias("staff_service"))
+    staff = _named(t.staff, "id_staff", r, "id_staff").select("id_staff", F.col("id_service").alias("staff_service"))
     r = r.join(staff, on="id_staff", how="left")
     r = _with_bed(r, t)
-    cur = t.stay.select("id_stay", F.col("id_room").alias("old_bed"), F.lit(True).alias("_stay"))
+    cur = _named(t.stay, "id_stay", r, "id_stay").select(
+        "id_stay", F.col("id_room").alias("old_bed"), F.lit(True).alias("_stay"))
     r = r.join(cur, on="id_stay", how="left").withColumn("_stay", F.coalesce(F.col("_stay"), F.lit(False)))
     same = F.coalesce(F.col("old_bed") == F.col("bed"), F.lit(False))
     checked = r.withColumn("reason", _reason(
@@ -223,8 +235,8 @@ def discharge(t: Tables, requests: DataFrame, batch_ts: str, lenient: bool = Fal
     instead (the source system's behaviour) and allows ended stays."""
     r = requests.select(*ORDER, X.to_long("id_stay").alias("id_stay"), F.col("id_room").alias("_bed_text"),
                         X.parse_timestamp("date_out", batch_ts).alias("new_out"))
-    cur = t.stay.select("id_stay", F.col("id_room").alias("old_bed"), F.col("date_out").alias("old_out"),
-                        F.lit(True).alias("_stay"))
+    cur = _named(t.stay, "id_stay", r, "id_stay").select(
+        "id_stay", F.col("id_room").alias("old_bed"), F.col("date_out").alias("old_out"), F.lit(True).alias("_stay"))
     r = r.join(cur, on="id_stay", how="left").withColumn("_stay", F.coalesce(F.col("_stay"), F.lit(False)))
     checked = r.withColumn("reason", _reason(
         (X.is_empty("id_stay"), "invalid: id_stay"),
@@ -279,7 +291,7 @@ def apply_status(t: Tables, requests: DataFrame, batch_ts: str, lenient: bool =
 def discharge_by_patient(t: Tables, requests: DataFrame, batch_ts: str) -> ChangeResult:
     """End the newest active stay of each named patient and free its bed."""
     r = requests.withColumn("id_patient", X.to_long("id_patient"))
-    cur = current_stay(t).select("id_patient", "id_stay", "id_room")
+    cur = current_stay(t, patients=r.select("id_patient")).select("id_patient", "id_stay", "id_room")
     r = r.join(cur, on="id_patient", how="left")
     none = r.filter(F.col("id_stay").isNull()).select("request_id", F.lit("no active stay").alias("reason"))
     asked = r.filter(F.col("id_stay").isNotNull()).select(
@@ -297,7 +309,8 @@ def update_patient(t: Tables, requests: DataFrame, batch_ts: str) -> ChangeResul
     r = requests.withColumn("id_patient", X.to_long("id_patient")).withColumn("bed", X.to_long("id_room"))
     r = _exists(r, t.patient, "id_patient", "id_patient", "_pat")
     r = _with_bed(r, t)
-    cur = current_stay(t).select("id_patient", F.col("id_stay").alias("cur_stay"), F.col("id_room").alias("old_bed"))
+    cur = (current_stay(t, patients=r.select("id_patient"))
+           .select("id_patient", F.col("id_stay").alias("cur_stay"), F.col("id_room").alias("old_bed")))
     r = r.join(cur, on="id_patient", how="left")
     wants_bed = ~X.is_empty("id_room")
     same = F.coalesce(F.col("old_bed") == F.col("bed"), F.lit(False))
@@ -429,7 +442,8 @@ def amend_observations(t: Tables, requests: DataFrame, own_only: bool = False) -
         X.to_int("spo2").alias("spo2"), X.to_decimal("glucose", 3, 1).alias("glucose"),
         X.to_decimal("weight", 5, 2).alias("weight"), X.to_decimal("height", 4, 2).alias("height"),
         X.parse_timestamp("observed_at", F.lit(None).cast("timestamp_ntz")).alias("observed_at"))
-    owner = t.observation.select("id_obs", F.col("id_nurse").alias("_owner"), F.lit(True).alias("_found"))
+    owner = _named(t.observation, "id_obs", r, "id_obs").select(
+        "id_obs", F.col("id_nurse").alias("_owner"), F.lit(True).alias("_found"))
     r = r.join(owner, on="id_obs", how="left")
     found = F.coalesce(F.col("_found"), F.lit(False))
     if own_only:
