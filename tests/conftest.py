@@ -89,7 +89,7 @@ OBSERVATIONS = [
 @pytest.fixture(scope="session")
 def spark():
     from wardlake.session import get_session
-    s = get_session("local[4]", 4, app_name="wardlake-tests")
+    s = get_session("local[4]", 4, app_name="wardlake-tests", extra={"spark.driver.memory": "6g"})
     if not s.sparkContext.getCheckpointDir():
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wardlake-test-ckpt-", dir="/tmp"))
     yield s
