@@ -114,3 +114,68 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         state = tuple(now)
     return e.selectExpr("u node", "v component").unionByName(
         e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node")))
+
+
+# --- blocks of whole texts -------------------------------------------------------------------
+
+BLOCK_BYTES = 4 << 20  # text in a block, about; one task works on one block at a time
+FLUSH_BYTES = 32 << 20  # text a map task gathers before it deals it out to blocks
+
+
+def block_count(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES) -> int:
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(1, -(-total // block_bytes))
+
+
+def blocked(df: DataFrame, n_blocks: int, once: str | None = None) -> DataFrame:
+    """Deal the rows of ``df`` out to blocks by its long column ``h`` (a hash of the row): rows
+    (blk, blob), a blob being compressed Arrow data of several rows. Texts so cross the shuffle
+    compressed and in a few large rows. ``once``: a key column of which each task passes on only
+    the first row, so a text copied very often reaches its block once from each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            blk = np.mod(whole.column("h").to_numpy(), n_blocks)
+            order = np.argsort(blk, kind="stable")
+            cuts = np.flatnonzero(np.diff(blk[order])) + 1
+            data = whole.drop_columns(["h"])
+            for part in np.split(order, cuts):
+                if len(part):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([int(blk[part[0]])], pa.int64()), pa.array([to_blob(data.take(part))], pa.binary())],
+                        ["blk", "blob"])
+
+        for batch in batches:
+            if once:
+                fresh = []
+                for key in batch.column(batch.schema.get_field_index(once)).to_pylist():
+                    fresh.append(key not in seen)
+                    seen.add(key)
+                batch = batch.filter(pa.array(fresh, pa.bool_()))
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= FLUSH_BYTES:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
+
+    return df.mapInArrow(run, "blk bigint, blob binary")
+
+
+def to_blob(data: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, data.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(data)
+    return sink.getvalue().to_pybytes()
+
+
+def from_blobs(blobs: pa.ChunkedArray) -> Iterator[pa.Table]:
+    for blob in blobs:
+        yield pa.ipc.open_stream(blob.as_buffer()).read_all()
