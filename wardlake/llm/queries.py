@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import bpe, licenses, nbsvm, ngram_join, packing, toxicity
+from wardlake.llm import bpe, licenses, nbsvm, ngram_join, packing, suffix_lm, toxicity
 from wardlake.llm.common import fold, ship, table
 
 
@@ -47,6 +47,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "array_join(expressions, '; ') expressions", "cast(size(spans) as bigint) n_spans")
 
 
+def op7_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return suffix_lm.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = table(spark, sf_dir, "documents")
@@ -78,6 +83,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_ngram_join": op4_ngram_join,
     "op5_license_scan": op5_license_scan,
+    "op7_suffix_tree_lm": op7_suffix_tree_lm,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
