@@ -6,10 +6,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import bpe, licenses, nbsvm, ngram_join, packing, suffix_lm, toxicity
+from wardlake.llm import bpe, licenses, nbsvm, ngram_join, packing, rp_forest, suffix_lm, toxicity
 from wardlake.llm.common import fold, ship, table
 
 
+def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return rp_forest.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id
+          WHERE list_cosine_similarity(x.e, y.e) >= 0.93),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT r.a AS vec_id, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(r.b)::BIGINT AS component_id, r.a = min(r.b) AS kept
+FROM reach r LEFT JOIN n ON n.a = r.a GROUP BY r.a
+"""
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     packed = packing.pack(table(spark, sf_dir, "documents"))
@@ -80,6 +99,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_rp_forest": op1_rp_forest,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_ngram_join": op4_ngram_join,
     "op5_license_scan": op5_license_scan,
@@ -89,4 +109,4 @@ QUERIES = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE: dict[str, str] = {"op4_ngram_join": OP4_SQL}
+ORACLE: dict[str, str] = {"op1_rp_forest": OP1_SQL, "op4_ngram_join": OP4_SQL}
