@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import bpe, licenses, nbsvm, ngram_join, packing, rp_forest, suffix_lm, toxicity
+from wardlake.llm import bpe, licenses, mih, nbsvm, ngram_join, packing, rp_forest, suffix_lm, toxicity
 from wardlake.llm.common import fold, ship, table
 
 
@@ -35,6 +35,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+def op3_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return mih.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -101,6 +106,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_rp_forest": op1_rp_forest,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_multi_index_hashing": op3_multi_index_hashing,
     "op4_ngram_join": op4_ngram_join,
     "op5_license_scan": op5_license_scan,
     "op7_suffix_tree_lm": op7_suffix_tree_lm,
