@@ -119,6 +119,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
 # --- blocks of whole texts -------------------------------------------------------------------
 
 BLOCK_BYTES = 4 << 20  # text in a block, about; one task works on one block at a time
+HASH = "__row_hash"
 FLUSH_BYTES = 32 << 20  # text a map task gathers before it deals it out to blocks
 
 
@@ -128,7 +129,7 @@ def block_count(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES)
 
 
 def blocked(df: DataFrame, n_blocks: int, once: str | None = None) -> DataFrame:
-    """Deal the rows of ``df`` out to blocks by its long column ``h`` (a hash of the row): rows
+    """Deal the rows of ``df`` out to blocks by its long column ``HASH`` (a hash of the row): rows
     (blk, blob), a blob being compressed Arrow data of several rows. Texts so cross the shuffle
     compressed and in a few large rows. ``once``: a key column of which each task passes on only
     the first row, so a text copied very often reaches its block once from each task."""
@@ -140,10 +141,10 @@ def blocked(df: DataFrame, n_blocks: int, once: str | None = None) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             whole = pa.Table.from_batches(held).combine_chunks()
-            blk = np.mod(whole.column("h").to_numpy(), n_blocks)
+            blk = np.mod(whole.column(HASH).to_numpy(), n_blocks)
             order = np.argsort(blk, kind="stable")
             cuts = np.flatnonzero(np.diff(blk[order])) + 1
-            data = whole.drop_columns(["h"])
+            data = whole.drop_columns([HASH])
             for part in np.split(order, cuts):
                 if len(part):
                     yield pa.RecordBatch.from_arrays(

@@ -28,8 +28,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from wardlake.llm.common import (WordHash, ascii_lower_words, block_count, blocked, components, from_blobs, hashes, keep)
+from wardlake.llm.common import (HASH, WordHash, ascii_lower_words, block_count, blocked, components, from_blobs, hashes,
+                                 keep)
 
 WORDS = 4
 PERCENT = 85
@@ -207,7 +209,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, id_
     base = base.withColumn("dig", F.unhex(F.md5("text")))
     n_blocks = block_count(base, "text")
     bits = max(1, (n_blocks - 1).bit_length())
-    texts_ = blocked(base.select(F.xxhash64("dig").alias("h"), "dig", "text"), n_blocks, once="dig")
+    texts_ = blocked(base.select(F.xxhash64("dig").alias(HASH), "dig", "text"), n_blocks, once="dig")
     counted = (texts_.groupBy("blk").applyInArrow(_send(k, bits), "bucket bigint, blk bigint, fps binary")
                .groupBy("bucket").applyInArrow(_count, "blk bigint, bucket bigint, fps binary, dfs binary"))
     found = texts_.groupBy("blk").cogroup(counted.groupBy("blk")).applyInArrow(_prefixes(k, bits, percent), CLASS)
@@ -221,3 +223,30 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, id_
     known = known.join(small, "c", "left").select("dig", "n", "m")
     return (base.select("id", "dig").join(known, "dig")
             .select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("m")).otherwise(F.col("id")).alias("component_id")))
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, of which each group of linked documents keeps the one with
+    the smallest id. Of rows that repeat an id one stays; rows with a null id, and documents
+    without words, all stay."""
+    kept = near_duplicates(docs, percent, k, id_col, text_col).where("id = component_id").select("id").distinct()
+    n_blocks = block_count(docs, text_col)
+    at = docs.columns.index(id_col)
+    named = docs.where(F.col(id_col).isNotNull()).withColumn(HASH, F.xxhash64(F.col(id_col).cast("bigint")))
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        stay = set(right.column("id").to_pylist())
+        parts = []
+        for t in from_blobs(left.column("blob")):
+            mask = []
+            for i in t.column(at).to_pylist():
+                mask.append(i in stay)
+                stay.discard(i)
+            parts.append(t.filter(pa.array(mask, pa.bool_())))
+        return pa.concat_tables(parts) if parts else empty
+
+    schema = docs.schema
+    empty = pa.Table.from_batches([], to_arrow_schema(schema))
+    one = (blocked(named, n_blocks, once=id_col).groupBy("blk")
+           .cogroup(kept.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(n_blocks))).groupBy("blk")).applyInArrow(run, schema))
+    return one.unionByName(docs.where(F.col(id_col).isNull()))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import bpe, licenses, mih, nbsvm, ngram_join, packing, rp_forest, suffix_lm, toxicity
+from wardlake.llm import bpe, html_main, licenses, mih, nbsvm, ngram_join, packing, rp_forest, suffix_lm, toxicity
 from wardlake.llm.common import fold, ship, table
 
 
@@ -71,6 +71,13 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "array_join(expressions, '; ') expressions", "cast(size(spans) as bigint) n_spans")
 
 
+def op6_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    pages = table(spark, sf_dir, "pages")
+    return html_main.extract(pages, html_main.fit(pages)).select(
+        F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("bigint").alias("n_chars"), "n_blocks")
+
+
 def op7_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return suffix_lm.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -109,6 +116,7 @@ QUERIES = {
     "op3_multi_index_hashing": op3_multi_index_hashing,
     "op4_ngram_join": op4_ngram_join,
     "op5_license_scan": op5_license_scan,
+    "op6_html_main": op6_html_main,
     "op7_suffix_tree_lm": op7_suffix_tree_lm,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlake.llm.common import WordHash, ascii_lower_words, block_count, blocked, fold, from_blobs, hashes, keep, texts
+from wardlake.llm.common import HASH, WordHash, ascii_lower_words, block_count, blocked, fold, from_blobs, hashes, keep, texts
 
 DEPTH = 5
 P_MIN = 1e-5
@@ -288,7 +288,7 @@ def score(docs: DataFrame, held_out_fold: int = 1, id_col: str = "doc_id", text_
     tree = spark.sparkContext.broadcast(fit_tree(base.where(learn), depth, p_min))  # bounded by p_min
     n_ends = base.where(learn).count()
 
-    texts_ = blocked(base.withColumn("h", F.xxhash64("id", "text")).withColumn("learn", learn), n_blocks)
+    texts_ = blocked(base.withColumn(HASH, F.xxhash64("id", "text")).withColumn("learn", learn), n_blocks)
     totals = (texts_.groupBy("blk").applyInArrow(_send(bits), "bucket bigint, blk bigint, words binary, counts binary")
               .groupBy("bucket").applyInArrow(_count, "blk bigint, bucket bigint, totals binary, figures struct<known:bigint,tokens:bigint>"))
     totals = keep(totals, "words")
