@@ -8,9 +8,13 @@
    only can't match and are left out; most classes end here.
 4. Classes with the same size and prefix form one group. Groups that share a prefix shingle are
    candidates if their sizes and the positions of the shingle allow the threshold.
-5. Verification counts common shingles. First each group's members are compared with the group's
-   head, and the heads that share a shingle with two of them (a star, not all pairs); what then
-   is one component needs no more comparing. What isn't yet in a shingle's main component is
+   A signature of 512 bits, the parity of the shingles by hash, bounds the common shingles from
+   above (two sets differ in at least as many shingles as their signatures in bits) and drops
+   most of the rest.
+5. Verification counts common shingles. Each group's members are compared with the group's head,
+   and the groups of a prefix shingle with two of them (a star, not all pairs); what then is one
+   component needs no more comparing. Where a shingle still has several components, its members
+   are compared with a few more of them; and at last, what isn't in a shingle's main component is
    compared with every candidate of another component, so no link between components is missed.
 
 Shingles are 64-bit hashes; within a pair of texts two different shingles meet by chance less
@@ -35,6 +39,8 @@ from wardlake.llm.common import (HASH, WordHash, ascii_lower_words, block_count,
 
 WORDS = 4
 PERCENT = 85
+SIGNATURE = 8  # longs
+PIVOTS = 12  # members a shingle's others are compared with before the rest is compared in full
 
 _C = np.uint64(0xBF58476D1CE4E5B9)
 _S = np.uint64(29)
@@ -108,7 +114,7 @@ def _count(key: tuple, t: pa.Table) -> pa.Table:
                      "fps": pa.array(fps, pa.binary()), "dfs": pa.array(dfs, pa.binary())})
 
 
-CLASS = "dig binary, n bigint, gid binary, toks array<bigint>, pos array<int>, shared array<bigint>"
+CLASS = "dig binary, n bigint, gid binary, toks array<bigint>, pos array<int>, shared array<bigint>, sig array<bigint>"
 
 
 def _prefixes(k: int, bits: int, percent: int):
@@ -132,7 +138,7 @@ def _prefixes(k: int, bits: int, percent: int):
         h, df = h[order], df[order]
         starts = np.concatenate([[0], np.cumsum(n)])
         plen = prefix_length(n, percent)
-        gid, toks, pos, shared = [], [], [], []
+        gid, toks, pos, shared, sig = [], [], [], [], []
         for i in range(len(n)):
             a = starts[i]
             p = h[a:a + plen[i]] if n[i] else h[:0]
@@ -143,23 +149,39 @@ def _prefixes(k: int, bits: int, percent: int):
                 toks.append(p[hit].view(np.int64))
                 pos.append(hit.astype(np.int32))
                 shared.append(own[df[a:starts[i + 1]] > 1].view(np.int64))
+                odd = np.bincount((own & np.uint64(SIGNATURE * 64 - 1)).astype(np.int64), minlength=SIGNATURE * 64) & 1
+                sig.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             else:
-                gid.append(None)
-                toks.append(None)
-                pos.append(None)
-                shared.append(None)
+                for column in (gid, toks, pos, shared, sig):
+                    column.append(None)
         return pa.table({"dig": pa.array(digs, pa.binary()), "n": pa.array(n), "gid": pa.array(gid, pa.binary()),
                          "toks": pa.array(toks, pa.list_(pa.int64())), "pos": pa.array(pos, pa.list_(pa.int32())),
-                         "shared": pa.array(shared, pa.list_(pa.int64()))})
+                         "shared": pa.array(shared, pa.list_(pa.int64())), "sig": pa.array(sig, pa.list_(pa.int64()))})
 
     return run
 
 
+def _postings(sets: DataFrame) -> DataFrame:
+    """A row for each prefix shingle another class may have: (nid, n, s, sig, tok, p), s being how
+    many of the n shingles another class may have, p the shingle's place in the order."""
+    return sets.select("nid", "n", F.size("shared").alias("s"), "sig", F.explode(F.arrays_zip("toks", "pos")).alias("x")).select(
+        "nid", "n", "s", "sig", F.col("x.toks").alias("tok"), F.col("x.pos").alias("p"))
+
+
+def _marked(stats: DataFrame) -> DataFrame:
+    """The chosen members ``m`` of each shingle, as the second side of a star."""
+    stats = stats.select("tok", F.explode("m").alias("m")).where("m is not null")
+    return stats.select("tok", *[F.col(f"m.{c}").alias(f"{c}2") for c in ("nid", "n", "s", "p", "sig")])
+
+
 def _possible(percent: int) -> F.Column:
-    """Sizes n, n2 and places p, p2 of a common shingle in the two orders allow the threshold."""
+    """The sizes n, n2, the numbers s, s2 of shingles that can be common at all, and the places of a
+    common shingle allow the threshold: before it at most the smaller q can be common."""
     need = F.col("n") + F.col("n2")
-    most = F.least("p", "p2") + 1 + F.least(F.col("n") - F.col("p") - 1, F.col("n2") - F.col("p2") - 1)
-    return ((F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (most * (100 + percent) >= need * percent))
+    most = F.least("s", "s2", F.col("n") - F.col("p"), F.col("n2") - F.col("p2"))
+    apart = sum((F.bit_count(F.col("sig")[i].bitwiseXOR(F.col("sig2")[i])) for i in range(SIGNATURE)), F.lit(0))
+    return ((F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (most * (100 + percent) >= need * percent)
+            & ((need - apart) * (100 + percent) >= need * (2 * percent)))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -174,30 +196,43 @@ def links(classes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes that connect exactly what the threshold connects."""
     some = classes.where("gid is not null")
     sets = some.select("nid", "n", "shared")
-    groups = some.groupBy("gid").agg(F.min(F.struct("nid", "n", "toks", "pos")).alias("g")).select("gid", "g.*")
-    post = groups.select(F.col("nid").alias("a"), "n", F.explode(F.arrays_zip("toks", "pos")).alias("x")).select(
-        "a", "n", F.col("x.toks").alias("tok"), F.col("x.pos").alias("p"))
-    stats = post.groupBy("tok").agg(F.min(F.struct("a", "n", "p")).alias("lo"), F.max(F.struct("a", "n", "p")).alias("hi"))
-    stats = stats.where("lo.a <> hi.a").select("tok", F.explode(F.array("lo", "hi")).alias("m"))
-    stars = (post.join(stats.select("tok", F.col("m.a").alias("b"), F.col("m.n").alias("n2"), F.col("m.p").alias("p2")), "tok")
-             .where("a <> b").where(_possible(percent)).selectExpr("least(a, b) a", "greatest(a, b) b").distinct())
-    inside = some.select("gid", F.col("nid").alias("b")).join(groups.select("gid", F.col("nid").alias("a")), "gid").where("a <> b")
-    first = keep(_verify(stars.unionByName(inside.select("a", "b")), sets, percent), "stars")
-
-    label = components(first, "near1").withColumnRenamed("node", "nid")
-    post = (some.select("nid", "n", F.explode(F.arrays_zip("toks", "pos")).alias("x"))
-            .select("nid", "n", F.col("x.toks").alias("tok"), F.col("x.pos").alias("p"))
-            .join(label, "nid", "left").withColumn("c", F.coalesce("component", "nid")).drop("component"))
-    main = (post.groupBy("tok", "c").agg(F.count("*").alias("k")).groupBy("tok")
-            .agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("cs")).where("cs > 1")
-            .select("tok", F.col("m.c").alias("main")))
-    # tokens of one component need no comparing; of the others only what is outside the main one
-    open_ = keep(post.join(main, "tok"), "open")
-    rest = open_.where("c <> main").selectExpr("tok", "nid a", "n", "p", "c")
-    cross = (rest.join(open_.selectExpr("tok", "nid b", "n n2", "p p2", "c c2", "main"), "tok")
-             .where("c <> c2 and (c2 = main or a < b)").where(_possible(percent))
-             .selectExpr("least(a, b) a", "greatest(a, b) b").distinct())
-    return first.unionByName(_verify(cross, sets, percent))
+    mark = F.struct("nid", "n", "s", "p", "sig")
+    pair = ("least(nid, nid2) a", "greatest(nid, nid2) b")
+
+    groups = (some.groupBy("gid").agg(F.min(F.struct("nid", "n", "toks", "pos", "shared", "sig")).alias("g"))
+              .select("gid", "g.*"))
+    post = _postings(groups)
+    ends = post.groupBy("tok").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo.nid <> hi.nid")
+    stars = (post.join(_marked(ends.select("tok", F.array("lo", "hi").alias("m"))), "tok").where("nid <> nid2")
+             .where(_possible(percent)).selectExpr(*pair).distinct())
+    inside = (some.select("gid", F.col("nid").alias("b")).join(groups.select("gid", F.col("nid").alias("a")), "gid")
+              .where("a <> b").select("a", "b"))
+    found = keep(_verify(stars.unionByName(inside), sets, percent), "stars")
+
+    def still_open(found: DataFrame, name: str) -> DataFrame:
+        """Postings of the shingles with several components: ``c`` the component, ``main`` the
+        shingle's most frequent one."""
+        label = components(found, name).withColumnRenamed("node", "nid")
+        post = _postings(some).join(label, "nid", "left").withColumn("c", F.coalesce("component", "nid")).drop("component")
+        main = (post.groupBy("tok", "c").agg(F.count("*").alias("k")).groupBy("tok")
+                .agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("cs")).where("cs > 1")
+                .select("tok", F.col("m.c").alias("main")))
+        return keep(post.join(main, "tok"), name)
+
+    # a few members outside the main component, others for each shingle
+    open_ = still_open(found, "near1")
+    member = [F.struct(F.xxhash64(F.lit(i), "nid", "tok").alias("h"), mark.alias("m")) for i in range(PIVOTS // 2)]
+    picked = open_.where("c <> main").groupBy("tok").agg(*[f(m).alias(f"{f.__name__}{i}") for i, m in enumerate(member) for f in (F.min, F.max)])
+    picked = _marked(picked.select("tok", F.array_distinct(F.array(*[F.col(f"{f}{i}.m") for i in range(PIVOTS // 2) for f in ("min", "max")])).alias("m")))
+    more = (open_.join(picked, "tok").where("nid <> nid2").where(_possible(percent)).selectExpr(*pair).distinct())
+    found = keep(found.unionByName(_verify(more, sets, percent)), "more")
+
+    open_ = still_open(found, "near2")
+    rest = open_.where("c <> main").drop("main")
+    other = open_.selectExpr("tok", "nid nid2", "n n2", "s s2", "p p2", "sig sig2", "c c2", "main")
+    cross = (rest.join(other, "tok").where("c <> c2 and (c2 = main or nid < nid2)").where(_possible(percent))
+             .selectExpr(*pair).distinct())
+    return found.unionByName(_verify(cross, sets, percent))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, id_col: str = "doc_id",
@@ -214,7 +249,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, id_
                .groupBy("bucket").applyInArrow(_count, "blk bigint, bucket bigint, fps binary, dfs binary"))
     found = texts_.groupBy("blk").cogroup(counted.groupBy("blk")).applyInArrow(_prefixes(k, bits, percent), CLASS)
     classes = keep(found.withColumn("nid", F.monotonically_increasing_id()), "classes")
-    label = components(links(classes, percent), "near2").withColumnRenamed("node", "nid")
+    label = components(links(classes, percent), "near3").withColumnRenamed("node", "nid")
 
     ids = base.select("id", "dig").groupBy("dig").agg(F.min("id").alias("rep"))
     known = (classes.select("dig", "nid", "n").join(label, "nid", "left")
