@@ -219,10 +219,11 @@ def log10_tokens(tree: Tree, spelled: list[bytes], share: np.ndarray, weight: fl
 # --- word counts over blocks -----------------------------------------------------------------
 
 
-def _words(blobs: pa.ChunkedArray) -> Iterator[tuple[pa.Table, list[np.ndarray]]]:
+def _words(blobs: pa.ChunkedArray) -> tuple[pa.Table, list[np.ndarray]]:
+    """The rows of a block and each one's words."""
     memo = WordHash()
-    for t in from_blobs(blobs):
-        yield t, [hashes(memo, ascii_lower_words(x)) for x in t.column("text").to_pylist()]
+    t = pa.concat_tables(from_blobs(blobs))
+    return t, [hashes(memo, ascii_lower_words(x)) for x in t.column("text").to_pylist()]
 
 
 FIGURES = pa.struct([("known", pa.int64()), ("tokens", pa.int64())])
@@ -237,10 +238,8 @@ def _send(bits: int):
     occurs in texts outside the training only."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        every, learn = [], []
-        for data, words in _words(t.column("blob")):
-            every += words
-            learn += [w for w, yes in zip(words, data.column("learn").to_pylist()) if yes]
+        data, every = _words(t.column("blob"))
+        learn = [w for w, yes in zip(every, data.column("learn").to_pylist()) if yes]
         values = np.unique(np.concatenate(every))
         counts = np.zeros(len(values), np.int64)
         if learn:
@@ -299,29 +298,26 @@ def score(docs: DataFrame, held_out_fold: int = 1, id_col: str = "doc_id", text_
     floor = np.log10(n_all + 0.5 * (int(seen[0] or 0) + (n_ends > 0) + 1))
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        got = list(_words(left.column("blob")))
-        values = np.unique(np.concatenate([w for _, words in got for w in words]))
+        data, words = _words(left.column("blob"))
+        values = np.unique(np.concatenate(words))
         order = np.argsort(right.column("bucket").to_numpy())
         c = [np.frombuffer(right.column("totals")[int(i)].as_buffer(), "<i8") for i in order]
         c = np.concatenate(c) if c else np.zeros(0, np.int64)
         gain = np.log10(c + 0.5) - floor
         end = np.log10(n_ends + 0.5) - floor
-        parts = []
-        for data, words in got:
-            n = np.array([len(w) for w in words], np.int64)
-            doc = np.repeat(np.arange(len(n)), n)
-            at = np.searchsorted(values, np.concatenate(words))
-            known = np.bincount(doc, weights=c[at] > 0, minlength=len(n)).astype(np.int64) + int(n_ends > 0)
-            base_score = np.bincount(doc, weights=gain[at], minlength=len(n)) + end
-            # tokens: the words of a text, then its end
-            ends = np.cumsum(n + 1) - 1
-            share = np.full(len(doc) + len(n), n_ends / max(n_all, 1))
-            share[np.delete(np.arange(len(share)), ends)] = c[at] / max(n_all, 1)
-            by_token = log10_tokens(tree.value, [spell(x) for x in data.column("text").to_pylist()], share, weight)
-            parts.append(pa.table({
-                "id": data.column("id"), "held_out": pa.array([not x for x in data.column("learn").to_pylist()]),
-                "n_tokens": pa.array(n + 1), "n_known": pa.array(known), "train_tokens": pa.array([n_all] * len(n), pa.int64()),
-                "base_score": pa.array(base_score), "score": pa.array(np.add.reduceat(by_token, ends - n))}))
-        return pa.concat_tables(parts)
+        n = np.array([len(w) for w in words], np.int64)
+        doc = np.repeat(np.arange(len(n)), n)
+        at = np.searchsorted(values, np.concatenate(words))
+        known = np.bincount(doc, weights=c[at] > 0, minlength=len(n)).astype(np.int64) + int(n_ends > 0)
+        base_score = np.bincount(doc, weights=gain[at], minlength=len(n)) + end
+        # tokens: the words of a text, then its end
+        ends = np.cumsum(n + 1) - 1
+        share = np.full(len(doc) + len(n), n_ends / max(n_all, 1))
+        share[np.delete(np.arange(len(share)), ends)] = c[at] / max(n_all, 1)
+        by_token = log10_tokens(tree.value, [spell(x) for x in data.column("text").to_pylist()], share, weight)
+        return pa.table({
+            "id": data.column("id"), "held_out": pa.array([not x for x in data.column("learn").to_pylist()]),
+            "n_tokens": pa.array(n + 1), "n_known": pa.array(known), "train_tokens": pa.array([n_all] * len(n), pa.int64()),
+            "base_score": pa.array(base_score), "score": pa.array(np.add.reduceat(by_token, ends - n))})
 
     return texts_.groupBy("blk").cogroup(totals.groupBy("blk")).applyInArrow(run, SCHEMA)
