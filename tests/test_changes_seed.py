@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from conftest import rows
 
+from pyspark.sql import functions as F
+
 from wardlake import schemas
 from wardlake.operators import changes, checks, reads
 
@@ -61,6 +63,9 @@ def test_admissions_conflict_rule(spark, seed):
         (5, t0, "6", "11", "2025-02-31"),  # impossible date
         (6, t0, "99", "7", "2025-06-01"),  # unknown patient
     ], schemas.ADMIT_EXISTING_REQ)
+    strict = rows(changes.admit_existing(seed, req).rejects, "request_id", "reason")
+    assert strict[0] == (1, "already active")
+    seed = seed.replace(stay=seed.stay.withColumn("date_out", F.coalesce("date_out", F.lit(t0).cast("timestamp_ntz"))))
     res = changes.admit_existing(seed, req)
     assert rows(res.rejects, "request_id", "reason") == [(2, "conflict"), (3, "bed not free"),
                                                          (5, "invalid: date_in"), (6, "unknown patient")]
@@ -106,7 +111,7 @@ def test_discharge_by_patient_and_availability(spark, seed):
     req = spark.createDataFrame([(1, t0, "6", "no"), (2, t0 + dt.timedelta(1), "6", "yes"), (3, t0, "99", "1")],
                                 schemas.AVAILABILITY_REQ)
     res = changes.set_availability(seed, req)
-    assert rows(res.rejects, "request_id") == [(3,)]
+    assert rows(res.rejects, "request_id", "reason") == [(1, "superseded"), (3, "unknown bed")]
     assert res.tables.room.filter("id_room = 6").collect()[0].available is True
 
 
@@ -119,10 +124,12 @@ def test_observations(spark, seed):
     rows_in = [dict(base, request_id=1, requested_at=t0),
                dict(base, request_id=2, requested_at=t0, temperature="1000.0"),
                dict(base, request_id=3, requested_at=t0, height="170cm", id_stay="99"),
-               dict(base, request_id=4, requested_at=t0, height="0")]
+               dict(base, request_id=4, requested_at=t0, height="0"),
+               dict(base, request_id=5, requested_at=t0, height="17000cm")]
     req = _req(spark, schemas.OBSERVATION_REQ, rows_in)
     res = changes.ingest_observations(seed, req, BATCH)
-    assert rows(res.rejects, "request_id", "reason") == [(2, "out of range: temperature"), (3, "unknown stay")]
+    assert rows(res.rejects, "request_id", "reason") == [(2, "out of range: temperature"), (3, "unknown stay"),
+                                                         (5, "out of range: height")]
     acc = {r.request_id: r for r in res.accepted.collect()}
     assert str(acc[1].height) == "1.66" and str(acc[1].temperature) == "38.46"
     assert acc[1].state == "Ok" and acc[1].remark == "a &amp; &quot;q&quot; &#039;s&#039;"
@@ -131,7 +138,7 @@ def test_observations(spark, seed):
     assert acc[1].id_obs == 9 and acc[4].id_obs == 10
     assert res.tables.observation.count() == 10
     strict = changes.ingest_observations(seed, req, BATCH, strict=True)
-    assert rows(strict.rejects, "request_id", "reason")[-1] == (4, "missing value")
+    assert (4, "missing value") in rows(strict.rejects, "request_id", "reason")
 
 
 def test_amend_and_prescriptions(spark, seed):
@@ -141,6 +148,14 @@ def test_amend_and_prescriptions(spark, seed):
         request_id=1, requested_at=t0, id_obs="3", id_stay="3", id_nurse="3", state="Better", blood_pressure="1",
         temperature="37", heart_rate="80", spo2="97", glucose="5", weight="80", height="1.80", remark="r",
         observed_at="2025-05-26 10:00:00")])
+    again = amend.withColumn("request_id", F.lit(2).cast("bigint")).withColumn("state", F.lit("Later"))
+    both = changes.amend_observations(seed, amend.unionByName(again))
+    assert rows(both.rejects, "request_id", "reason") == [(1, "superseded")]
+    assert both.tables.observation.filter("id_obs = 3").collect()[0].state == "Later"
+    for col, value, why in (("id_stay", "999", "unknown stay"), ("id_nurse", "888", "unknown nurse"),
+                            ("state", "x" * 40, "too long: state"), ("height", "300", "out of range: height")):
+        bad = changes.amend_observations(seed, amend.withColumn(col, F.lit(value)))
+        assert rows(bad.rejects, "reason") == [(why,)]
     assert changes.amend_observations(seed, amend).tables.observation.filter("id_obs = 3").collect()[0].state == "Better"
     own = changes.amend_observations(seed, amend, own_only=True)
     assert rows(own.rejects, "reason") == [("not found",)]  # nurse 3 did not write observation 3
@@ -154,6 +169,37 @@ def test_amend_and_prescriptions(spark, seed):
     assert rows(res.rejects, "request_id", "reason") == [(4, "unknown prescription")]
     p = {r.id_prescription: r for r in res.tables.prescription.collect()}
     assert 2 not in p and p[1].drug == "Y" and p[9].drug == "X"
+    mixed = _req(spark, schemas.PRESCRIPTION_REQ, [
+        dict(request_id=1, requested_at=t0, action="update", id_prescription="1", drug="A", dose="2", frequency="1"),
+        dict(request_id=2, requested_at=t0, action="delete", id_prescription="1"),
+        dict(request_id=3, requested_at=t0, action="update", id_prescription="1", drug="B", dose="2", frequency="1"),
+        dict(request_id=4, requested_at=t0, action="update", id_prescription="3", drug="C", dose="2", frequency="1"),
+        dict(request_id=5, requested_at=t0, action="update", id_prescription="3", drug="D", dose="2", frequency="1")])
+    res = changes.prescription_changes(seed, mixed)
+    assert rows(res.rejects, "request_id", "reason") == [(1, "superseded"), (3, "unknown prescription"), (4, "superseded")]
+    assert rows(res.accepted, "request_id") == [(2,), (5,)]
+    p = {r.id_prescription: r for r in res.tables.prescription.collect()}
+    assert 1 not in p and p[3].drug == "D"
+
+
+def test_strict_status_keeps_bed_flags(spark, seed):
+    """What the source system would let through and what would break the bed flags."""
+    import datetime as dt
+    t0 = dt.datetime(2025, 6, 1, 8)
+    move = _req(spark, schemas.TRANSFER_REQ, [dict(request_id=1, requested_at=t0, id_stay="2", id_room="9", id_staff="2")])
+    assert rows(changes.transfer(seed, move).rejects, "reason") == [("not active",)]
+    status = _req(spark, schemas.STATUS_REQ, [
+        dict(request_id=1, requested_at=t0, id_stay="1", action="reactivate", id_room="11"),
+        dict(request_id=2, requested_at=t0, id_stay="3", action="discharge", id_room="3", date_out="2025-05-01 00:00:00")])
+    res = changes.apply_status(seed, status, BATCH)
+    assert rows(res.rejects, "request_id", "reason") == [(1, "already active"), (2, "end before entry")]
+    two = seed.replace(stay=seed.stay.withColumn("id_patient", F.when(F.col("id_stay") == 7, F.lit(1).cast("bigint"))
+                                                 .otherwise(F.col("id_patient"))))
+    req = spark.createDataFrame([(1, t0, "1", None)], schemas.DISCHARGE_PATIENT_REQ)
+    ended = changes.discharge_by_patient(two, req, BATCH)
+    assert rows(ended.accepted, "id_stay") == [(1,), (7,)]
+    for t in (changes.transfer(seed, move).tables, res.tables, ended.tables):
+        assert checks.bed_flag_mismatches(t).count() == 0
 
 
 def test_load_staff(spark, seed):

@@ -7,6 +7,7 @@ import pytest
 from oracle_compare import compare
 
 import __spark_entry__ as E
+from wardlake.plans import catalog
 
 
 def test_entry_smoke(spark):
@@ -15,7 +16,7 @@ def test_entry_smoke(spark):
     assert "age" in df.columns
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_matches_oracle(spark, name):
     res = compare(spark, "/root/testdata/sf0.001", [name], verbose=False)[name]
     if res.get("oracle") is None and "oracle_rows" not in res:

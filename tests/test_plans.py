@@ -7,7 +7,7 @@ import io
 
 import pytest
 
-import __spark_entry__ as E
+from wardlake.plans import catalog
 from wardlake.operators import reads
 from wardlake.sources.standin import standin_tables
 
@@ -26,9 +26,9 @@ def plan_text(df) -> str:
     return buf.getvalue()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_no_pairs_and_no_windows(spark, name):
-    plan = plan_text(E.queries()[name](spark, SF))
+    plan = plan_text(catalog.QUERIES[name](spark, SF))
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
     if name not in NUMBERING:

@@ -9,6 +9,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 import tempfile
 
 from conftest import rows
@@ -71,8 +72,41 @@ def test_stream_equals_batch_any_order(spark, seed, order):
         parts[k].write.parquet(f"{folder}/f{pos}")
     out = tempfile.mkdtemp(prefix="wardlake-prop-out-", dir="/tmp") + "/newest"
     q = stream.start_newest_observation(spark, spark.readStream.schema(obs.schema)
-                                        .option("maxFilesPerTrigger", 1).parquet(f"{folder}/*"), out)
+                                        .option("maxFilesPerTrigger", 1).parquet(f"{folder}/*"), out, f"{out}-state")
     q.awaitTermination()
     got = rows(stream.read_newest_observation(spark, out), "id_stay", "id_obs")
     union = parts[0].unionByName(parts[1]).unionByName(parts[2])
     assert got == rows(reads.newest_observation(seed.replace(observation=union)), "id_stay", "id_obs")
+
+
+def test_prescription_edits_in_order(spark, seed):
+    """Forty random sequences of edits, each on prescriptions of its own, in one batch, against a
+    model that applies the requests one by one."""
+    rng = random.Random(12)
+    schema = ("request_id bigint, requested_at timestamp_ntz, action string, id_prescription string, id_stay string, "
+              "drug string, dose string, frequency string, instructions string")
+    reqs, presc = [], []
+    for e in range(40):
+        presc += [(10 * e + p, 1, f"old{e}.{p}", 1, 1, None) for p in (1, 2, 3)]
+        for _ in range(rng.randrange(1, 9)):
+            i = len(reqs)
+            reqs.append((i, T0 + dt.timedelta(minutes=rng.randrange(3)), rng.choice(["update", "update", "delete"]),
+                         str(10 * e + rng.randrange(1, 5)), None, f"d{i}", "1", "1", None))
+    t = seed.replace(prescription=spark.createDataFrame(presc, schemas.PRESCRIPTION))
+    res = changes.prescription_changes(t, spark.createDataFrame(reqs, schema))
+    drug, why, last = {p[0]: p[2] for p in presc}, {}, {}
+    for i, _, action, p, _, name, *_ in sorted(reqs, key=lambda r: (r[1], r[0])):
+        p = int(p)
+        if p not in drug:
+            why[i] = "unknown prescription"
+            continue
+        if p in last:
+            why[last[p]] = "superseded"
+        last[p] = i
+        if action == "delete":
+            del drug[p]
+        else:
+            drug[p] = name
+    assert dict(rows(res.rejects, "request_id", "reason")) == why
+    assert {r.request_id for r in res.accepted.collect()} == {r[0] for r in reqs} - set(why)
+    assert {r.id_prescription: r.drug for r in res.tables.prescription.collect()} == drug

@@ -34,7 +34,7 @@ def test_newest_observation_stream_equals_batch(spark, seed):
     later.write.parquet(f"{folder}/a")
     obs.write.parquet(f"{folder}/b")
     source = spark.readStream.schema(obs.schema).parquet(f"{folder}/*")
-    st.start_newest_observation(spark, source, out_dir).awaitTermination()
+    st.start_newest_observation(spark, source, out_dir, f"{out_dir}-state").awaitTermination()
     streamed = st.read_newest_observation(spark, out_dir)
     batch = reads.newest_observation(seed.replace(observation=obs.unionByName(later)))
     assert rows(streamed, "id_stay", "id_obs", "state") == rows(batch, "id_stay", "id_obs", "state")
@@ -51,11 +51,12 @@ def test_observation_ingest_stream(spark, seed):
         f.write(json.dumps(good) + "\n")
         f.write("{not json\n")
         f.write(json.dumps(dict(good, request_id=3, id_stay="99")) + "\n")
-    st.start_observation_ingest(spark, seed, folder, out_dir, "2025-06-01 00:00:00").awaitTermination()
+    st.start_observation_ingest(spark, seed, folder, out_dir, "2025-06-01 00:00:00", f"{out_dir}-state").awaitTermination()
     acc = spark.read.parquet(f"{out_dir}/accepted").collect()
     assert [(r.request_id, r.id_obs, str(r.height)) for r in acc] == [(1, 9, "1.70")]
     rej = rows(spark.read.parquet(f"{out_dir}/rejects"), "reason")
     assert rej == [("malformed",), ("unknown stay",)]
+    assert [r.text for r in spark.read.parquet(f"{out_dir}/rejects").collect() if r.text] == ["{not json"]
 
 
 def test_cleaning_goldens(spark):
@@ -80,6 +81,27 @@ def test_cleaning_goldens(spark):
     assert r.yes is True and r.empty is True
 
 
+def test_markup_height_time_and_empty_goldens(spark):
+    """Worked by hand from what the source's functions are documented to do."""
+    texts = {"temp < 38 and spo2 > 95": "temp < 38 and spo2 > 95", "a<!-- x > y -->b": "ab", "a<b": "a",
+             "<a t='>'>k</a> z": "k z", "x <": "x <", "p <!-- open": "p "}
+    df = spark.createDataFrame(list(texts.items()), "i string, want string")
+    assert [(r.i, r.got) for r in df.select("i", X.strip_tags("i").alias("got")).collect()] == list(texts.items())
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:  # a wall-clock time that this zone skips
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.createDataFrame([("2025-03-09T02:30",)], "t string")
+        assert df.select(X.parse_timestamp("t", "2000-01-01 00:00:00").cast("string").alias("t")).first().t == "2025-03-09 02:30:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    r = spark.range(1).select(X.height_m(F.lit("17000cm")).alias("tall"), X.height_m(F.lit("1.7e2")).cast("string").alias("exp"),
+                              *[X.is_empty(F.lit(v)).alias(f"e{i}") for i, v in enumerate(["", "0", "false", "0.0"])]).first()
+    assert r.tall is None and r.exp == "1.70"
+    assert [r.e0, r.e1, r.e2, r.e3] == [True, True, False, False]
+    names = spark.createDataFrame([("Ionuț",), ("Nguyễn",), ("Jose\u0301",), ("Łódź",)], "n string")
+    assert [r.f for r in names.select(X.fold("n").alias("f")).collect()] == ["ionut", "nguyen", "jose", "lodz"]
+
+
 def test_json_answers_keep_nulls(spark, seed):
     import tempfile as tf
 
@@ -104,14 +126,12 @@ def test_ingest_stream_ids_continue_across_batches(spark, seed):
                 weight="70", height="170", remark="fine", observed_at="2025-06-01T08:00")
     with open(f"{folder}/a.json", "w") as f:
         f.write(json.dumps(good) + "\n" + json.dumps(dict(good, request_id=2)) + "\n")
-    q = st.start_observation_ingest(spark, seed, folder, out_dir, "2025-06-01 00:00:00")
+    q = st.start_observation_ingest(spark, seed, folder, out_dir, "2025-06-01 00:00:00", f"{out_dir}-state")
     q.awaitTermination()
     with open(f"{folder}/b.json", "w") as f:
         f.write(json.dumps(dict(good, request_id=3)) + "\n")
-    # a new run of the same query continues from its checkpoint: only b.json is new
-    from wardlake.streaming.observations import ingest_batch
-    src = spark.read.schema(st.read_observation_requests(spark, folder).schema).json(f"{folder}/b.json")
-    ingest_batch(seed, src, 7, out_dir, "2025-06-01 00:00:00", base_id=8)
+    # a new start with the same checkpoint goes on: only b.json is new, ids continue
+    st.start_observation_ingest(spark, seed, folder, out_dir, "2025-06-01 00:00:00", f"{out_dir}-state").awaitTermination()
     acc = sorted((r.request_id, r.id_obs) for r in spark.read.parquet(f"{out_dir}/accepted").collect())
     assert acc == [(1, 9), (2, 10), (3, 11)]
 

@@ -6,6 +6,7 @@ whole-stage code generation.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 from pyspark.sql import Column
@@ -36,19 +37,21 @@ def parse_timestamp(c, default) -> Column:
     """Lenient timestamp parse (``2025-05-01T08:30``, ``2025-05-01 08:30:00``,
     a bare date); a missing or unreadable value becomes ``default``."""
     text = F.trim(_c(c).cast("string"))
-    parsed = F.coalesce(
-        F.try_to_timestamp(text),
-        F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm")),
-        F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm")),
-    ).cast("timestamp_ntz")
+    # straight to wall-clock time: no session zone can shift it, and an offset
+    # written in the text is passed over
+    parsed = text.try_cast("timestamp_ntz")
     dflt = F.lit(default).cast("timestamp_ntz") if isinstance(default, str) else _c(default)
     return F.coalesce(parsed, dflt)
 
 
 # ------------------------------------------------------------------ X6, X7
 def strip_tags(c) -> Column:
-    """Remove markup tags ``<...>``."""
-    return F.regexp_replace(_c(c), r"<[^>]*>", "")
+    """Remove markup: comments first (also one that is never closed), then
+    tags, whose quoted attribute values may hold ``>``; a tag that is never
+    closed goes to the end of the text.  A ``<`` before white space or at the
+    end is no tag and stays (``temp < 38``)."""
+    no_comments = F.regexp_replace(_c(c), r"(?s)<!--.*?(-->|\z)", "")
+    return F.regexp_replace(no_comments, r"""(?s)<(?!\s|\z)(?:"[^"]*"|'[^']*'|[^>"'])*(?:>|\z)""", "")
 
 
 def escape_html(c) -> Column:
@@ -65,7 +68,7 @@ def clean_text(c) -> Column:
 
 
 # ------------------------------------------------------------------ X8, X9, X10, X13
-NUMBER_PREFIX = r"^[+-]?[0-9]*\.?[0-9]+"
+NUMBER_PREFIX = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
 
 
 def number_prefix(c) -> Column:
@@ -78,9 +81,9 @@ def number_prefix(c) -> Column:
 def height_m(c, strict: bool = False) -> Column:
     """Height given in centimetres -> metres with 2 decimals, half away from
     zero.  A value that is missing or not positive becomes 0.00, or NULL
-    when ``strict``."""
+    when ``strict``; a value the column cannot hold becomes NULL."""
     cm = number_prefix(c)
-    metres = F.round(cm / F.lit(100), 2).cast("decimal(4,2)")
+    metres = F.round(cm / F.lit(100), 2).try_cast("decimal(4,2)")  # NULL above 99.99 m
     fallback = F.lit(None).cast("decimal(4,2)") if strict else F.lit("0.00").cast("decimal(4,2)")
     return F.when(cm > 0, metres).otherwise(fallback)
 
@@ -99,7 +102,7 @@ def to_long(c) -> Column:
 
 
 # ------------------------------------------------------------------ F9 .. F14
-DATE_SHAPE = r"^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[1-2][0-9]|3[0-1])$"
+DATE_SHAPE = r"^\d{4}-\d\d-\d\d$"  # the calendar check refuses wrong months and days
 
 
 def valid_date_text(c) -> Column:
@@ -109,9 +112,9 @@ def valid_date_text(c) -> Column:
 
 
 def is_empty(c) -> Column:
-    """Missing in the lenient sense: NULL, '', '0', 0 or false."""
+    """Missing in the lenient sense: NULL, '' or '0' (so also the number 0)."""
     t = F.trim(_c(c).cast("string"))
-    return F.coalesce(t.isin("", "0", "false", "0.0"), F.lit(True))
+    return F.coalesce(t.isin("", "0"), F.lit(True))
 
 
 def positive_int(c) -> Column:
@@ -134,13 +137,6 @@ def first_missing(fields: list[str]) -> Column:
     return F.coalesce(*[F.when(F.col(f).isNull(), F.lit(f)) for f in fields])
 
 
-def contains_ci_ai(c, term) -> Column:
-    """Substring test ignoring case and accents (the literal term; no
-    wildcards)."""
-    t = F.lit(term) if isinstance(term, str) else _c(term)
-    return F.contains(F.collate(_c(c), "UNICODE_CI_AI"), F.collate(t, "UNICODE_CI_AI"))
-
-
 def like_ci(c, term) -> Column:
     """``LIKE '%term%'`` ignoring case; ``%`` and ``_`` in the term act as
     wildcards, a backslash is taken literally."""
@@ -151,31 +147,34 @@ def like_ci(c, term) -> Column:
 
 # ------------------------------------------------------------------ text folding for search
 def _accent_map() -> tuple[str, str]:
-    """Lower-case Latin letters with diacritics (U+00C0..U+017F) and their
-    base letters, built by Unicode decomposition; the few letters without a
-    decomposition are listed as fixed values."""
-    src, dst = [], []
-    for cp in range(0xC0, 0x180):
+    """Lower-case letters of any script that decompose into a base letter and
+    marks, with their base letters; then the combining marks themselves,
+    which have no counterpart and so are dropped.  Built from the Unicode
+    data; the few letters without a decomposition are fixed values."""
+    src, dst, marks = [], [], []
+    for cp in range(0x80, sys.maxunicode + 1):
         ch = chr(cp)
-        if not ch.isalpha() or ch != ch.lower():
-            continue
-        base = unicodedata.normalize("NFD", ch)[0]
-        if base != ch and base.isascii():
-            src.append(ch)
-            dst.append(base)
+        if unicodedata.category(ch) == "Mn":
+            marks.append(ch)
+        elif ch.isalpha() and ch == ch.lower():
+            parts = unicodedata.normalize("NFD", ch)
+            if len(parts) > 1 and all(unicodedata.category(x) == "Mn" for x in parts[1:]):
+                src.append(ch)
+                dst.append(parts[0])
     # Letters with a stroke or dot that do not decompose.
     for ch, base in (("đ", "d"), ("ħ", "h"), ("ı", "i"), ("ŀ", "l"), ("ł", "l"), ("ø", "o"), ("ŧ", "t")):
         src.append(ch)
         dst.append(base)
-    return "".join(src), "".join(dst)
+    return "".join(src) + "".join(marks), "".join(dst)
 
 
 ACCENTED, ACCENT_BASE = _accent_map()
 
 
 def fold(c) -> Column:
-    """Lower case and Latin accents removed: the form search compares in
-    (a plain codegen'd comparison, no per-row collation)."""
+    """Lower case, accents and combining marks of any script removed: the form
+    single and batch search compare in (a plain codegen'd comparison, no
+    per-row collation)."""
     return F.translate(F.lower(_c(c)), ACCENTED, ACCENT_BASE)
 
 

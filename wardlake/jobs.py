@@ -16,13 +16,14 @@ import datetime
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import schemas
 from .operators import changes, checks, reads
 from .session import get_session
 from .sources import requests as rq
 from .sources.sinks import write_answers
-from .sources.snapshot import Tables, read_snapshot, write_snapshot
+from .sources.snapshot import Tables, check_apart, read_snapshot, write_version
 
 READS = {
     "roster": lambda t, a: reads.roster(t, active_only=a.active_only),
@@ -108,11 +109,15 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         _write(READS[args.name](tables, args), args.out, args.format)
         return
     schema, fn = APPLY[args.name]
+    check_apart(spark, args.snapshot, args.out)
     good, malformed = rq.read_json_requests(spark, args.requests, schema)
     res = fn(tables, good, args)
-    write_snapshot(res.tables, args.out, mode="overwrite")
-    _write(res.rejects.unionByName(malformed.select("request_id", "reason")), f"{args.out}/_rejects", args.format)
+    # answers first, the version's manifest last: a version that can be read is complete
+    rejects = res.rejects.withColumn("text", F.lit(None).cast("string"))
+    _write(rejects.unionByName(malformed.select("request_id", "reason", F.col("payload").alias("text"))),
+           f"{args.out}/_rejects", args.format)
     _write(res.accepted, f"{args.out}/_accepted", args.format)
+    write_version(res.tables, tables, args.snapshot, args.out)
 
 
 def main() -> None:

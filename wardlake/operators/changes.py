@@ -97,6 +97,12 @@ def _split(checked: DataFrame, keys: list[list[str]]) -> tuple[DataFrame, DataFr
     return valid.filter(F.col("_win")).drop("_win", "reason"), bad.unionByName(lost)
 
 
+def _superseded(valid: DataFrame, kept: DataFrame) -> DataFrame:
+    """The valid requests that a later one has overtaken."""
+    return (valid.join(kept.select("request_id"), on="request_id", how="left_anti")
+                 .select("request_id", F.lit("superseded").alias("reason")))
+
+
 def apply_bed_changes(room: DataFrame, changes: DataFrame) -> DataFrame:
     """New bed table from (id_room, available) changes; when a batch both
     frees and takes a bed, taken wins."""
@@ -127,19 +133,21 @@ def _stay_rows(rows: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- M2
 def admit_existing(t: Tables, requests: DataFrame, check_free: bool = True) -> ChangeResult:
     """New stay for a known patient; bed 0 or empty means no bed.  The bed
-    must be free unless ``check_free=False`` (the source system's
-    behaviour)."""
+    must be free and the patient without an active stay unless
+    ``check_free=False`` (the source system's behaviour)."""
     r = requests.select(
         *ORDER, X.to_long("id_patient").alias("id_patient"),
         F.when(X.is_empty("id_room"), F.lit(None).cast("bigint")).otherwise(X.to_long("id_room")).alias("bed"),
         F.col("id_room").alias("_bed_text"), F.col("date_in").alias("_date_text"))
     r = _exists(r, t.patient, "id_patient", "id_patient", "_pat")
+    r = _exists(r, t.stay.filter(F.col("date_out").isNull()), "id_patient", "id_patient", "_in")
     r = _with_bed(r, t)
     checked = r.withColumn("reason", _reason(
         (~X.positive_int("id_patient"), "invalid: id_patient"),
         (F.col("_bed_text").isNull(), "missing: id_room"),
         (~X.valid_date_text("_date_text"), "invalid: date_in"),
         (~F.col("_pat"), "unknown patient"),
+        (F.lit(check_free) & F.col("_in"), "already active"),
         (F.col("bed").isNotNull() & ~F.col("bed_exists"), "unknown bed"),
         (F.lit(check_free) & F.col("bed").isNotNull() & ~F.col("bed_free"), "bed not free"),
     ))
@@ -200,14 +208,15 @@ def admit_new(t: Tables, requests: DataFrame, batch_ts: str) -> ChangeResult:
 def transfer(t: Tables, requests: DataFrame, lenient: bool = False) -> ChangeResult:
     """Move a stay to another bed of the asking nurse's service.  The old bed
     is freed, the new one taken.  Strict mode (default) also requires the
-    new bed to be free, unless it is the stay's own bed (a no-op)."""
+    stay to be active and the new bed to be free, unless it is the stay's own
+    bed (a no-op)."""
     r = requests.select(*ORDER, X.to_long("id_stay").alias("id_stay"), X.to_long("id_room").alias("bed"),
                         X.to_long("id_staff").alias("id_staff"), F.col("id_room").alias("_bed_text"))
     staff = _named(t.staff, "id_staff", r, "id_staff").select("id_staff", F.col("id_service").alias("staff_service"))
     r = r.join(staff, on="id_staff", how="left")
     r = _with_bed(r, t)
     cur = _named(t.stay, "id_stay", r, "id_stay").select(
-        "id_stay", F.col("id_room").alias("old_bed"), F.lit(True).alias("_stay"))
+        "id_stay", F.col("id_room").alias("old_bed"), F.col("date_out").alias("_out"), F.lit(True).alias("_stay"))
     r = r.join(cur, on="id_stay", how="left").withColumn("_stay", F.coalesce(F.col("_stay"), F.lit(False)))
     same = F.coalesce(F.col("old_bed") == F.col("bed"), F.lit(False))
     checked = r.withColumn("reason", _reason(
@@ -216,6 +225,7 @@ def transfer(t: Tables, requests: DataFrame, lenient: bool = False) -> ChangeRes
         (~F.col("bed_exists"), "unknown bed"),
         (F.col("staff_service") != F.col("bed_service"), "service mismatch"),
         (~F.col("_stay"), "unknown stay"),
+        (F.lit(not lenient) & F.col("_out").isNotNull(), "not active"),
         (F.lit(not lenient) & ~F.col("bed_free") & ~same, "bed not free"),
     ))
     winners, rejects = _split(checked, [["id_stay"], ["bed"]])
@@ -232,17 +242,20 @@ def transfer(t: Tables, requests: DataFrame, lenient: bool = False) -> ChangeRes
 def discharge(t: Tables, requests: DataFrame, batch_ts: str, lenient: bool = False) -> ChangeResult:
     """End stays: set the end time (default ``batch_ts``), clear the stay's
     bed and free that bed.  ``lenient`` frees the bed named in the request
-    instead (the source system's behaviour) and allows ended stays."""
+    instead (the source system's behaviour) and allows ended stays and an end
+    before the entry."""
     r = requests.select(*ORDER, X.to_long("id_stay").alias("id_stay"), F.col("id_room").alias("_bed_text"),
                         X.parse_timestamp("date_out", batch_ts).alias("new_out"))
     cur = _named(t.stay, "id_stay", r, "id_stay").select(
-        "id_stay", F.col("id_room").alias("old_bed"), F.col("date_out").alias("old_out"), F.lit(True).alias("_stay"))
+        "id_stay", F.col("id_room").alias("old_bed"), F.col("date_out").alias("old_out"),
+        F.col("date_in").alias("_in"), F.lit(True).alias("_stay"))
     r = r.join(cur, on="id_stay", how="left").withColumn("_stay", F.coalesce(F.col("_stay"), F.lit(False)))
     checked = r.withColumn("reason", _reason(
         (X.is_empty("id_stay"), "invalid: id_stay"),
         (F.col("_bed_text").isNull(), "missing: id_room"),
         (~F.col("_stay"), "unknown stay"),
         (F.lit(not lenient) & F.col("old_out").isNotNull(), "not active"),
+        (F.lit(not lenient) & F.coalesce(F.col("new_out") < F.col("_in"), F.lit(False)), "end before entry"),
     ))
     winners, rejects = _split(checked, [["id_stay"]])
     freed = (F.when(X.positive_int("_bed_text"), X.to_long("_bed_text")) if lenient else F.col("old_bed"))
@@ -254,18 +267,23 @@ def discharge(t: Tables, requests: DataFrame, batch_ts: str, lenient: bool = Fal
     return ChangeResult(t.replace(stay=stays, room=rooms), done, rejects)
 
 
-def reactivate(t: Tables, requests: DataFrame) -> ChangeResult:
-    """Re-open a stay in a bed that exists and is free; the bed is taken."""
+def reactivate(t: Tables, requests: DataFrame, lenient: bool = False) -> ChangeResult:
+    """Re-open a stay in a bed that exists and is free; the bed is taken.  The
+    stay must have ended unless ``lenient`` (the source system's behaviour,
+    which leaves the bed of an active stay taken by nobody)."""
     r = requests.select(*ORDER, X.to_long("id_stay").alias("id_stay"), X.to_long("id_room").alias("bed"),
                         F.col("id_room").alias("_bed_text"))
     r = _with_bed(r, t)
-    r = _exists(r, t.stay, "id_stay", "id_stay", "_stay")
+    cur = _named(t.stay, "id_stay", r, "id_stay").select(
+        "id_stay", F.col("date_out").alias("_out"), F.lit(True).alias("_stay"))
+    r = r.join(cur, on="id_stay", how="left").withColumn("_stay", F.coalesce(F.col("_stay"), F.lit(False)))
     checked = r.withColumn("reason", _reason(
         (X.is_empty("id_stay"), "invalid: id_stay"),
         (~X.positive_int("_bed_text"), "invalid: id_room"),
         (~F.col("bed_exists"), "unknown bed"),
         (~F.col("bed_free"), "bed not free"),
         (~F.col("_stay"), "unknown stay"),
+        (F.lit(not lenient) & F.col("_out").isNull(), "already active"),
     ))
     winners, rejects = _split(checked, [["id_stay"], ["bed"]])
     done = winners.select("request_id", "id_stay", F.col("bed").alias("id_room"),
@@ -282,23 +300,32 @@ def apply_status(t: Tables, requests: DataFrame, batch_ts: str, lenient: bool =
     bad = requests.filter(act.isNull() | ~act.isin("discharge", "reactivate")).select(
         "request_id", F.lit("invalid: action").alias("reason"))
     d = discharge(t, requests.filter(act == "discharge"), batch_ts, lenient)
-    a = reactivate(d.tables, requests.filter(act == "reactivate"))
+    a = reactivate(d.tables, requests.filter(act == "reactivate"), lenient)
     return ChangeResult(a.tables, d.accepted.select("request_id", "id_stay").unionByName(
         a.accepted.select("request_id", "id_stay")), bad.unionByName(d.rejects).unionByName(a.rejects))
 
 
 # ---------------------------------------------------------------- M7
 def discharge_by_patient(t: Tables, requests: DataFrame, batch_ts: str) -> ChangeResult:
-    """End the newest active stay of each named patient and free its bed."""
-    r = requests.withColumn("id_patient", X.to_long("id_patient"))
-    cur = current_stay(t, patients=r.select("id_patient")).select("id_patient", "id_stay", "id_room")
-    r = r.join(cur, on="id_patient", how="left")
-    none = r.filter(F.col("id_stay").isNull()).select("request_id", F.lit("no active stay").alias("reason"))
-    asked = r.filter(F.col("id_stay").isNotNull()).select(
-        *ORDER, F.col("id_stay").cast("string").alias("id_stay"),
-        F.coalesce(F.col("id_room").cast("string"), F.lit("0")).alias("id_room"), "date_out")
-    res = discharge(t, asked, batch_ts)
-    return ChangeResult(res.tables, res.accepted, none.unionByName(res.rejects))
+    """End every active stay of each named patient and free each one's bed.
+    The first request for a patient wins; an end before the entry of any of
+    the patient's active stays refuses the request."""
+    r = requests.select(*ORDER, X.to_long("id_patient").alias("id_patient"),
+                        X.parse_timestamp("date_out", batch_ts).alias("new_out"))
+    active = _named(t.stay.filter(F.col("date_out").isNull()), "id_patient", r, "id_patient")
+    per = active.groupBy("id_patient").agg(F.max("date_in").alias("_in"), F.lit(True).alias("_some"))
+    checked = r.join(per, on="id_patient", how="left").withColumn("reason", _reason(
+        (F.col("_some").isNull(), "no active stay"),
+        (F.coalesce(F.col("new_out") < F.col("_in"), F.lit(False)), "end before entry"),
+    ))
+    winners, rejects = _split(checked, [["id_patient"]])
+    done = (winners.select("request_id", "id_patient", F.col("new_out").alias("date_out"))
+            .join(active.select("id_patient", "id_stay", F.col("id_room").alias("freed_bed")), on="id_patient")
+            .select("request_id", "id_stay", "date_out", F.lit(None).cast("bigint").alias("id_room"), "freed_bed"))
+    stays = _merge(t.stay, done, "id_stay", ["date_out", "id_room"])
+    rooms = apply_bed_changes(t.room, done.filter(F.col("freed_bed").isNotNull())
+                              .select(F.col("freed_bed").alias("id_room"), F.lit(True).alias("available")))
+    return ChangeResult(t.replace(stay=stays, room=rooms), done, rejects)
 
 
 # ---------------------------------------------------------------- M3
@@ -347,11 +374,13 @@ def update_patient(t: Tables, requests: DataFrame, batch_ts: str) -> ChangeResul
 # ---------------------------------------------------------------- M8
 def set_availability(t: Tables, requests: DataFrame) -> ChangeResult:
     """Set bed flags; with several requests for one bed the last one wins
-    (they would be applied one after another)."""
+    (they would be applied one after another), the others are rejected as
+    ``superseded``."""
     r = requests.select(*ORDER, X.to_long("id_room").alias("id_room"), X.truthy("available").alias("flag"))
     r = _exists(r, t.room, "id_room", "id_room", "_bed")
     rejects = r.filter(~F.col("_bed")).select("request_id", F.lit("unknown bed").alias("reason"))
     last = latest_per_key(r.filter(F.col("_bed")), ["id_room"], ORDER, ["flag"])
+    rejects = rejects.unionByName(_superseded(r.filter(F.col("_bed")), last))
     rooms = _merge(t.room, last.select("id_room", F.col("flag").alias("available")), "id_room", ["available"])
     return ChangeResult(t.replace(room=rooms), last, rejects)
 
@@ -406,6 +435,8 @@ def ingest_observations(t: Tables, requests: DataFrame, batch_ts: str, strict: b
         checks.append((F.col("_missing").isNotNull(), "missing field"))
     for col in ("temperature", "glucose", "weight"):
         checks.append((F.col(col).isNull() & F.col("_raw_" + col).isNotNull(), f"out of range: {col}"))
+    checks.append((F.coalesce(F.col("height").isNull() & (X.number_prefix("_raw_height") > 0), F.lit(False)),
+                   "out of range: height"))
     checks.append((X.first_missing(not_null).isNotNull(), "missing value"))
     checks.append((~F.col("_stay"), "unknown stay"))
     checks.append((~F.col("_nurse"), "unknown nurse"))
@@ -434,7 +465,8 @@ OBS_VALUE_COLS = ["id_stay", "id_nurse", "state", "blood_pressure", "temperature
 def amend_observations(t: Tables, requests: DataFrame, own_only: bool = False) -> ChangeResult:
     """Overwrite observations by id (height already in metres).  With
     ``own_only`` only 8 fields change, and only where the nurse matches;
-    height and weight are kept."""
+    height and weight are kept.  Of several requests for one observation the
+    last one stands, the others are rejected as ``superseded``."""
     r = requests.select(
         *ORDER, X.to_long("id_obs").alias("id_obs"), X.to_long("id_stay").alias("id_stay"),
         X.to_long("id_nurse").alias("id_nurse"), "state", "blood_pressure", "remark",
@@ -451,18 +483,34 @@ def amend_observations(t: Tables, requests: DataFrame, own_only: bool = False) -
         cols = ["state", "blood_pressure", "temperature", "heart_rate", "spo2", "glucose", "remark", "observed_at"]
     else:
         cols = OBS_VALUE_COLS
-    checked = r.withColumn("reason", _reason((~found, "not found"),
-                                             (X.first_missing(cols).isNotNull(), "missing value")))
+    raw = requests.select("request_id", *[F.col(c).alias("_raw_" + c) for c in ("temperature", "glucose", "weight", "height")])
+    r = r.join(raw, on="request_id", how="left")
+    checks = [(~found, "not found")]
+    for col in ("temperature", "glucose", "weight", "height"):
+        if col in cols:
+            checks.append((F.col(col).isNull() & F.col("_raw_" + col).isNotNull(), f"out of range: {col}"))
+    checks.append((X.first_missing(cols).isNotNull(), "missing value"))
+    if not own_only:
+        r = _exists(r, t.stay, "id_stay", "id_stay", "_stay_known")
+        r = _exists(r, t.staff, "id_nurse", "id_staff", "_nurse_known")
+        checks += [(~F.col("_stay_known"), "unknown stay"), (~F.col("_nurse_known"), "unknown nurse")]
+    for col, n in schemas.TEXT_LIMITS["observation"].items():
+        checks.append((F.coalesce(F.char_length(col) > n, F.lit(False)), f"too long: {col}"))
+    checked = r.withColumn("reason", _reason(*checks))
     rejects = checked.filter(F.col("reason").isNotNull()).select("request_id", "reason")
-    last = latest_per_key(checked.filter(F.col("reason").isNull()), ["id_obs"], ORDER, cols)
+    good = checked.filter(F.col("reason").isNull())
+    last = latest_per_key(good, ["id_obs"], ORDER, cols)
+    rejects = rejects.unionByName(_superseded(good, last))
     obs = _merge(t.observation, last, "id_obs", cols)
     return ChangeResult(t.replace(observation=obs), last, rejects)
 
 
 # ---------------------------------------------------------------- M11
 def prescription_changes(t: Tables, requests: DataFrame) -> ChangeResult:
-    """``action`` insert / update / delete.  Updates and deletes of one id
-    apply in order, so the last one decides; inserts get new ids."""
+    """``action`` insert / update / delete; inserts get new ids.  Updates and
+    deletes of one id apply in order: what comes after the first delete meets
+    an unknown prescription; before it (or without one) the last update
+    stands and earlier ones are rejected as ``superseded``."""
     r = requests.select(*ORDER, "action", X.to_long("id_prescription").alias("id_prescription"),
                         X.to_long("id_stay").alias("id_stay"), "drug", X.to_int("dose").alias("dose"),
                         X.to_int("frequency").alias("frequency"), "instructions")
@@ -482,8 +530,14 @@ def prescription_changes(t: Tables, requests: DataFrame) -> ChangeResult:
     rejects = checked.filter(F.col("reason").isNotNull()).select("request_id", "reason")
     ok = checked.filter(F.col("reason").isNull())
     ins = _next_ids(ok.filter(act == "insert"), t.prescription, "id_prescription", "id_prescription")
-    last = latest_per_key(ok.filter(act != "insert"), ["id_prescription"], ORDER,
-                          ["action", "drug", "dose", "frequency", "instructions"])
+    edits = ok.filter(act != "insert")
+    gone = (edits.filter(act == "delete").groupBy("id_prescription").agg(F.min(F.struct(*ORDER)).alias("_gone")))
+    edits = edits.join(gone, on="id_prescription", how="left")
+    late = edits.filter(F.struct(*ORDER) > F.col("_gone"))
+    rejects = rejects.unionByName(late.select("request_id", F.lit("unknown prescription").alias("reason")))
+    live = edits.filter(F.col("_gone").isNull() | (F.struct(*ORDER) <= F.col("_gone")))
+    last = latest_per_key(live, ["id_prescription"], ORDER, ["action", "drug", "dose", "frequency", "instructions"])
+    rejects = rejects.unionByName(_superseded(live, last))
     presc = _merge(t.prescription, last.filter(F.col("action") == "update"), "id_prescription",
                    ["drug", "dose", "frequency", "instructions"])
     presc = presc.join(last.filter(F.col("action") == "delete").select("id_prescription"),
@@ -491,7 +545,7 @@ def prescription_changes(t: Tables, requests: DataFrame) -> ChangeResult:
     presc = presc.unionByName(ins.select(*[F.col(f.name).cast(f.dataType) for f in schemas.PRESCRIPTION.fields])
                               .select(*presc.columns))
     accepted = ins.select("request_id", "id_prescription", F.lit("insert").alias("action")).unionByName(
-        ok.filter(act != "insert").select("request_id", "id_prescription", "action"))
+        last.select("request_id", "id_prescription", "action"))
     return ChangeResult(t.replace(prescription=presc), accepted, rejects)
 
 

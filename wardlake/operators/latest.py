@@ -41,17 +41,22 @@ def flag_first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """Add boolean ``name``: is this row the first of its key group in
     ascending ``order``?  Every row is kept.
 
-    The winner per key comes from a map-side-reduced aggregate and is joined
-    back, so a hot key never has to be sorted in one task (as a window over
-    the key would).  ``order`` must be unique inside a group.  Rows with a
-    NULL key are not in contention: they get ``null_key_wins``.
+    The winner per key comes from a map-side-reduced aggregate, so a hot key
+    never has to be sorted in one task (as a window over the key would).  The
+    winners are joined back on ``order``, which must be unique over all rows,
+    not on the key: a key that holds a third of the rows is no hot join key.
+    Rows with a NULL key are not in contention: they get ``null_key_wins``.
     """
     keys, order = list(keys), list(order)
     tag = "_first_" + name
-    winners = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias(tag))
-    joined = df.join(winners, on=keys, how="left")
     any_null = F.lit(False)
     for k in keys:
         any_null = any_null | F.col(k).isNull()
-    flag = F.when(any_null, F.lit(null_key_wins)).otherwise(F.struct(*order) == F.col(tag))
+    winners = (df.filter(~any_null).groupBy(*keys).agg(F.min(F.struct(*order)).alias("_w"))
+                 .select(*[F.col("_w").getField(c).alias(f"{tag}_{c}") for c in order], F.lit(True).alias(tag)))
+    same = F.lit(True)
+    for c in order:
+        same = same & F.col(c).eqNullSafe(F.col(f"{tag}_{c}"))
+    joined = df.join(winners, same, "left").drop(*[f"{tag}_{c}" for c in order])
+    flag = F.when(any_null, F.lit(null_key_wins)).otherwise(F.coalesce(F.col(tag), F.lit(False)))
     return joined.withColumn(name, flag).drop(tag)

@@ -53,35 +53,28 @@ def with_bed_and_service(df: DataFrame, t: Tables, bed_cols: list[str], how: str
               .join(_service_names(t), on="id_service", how=how))
 
 
-def beds_with_service(t: Tables) -> DataFrame:
-    """Beds with their service name (Q13 plus the name)."""
-    return with_bed_and_service(t.room.select("id_room"), t, ["room_no", "bed_no", "available"])
-
-
-def beds_in_service(t: Tables) -> DataFrame:
-    """Beds whose service exists (inner join), with the service name."""
-    return with_bed_and_service(t.room.select("id_room"), t, ["room_no", "bed_no", "available"], how="inner")
-
-
-def newest_observation(t: Tables, with_nurse: bool = False, stays: DataFrame | None = None) -> DataFrame:
+def newest_observation(t: Tables, with_nurse: bool = False, stays: DataFrame | None = None,
+                       payload: list[str] | None = None) -> DataFrame:
     """Newest observation per stay (by time, then the tie-break columns).
 
     ``with_nurse`` first keeps only observations whose nurse exists and adds
     the nurse's name, as the stay summary does.  ``stays`` (a DataFrame with
     ``id_stay``) restricts the work to those stays before aggregating: a
     semi join the planner broadcasts when the stay set is small, and whose
-    ``id_stay`` partitioning the aggregate reuses when it is large."""
+    ``id_stay`` partitioning the aggregate reuses when it is large.
+    ``payload``: the columns wanted (default all); only these are read."""
     obs = t.observation
     if stays is not None:
         obs = obs.join(stays.select("id_stay"), on="id_stay", how="left_semi")
     if with_nurse:
         nurses = t.staff.select(F.col("id_staff").alias("id_nurse"), F.col("full_name").alias("nurse_name"))
         obs = obs.join(nurses, on="id_nurse", how="inner")
-    return latest_per_key(obs, ["id_stay"], ["observed_at", *t.obs_ties])
+    return latest_per_key(obs, ["id_stay"], ["observed_at", *t.obs_ties], payload)
 
 
 def _obs_payload(t: Tables) -> list[str]:
-    return [c for c in t.observation.columns if c not in ("id_stay", *t.obs_ties)]
+    ties = [c for c in t.obs_ties if c != "id_obs"]  # the id is part of the answer
+    return [c for c in t.observation.columns if c not in ("id_stay", *ties)]
 
 
 # ---------------------------------------------------------------- Q1
@@ -152,7 +145,8 @@ def _nurse_services(t: Tables) -> DataFrame:
     return t.staff.filter((F.col("role") == "nurse") & F.col("id_service").isNotNull()).select("id_service")
 
 
-def service_census(t: Tables, staff=None, ordered: bool = True, per_staff: bool = False) -> DataFrame:
+def service_census(t: Tables, staff=None, ordered: bool = True, per_staff: bool = False,
+                   matches: Column | None = None) -> DataFrame:
     """Patients now in a bed, with the newest health state of the stay.
 
     One row per active stay with a bed, keyed by service, for every service
@@ -161,10 +155,9 @@ def service_census(t: Tables, staff=None, ordered: bool = True, per_staff: bool
     nurses of one service never multiply its census.  ``per_staff=True``
     repeats the rows once per asking nurse (``id_staff`` first), the shape
     of a single nurse's answer; its size is nurses x census, so use it for a
-    bounded set of nurses.  Ordered by entry time, newest first."""
+    bounded set of nurses.  ``matches``: a condition on the patient columns,
+    applied before observations are read.  Ordered by entry time, newest first."""
     active = t.stay.filter(F.col("date_out").isNull() & F.col("id_room").isNotNull())
-    state = (newest_observation(t, stays=active.select("id_stay"))
-             .select("id_stay", F.col("state").alias("latest_state")))
     services = _nurse_services(t)
     nurses = None
     if staff is not None:
@@ -174,8 +167,13 @@ def service_census(t: Tables, staff=None, ordered: bool = True, per_staff: bool
         services = nurses.select("id_service")
     census = (with_bed_and_service(active, t, ["room_no", "bed_no"], how="inner")
                     .join(services, on="id_service", how="left_semi")
-                    .join(t.patient.select(*PATIENT_COLS), on="id_patient", how="inner")
-                    .join(state, on="id_stay", how="left"))
+                    .join(t.patient.select(*PATIENT_COLS), on="id_patient", how="inner"))
+    if matches is not None:
+        census = census.filter(matches)
+    # the observations of the rows asked for, not of every active stay
+    state = (newest_observation(t, stays=census.select("id_stay"), payload=["state"])
+             .select("id_stay", F.col("state").alias("latest_state")))
+    census = census.join(state, on="id_stay", how="left")
     cols = ["id_service", "service_name", *PATIENT_COLS, "id_stay", "date_in", "date_out",
             "id_room", "room_no", "bed_no", "latest_state"]
     first = "id_service"
@@ -198,7 +196,7 @@ def search_patients(t: Tables, term: str, staff=None, wildcards: bool = False) -
     """The census rows whose patient name or national id contains ``term``
     (case and accents ignored).  ``wildcards=True`` lets ``%`` and ``_`` in
     the term match any text / one character, as an unescaped LIKE does."""
-    return service_census(t, staff=staff, ordered=False).filter(name_or_nin_matches(term, wildcards))
+    return service_census(t, staff=staff, ordered=False, matches=name_or_nin_matches(term, wildcards))
 
 
 def search_patients_batch(t: Tables, terms: DataFrame, wildcards: bool = False) -> DataFrame:

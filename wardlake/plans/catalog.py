@@ -339,8 +339,8 @@ from ..sources import requests as rq  # noqa: E402
 
 BATCH_TS = "2024-02-01 00:00:00"  # fixed "now" of the registered change batches
 
-_EMPTY = "coalesce(trim({0}) IN ('', '0', 'false', '0.0'), true)"
-_DATE_SHAPE = "^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[1-2][0-9]|3[0-1])$"
+_EMPTY = "coalesce(trim({0}) IN ('', '0'), true)"
+_DATE_SHAPE = "^[0-9]{4}-[0-9][0-9]-[0-9][0-9]$"
 
 _ADMIT_SQL = f"""
 WITH req AS (SELECT event_id AS request_id, ts AS requested_at, CAST(user_id AS VARCHAR) AS id_patient_t,
@@ -355,6 +355,8 @@ c AS (SELECT r.*, CASE
         WHEN NOT coalesce(regexp_matches(r.date_t, '{_DATE_SHAPE}')
                           AND try_strptime(r.date_t, '%Y-%m-%d') IS NOT NULL, false) THEN 'invalid: date_in'
         WHEN p.id_patient IS NULL THEN 'unknown patient'
+        WHEN r.id_patient IN (SELECT id_patient FROM stay WHERE date_out IS NULL AND id_patient IS NOT NULL)
+          THEN 'already active'
         WHEN r.bed IS NOT NULL AND b.id_room IS NULL THEN 'unknown bed'
         WHEN r.bed IS NOT NULL AND NOT coalesce(b.available, false) THEN 'bed not free'
       END AS reason
@@ -370,8 +372,17 @@ acc AS (SELECT (SELECT max(id_stay) FROM stay) + row_number() OVER (ORDER BY req
 """
 
 
-def _admit(spark, sf_dir):
-    return changes.admit_existing(standin_tables(spark, sf_dir), rq.admission_requests(spark, sf_dir))
+# The source system's own behaviour: neither the bed nor an active stay is checked.
+_ADMIT_LENIENT_SQL = _ADMIT_SQL
+for _line in ("""        WHEN r.id_patient IN (SELECT id_patient FROM stay WHERE date_out IS NULL AND id_patient IS NOT NULL)
+          THEN 'already active'
+""", """        WHEN r.bed IS NOT NULL AND NOT coalesce(b.available, false) THEN 'bed not free'
+"""):
+    _ADMIT_LENIENT_SQL = _ADMIT_LENIENT_SQL.replace(_line, "")
+
+
+def _admit(spark, sf_dir, check_free=True):
+    return changes.admit_existing(standin_tables(spark, sf_dir), rq.admission_requests(spark, sf_dir), check_free)
 
 
 @register("admit_existing_rejects", with_standin(_ADMIT_SQL + """
@@ -381,32 +392,33 @@ def q_admit_rejects(spark, sf_dir):
     return _admit(spark, sf_dir).rejects
 
 
-@register("admit_existing_new_stays", with_standin(_ADMIT_SQL + "SELECT * FROM acc"))
+@register("admit_existing_new_stays", with_standin(_ADMIT_LENIENT_SQL + "SELECT * FROM acc"))
 def q_admit_new_stays(spark, sf_dir):
-    return _admit(spark, sf_dir).accepted
+    return _admit(spark, sf_dir, check_free=False).accepted
 
 
-@register("admit_existing_rooms", with_standin(_ADMIT_SQL + """
+@register("admit_existing_rooms", with_standin(_ADMIT_LENIENT_SQL + """
 SELECT id_room, id_service, room_no, bed_no,
        CASE WHEN id_room IN (SELECT id_room FROM acc WHERE id_room IS NOT NULL) THEN false ELSE available END
        AS available
 FROM room"""))
 def q_admit_rooms(spark, sf_dir):
-    return _admit(spark, sf_dir).tables.room
+    return _admit(spark, sf_dir, check_free=False).tables.room
 
 
 _DISCHARGE_SQL = f"""
-WITH cur AS (SELECT id_patient, id_stay, id_room FROM (
-    SELECT s.*, row_number() OVER (PARTITION BY id_patient ORDER BY date_in DESC NULLS LAST, id_stay DESC) AS rn
-    FROM stay s WHERE date_out IS NULL) WHERE rn = 1),
+WITH active AS (SELECT * FROM stay WHERE date_out IS NULL),
+per AS (SELECT id_patient, max(date_in) AS last_in FROM active GROUP BY id_patient),
 req AS (SELECT event_id AS request_id, ts AS requested_at, user_id AS id_patient,
                coalesce(TRY_CAST(strftime(ts, '%Y-%m-%d %H:%M:%S') AS TIMESTAMP),
                         TIMESTAMP '{BATCH_TS}') AS new_out
         FROM events WHERE event_type = 'purchase'),
-r AS (SELECT req.*, cur.id_stay, cur.id_room FROM req LEFT JOIN cur ON cur.id_patient = req.id_patient),
-w AS (SELECT r.*, row_number() OVER (PARTITION BY id_stay ORDER BY requested_at NULLS FIRST, request_id) AS rk
-      FROM r WHERE id_stay IS NOT NULL AND id_stay <> 0),
-done AS (SELECT * FROM w WHERE rk = 1)
+r AS (SELECT req.*, CASE WHEN per.id_patient IS NULL THEN 'no active stay'
+                         WHEN new_out < last_in THEN 'end before entry' END AS reason
+      FROM req LEFT JOIN per ON per.id_patient = req.id_patient),
+w AS (SELECT r.*, row_number() OVER (PARTITION BY id_patient ORDER BY requested_at NULLS FIRST, request_id) AS rk
+      FROM r WHERE reason IS NULL),
+done AS (SELECT a.id_stay, w.new_out FROM w JOIN active a ON a.id_patient = w.id_patient WHERE rk = 1)
 """
 
 
@@ -424,8 +436,7 @@ def q_discharge_stays(spark, sf_dir):
 
 
 @register("discharge_by_patient_rejects", with_standin(_DISCHARGE_SQL + """
-SELECT request_id, 'no active stay' AS reason FROM r WHERE id_stay IS NULL
-UNION ALL SELECT request_id, 'invalid: id_stay' FROM r WHERE id_stay = 0
+SELECT request_id, reason FROM r WHERE reason IS NOT NULL
 UNION ALL SELECT request_id, 'conflict' FROM w WHERE rk > 1"""))
 def q_discharge_rejects(spark, sf_dir):
     return _discharge(spark, sf_dir).rejects
@@ -444,6 +455,7 @@ c AS (SELECT r.*, s.id_room AS old_bed, CASE
         WHEN b.id_room IS NULL THEN 'unknown bed'
         WHEN st.id_service <> b.id_service THEN 'service mismatch'
         WHEN s.id_stay IS NULL THEN 'unknown stay'
+        WHEN s.date_out IS NOT NULL THEN 'not active'
         WHEN NOT coalesce(b.available, false) AND NOT coalesce(s.id_room = r.bed, false) THEN 'bed not free'
       END AS reason
       FROM r LEFT JOIN staff st ON st.id_staff = r.id_staff LEFT JOIN room b ON b.id_room = r.bed
@@ -477,7 +489,10 @@ def q_transfer_rooms(spark, sf_dir):
 
 
 def _clean_sql(c: str) -> str:
-    s = f"regexp_replace({c}, '<[^>]*>', '', 'g')"
+    s = f"regexp_replace({c}, '(?s)<!--.*?(-->|\\z)', '', 'g')"
+    part = """"[^"]*"|''[^'']*''|[^>"'']"""
+    first = """"[^"]*"|''[^'']*''|[^>"''[:space:]]"""
+    s = f"regexp_replace({s}, '(?s)<(?:{first})(?:{part})*(?:>|\\z)|<>', '', 'g')"
     for raw, esc in (("&", "&amp;"), ('"', "&quot;"), ("''", "&#039;"), ("<", "&lt;"), (">", "&gt;")):
         s = f"replace({s}, '{raw}', '{esc}')"
     return s
@@ -511,10 +526,11 @@ cl AS (
          coalesce(TRY_CAST(at_t AS TIMESTAMP), TIMESTAMP '{BATCH_TS}') AS observed_at
   FROM req),
 c AS (
-  SELECT cl.*, CASE WHEN cm > 0 THEN CAST(round(cm * 0.01, 2) AS DECIMAL(4,2)) ELSE 0.00 END AS height,
+  SELECT cl.*, CASE WHEN cm > 0 THEN TRY_CAST(round(cm * 0.01, 2) AS DECIMAL(4,2)) ELSE 0.00 END AS height,
          CASE
            WHEN temperature IS NULL AND temp_t IS NOT NULL THEN 'out of range: temperature'
            WHEN weight IS NULL AND weight_t IS NOT NULL THEN 'out of range: weight'
+           WHEN cm * 0.01 >= 99.995 THEN 'out of range: height'
            WHEN id_stay IS NULL OR id_nurse IS NULL OR state IS NULL OR blood_pressure IS NULL
                 OR temperature IS NULL OR heart_rate IS NULL OR spo2 IS NULL OR glucose IS NULL
                 OR weight IS NULL OR remark IS NULL THEN 'missing value'
@@ -554,11 +570,7 @@ def q_ingest_rejects(spark, sf_dir):
 from ..functions.cleaning import clean_text  # noqa: E402
 
 
-def _clean_text_sql(c: str) -> str:
-    s = f"regexp_replace({c}, '<[^>]*>', '', 'g')"
-    for raw, esc in (("&", "&amp;"), ('"', "&quot;"), ("''", "&#039;"), ("<", "&lt;"), (">", "&gt;")):
-        s = f"replace({s}, '{raw}', '{esc}')"
-    return s
+_clean_text_sql = _clean_sql
 
 
 @register("clean_pages", f"SELECT page_id, {_clean_text_sql('html')} AS text FROM pages")
@@ -595,7 +607,7 @@ def q_stream_newest_observation(spark, sf_dir):
                       F.col("l_partkey").alias("t_part"), F.col("l_suppkey").alias("t_supp"))
     ties = ("t_line", "t_part", "t_supp")
     out_dir = f"{checkpoint_dir(spark).rstrip('/')}/newest-obs-{uuid.uuid4().hex[:8]}"
-    st.start_newest_observation(spark, obs, out_dir, ties).awaitTermination()
+    st.start_newest_observation(spark, obs, out_dir, f"{out_dir}-state", ties).awaitTermination()
     return st.read_newest_observation(spark, out_dir, ties)
 
 
@@ -648,7 +660,9 @@ def q_set_availability_rooms(spark, sf_dir):
 
 
 @register("set_availability_rejects", with_standin(_AVAIL_SQL + """
-SELECT request_id, 'unknown bed' AS reason FROM req WHERE id_room NOT IN (SELECT id_room FROM room)"""))
+SELECT request_id, 'unknown bed' AS reason FROM req WHERE id_room NOT IN (SELECT id_room FROM room)
+UNION ALL SELECT request_id, 'superseded' FROM req
+WHERE id_room IN (SELECT id_room FROM room) AND request_id NOT IN (SELECT request_id FROM last)"""))
 def q_set_availability_rejects(spark, sf_dir):
     return _availability(spark, sf_dir).rejects
 
@@ -707,7 +721,8 @@ WITH req AS (
 dq AS (SELECT q.*, s.id_room AS old_bed, CASE
          WHEN q.id_stay = 0 THEN 'invalid: id_stay'
          WHEN s.id_stay IS NULL THEN 'unknown stay'
-         WHEN s.date_out IS NOT NULL THEN 'not active' END AS reason
+         WHEN s.date_out IS NOT NULL THEN 'not active'
+         WHEN q.new_out < s.date_in THEN 'end before entry' END AS reason
        FROM req q LEFT JOIN stay s ON s.id_stay = q.id_stay WHERE q.action = 'discharge'),
 dw AS (SELECT dq.*, row_number() OVER (PARTITION BY id_stay ORDER BY requested_at NULLS FIRST, request_id) AS rk
        FROM dq WHERE reason IS NULL),
@@ -723,7 +738,8 @@ rq AS (SELECT q.*, CASE
          WHEN NOT coalesce(q.bed > 0, false) THEN 'invalid: id_room'
          WHEN b.id_room IS NULL THEN 'unknown bed'
          WHEN NOT coalesce(b.available, false) THEN 'bed not free'
-         WHEN s.id_stay IS NULL THEN 'unknown stay' END AS reason
+         WHEN s.id_stay IS NULL THEN 'unknown stay'
+         WHEN s.date_out IS NULL THEN 'already active' END AS reason
        FROM req q LEFT JOIN room1 b ON b.id_room = q.bed LEFT JOIN stay1 s ON s.id_stay = q.id_stay
        WHERE q.action = 'reactivate'),
 rw AS (SELECT rq.*, row_number() OVER (PARTITION BY id_stay ORDER BY requested_at NULLS FIRST, request_id) AS rs,

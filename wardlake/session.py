@@ -19,6 +19,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -57,7 +58,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
             # one machine: a scratch folder is shared by "all executors"
             conf_dir = tempfile.mkdtemp(prefix="wardlake-ckpt-", dir=os.environ.get("WARDLAKE_TMP", "/tmp"))
         else:
-            # a cluster without a named folder: use the warehouse, which every executor can reach
-            conf_dir = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_wardlake_checkpoints"
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

@@ -46,32 +46,94 @@ class Tables:
         return self.replace(**{n: getattr(self, n).checkpoint(eager=True) for n in names})
 
 
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = _path(spark, path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def check_apart(spark: SparkSession, source: str, target: str) -> None:
+    """Refuse a target that is the source, lies in it or holds it: writing
+    there would destroy what is being read."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = (_path(spark, x).getFileSystem(conf).makeQualified(_path(spark, x)).toString().rstrip("/") + "/"
+            for x in (source, target))
+    if a.startswith(b) or b.startswith(a):
+        raise ValueError(f"the new version {target} must lie apart from the snapshot {source}")
+
+
+MANIFEST = "_manifest"
+
+
+def table_paths(spark: SparkSession, root: str) -> dict[str, str]:
+    """Where each table of a snapshot version lies: its manifest (one row per
+    table), else a folder per table under ``root``."""
+    paths = {n: f"{root}/{n}" for n in TABLE_NAMES}
+    if _exists(spark, f"{root}/{MANIFEST}"):
+        rows = spark.read.schema("name string, path string").json(f"{root}/{MANIFEST}").collect()
+        paths.update({r["name"]: r["path"] for r in rows})
+    return paths
+
+
 def read_snapshot(spark: SparkSession, root: str) -> Tables:
     """Read every table with its declared schema (never inferred)."""
-    dfs = {n: spark.read.schema(schemas.TABLE_SCHEMAS[n]).parquet(f"{root}/{n}") for n in TABLE_NAMES}
-    return Tables(**dfs)
+    return Tables(**{n: spark.read.schema(schemas.TABLE_SCHEMAS[n]).parquet(p)
+                     for n, p in table_paths(spark, root).items()})
 
 
-def write_snapshot(tables: Tables, root: str, mode: str = "errorifexists",
-                   partition_stays_by_month: bool = False) -> None:
-    """Write a snapshot version.  Stays may be partitioned by entry month so
-    that date filters prune whole folders."""
+def write_snapshot(tables: Tables, root: str, partition_stays_by_month: bool = False) -> None:
+    """Write a whole snapshot version into a new folder.  Stays may be
+    partitioned by entry month so that date filters prune whole folders."""
     for name, df in tables.as_dict().items():
-        writer = df.write.mode(mode)
+        writer = df.write.mode("errorifexists")
         if name == "stay" and partition_stays_by_month:
             from pyspark.sql import functions as F
             df = df.withColumn("in_month", F.date_format("date_in", "yyyy-MM"))
-            writer = df.write.mode(mode).partitionBy("in_month")
+            writer = df.write.mode("errorifexists").partitionBy("in_month")
         writer.parquet(f"{root}/{name}")
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, schema_name: str, **options) -> DataFrame:
-    """Keyed or full scan of a live relational table; the caller gives the
-    connection options (no account data lives in this library).  Columns are
-    renamed by position to our schema."""
-    df = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options).load()
+def write_version(tables: Tables, base: Tables, base_root: str, root: str) -> list[str]:
+    """Write the next version after ``base``: only the tables that a change
+    batch replaced; the others are named where they lie.  The manifest is
+    written last, so a version that failed half way has none and a repeated
+    write fails on the existing folder.  Returns the tables written."""
+    spark = tables.stay.sparkSession
+    check_apart(spark, base_root, root)
+    paths = table_paths(spark, base_root)
+    changed = [n for n in TABLE_NAMES if getattr(tables, n) is not getattr(base, n)]
+    for name in changed:
+        paths[name] = f"{root}/{name}"
+        getattr(tables, name).write.mode("errorifexists").parquet(paths[name])
+    (spark.createDataFrame(list(paths.items()), "name string, path string").coalesce(1)
+     .write.mode("errorifexists").json(f"{root}/{MANIFEST}"))
+    return changed
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, schema_name: str, columns: dict[str, str],
+              partition_column: str, lower: int, upper: int, partitions: int, **options) -> DataFrame:
+    """Scan of a live relational table in ``partitions`` ranges of its key
+    ``partition_column``; the caller gives the connection options (no account
+    data lives in this library).  ``columns`` maps our column names to the
+    table's; columns that aren't named, such as a password, are never read."""
     target = schemas.TABLE_SCHEMAS[schema_name]
-    return df.toDF(*[f.name for f in target.fields][: len(df.columns)])
+    unknown = set(columns) - {f.name for f in target.fields}
+    if unknown:
+        raise ValueError(f"not in {schema_name}: {sorted(unknown)}")
+    df = (spark.read.format("jdbc").option("url", url).option("dbtable", table)
+          .option("partitionColumn", partition_column).option("lowerBound", lower).option("upperBound", upper)
+          .option("numPartitions", partitions).options(**options).load())
+    return select_columns(df, schema_name, columns)
+
+
+def select_columns(df: DataFrame, schema_name: str, columns: dict[str, str]) -> DataFrame:
+    """``df`` in our schema: each column by name, cast; unnamed ones NULL."""
+    from pyspark.sql import functions as F
+    return df.select(*[(F.col(columns[f.name]) if f.name in columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                       for f in schemas.TABLE_SCHEMAS[schema_name].fields])
 
 
 # Bucketing keys: stays, observations and prescriptions meet on id_stay (the

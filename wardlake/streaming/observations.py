@@ -13,7 +13,6 @@ watermark: the maximum is taken by event time, not arrival time.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,12 +21,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..operators import changes
-from ..session import checkpoint_dir
-from ..sources.snapshot import Tables
-
-
-def _stream_checkpoint(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:8]}"
+from ..sources.snapshot import Tables, _exists as path_exists
 
 
 # ---------------------------------------------------------------- ST1
@@ -48,13 +42,12 @@ def ingest_batch(t: Tables, batch: DataFrame, batch_id: int, out_dir: str, batch
     batch = batch.persist()
     try:
         malformed = batch.filter(F.col("_corrupt_record").isNotNull()).select(
-            "request_id", F.lit("malformed").alias("reason"))
+            "request_id", F.lit("malformed").alias("reason"), F.col("_corrupt_record").alias("text"))
         good = batch.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-        try:
-            counts = spark.read.parquet(f"{out_dir}/counts")
+        before = F.lit(0)
+        if path_exists(spark, f"{out_dir}/counts"):  # else this is the first batch
+            counts = spark.read.schema("n bigint, batch_id bigint").parquet(f"{out_dir}/counts")
             before = counts.filter(F.col("batch_id") < batch_id).agg(F.sum("n")).scalar()
-        except Exception:  # first batch: no counts yet
-            before = F.lit(0)
         base = F.lit(base_id) + F.coalesce(before, F.lit(0))
         res = changes.ingest_observations(t, good, batch_ts, id_base=base)
         accepted = res.accepted.persist()
@@ -64,17 +57,20 @@ def ingest_batch(t: Tables, batch: DataFrame, batch_id: int, out_dir: str, batch
                 f"{out_dir}/counts/batch_id={batch_id}")
         finally:
             accepted.unpersist()
-        res.rejects.unionByName(malformed).write.mode("overwrite").parquet(f"{out_dir}/rejects/batch_id={batch_id}")
+        res.rejects.withColumn("text", F.lit(None).cast("string")).unionByName(malformed).write.mode("overwrite").parquet(f"{out_dir}/rejects/batch_id={batch_id}")
     finally:
         batch.unpersist()
 
 
 def start_observation_ingest(spark: SparkSession, t: Tables, in_folder: str, out_dir: str, batch_ts: str,
-                             available_now: bool = True):
+                             checkpoint: str, available_now: bool = True):
+    """Start ST1.  ``checkpoint`` is the stream's own lasting folder: a start
+    with the same one goes on behind the last finished batch; with another one
+    the whole folder is read again."""
     # the snapshot's greatest id, taken once (one number) rather than per batch
     base_id = (t.observation.agg(F.max("id_obs")).first()[0] or 0) if "id_obs" in t.observation.columns else 0
     stream = read_observation_requests(spark, in_folder)
-    writer = (stream.writeStream.option("checkpointLocation", _stream_checkpoint(spark, "obs-ingest"))
+    writer = (stream.writeStream.option("checkpointLocation", checkpoint)
                     .foreachBatch(lambda df, bid: ingest_batch(t, df, bid, out_dir, batch_ts, base_id)))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
@@ -92,16 +88,16 @@ def newest_observation_stream(obs: DataFrame, ties: Sequence[str] = ("id_obs",),
     return obs.groupBy("id_stay").agg(top).select("id_stay", *[F.col("_top").getField(c).alias(c) for c in fields])
 
 
-def start_newest_observation(spark: SparkSession, source: DataFrame, out_dir: str,
+def start_newest_observation(spark: SparkSession, source: DataFrame, out_dir: str, checkpoint: str,
                              ties: Sequence[str] = ("id_obs",), available_now: bool = True):
-    """Run ST2 in update mode: every micro-batch writes the stays whose
+    """Run ST2 in update mode (``checkpoint``: the stream's own lasting folder): every micro-batch writes the stays whose
     newest observation changed to ``out_dir/batch_id=<n>`` (overwrite, so a
     replayed batch is idempotent).  Nothing is collected on the driver."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
     writer = (newest_observation_stream(source, ties).writeStream.outputMode("update")
-              .option("checkpointLocation", _stream_checkpoint(spark, "newest-obs")).foreachBatch(write))
+              .option("checkpointLocation", checkpoint).foreachBatch(write))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
 
@@ -111,3 +107,10 @@ def read_newest_observation(spark: SparkSession, out_dir: str, ties: Sequence[st
     greatest per stay wins (the same aggregate once more)."""
     rows = spark.read.parquet(out_dir).drop("batch_id")
     return newest_observation_stream(rows, ties)
+
+
+def compact_newest_observation(spark: SparkSession, out_dir: str, target: str, ties: Sequence[str] = ("id_obs",)) -> None:
+    """Write the current answer as one table into a new folder.  A stream that
+    is started anew on what arrives later, with its own output folder, then
+    needs no older batch: the two answers are merged by the same aggregate."""
+    read_newest_observation(spark, out_dir, ties).write.mode("errorifexists").parquet(target)
