@@ -138,7 +138,7 @@ def test_observations(spark, seed):
     assert acc[1].id_obs == 9 and acc[4].id_obs == 10
     assert res.tables.observation.count() == 10
     strict = changes.ingest_observations(seed, req, BATCH, strict=True)
-    assert (4, "missing value") in rows(strict.rejects, "request_id", "reason")
+    assert (4, "missing: height") in rows(strict.rejects, "request_id", "reason")
 
 
 def test_amend_and_prescriptions(spark, seed):

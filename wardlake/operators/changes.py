@@ -42,9 +42,9 @@ class ChangeResult:
     rejects: DataFrame
 
 
-def _reason(*pairs: tuple[Column, str]) -> Column:
+def _reason(*pairs: tuple[Column, str | Column]) -> Column:
     """First failing check's reason (checks given as (is_bad, reason))."""
-    return F.coalesce(*[F.when(bad, F.lit(r)) for bad, r in pairs])
+    return F.coalesce(*[F.when(bad, r if isinstance(r, Column) else F.lit(r)) for bad, r in pairs])
 
 
 def _named(t_df: DataFrame, t_col: str, df: DataFrame, col: str) -> DataFrame:
@@ -416,7 +416,7 @@ def clean_observations(requests: DataFrame, batch_ts: str, strict: bool = False)
         X.height_m("height", strict=strict).alias("height"),
         X.parse_timestamp(F.col("observed_at"), batch_ts).alias("observed_at"),
         *[F.col(c).alias("_raw_" + c) for c in ("temperature", "glucose", "weight", "height")],
-        *([X.first_missing(OBS_REQUIRED).alias("_missing")] if strict else []),
+        *([F.coalesce(*[F.when(val(c).isNull(), F.lit(c)) for c in OBS_REQUIRED]).alias("_missing")] if strict else []),
     )
 
 
@@ -432,7 +432,7 @@ def ingest_observations(t: Tables, requests: DataFrame, batch_ts: str, strict: b
                 "glucose", "weight", "height", "remark"]
     checks = []
     if strict:
-        checks.append((F.col("_missing").isNotNull(), "missing field"))
+        checks.append((F.col("_missing").isNotNull(), F.concat(F.lit("missing: "), F.col("_missing"))))
     for col in ("temperature", "glucose", "weight"):
         checks.append((F.col(col).isNull() & F.col("_raw_" + col).isNotNull(), f"out of range: {col}"))
     checks.append((F.coalesce(F.col("height").isNull() & (X.number_prefix("_raw_height") > 0), F.lit(False)),

@@ -92,7 +92,7 @@ def violations(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFra
     flagged = df
     tests: list[tuple[str, Column]] = []
     for i, rule in enumerate(rules):
-        flag = f"_v{i}"
+        flag = f"_rule_{i}_flag"
         if rule.kind == "primary_key":
             keys = list(rule.cols)
             dup = (df.groupBy(*keys).count().filter(F.col("count") > 1)
@@ -105,28 +105,35 @@ def violations(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFra
         elif rule.kind == "foreign_key":
             col = rule.cols[0]
             parent, pcol = rule.arg
-            # a probe name only the outer side has, so the reference cannot bind inside
-            probe, key = f"_vprobe{i}", f"_vkey{i}"
-            keys = parent.select(F.col(pcol).alias(key))
-            flagged = (flagged.withColumn(probe, F.col(col))
-                              .withColumn(flag, keys.where(F.col(key) == F.col(probe).outer()).exists()))
+            probe, key = f"_rule_{i}_probe", f"_rule_{i}_parent"
+            # the parent's distinct keys, joined once; unlike an existence join,
+            # a left join lets AQE split a child key that very many rows hold
+            keys = parent.select(F.col(pcol).alias(key)).where(F.col(key).isNotNull()).distinct()
+            flagged = (flagged.withColumn(probe, F.col(col)).join(keys, F.col(probe) == F.col(key), "left")
+                              .withColumn(flag, F.col(key).isNotNull()))
             tests.append((rule.reason, F.col(col).isNotNull() & ~F.col(flag)))
         elif rule.kind == "unique":
             col = rule.cols[0]
-            key = f"_k{i}"
+            key = f"_rule_{i}_key"
             flagged = flagged.withColumn(key, F.lower(F.col(col)))
             flagged = flag_first_per_key(flagged, [key], [rule.arg], flag)
             tests.append((rule.reason, ~F.col(flag)))
         else:
             tests.append((rule.reason, _row_test(rule)))
     reason = F.coalesce(*[F.when(t, F.lit(r)) for r, t in tests]) if tests else F.lit(None).cast("string")
-    helper = [c for c in flagged.columns if c.startswith("_v") or c.startswith("_k")]
+    helper = [c for c in flagged.columns if c not in df.columns]
     out = flagged.withColumn("reason", reason).drop(*helper)
     good = out.filter(F.col("reason").isNull()).drop("reason")
     bad = out.filter(F.col("reason").isNotNull())
     return good, bad
 
 
+# The observation columns that may not be missing, and the decimal columns' sizes.
+OBS_NOT_NULL = ("id_stay", "id_nurse", "state", "blood_pressure", "temperature", "heart_rate", "spo2", "glucose", "weight",
+                "height", "remark")
+OBS_DECIMALS = {"temperature": (5, 2), "glucose": (3, 1), "weight": (5, 2), "height": (4, 2)}
+
+
 def default_rules(t: Tables) -> dict[str, list[Rule]]:
     """The source schema's constraints for each table."""
     lim = schemas.TEXT_LIMITS
@@ -147,13 +154,15 @@ def default_rules(t: Tables) -> dict[str, list[Rule]]:
         "stay": [primary_key("id_stay"), not_null("id_patient"),
                  foreign_key("id_patient", t.patient), foreign_key("id_room", t.room)],
         "prescription": ([primary_key(*presc_key)] if presc_key else [])
-                        + [not_null("id_stay", "drug", "dose", "frequency"), foreign_key("id_stay", t.stay)]
+                        + [not_null("id_stay", "drug", "dose", "frequency"), foreign_key("id_stay", t.stay),
+                           int_range("dose", -2**31, 2**31 - 1), int_range("frequency", -2**31, 2**31 - 1)]
                         + [max_length(c, n) for c, n in lim["prescription"].items()
                            if c in t.prescription.columns],
-        "observation": [primary_key(*obs_key), not_null("id_stay", "id_nurse", "state"),
+        "observation": [primary_key(*obs_key), not_null(*[c for c in OBS_NOT_NULL if c in t.observation.columns]),
                         foreign_key("id_stay", t.stay),
-                        foreign_key("id_nurse", t.staff, "id_staff"),
-                        fits_decimal("temperature", 5, 2)]
+                        foreign_key("id_nurse", t.staff, "id_staff")]
+                       + [fits_decimal(c, p, s) for c, (p, s) in OBS_DECIMALS.items() if c in t.observation.columns]
+                       + [int_range(c, -2**31, 2**31 - 1) for c in ("heart_rate", "spo2") if c in t.observation.columns]
                        + [max_length(c, n) for c, n in lim["observation"].items()
                           if c in t.observation.columns],
     }

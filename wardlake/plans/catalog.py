@@ -263,11 +263,12 @@ _RULES_SQL = {
                          ("fk", "id_patient", "patient", "id_patient"), ("fk", "id_room", "room", "id_room")]),
     "prescription": ("id_stay,p_line,p_part,p_supp,p_qty",
                      [("nn", ["id_stay", "drug", "dose", "frequency"]), ("fk", "id_stay", "stay", "id_stay"),
-                      ("len", "drug", 30), ("len", "instructions", 100)]),
+                      ("int", "dose"), ("int", "frequency"), ("len", "drug", 30), ("len", "instructions", 100)]),
     "observation": ("id_stay,t_line,t_part,t_supp",
-                    [("pk", ["id_stay", "t_line", "t_part", "t_supp"]), ("nn", ["id_stay", "id_nurse", "state"]),
+                    [("pk", ["id_stay", "t_line", "t_part", "t_supp"]),
+                     ("nn", ["id_stay", "id_nurse", "state", "blood_pressure", "temperature", "heart_rate"]),
                      ("fk", "id_stay", "stay", "id_stay"), ("fk", "id_nurse", "staff", "id_staff"),
-                     ("dec", "temperature", 5, 2), ("len", "state", 30), ("len", "blood_pressure", 20)]),
+                     ("dec", "temperature", 5, 2), ("int", "heart_rate"), ("len", "state", 30), ("len", "blood_pressure", 20)]),
 }
 
 
@@ -302,6 +303,9 @@ def _violation_sql(table: str) -> str:
             _, col, p, s = r
             cases.append((f"x.{col} IS NOT NULL AND TRY_CAST(CAST(x.{col} AS VARCHAR) AS DECIMAL({p},{s})) IS NULL",
                           f"decimal_range:{col}"))
+        elif kind == "int":
+            cases.append((f"x.{r[1]} IS NOT NULL AND TRY_CAST(CAST(x.{r[1]} AS VARCHAR) AS INTEGER) IS NULL",
+                          f"int_range:{r[1]}"))
     reason = "coalesce(" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for c, n in cases) + ")"
     row_key = "concat_ws('/', " + ", ".join(f"CAST(x.{k} AS VARCHAR)" for k in key.split(",")) + ")"
     return (f"SELECT * FROM (SELECT '{table}' AS table_name, {row_key} AS row_key, {reason} AS reason "
@@ -921,3 +925,129 @@ def q_staff_table_violations(spark, sf_dir):
     _, bad = checks.violations(staff_like, checks.default_rules(t)["staff"])
     return bad.select(F.lit("staff_req").alias("table_name"), F.col("id_staff").cast("string").alias("row_key"),
                       "reason")
+
+
+# ------------------------------------------------------------------ C4, C7 on an observation table with violations
+_RULES_SQL["obs_broken"] = ("id_obs", [
+    ("pk", ["id_obs"]), ("nn", ["id_stay", "id_nurse", "state", "blood_pressure", "temperature", "heart_rate", "spo2", "glucose",
+                                "weight", "height", "remark"]),
+    ("fk", "id_stay", "stay", "id_stay"), ("fk", "id_nurse", "staff", "id_staff"), ("dec", "temperature", 5, 2),
+    ("dec", "glucose", 3, 1), ("dec", "weight", 5, 2), ("dec", "height", 4, 2), ("int", "heart_rate"), ("int", "spo2"),
+    ("len", "state", 30), ("len", "blood_pressure", 20)])
+_OBS_BROKEN = {
+    "id_obs": "event_id", "id_stay": "event_id % 900", "id_nurse": "CAST(user_id % 120 AS BIGINT)",
+    "state": "CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN repeat('s', 31) ELSE 'ok' END",
+    "blood_pressure": "CASE WHEN event_id % 17 = 0 THEN repeat('1', 21) ELSE '120/80' END",
+    "temperature": "CAST(CASE WHEN event_id % 7 = 0 THEN 1000 ELSE 37 END AS DOUBLE)", "heart_rate": "CAST(80 AS BIGINT)",
+    "spo2": "CASE WHEN event_id % 19 = 0 THEN CAST(3000000000 AS BIGINT) ELSE CAST(97 AS BIGINT) END",
+    "glucose": "CAST(CASE WHEN event_id % 5 = 0 THEN 999.9 ELSE 5.5 END AS DOUBLE)", "weight": "CAST(70 AS DOUBLE)",
+    "height": "CAST(CASE WHEN event_id % 23 = 0 THEN 170 ELSE 1.7 END AS DOUBLE)",
+    "remark": "CASE WHEN event_id % 29 = 0 THEN NULL ELSE event_type END"}
+
+
+@register("observation_table_violations", with_standin("WITH obs_broken AS (SELECT " + ", ".join(
+    f"{e} AS {c}" for c, e in _OBS_BROKEN.items()) + " FROM events) " + _violation_sql("obs_broken")))
+def q_observation_table_violations(spark, sf_dir):
+    """The observation rules on a table from the event feed in which every
+    kind of rule is broken."""
+    t = standin_tables(spark, sf_dir)
+    obs = read_table(spark, sf_dir, "events").select(*[F.expr(e).alias(c) for c, e in _OBS_BROKEN.items()])
+    rules = checks.default_rules(t.replace(observation=obs, obs_ties=("id_obs",)))["observation"]
+    _, bad = checks.violations(obs, rules)
+    return bad.select(F.lit("obs_broken").alias("table_name"), F.col("id_obs").cast("string").alias("row_key"), "reason")
+
+
+# ------------------------------------------------------------------ C9, C8
+@register("service_removal_and_rename", with_standin("""
+SELECT id_staff, CASE WHEN id_service % 5 = 0 THEN NULL WHEN id_service % 5 = 1 THEN id_service + 1000 ELSE id_service END
+       AS id_service, coalesce(CASE WHEN id_staff % 7 = 0 THEN NULL ELSE role END, 'nurse') AS role
+FROM staff"""))
+def q_service_removal_and_rename(spark, sf_dir):
+    """Services ending in 0 or 5 go, those ending in 1 or 6 get a new key:
+    what becomes of their staff; a missing role is filled by its default."""
+    t = standin_tables(spark, sf_dir)
+    staff = t.staff.select("id_staff", "id_service", F.when(F.col("id_staff") % 7 != 0, F.col("role")).alias("role"))
+    staff = checks.cascade_service_delete(staff, t.service.where("id_service % 5 = 0"))
+    renames = t.service.where("id_service % 5 = 1").selectExpr("id_service", "id_service + 1000 AS new_id_service")
+    return checks.fill_defaults(checks.cascade_service_rename(staff, renames), {"role": "nurse"})
+
+
+# ------------------------------------------------------------------ S3, S4
+from pyspark.sql import types as T  # noqa: E402
+
+from ..sources import sinks  # noqa: E402
+
+
+@register("json_decode_encode", """
+SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+       '{"event_id":' || event_id || ',"k":' || coalesce(json_extract_string(props, '$.k'), 'null') || ',"none":null}' AS answer
+FROM events""")
+def q_json_decode_encode(spark, sf_dir):
+    """The JSON of the event feed, decoded to a typed column and encoded as
+    an answer that keeps NULLs."""
+    ev = rq.decode_json_column(read_table(spark, sf_dir, "events"), "props", T.StructType([T.StructField("k", T.IntegerType())]))
+    ev = ev.select("event_id", "k", F.lit(None).cast("int").alias("none"))
+    return ev.select("event_id", "k", sinks.answer_json(ev).alias("answer"))
+
+
+# ------------------------------------------------------------------ M9s with F13, X14
+_OBS_STRICT_SQL = _OBS_SQL.replace("  SELECT request_id, requested_at,\n         TRY_CAST(trim(", """  SELECT request_id, requested_at,
+         CASE WHEN trim(id_stay_t) IN ('', '0') THEN 'missing: id_stay' WHEN trim(id_nurse_t) IN ('', '0') THEN 'missing: id_nurse'
+              WHEN trim(temp_t) IN ('', '0') THEN 'missing: temperature' WHEN trim(weight_t) IN ('', '0') THEN 'missing: weight'
+              WHEN trim(height_t) IN ('', '0') THEN 'missing: height' END AS missing,
+         TRY_CAST(trim(""", 1).replace("  SELECT cl.*, CASE WHEN cm > 0", "  SELECT cl.* EXCLUDE (missing), CASE WHEN cm > 0", 1).replace(
+    "DECIMAL(4,2)) ELSE 0.00 END AS height,\n         CASE\n", "DECIMAL(4,2)) END AS height,\n         CASE\n           WHEN missing IS NOT NULL THEN missing\n", 1).replace(
+    "OR weight IS NULL OR remark IS NULL", "OR weight IS NULL OR remark IS NULL OR NOT coalesce(cm > 0, false)", 1)
+
+
+@register("ingest_observations_strict_rejects", with_standin(_OBS_STRICT_SQL + """
+SELECT request_id, reason FROM c WHERE reason IS NOT NULL"""))
+def q_ingest_strict_rejects(spark, sf_dir):
+    return changes.ingest_observations(standin_tables(spark, sf_dir), rq.observation_requests(spark, sf_dir), BATCH_TS,
+                                       strict=True).rejects
+
+
+# ------------------------------------------------------------------ M11
+_PRESC_SQL = """
+WITH presc AS (SELECT o_orderkey AS id_prescription, o_orderkey AS id_stay, o_orderpriority AS drug, 1 AS dose, 1 AS frequency,
+                      CAST(NULL AS VARCHAR) AS instructions FROM orders),
+req AS (SELECT event_id AS request_id, ts AS requested_at,
+               CASE event_id % 5 WHEN 0 THEN 'delete' WHEN 1 THEN 'insert' ELSE 'update' END AS action,
+               event_id % 40 AS pid, event_id AS sid, 'd' || event_id AS drug FROM events WHERE event_type = 'click'),
+c AS (SELECT *, CASE WHEN action = 'insert' AND sid NOT IN (SELECT id_stay FROM stay) THEN 'unknown stay'
+                     WHEN action <> 'insert' AND pid NOT IN (SELECT id_prescription FROM presc) THEN 'unknown prescription' END AS reason
+      FROM req),
+e AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY requested_at NULLS FIRST, request_id) AS rn
+      FROM c WHERE reason IS NULL AND action <> 'insert'),
+g AS (SELECT *, min(CASE WHEN action = 'delete' THEN rn END) OVER (PARTITION BY pid) AS gone FROM e),
+l AS (SELECT *, rn > coalesce(gone, rn) AS late,
+             max(CASE WHEN rn <= coalesce(gone, rn) THEN rn END) OVER (PARTITION BY pid) AS last_rn FROM g),
+ins AS (SELECT (SELECT max(id_prescription) FROM presc)
+               + row_number() OVER (ORDER BY requested_at NULLS FIRST, request_id) AS id_prescription, sid, drug
+        FROM c WHERE reason IS NULL AND action = 'insert')
+"""
+
+
+def _presc_changes(spark, sf_dir):
+    t = standin_tables(spark, sf_dir)
+    presc = read_table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id_prescription"), F.col("o_orderkey").alias("id_stay"), F.col("o_orderpriority").alias("drug"),
+        F.lit(1).alias("dose"), F.lit(1).alias("frequency"), F.lit(None).cast("string").alias("instructions"))
+    return changes.prescription_changes(t.replace(prescription=presc, presc_order=("id_prescription",)),
+                                        rq.prescription_requests(spark, sf_dir))
+
+
+@register("prescription_changes_rejects", with_standin(_PRESC_SQL + """
+SELECT request_id, reason FROM c WHERE reason IS NOT NULL
+UNION ALL SELECT request_id, CASE WHEN late THEN 'unknown prescription' ELSE 'superseded' END FROM l WHERE late OR rn <> last_rn"""))
+def q_prescription_rejects(spark, sf_dir):
+    return _presc_changes(spark, sf_dir).rejects
+
+
+@register("prescription_changes_table", with_standin(_PRESC_SQL + """
+SELECT p.id_prescription, p.id_stay, coalesce(u.drug, p.drug) AS drug, p.dose, CASE WHEN u.pid IS NULL THEN 1 ELSE 2 END AS frequency
+FROM presc p LEFT JOIN (SELECT * FROM l WHERE rn = last_rn AND action = 'update') u ON u.pid = p.id_prescription
+WHERE p.id_prescription NOT IN (SELECT pid FROM l WHERE rn = last_rn AND action = 'delete')
+UNION ALL SELECT id_prescription, sid, drug, 1, 2 FROM ins"""))
+def q_prescription_table(spark, sf_dir):
+    return _presc_changes(spark, sf_dir).tables.prescription.select("id_prescription", "id_stay", "drug", "dose", "frequency")

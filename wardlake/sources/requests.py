@@ -92,22 +92,6 @@ def observation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def malformed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``error`` events stand for request lines that could not be read."""
-    ev = _events(spark, sf_dir, "error")
-    return ev.select(F.col("event_id").alias("request_id"), F.col("props").alias("payload"),
-                     F.lit("malformed").alias("reason"))
-
-
-REQUEST_SCHEMAS = {
-    "admit_new": schemas.ADMIT_NEW_REQ, "update_patient": schemas.UPDATE_PATIENT_REQ,
-    "admit_existing": schemas.ADMIT_EXISTING_REQ, "transfer": schemas.TRANSFER_REQ,
-    "status": schemas.STATUS_REQ, "discharge_patient": schemas.DISCHARGE_PATIENT_REQ,
-    "availability": schemas.AVAILABILITY_REQ, "observation": schemas.OBSERVATION_REQ,
-    "prescription": schemas.PRESCRIPTION_REQ, "staff": schemas.STAFF_REQ,
-}
-
-
 def availability_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``error`` events: set bed ``event_id % 100`` free ('yes') when the
     event value is above 25, taken ('no') otherwise."""
@@ -176,3 +160,14 @@ def patient_update_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.lit(None).cast("string").alias("phone"), F.lit("A+").alias("blood_group"),
                      F.when(e % 3 == 0, F.lit("")).otherwise((e % 100).cast("string")).alias("id_room"),
                      F.when(e % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("admission_date"))
+
+
+def prescription_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``click`` events as edits of prescription ``event_id % 40``: every fifth
+    deletes, every fifth inserts one for stay ``event_id``, the rest update."""
+    ev = _events(spark, sf_dir, "click")
+    k = F.col("event_id")
+    action = F.when(k % 5 == 0, "delete").when(k % 5 == 1, "insert").otherwise("update")
+    return ev.select(*_base(ev), action.alias("action"), (k % 40).cast("string").alias("id_prescription"),
+                     k.cast("string").alias("id_stay"), F.concat(F.lit("d"), k.cast("string")).alias("drug"),
+                     F.lit("1").alias("dose"), F.lit("2").alias("frequency"), F.lit(None).cast("string").alias("instructions"))
