@@ -45,8 +45,24 @@ def test_hot_bed_first_request(spark):
         F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 50 + 2).alias("bed"))
     flagged = flag_first_per_key(req, ["bed"], ["requested_at", "request_id"], "first")
     assert "Window" not in _plan(flagged)
+    # the winners come back on the request, not on the hot bed
+    keys = [x for x in _plan(flagged).splitlines() if x.startswith("Left keys")]
+    assert keys and all("request_id" in x and "bed" not in x for x in keys)
     winners = {r.bed: r.request_id for r in flagged.filter("first").collect()}
     assert len(winners) == 51
     hot = req.filter("bed = 1").orderBy("requested_at", "request_id").first()
     assert winners[1] == hot.request_id
     assert flagged.count() == n  # every request kept
+
+
+def test_hot_foreign_key(spark):
+    """A third of the rows name one parent; the wide rows are not shuffled by that key."""
+    from wardlake.operators import checks
+    child = spark.range(0, 60_000, 1, 8).select(
+        "id", F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 500).cast("bigint").alias("id_stay"),
+        F.lit("long remark").alias("remark"))
+    parent = spark.range(0, 490).select(F.col("id").alias("id_stay"))
+    good, bad = checks.violations(child, [checks.foreign_key("id_stay", parent)])
+    assert bad.count() == child.where("id_stay >= 490").count() > 0
+    assert good.count() + bad.count() == 60_000 and good.columns == child.columns
+    assert not any("Exchange" in x and "remark" in x for x in _plan(bad).splitlines())

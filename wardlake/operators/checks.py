@@ -106,12 +106,14 @@ def violations(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFra
             col = rule.cols[0]
             parent, pcol = rule.arg
             probe, key = f"_rule_{i}_probe", f"_rule_{i}_parent"
-            # the parent's distinct keys, joined once; unlike an existence join,
-            # a left join lets AQE split a child key that very many rows hold
-            keys = parent.select(F.col(pcol).alias(key)).where(F.col(key).isNotNull()).distinct()
-            flagged = (flagged.withColumn(probe, F.col(col)).join(keys, F.col(probe) == F.col(key), "left")
-                              .withColumn(flag, F.col(key).isNotNull()))
-            tests.append((rule.reason, F.col(col).isNotNull() & ~F.col(flag)))
+            # the child's distinct keys (combined before the shuffle, so a key that very
+            # many rows hold is one row) against the parent, scanned once; the keys that
+            # are missing there are few or none, and only they meet the whole child again
+            missing = (df.select(F.col(col).alias(key)).where(F.col(key).isNotNull()).distinct()
+                         .join(parent.select(F.col(pcol).alias(probe)), F.col(key) == F.col(probe), "left_anti")
+                         .withColumn(flag, F.lit(True)))
+            flagged = flagged.join(missing, F.col(col) == F.col(key), "left")
+            tests.append((rule.reason, F.coalesce(F.col(flag), F.lit(False))))
         elif rule.kind == "unique":
             col = rule.cols[0]
             key = f"_rule_{i}_key"
