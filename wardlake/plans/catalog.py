@@ -1051,3 +1051,19 @@ WHERE p.id_prescription NOT IN (SELECT pid FROM l WHERE rn = last_rn AND action
 UNION ALL SELECT id_prescription, sid, drug, 1, 2 FROM ins"""))
 def q_prescription_table(spark, sf_dir):
     return _presc_changes(spark, sf_dir).tables.prescription.select("id_prescription", "id_stay", "drug", "dose", "frequency")
+
+
+# ------------------------------------------------------------------ ST1
+@register("stream_ingest_observations", with_standin(_OBS_SQL + """
+SELECT request_id, id_stay, id_nurse, state, remark, observed_at FROM c WHERE reason IS NULL"""))
+def q_stream_ingest_observations(spark, sf_dir):
+    """The vitals feed as JSON files through the streaming ingest, one file a
+    micro-batch: the accepted rows equal the batch answer."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    root = f"{checkpoint_dir(spark)}/st1-{uuid.uuid4().hex}"
+    rq.observation_requests(spark, sf_dir).repartitionByRange(3, "request_id").write.json(f"{root}/in")
+    st.start_observation_ingest(spark, standin_tables(spark, sf_dir), f"{root}/in", f"{root}/out", BATCH_TS, f"{root}/state",
+                                max_files=1).awaitTermination()
+    return spark.read.parquet(f"{root}/out/accepted").select("request_id", "id_stay", "id_nurse", "state", "remark", "observed_at")

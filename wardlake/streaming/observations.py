@@ -25,10 +25,14 @@ from ..sources.snapshot import Tables, _exists as path_exists
 
 
 # ---------------------------------------------------------------- ST1
-def read_observation_requests(spark: SparkSession, folder: str) -> DataFrame:
+def read_observation_requests(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
+    """The request stream of a folder, at most ``max_files`` files a micro-batch."""
     schema = T.StructType(schemas.OBSERVATION_REQ.fields + [T.StructField("_corrupt_record", T.StringType())])
-    return (spark.readStream.schema(schema).option("mode", "PERMISSIVE")
-                 .option("columnNameOfCorruptRecord", "_corrupt_record").json(folder))
+    reader = (spark.readStream.schema(schema).option("mode", "PERMISSIVE")
+                   .option("columnNameOfCorruptRecord", "_corrupt_record"))
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.json(folder)
 
 
 def ingest_batch(t: Tables, batch: DataFrame, batch_id: int, out_dir: str, batch_ts: str, base_id: int) -> None:
@@ -63,13 +67,13 @@ def ingest_batch(t: Tables, batch: DataFrame, batch_id: int, out_dir: str, batch
 
 
 def start_observation_ingest(spark: SparkSession, t: Tables, in_folder: str, out_dir: str, batch_ts: str,
-                             checkpoint: str, available_now: bool = True):
+                             checkpoint: str, available_now: bool = True, max_files: int | None = None):
     """Start ST1.  ``checkpoint`` is the stream's own lasting folder: a start
     with the same one goes on behind the last finished batch; with another one
     the whole folder is read again."""
     # the snapshot's greatest id, taken once (one number) rather than per batch
     base_id = (t.observation.agg(F.max("id_obs")).first()[0] or 0) if "id_obs" in t.observation.columns else 0
-    stream = read_observation_requests(spark, in_folder)
+    stream = read_observation_requests(spark, in_folder, max_files)
     writer = (stream.writeStream.option("checkpointLocation", checkpoint)
                     .foreachBatch(lambda df, bid: ingest_batch(t, df, bid, out_dir, batch_ts, base_id)))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
