@@ -183,7 +183,7 @@ def test_dual_coordinate_descent_is_optimal():
     x = rng.standard_normal((60, 4))
     y = np.where(x[:, 0] + 0.5 * x[:, 1] + 0.1 * rng.standard_normal(60) > 0, 1.0, -1.0)
     idx = [np.arange(4)] * 60
-    w, b = nbsvm.dual_coordinate_descent(idx, list(x), y, 4, np.ones(60), epochs=500)
+    w, b = nbsvm.dual_coordinate_descent(idx, x.__getitem__, y, 4, np.ones(60), epochs=500)
 
     def loss(v):
         return 0.5 * v @ v + np.maximum(0, 1 - y * (x @ v[:4] + v[4])).sum()

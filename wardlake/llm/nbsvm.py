@@ -61,21 +61,22 @@ def features_of(memo: WordHash, text: str | None) -> np.ndarray:
     return np.unique(np.concatenate(parts)).astype(np.int64)
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, n: int,
+def dual_coordinate_descent(rows: list[np.ndarray], value, y: np.ndarray, n: int,
                             cost: np.ndarray, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
     """Hinge-loss linear model: min |w|^2/2 + sum cost_i max(0, 1 - y_i (w x_i + b)); the bias is
-    a feature of value 1."""
+    a feature of value 1. ``value(i)`` has the values of the features ``rows[i]``."""
     w, b, alpha = np.zeros(n), 0.0, np.zeros(len(rows))
-    q = np.array([float(v @ v) + 1.0 for v in values])
+    q = np.array([float(v @ v) + 1.0 for v in map(value, range(len(rows)))])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            g = y[i] * (float(w[rows[i]] @ values[i]) + b) - 1
+            x = value(i)
+            g = y[i] * (float(w[rows[i]] @ x) + b) - 1
             new = min(max(alpha[i] - g / q[i], 0.0), cost[i])
             step = (new - alpha[i]) * y[i]
             if step:
-                w[rows[i]] += step * values[i]
+                w[rows[i]] += step * x
                 b += step
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
@@ -107,7 +108,7 @@ def train(rows: list[np.ndarray], y01: np.ndarray, smoothing: float = 1.0, cost:
     y = np.where(y01 == 1, 1.0, -1.0)
     share = y01[fit].mean()
     costs = cost * np.where(y01[fit] == 1, 0.5 / share, 0.5 / (1 - share))
-    w, b = dual_coordinate_descent([rows[i] for i in fit], [scaled(i) for i in fit], y[fit], n, costs)
+    w, b = dual_coordinate_descent([rows[i] for i in fit], lambda k: scaled(fit[k]), y[fit], n, costs)
     on = np.flatnonzero(hold) if hold.any() else fit
     margin = np.array([float(w[rows[i]] @ scaled(i)) + b for i in on])
     a, c = 1.0, 0.0
@@ -138,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     data = (sample(docs, labels, label_col, id_col, text_col, max_labelled)
             .mapInArrow(run, "id bigint, y int, f binary").dropDuplicates(["f", "y"]).toArrow().sort_by("id"))
-    rows = [np.frombuffer(x, "<u4").astype(np.int64) for x in data.column("f").to_pylist()]
+    rows = [np.frombuffer(x.as_buffer(), "<u4") for x in data.column("f")]  # views, no copies
     return train(rows, np.array(data.column("y").to_pylist(), np.int64))
 
 
