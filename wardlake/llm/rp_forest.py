@@ -117,21 +117,23 @@ def leaves(points: DataFrame, trees: int, leaf: int, spill: float) -> DataFrame:
         th = fit_subtree(x, rows.column("size")[0].as_py(), key[1].as_py(), spill, leaf)
         return pa.table({"label": [key[0].as_py()], "node": [key[1].as_py()], "model": pa.array([th.tobytes()], pa.binary())})
 
+    def rows(part: pa.RecordBatch, node: np.ndarray, grows: np.ndarray) -> pa.RecordBatch:
+        new = {"node": pa.array(node, pa.int64()), "open": pa.array(grows, pa.bool_())}
+        names = ["nid", "label", "dim", "tree", "node", "open", "emb"]
+        return pa.RecordBatch.from_arrays([new[c] if c in new else part.column(c) for c in names], names)
+
     def send(batches):
         for batch in batches:
             model = batch.column("model").to_pylist()
             node = batch.column("node").to_numpy()
-            rest = np.array([m is None for m in model])
-            out = batch.filter(pa.array(rest)).drop_columns(["model"])
-            yield out.set_column(out.schema.get_field_index("open"), "open", pa.array([False] * len(out)))
+            rest = np.array([m is None for m in model], bool)
+            yield rows(batch.filter(pa.array(rest)), node[rest], np.zeros(rest.sum(), bool))
             for n in np.unique(node[~rest]):
                 own = np.flatnonzero((node == n) & ~rest)
                 part = batch.take(pa.array(own))
                 x = matrix(pa.chunked_array([part.column("emb")]))
                 r, place, grows = route(x, np.frombuffer(model[own[0]], np.float64), int(n), spill)
-                moved = part.take(pa.array(r)).drop_columns(["model"])
-                moved = moved.set_column(moved.schema.get_field_index("node"), "node", pa.array(_child(int(n), place)))
-                yield moved.set_column(moved.schema.get_field_index("open"), "open", pa.array(grows))
+                yield rows(part.take(pa.array(r)), _child(int(n), place), grows)
 
     while True:
         t = keep(t, "forest")
