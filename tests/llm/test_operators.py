@@ -4,6 +4,7 @@ long texts and clashing column names."""
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import math
 import random
@@ -217,6 +218,53 @@ def test_suffix_tree_counts_and_scores(spark):
     assert suffix_lm.score(docs_of(spark, [])).count() == 0
 
 
+def _tree_by_definition(texts, depth=5, least=2, divergence=5.0, smoothing=2.0):
+    """The probability of a symbol behind a history, by the definition in the module."""
+    nxt = {}
+    for t, times in Counter(texts).items():
+        t = b"\n" * depth + t
+        for i in range(depth, len(t)):
+            for d in range(depth + 1):
+                nxt.setdefault(t[i - d:i], Counter())[t[i]] += times
+    n = {c: sum(m.values()) for c, m in nxt.items()}
+    some = {c for c in nxt if not c or n[c] >= least}
+
+    @functools.cache
+    def dist(c):
+        up = dist(c[1:]) if c else [1 / 256] * 256
+        back = smoothing * len(nxt[c])
+        return [(nxt[c][s] + back * up[s]) / (n[c] + back) for s in range(256)]
+
+    kept = set()
+    for c in some:
+        if len(c) <= 2 or n[c] * sum(p * math.log(p / q) for p, q in zip(dist(c), dist(c[1:]))) >= divergence:
+            kept |= {c[i:] for i in range(len(c) + 1)}
+
+    def prob(history, s):
+        c = next((history[i:] for i in range(len(history) + 1) if history[i:] in kept), None)
+        return 1 / 256 if c is None else dist(c)[s]
+
+    return kept, prob
+
+
+def test_suffix_tree_by_definition_at_every_size(spark, monkeypatch):
+    """A context is in the tree by its own counts, however much other text there is."""
+    monkeypatch.setattr(suffix_lm, "block_count", lambda df, c: 5)
+    rng = random.Random(8)
+    rare = [(i, "zyxwv uyxwk ") for i in range(30)]
+    mixed = [" ".join(rng.choice(["ab", "abc", "b", "Ca", "d\u00e9f", f"w{rng.randrange(300)}"]) for _ in range(400)) for _ in range(8)]
+    for other in (0, 2400):  # no, or about 3 million other symbols
+        rows = rare + [(1000 + i, mixed[i % 8]) for i in range(other)]
+        train = [suffix_lm.spell(t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+        kept, prob = _tree_by_definition(train)
+        assert b"zyxw" in kept
+        got = {r.id: r for r in suffix_lm.score(docs_of(spark, rows), spell_weight=1.0).collect()}
+        for i, t in rare[:8] + rows[30:2400:60]:
+            s = suffix_lm.spell(t)
+            h = b"\n" * 5 + s
+            assert got[i].score == pytest.approx(sum(math.log10(prob(h[k:k + 5], s[k])) for k in range(len(s))), abs=1e-3), t
+
+
 def test_suffix_tree_is_a_distribution():
     text = b"\n\n" + b"abra cadabra abra \nabra dabra \n" * 40
     counts = {d: {} for d in range(3)}

@@ -2,15 +2,18 @@
 
 The tree spells a text: its words (see ``ascii_lower_words``) byte by byte, one blank behind each
 word, and one end symbol. Contexts are the preceding bytes, up to ``depth``. A context is a
-candidate when it has at least ``p_min`` of all symbols, which bounds the tree for any corpus
-(at most ``depth / p_min`` contexts); it is kept when its next-symbol distribution diverges from
-its parent's (the context without its oldest byte) by at least ``divergence`` nats in all,
-count times Kullback-Leibler divergence. Parents and prefixes of kept contexts are kept too, so
-the longest kept suffix of a history follows from the last one and the new byte. Distributions
-are smoothed towards the parent's, the root's towards all symbols alike.
-
-The counts come from all training texts: (depth + 1)-grams are counted in the map tasks, summed
-over the corpus, and only contexts above the bound come to the driver.
+candidate when it occurs ``min_count`` times, whatever the size of the corpus; it is kept when its
+next-symbol distribution diverges from its parent's (the context without its oldest byte) by at
+least ``divergence`` nats in all, count times Kullback-Leibler divergence. Parents of kept contexts
+and candidates of up to ``LOW`` bytes are kept too. Distributions are smoothed towards the parent's,
+the root's towards all symbols alike. A symbol's probability is that of the longest kept suffix of
+its history, so it follows from its (depth + 1)-gram.
+
+No task and no driver holds the tree. Blocks of texts send their distinct (depth + 1)-grams with
+their training counts to counting tasks, dealt out by the last ``LOW + 1`` bytes of the context:
+all longer contexts with that ending meet there, are counted, tested and smoothed, and the block
+gets the probabilities of its own grams back in the same order. Only the counts of contexts up to
+``LOW`` bytes come to the driver, all of them: the alphabet bounds them.
 
 A token's probability is a mixture of its share of the training tokens and, with weight
 ``spell_weight``, its spelling by the tree, so every text has a positive probability.
@@ -37,7 +40,8 @@ from pyspark.sql import functions as F
 from wardlake.llm.common import HASH, WordHash, ascii_lower_words, block_count, blocked, fold, from_blobs, hashes, keep, texts
 
 DEPTH = 5
-P_MIN = 1e-5
+MIN_COUNT = 2  # occurrences of a context
+LOW = 2  # bytes of the contexts whose counts every counting task gets
 DIVERGENCE = 5.0
 SMOOTHING = 2.0
 END = 10  # the end symbol, also what stands before a text; no word holds it
@@ -56,7 +60,8 @@ def spell(text: str | None) -> bytes:
 
 @dataclass
 class Tree:
-    """The tree as an automaton: state -> (symbol -> next state, log10 probability)."""
+    """A tree as an automaton, for counts that one process holds: state -> (symbol -> next state,
+    log10 probability)."""
 
     symbols: np.ndarray  # byte -> column
     step: np.ndarray  # int32 [states, columns]
@@ -64,21 +69,27 @@ class Tree:
     start: int
 
 
+def numbers(spelled: list[bytes], depth: int) -> np.ndarray:
+    """The (depth + 1)-gram that ends at each symbol of the texts, as a number, one text after another."""
+    pad = bytes([END]) * depth
+    raw = np.frombuffer(pad + pad.join(spelled), np.uint8)
+    g = np.zeros(len(raw) - depth, np.int64)
+    for j in range(depth + 1):
+        g = (g << 8) | raw[j:j + len(g)]
+    # places inside the padding between two texts are no symbols of a text
+    ends = np.cumsum([len(x) + depth for x in spelled])
+    real = np.ones(len(g), bool)
+    for j in range(depth):
+        real[ends[:-1] - depth + j] = False
+    return g[real]
+
+
 def grams(docs: DataFrame, depth: int) -> DataFrame:
     """(gram, n): the (depth + 1)-grams of all texts of ``docs`` (id, text), as numbers."""
 
     def count(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        pad = bytes([END]) * depth
-        raw = np.frombuffer(pad + pad.join(held), np.uint8)
-        g = np.zeros(len(raw) - depth, np.int64)
-        for j in range(depth + 1):
-            g = (g << 8) | raw[j:j + len(g)]
-        # places inside the padding between two texts are no symbols of a text
-        ends = np.cumsum([len(x) + depth for x in held])
-        real = np.ones(len(g), bool)
-        for j in range(depth):
-            real[ends[:-1] - depth + j] = False
-        return np.unique(g[real], return_counts=True)
+        found = pa.array(numbers(held, depth)).dictionary_encode()
+        return found.dictionary.to_numpy(), np.bincount(found.indices.to_numpy())
 
     def merge(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
         g, n = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
@@ -112,20 +123,82 @@ def grams(docs: DataFrame, depth: int) -> DataFrame:
     return docs.mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def fit_tree(docs: DataFrame, depth: int = DEPTH, p_min: float = P_MIN, divergence: float = DIVERGENCE) -> Tree:
-    """The tree of the texts of ``docs`` (id, text)."""
-    counted = keep(grams(docs, depth), "grams")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    byte = F.col("gram").bitwiseAND(255)
-    counts: dict[int, dict[bytes, dict[int, int]]] = {}
-    for d in range(depth + 1):
-        context = F.shiftright("gram", 8).bitwiseAND((1 << 8 * d) - 1)
-        by = counted.groupBy(context.alias("c"), byte.alias("s")).agg(F.sum("n").alias("n"))
-        big = by.groupBy("c").agg(F.sum("n").alias("t"), F.map_from_entries(F.collect_list(F.struct("s", "n"))).alias("m"))
-        # at most 1 / p_min contexts of a depth have p_min of the symbols, each with 256 next ones at most
-        rows = big.where(F.col("t") >= max(p_min * total, 2)).select("c", "m").collect()
-        counts[d] = {int(r["c"]).to_bytes(d, "big"): dict(r["m"]) for r in rows}
-    return build(counts, divergence)
+@dataclass
+class Level:
+    """The candidate contexts of one length, as numbers."""
+
+    cells: np.ndarray  # context and next symbol, ascending
+    p: np.ndarray  # the symbol's probability there
+    contexts: np.ndarray  # ascending
+    back: np.ndarray  # the share a context leaves to its parent's distribution
+    kept: np.ndarray
+
+
+def _ending(g: np.ndarray, n_bytes: int) -> np.ndarray:
+    return g & ((1 << 8 * n_bytes) - 1)
+
+
+def _sums(cells: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cells, at = np.unique(cells, return_inverse=True)
+    return cells, np.bincount(at, weights=n, minlength=len(cells))
+
+
+def _find(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``x`` lies in ``sorted_`` (not empty), and whether it does."""
+    at = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
+    return at, sorted_[at] == x
+
+
+def level(length: int, cells: np.ndarray, n: np.ndarray, parents: Level | None, least: float, divergence: float,
+          smoothing: float = SMOOTHING) -> Level:
+    """The contexts of ``length`` bytes from the counts of their cells."""
+    contexts, total = _sums(cells >> 8, n)
+    symbols = np.diff(np.append(np.searchsorted(cells >> 8, contexts), len(cells)))
+    enough = total >= (least if length else 1)
+    cells, n = cells[np.repeat(enough, symbols)], n[np.repeat(enough, symbols)]
+    contexts, total, symbols = contexts[enough], total[enough], symbols[enough]
+    if not len(contexts):
+        return Level(cells, n, contexts, total, enough[:0])
+    flat = np.full(len(cells), 1 / SYMBOLS)
+    q = flat if parents is None else parents.p[np.searchsorted(parents.cells, _ending(cells, length))]
+    weight = smoothing * symbols
+    back = weight / (total + weight)
+    p = (n + np.repeat(weight, symbols) * q) / np.repeat(total + weight, symbols)
+    first = np.cumsum(symbols) - symbols
+    # a symbol that never follows has its parent's probability times ``back``
+    apart = np.add.reduceat(p * np.log(p / q), first) + back * np.log(back) * (1 - np.add.reduceat(q, first))
+    return Level(cells, p, contexts, back, (total * apart >= divergence) | (length <= LOW))
+
+
+def log10_grams(values: np.ndarray, n: np.ndarray, low: list[Level], depth: int, least: float, divergence: float) -> np.ndarray:
+    """The log10 probability of the last symbol of each gram of ``values``, which have every gram of
+    the corpus (``n`` times in the training) with the same ``LOW + 1`` bytes before the symbol."""
+    levels = list(low)
+    for d in range(len(low), depth + 1):
+        levels.append(level(d, *_sums(_ending(values[n > 0], d + 1), n[n > 0]), levels[-1], least, divergence))
+    for d in range(depth, len(low), -1):
+        levels[d - 1].kept |= np.isin(levels[d - 1].contexts, _ending(levels[d].contexts[levels[d].kept], d - 1))
+    p = np.full(len(values), 1 / SYMBOLS)
+    out = p.copy()
+    for d, at in enumerate(levels):
+        if not len(at.contexts):
+            break
+        cells = _ending(values, d + 1)
+        context, known = _find(at.contexts, cells >> 8)
+        cell, seen = _find(at.cells, cells)
+        p = np.where(seen, at.p[cell], np.where(known, at.back[context] * p, p))
+        out = np.where(known & at.kept[context], p, out)
+    return np.log10(out)
+
+
+def low_levels(counted: pa.Table, depth: int, p_min: float, min_count: int, divergence: float) -> tuple[list[Level], float]:
+    """The contexts of up to ``LOW`` bytes from their counts (gram, n), and the count a candidate needs."""
+    g, n = (counted.column(c).to_numpy() for c in ("gram", "n"))
+    least = max(p_min * n.sum(), min_count)
+    out: list[Level] = []
+    for d in range(min(LOW, depth) + 1):
+        out.append(level(d, *_sums(_ending(g, d + 1), n), out[-1] if out else None, least, divergence))
+    return out, least
 
 
 def build(counts: dict[int, dict[bytes, dict[int, int]]], divergence: float = DIVERGENCE, smoothing: float = SMOOTHING) -> Tree:
@@ -206,24 +279,55 @@ def log10_symbols(tree: Tree, spelled: list[bytes]) -> np.ndarray:
     return out
 
 
-def log10_tokens(tree: Tree, spelled: list[bytes], share: np.ndarray, weight: float) -> np.ndarray:
-    """The log10 probability of every token: ``share`` has the tokens' shares of the training
-    tokens, ``weight`` is that of the spelling."""
+def log10_tokens(by_symbol: np.ndarray, spelled: list[bytes], share: np.ndarray, weight: float) -> np.ndarray:
+    """The log10 probability of every token: ``by_symbol`` has those of the symbols, ``share`` the
+    tokens' shares of the training tokens, ``weight`` is that of the spelling."""
     raw = np.frombuffer(b"".join(spelled), np.uint8)
     last = np.flatnonzero((raw == 32) | (raw == END))
-    by_tree = np.add.reduceat(log10_symbols(tree, spelled), np.concatenate([[0], last[:-1] + 1]))
+    by_tree = np.add.reduceat(by_symbol, np.concatenate([[0], last[:-1] + 1]))
     with np.errstate(divide="ignore"):
         return np.logaddexp(np.log((1 - weight) * share), np.log(weight) + by_tree * np.log(10)) / np.log(10)
 
 
-# --- word counts over blocks -----------------------------------------------------------------
+# --- word and gram counts over blocks --------------------------------------------------------
 
 
-def _words(blobs: pa.ChunkedArray) -> tuple[pa.Table, list[np.ndarray]]:
-    """The rows of a block and each one's words."""
+def _words(blobs: pa.ChunkedArray) -> tuple[pa.Table, list[np.ndarray], list[bytes]]:
+    """The rows of a block, each one's words and its spelling."""
     memo = WordHash()
     t = pa.concat_tables(from_blobs(blobs))
-    return t, [hashes(memo, ascii_lower_words(x)) for x in t.column("text").to_pylist()]
+    words, spelled = [], []
+    for _, values in texts(t.column("text")):
+        for x in values:
+            own = ascii_lower_words(x)
+            words.append(hashes(memo, own))
+            spelled.append(b" ".join([*own, bytes([END])]))
+    return t, words, spelled
+
+
+def _grams(spelled: list[bytes], depth: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct grams of a block by counting bucket and value, the buckets' cuts, the order of
+    that among the grams as found, and for each symbol the gram as found."""
+    found = pa.array(numbers(spelled, depth)).dictionary_encode()
+    values = found.dictionary.to_numpy()
+    ending = _ending(values >> 8, min(LOW + 1, depth)).astype(np.uint64)
+    bucket = ((ending + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+    order = np.lexsort((values, bucket))
+    cuts = np.searchsorted(bucket[order], np.arange((1 << bits) + 1, dtype=np.uint64))
+    return values[order], cuts, order, found.indices.to_numpy()
+
+
+def _pack(values: np.ndarray, depth: int) -> bytes:
+    """Grams byte by byte: the oldest bytes of all, then the next ones."""
+    return values.astype(">i8").view(np.uint8).reshape(-1, 8)[:, 7 - depth:].T.tobytes()
+
+
+def _unpack(packed: pa.Buffer, depth: int) -> np.ndarray:
+    planes = np.frombuffer(packed, np.uint8).reshape(depth + 1, -1)
+    g = np.zeros(planes.shape[1], np.int64)
+    for plane in planes:
+        g = (g << 8) | plane
+    return g
 
 
 FIGURES = pa.struct([("known", pa.int64()), ("tokens", pa.int64())])
@@ -233,13 +337,14 @@ def _cut(values: np.ndarray, bits: int) -> np.ndarray:
     return np.searchsorted(values >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
 
 
-def _send(bits: int):
-    """A block's distinct words with their training counts, by counting bucket; 0 where a word
-    occurs in texts outside the training only."""
+def _send(bits: int, depth: int):
+    """A block's distinct words, and behind them its distinct grams, with their training counts, by
+    counting bucket; 0 where one occurs in texts outside the training only."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        data, every = _words(t.column("blob"))
-        learn = [w for w, yes in zip(every, data.column("learn").to_pylist()) if yes]
+        data, every, spelled = _words(t.column("blob"))
+        learns = data.column("learn").to_pylist()
+        learn = [w for w, yes in zip(every, learns) if yes]
         values = np.unique(np.concatenate(every))
         counts = np.zeros(len(values), np.int64)
         if learn:
@@ -247,9 +352,17 @@ def _send(bits: int):
             counts[np.searchsorted(values, own)] = n
         cuts = _cut(values, bits)
         full = np.flatnonzero(np.diff(cuts))
-        return pa.table({"bucket": pa.array(full, pa.int64()), "blk": pa.array([key[0].as_py()] * len(full), pa.int64()),
-                         "words": pa.array([values[cuts[b]:cuts[b + 1]].tobytes() for b in full], pa.binary()),
-                         "counts": pa.array([counts[cuts[b]:cuts[b + 1]].astype("<i8").tobytes() for b in full], pa.binary())})
+        sent = [values[cuts[b]:cuts[b + 1]].tobytes() for b in full]
+        times = [counts[cuts[b]:cuts[b + 1]].astype("<i8").tobytes() for b in full]
+
+        g, cuts, order, at = _grams(spelled, depth, bits)
+        counts = np.bincount(at, weights=np.repeat(np.array(learns, float), [len(x) for x in spelled]))[order]
+        some = np.flatnonzero(np.diff(cuts))
+        sent += [_pack(g[cuts[b]:cuts[b + 1]], depth) for b in some]
+        times += [counts[cuts[b]:cuts[b + 1]].astype("<i4").tobytes() for b in some]
+        return pa.table({"bucket": pa.array(np.concatenate([full, some + (1 << bits)]), pa.int64()),
+                         "blk": pa.array([key[0].as_py()] * len(sent), pa.int64()),
+                         "words": pa.array(sent, pa.binary()), "counts": pa.array(times, pa.binary())})
 
     return run
 
@@ -271,25 +384,49 @@ def _count(key: tuple, t: pa.Table) -> pa.Table:
                      "totals": pa.array(out, pa.binary()), "figures": figures})
 
 
+def _answer(bits: int, depth: int, low, divergence: float):
+    """``_count`` for buckets of words; for buckets of grams their log10 probabilities, to every block
+    for its own grams in its own order."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        if key[0].as_py() < 1 << bits:
+            return _count(key, t)
+        own = [_unpack(x.as_buffer(), depth) for x in t.column("words")]
+        values = np.sort(pa.array(np.concatenate(own)).unique().to_numpy())
+        n = np.zeros(len(values), np.int64)
+        for g, c in zip(own, t.column("counts")):
+            n[np.searchsorted(values, g)] += np.frombuffer(c.as_buffer(), "<i4")
+        levels, least = low.value
+        p = log10_grams(values, n, levels, depth, least, divergence).astype("<f4")
+        return pa.table({"blk": t.column("blk"), "bucket": t.column("bucket"),
+                         "totals": pa.array([p[np.searchsorted(values, g)].tobytes() for g in own], pa.binary()),
+                         "figures": pa.array([None] * len(own), FIGURES)})
+
+    return run
+
+
 SCHEMA = ("id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, "
           "score double")
 
 
 def score(docs: DataFrame, held_out_fold: int = 1, id_col: str = "doc_id", text_col: str = "text",
-          depth: int = DEPTH, p_min: float = P_MIN, spell_weight: float = SPELL_WEIGHT) -> DataFrame:
+          depth: int = DEPTH, p_min: float = 0.0, spell_weight: float = SPELL_WEIGHT, min_count: int = MIN_COUNT,
+          divergence: float = DIVERGENCE) -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known (tokens that training has),
-    train_tokens, base_score (smoothed unigram words) and score (the model's log10 probability)."""
+    train_tokens, base_score (smoothed unigram words) and score (the model's log10 probability).
+    ``p_min``: a share of all symbols that contexts must have besides ``min_count``; none by default."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     learn = F.coalesce(fold("id") != held_out_fold, F.lit(False))
     n_blocks = block_count(base, "text")
     bits = max(1, (n_blocks - 1).bit_length())
-    tree = spark.sparkContext.broadcast(fit_tree(base.where(learn), depth, p_min))  # bounded by p_min
+    counted = grams(base.where(learn), min(LOW, depth)).toArrow()
+    low = spark.sparkContext.broadcast(low_levels(counted, depth, p_min, min_count, divergence))  # bounded by the alphabet
     n_ends = base.where(learn).count()
 
     texts_ = blocked(base.withColumn(HASH, F.xxhash64("id", "text")).withColumn("learn", learn), n_blocks)
-    totals = (texts_.groupBy("blk").applyInArrow(_send(bits), "bucket bigint, blk bigint, words binary, counts binary")
-              .groupBy("bucket").applyInArrow(_count, "blk bigint, bucket bigint, totals binary, figures struct<known:bigint,tokens:bigint>"))
+    totals = (texts_.groupBy("blk").applyInArrow(_send(bits, depth), "bucket bigint, blk bigint, words binary, counts binary")
+              .groupBy("bucket").applyInArrow(_answer(bits, depth, low, divergence), "blk bigint, bucket bigint, totals binary, figures struct<known:bigint,tokens:bigint>"))
     totals = keep(totals, "words")
     seen = totals.agg(F.sum("figures.known"), F.sum("figures.tokens")).first()
     # the end is a word of its own: its count is the number of training texts
@@ -298,11 +435,17 @@ def score(docs: DataFrame, held_out_fold: int = 1, id_col: str = "doc_id", text_
     floor = np.log10(n_all + 0.5 * (int(seen[0] or 0) + (n_ends > 0) + 1))
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        data, words = _words(left.column("blob"))
+        data, words, spelled = _words(left.column("blob"))
         values = np.unique(np.concatenate(words))
-        order = np.argsort(right.column("bucket").to_numpy())
-        c = [np.frombuffer(right.column("totals")[int(i)].as_buffer(), "<i8") for i in order]
+        bucket = right.column("bucket").to_numpy()
+        order = np.argsort(bucket)
+        n_words = int((bucket < 1 << bits).sum())
+        c = [np.frombuffer(right.column("totals")[int(i)].as_buffer(), "<i8") for i in order[:n_words]]
         c = np.concatenate(c) if c else np.zeros(0, np.int64)
+        answers = [np.frombuffer(right.column("totals")[int(i)].as_buffer(), "<f4") for i in order[n_words:]]
+        _, _, found, at_gram = _grams(spelled, depth, bits)
+        by_gram = np.empty(len(found))
+        by_gram[found] = np.concatenate(answers)
         gain = np.log10(c + 0.5) - floor
         end = np.log10(n_ends + 0.5) - floor
         n = np.array([len(w) for w in words], np.int64)
@@ -314,7 +457,7 @@ def score(docs: DataFrame, held_out_fold: int = 1, id_col: str = "doc_id", text_
         ends = np.cumsum(n + 1) - 1
         share = np.full(len(doc) + len(n), n_ends / max(n_all, 1))
         share[np.delete(np.arange(len(share)), ends)] = c[at] / max(n_all, 1)
-        by_token = log10_tokens(tree.value, [spell(x) for x in data.column("text").to_pylist()], share, weight)
+        by_token = log10_tokens(by_gram[at_gram], spelled, share, weight)
         return pa.table({
             "id": data.column("id"), "held_out": pa.array([not x for x in data.column("learn").to_pylist()]),
             "n_tokens": pa.array(n + 1), "n_known": pa.array(known), "train_tokens": pa.array([n_all] * len(n), pa.int64()),
