@@ -16,7 +16,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wardlake.llm import bpe, html_main, licenses, mih, nbsvm, ngram_join, packing, rp_forest, suffix_lm, toxicity
+from wardlake.llm import bpe, html_main, licenses, mih, nbsvm, ngram_join, packing, queries, rp_forest, suffix_lm, toxicity
 from wardlake.llm.common import components, ship
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, h int, score double, component_id int"
@@ -432,6 +432,22 @@ def test_pigeonhole():
         assert set(np.flatnonzero(far.sum(1) < 8 * (radius + 1))) <= set(index.probe(q))
 
 
+def test_near_copies_never_share_a_bin(spark, tmp_path):
+    rng = random.Random(10)
+    rows = []
+    for g in range(25):
+        w = [f"w{rng.randrange(4000)}" for _ in range(60)]
+        for j in range(4):  # one word or one mark apart
+            w[j * 15] += rng.choice([",", "x"])
+            rows.append((g * 4 + j, " ".join(w), f"s{g * 4 + j}"))
+    rows += [(i, t, "z") for i, t in ODD if i != 5]
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op2_best_fit_packing(spark, str(tmp_path)).where("bin is not null and doc_id < 100").collect()
+    used = Counter((r.shard, r.bin, r.doc_id // 4) for r in out if r.n_words == 60)
+    assert sum(used.values()) >= 96 and max(used.values()) == 1
+    assert len({(r.shard, r.bin) for r in out}) < 10
+
+
 # --- 6: main text of pages ---------------------------------------------------------------------
 
 

@@ -235,13 +235,8 @@ def links(classes: DataFrame, percent: int) -> DataFrame:
     return found.unionByName(_verify(cross, sets, percent))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for every row of ``docs``: documents are linked when
-    100 * common shingles >= percent * all shingles of the two; component_id is the smallest id
-    reachable by links, the document's own included. See the module for nulls and repeats."""
-    base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.withColumn("dig", F.unhex(F.md5("text")))
+def _by_text(base: DataFrame, percent: int, k: int) -> DataFrame:
+    """(dig, n, c) for every distinct text of ``base`` (dig, text): its shingles and its component's number."""
     n_blocks = block_count(base, "text")
     bits = max(1, (n_blocks - 1).bit_length())
     texts_ = blocked(base.select(F.xxhash64("dig").alias(HASH), "dig", "text"), n_blocks, once="dig")
@@ -250,10 +245,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, id_
     found = texts_.groupBy("blk").cogroup(counted.groupBy("blk")).applyInArrow(_prefixes(k, bits, percent), CLASS)
     classes = keep(found.withColumn("nid", F.monotonically_increasing_id()), "classes")
     label = components(links(classes, percent), "near3").withColumnRenamed("node", "nid")
+    return classes.select("dig", "nid", "n").join(label, "nid", "left").select("dig", "n", F.coalesce("component", "nid").alias("c"))
+
+
+def clusters(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, text_col: str = "text") -> DataFrame:
+    """(dig, cluster): the MD5 of every distinct text of ``docs`` that has words, and a number that
+    the texts of its component share."""
+    base = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("dig", F.unhex(F.md5("text")))
+    return _by_text(base, percent, k).where("n > 0").select("dig", F.col("c").alias("cluster"))
 
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) for every row of ``docs``: documents are linked when
+    100 * common shingles >= percent * all shingles of the two; component_id is the smallest id
+    reachable by links, the document's own included. See the module for nulls and repeats."""
+    base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = base.withColumn("dig", F.unhex(F.md5("text")))
     ids = base.select("id", "dig").groupBy("dig").agg(F.min("id").alias("rep"))
-    known = (classes.select("dig", "nid", "n").join(label, "nid", "left")
-             .select("dig", "n", F.coalesce("component", "nid").alias("c")).join(ids, "dig"))
+    known = _by_text(base, percent, k).join(ids, "dig")
     small = known.where("n > 0").groupBy("c").agg(F.min("rep").alias("m"))
     known = known.join(small, "c", "left").select("dig", "n", "m")
     return (base.select("id", "dig").join(known, "dig")

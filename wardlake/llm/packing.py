@@ -4,8 +4,9 @@ Documents longer than a bin are cut into full bins and a rest; the rests and the
 documents are packed by best fit in decreasing length. Open bins stand ordered by their free
 room and carry a bitmap of the sources and one of the duplicate clusters they hold; the search
 starts at the tightest bin that has room and goes on to the next larger one until it meets a
-bin without a conflict. Two rows conflict when they share a duplicate cluster (here: texts with
-the same lower-cased words), or when a bin already holds ``max_per_source`` rows of the source.
+bin without a conflict. Two rows conflict when they share a duplicate cluster (one the caller
+gives by text, as ``ngram_join.clusters`` finds them; else texts with the same lower-cased words),
+or when a bin already holds ``max_per_source`` rows of the source.
 
 Rows are dealt over shards by a hash of the row, at most about ``shard_rows`` to a shard, and
 shards are packed on their own, so no source, cluster or copied row makes a hot task. Only
@@ -14,6 +15,7 @@ shards are packed on their own, so no source, cluster or copied row makes a hot
 
 from __future__ import annotations
 
+import hashlib
 import math
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
@@ -127,8 +129,8 @@ def pack_shard(rows: pd.DataFrame, capacity: int, max_per_source: int) -> pd.Dat
 
 
 def lengths(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, source, n_words, cluster): the cluster is a hash of the lower-cased word sequence;
-    texts without words have none."""
+    """(id, source, n_words, cluster, dig): the cluster is a hash of the lower-cased word sequence,
+    ``dig`` the MD5 of the text; texts without words have neither."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,22 +140,28 @@ def lengths(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Dat
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, n), batch.column(1).slice(start, n),
                      pa.array([len(w) for w in words], pa.int64()),
-                     pa.array([xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in words], pa.binary())],
-                    ["id", "source", "n_words", "cluster"])
+                     pa.array([xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in words], pa.binary()),
+                     pa.array([hashlib.md5(t.encode()).digest() if w else None for t, w in zip(values, words)], pa.binary())],
+                    ["id", "source", "n_words", "cluster", "dig"])
 
     return (docs.selectExpr(f"cast(`{id_col}` as bigint) id", f"cast(`{source_col}` as string) source", f"`{text_col}` text")
-            .mapInArrow(run, "id bigint, source string, n_words bigint, cluster binary"))
+            .mapInArrow(run, "id bigint, source string, n_words bigint, cluster binary, dig binary"))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, max_per_source: int = MAX_PER_SOURCE, shard_rows: int = SHARD_ROWS,
-         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", clusters: DataFrame | None = None) -> DataFrame:
     """Rows (id, row, piece, offset, n_words, shard, bin, bin_offset): every word of every row of
     ``docs`` lies in exactly one piece, every piece in one bin (shard, bin) at ``bin_offset``.
 
     ``row`` numbers the rows, so repeated rows and null ids are packed each. A text without words
     (null, empty) gets one piece of 0 words in no bin. A null source never conflicts. An empty
-    table gives no rows. Other columns are not read."""
+    table gives no rows. Other columns are not read.
+
+    ``clusters`` (dig, cluster): the duplicate cluster of a text by its MD5, each text once; a text
+    that isn't in it conflicts with nothing. Without it exact copies are the clusters."""
     rows = keep(lengths(docs, id_col, text_col, source_col).withColumn("row", F.monotonically_increasing_id()), "pack")
     shards = max(1, math.ceil(rows.count() / shard_rows))
-    return (rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
+    if clusters is not None:
+        rows = rows.drop("cluster").join(clusters.select("dig", F.col("cluster").cast("string")), "dig", "left")
+    return (rows.drop("dig").withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
             .groupBy("shard").applyInPandas(lambda g: pack_shard(g, capacity, max_per_source), SCHEMA))

@@ -31,7 +31,8 @@ FROM reach r LEFT JOIN n ON n.a = r.a GROUP BY r.a
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    packed = packing.pack(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    packed = packing.pack(docs, clusters=ngram_join.clusters(docs, 80, 5))
     return packed.withColumnRenamed("id", "doc_id")
 
 
