@@ -462,6 +462,21 @@ def test_html_blocks():
         p.text([2] * len(p.tag))
 
 
+@pytest.mark.parametrize("source, want", [
+    ("<html><head><title>t</title><body><article><p>one</article>", "one"),
+    ("<html><head><meta charset=x><title>t</title><style>x{}</style><article><p>one<p>two</article>", "one\ntwo"),
+    ("<head><title>t</title>plain text", "plain text"),
+    ("<head><title>t</title><script>x</script></head><body><p>one", "one"),
+    ("<head><template><p>no</p></template><title>t</title><img src=x>one", "one"),
+    ("<article><p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</p></article>", "let x=2 be"),
+    ("<article><p>see</p><xmp><b>x</b> &amp; y</xmp><p>end</p></article>", "see\n<b>x</b> &amp; y\nend"),
+])
+def test_html_open_head_math_and_xmp(source, want):
+    page = html_main.Page(source)
+    page.features()
+    assert page.text([2] * len(page.tag)) == want
+
+
 def test_html_roles_never_contradict():
     rng = np.random.default_rng(0)
     page = html_main.Page("<div><div><p>aa</p><div><p>bb</p><p>cc</p></div></div><ul><li>dd<li>ee</ul></div>" * 4)

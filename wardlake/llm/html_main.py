@@ -34,8 +34,10 @@ from wardlake.llm.common import texts
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody
 td tfoot th thead tr ul""".split())
-SILENT = frozenset("head script style noscript template iframe svg math object select option button canvas audio video map".split())
-RAW = frozenset("script style textarea title noscript iframe xmp".split())
+SILENT = frozenset("head script style noscript template iframe svg object select option button canvas audio video map".split())
+RAW = frozenset("script style textarea title noscript iframe".split())
+# what may stand in a head; anything else ends it, as its end tag may be left out
+HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # a start tag of the first kind ends an open element of the second kinds
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -95,6 +97,9 @@ class Page:
         while at < n:
             m = _MARKUP.search(s, at)
             stop = m.start() if m else n
+            if stack[-1][0] == "head" and (s[at:stop].strip() or m and m[2] and not m[1] and m[2].lower() not in HEAD):
+                stack.pop()
+                silent -= 1
             if stop > at and not silent:
                 self.pieces.append((block, stack[-1][1], _html.unescape(s[at:stop]), links > 0))
             if not m:
@@ -119,6 +124,13 @@ class Page:
                     self.pieces.append((block, stack[-1][1], " ", False))
                 block += tag == "hr"
                 continue
+            if tag == "xmp":  # shown as it stands, markup and all
+                end = re.compile(r"</xmp\b[^>]*>?", re.I).search(s, at)
+                if not silent:
+                    self.pieces.append((block + 1, stack[-1][1], s[at:end.start() if end else n], links > 0))
+                block += 2
+                at = end.end() if end else n
+                continue
             if tag in RAW:
                 end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(s, at)
                 at = end.end() if end else n
