@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import bpe, html_main, licenses, mih, nbsvm, ngram_join, packing, rp_forest, suffix_lm, toxicity
+from wardlake.llm import bpe, centroids, html_main, licenses, mih, nbsvm, ngram_join, packing, rp_forest, suffix_lm, toxicity
 from wardlake.llm.common import fold, ship, table
 
 
@@ -110,6 +110,37 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                           F.sha2("decoded", 256).alias("decoded_sha256"))
 
+def op13_centroid_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def _op13_sql(rounds: int = 3) -> str:
+    """The rounds unrolled: distances to centroids, nearest, floor of the members' means."""
+    sql = """
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+x AS (SELECT r, unnest(range(64)) AS d, unnest(q) AS x FROM kept),
+start AS (SELECT r, row_number() OVER (ORDER BY sha256('1:' || vec_id), q) - 1 AS c FROM kept WHERE vec_id IS NOT NULL
+          ORDER BY c LIMIT 16),
+c0 AS (SELECT c, d, x FROM start JOIN x USING (r))"""
+    near = """,
+a{i} AS (SELECT r, min(s) AS s, arg_min(c, (s, c)) AS c FROM (
+  SELECT r, c, sum((x.x - k.x) * (x.x - k.x)) AS s FROM x JOIN c{i} k USING (d) GROUP BY r, c) GROUP BY r)"""
+    move = """,
+m{i} AS (SELECT c, d, sum(x) AS s, count(*) AS n FROM x JOIN a{i} USING (r) GROUP BY c, d),
+c{j} AS (SELECT k.c, k.d, coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, k.x) AS x FROM c{i} k LEFT JOIN m{i} m USING (c, d))"""
+    for i in range(rounds):
+        sql += near.format(i=i) + move.format(i=i, j=i + 1)
+    return sql + near.format(i=rounds) + f""",
+h AS (SELECT c, sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY d)) AS h FROM c{rounds} GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, s::BIGINT AS distance, (sum(s) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+  (sum(s) OVER ())::BIGINT AS inertia, h AS centroid_sha256
+FROM kept JOIN a{rounds} USING (r) JOIN h USING (c)
+"""
+
+
 
 QUERIES = {
     "op1_rp_forest": op1_rp_forest,
@@ -122,6 +153,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
+    "op13_centroid_tables": op13_centroid_tables,
 }
 
-ORACLE: dict[str, str] = {"op1_rp_forest": OP1_SQL, "op4_ngram_join": OP4_SQL}
+ORACLE: dict[str, str] = {"op1_rp_forest": OP1_SQL, "op4_ngram_join": OP4_SQL, "op13_centroid_tables": _op13_sql()}
