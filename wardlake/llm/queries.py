@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import bpe, centroids, html_main, licenses, mih, nbsvm, ngram_join, packing, rp_forest, suffix_lm, toxicity
+from wardlake.llm import bpe, centroids, euler_trie, html_main, licenses, mih, nbsvm, ngram_join, packing, rp_forest, suffix_lm, toxicity
 from wardlake.llm.common import fold, ship, table
 
 
@@ -110,6 +110,44 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                           F.sha2("decoded", 256).alias("decoded_sha256"))
 
+def op11_euler_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return euler_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+# DuckDB has no crc32: its bits, eight steps a byte
+_CRC_STEP = "xor({0} >> 1, CASE WHEN {0} & 1 = 1 THEN 3988292384 ELSE 0 END)"
+OP11_SQL = """
+WITH RECURSIVE t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS r
+  FROM conversations WHERE conv_id IS NOT NULL),
+bytes(conv_id, s, i, k, x) AS (
+  SELECT DISTINCT conv_id, conv_id::VARCHAR, 0, 0, 4294967295::UBIGINT FROM t
+  UNION ALL
+  SELECT conv_id, s, i + (k = 8)::INT, CASE WHEN k = 8 THEN 0 ELSE k + 1 END,
+         CASE WHEN k = 0 THEN xor(x, ascii(s[i + 1])::UBIGINT) ELSE """ + _CRC_STEP.format("x") + """ END
+  FROM (SELECT conv_id, s, i, CASE WHEN k = 9 THEN 0 ELSE k END AS k, x FROM bytes) WHERE i < length(s)),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS src, (xor(x, 4294967295::UBIGINT) % 6)::BIGINT AS h FROM bytes WHERE i = length(s)),
+turns AS (
+  SELECT c.conv_id, 0 AS part, r, role, text FROM c JOIN t ON t.conv_id = src AND r <= h
+  UNION ALL SELECT conv_id, 1, r, role, text FROM t JOIN c USING (conv_id) WHERE r > h),
+whole AS (
+  SELECT c.conv_id, coalesce(w, []) AS w FROM c
+  LEFT JOIN (SELECT conv_id, list(struct_pack(role, text) ORDER BY part, r) AS w FROM turns GROUP BY conv_id) USING (conv_id)),
+starts AS (SELECT conv_id, w, unnest(range(len(w) + 1)) AS d FROM whole),
+node AS (SELECT w[1:d] AS p, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(w) = d) AS ends FROM starts GROUP BY ALL),
+kids AS (SELECT p[1:depth - 1] AS p, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1),
+leaf AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM node n LEFT JOIN kids USING (p)),
+up AS (SELECT unnest(range(depth + 1)) AS d, p, n_children, (n_convs - 1) * CASE WHEN depth = 0 THEN 0 ELSE length(p[depth].text) END AS saved FROM leaf),
+sums AS (SELECT p[1:d] AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM up GROUP BY 1)
+SELECT n.conv_id, n.depth::BIGINT AS depth, q.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves,
+       saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM leaf n JOIN sums USING (p) LEFT JOIN node q ON n.depth > 0 AND q.p = n.p[1:n.depth - 1]
+"""
+
+
 def op13_centroid_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return centroids.cluster(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
@@ -153,7 +191,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
+    "op11_euler_trie": op11_euler_trie,
     "op13_centroid_tables": op13_centroid_tables,
 }
 
-ORACLE: dict[str, str] = {"op1_rp_forest": OP1_SQL, "op4_ngram_join": OP4_SQL, "op13_centroid_tables": _op13_sql()}
+ORACLE: dict[str, str] = {"op1_rp_forest": OP1_SQL, "op4_ngram_join": OP4_SQL, "op11_euler_trie": OP11_SQL,
+                          "op13_centroid_tables": _op13_sql()}
