@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import bpe, centroids, euler_trie, html_main, licenses, mih, nbsvm, ngram_join, packing, rp_forest, suffix_lm, toxicity
+from wardlake.llm import bpe, centroids, euler_trie, html_main, licenses, mih, nbsvm, ngram_join, packing, rp_forest, secrets_battery, suffix_lm, toxicity
 from wardlake.llm.common import fold, ship, table
 
 
@@ -148,6 +148,18 @@ FROM leaf n JOIN sums USING (p) LEFT JOIN node q ON n.depth > 0 AND q.p = n.p[1:
 """
 
 
+def op12_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets_battery.scan(table(spark, sf_dir, "documents"))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda t: F.concat_ws(":", t["kind"], t["s"].cast("string"), t["e"].cast("string"))), ",")
+
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[F.size(F.expr(f"filter(base, t -> t.kind = '{k}')")).cast("bigint").alias(f"n_{k}") for k in secrets_battery.KINDS],
+        F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
 def op13_centroid_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return centroids.cluster(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
@@ -192,6 +204,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
     "op11_euler_trie": op11_euler_trie,
+    "op12_secret_battery": op12_secret_battery,
     "op13_centroid_tables": op13_centroid_tables,
 }
 
