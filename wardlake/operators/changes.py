@@ -294,15 +294,10 @@ def reactivate(t: Tables, requests: DataFrame, lenient: bool = False) -> ChangeR
 
 
 def apply_status(t: Tables, requests: DataFrame, batch_ts: str, lenient: bool = False) -> ChangeResult:
-    """The status route: ``action`` = discharge or reactivate.  Discharges
-    are applied first, then reactivations on the result."""
-    act = F.col("action")
-    bad = requests.filter(act.isNull() | ~act.isin("discharge", "reactivate")).select(
-        "request_id", F.lit("invalid: action").alias("reason"))
-    d = discharge(t, requests.filter(act == "discharge"), batch_ts, lenient)
-    a = reactivate(d.tables, requests.filter(act == "reactivate"), lenient)
-    return ChangeResult(a.tables, d.accepted.select("request_id", "id_stay").unionByName(
-        a.accepted.select("request_id", "id_stay")), bad.unionByName(d.rejects).unionByName(a.rejects))
+    """The status route: ``action`` = discharge or reactivate, in request
+    order (see ``status``)."""
+    from .status import apply_status as in_order
+    return in_order(t, requests, batch_ts, lenient)
 
 
 # ---------------------------------------------------------------- M7

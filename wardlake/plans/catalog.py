@@ -716,70 +716,66 @@ def q_load_staff_new(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ M5 + M6 (status route)
-_STATUS_SQL = f"""
-WITH req AS (
-  SELECT event_id AS request_id, ts AS requested_at, event_id AS id_stay,
+# One request after the other, in order: the maps hold the stays and beds that a request has changed.
+def _status_sql(stay_of: str, result: str) -> str:
+    return with_standin(f"""
+WITH RECURSIVE req AS (
+  SELECT event_id AS request_id, ts AS requested_at, {stay_of} AS id_stay,
          CASE WHEN value > 25 THEN 'reactivate' ELSE 'discharge' END AS action, event_id % 100 AS bed,
          coalesce(TRY_CAST(strftime(ts, '%Y-%m-%d %H:%M:%S') AS TIMESTAMP), TIMESTAMP '{BATCH_TS}') AS new_out
   FROM events WHERE event_type = 'purchase'),
-dq AS (SELECT q.*, s.id_room AS old_bed, CASE
-         WHEN q.id_stay = 0 THEN 'invalid: id_stay'
-         WHEN s.id_stay IS NULL THEN 'unknown stay'
-         WHEN s.date_out IS NOT NULL THEN 'not active'
-         WHEN q.new_out < s.date_in THEN 'end before entry' END AS reason
-       FROM req q LEFT JOIN stay s ON s.id_stay = q.id_stay WHERE q.action = 'discharge'),
-dw AS (SELECT dq.*, row_number() OVER (PARTITION BY id_stay ORDER BY requested_at NULLS FIRST, request_id) AS rk
-       FROM dq WHERE reason IS NULL),
-dd AS (SELECT * FROM dw WHERE rk = 1),
-stay1 AS (SELECT s.id_stay, s.id_patient, CASE WHEN d.id_stay IS NOT NULL THEN NULL ELSE s.id_room END AS id_room,
-                 s.date_in, CASE WHEN d.id_stay IS NOT NULL THEN d.new_out ELSE s.date_out END AS date_out
-          FROM stay s LEFT JOIN dd d ON d.id_stay = s.id_stay),
-room1 AS (SELECT r.id_room, r.id_service, r.room_no, r.bed_no,
-                 CASE WHEN r.id_room IN (SELECT old_bed FROM dd WHERE old_bed IS NOT NULL) THEN true
-                      ELSE r.available END AS available FROM room r),
-rq AS (SELECT q.*, CASE
-         WHEN q.id_stay = 0 THEN 'invalid: id_stay'
-         WHEN NOT coalesce(q.bed > 0, false) THEN 'invalid: id_room'
-         WHEN b.id_room IS NULL THEN 'unknown bed'
-         WHEN NOT coalesce(b.available, false) THEN 'bed not free'
-         WHEN s.id_stay IS NULL THEN 'unknown stay'
-         WHEN s.date_out IS NULL THEN 'already active' END AS reason
-       FROM req q LEFT JOIN room1 b ON b.id_room = q.bed LEFT JOIN stay1 s ON s.id_stay = q.id_stay
-       WHERE q.action = 'reactivate'),
-rw AS (SELECT rq.*, row_number() OVER (PARTITION BY id_stay ORDER BY requested_at NULLS FIRST, request_id) AS rs,
-              row_number() OVER (PARTITION BY bed ORDER BY requested_at NULLS FIRST, request_id) AS rb
-       FROM rq WHERE reason IS NULL),
-ra AS (SELECT * FROM rw WHERE rs = 1 AND rb = 1)
-"""
-
-
-def _status(spark, sf_dir):
-    return changes.apply_status(standin_tables(spark, sf_dir), rq.status_requests(spark, sf_dir), BATCH_TS)
+q AS (SELECT req.*, row_number() OVER (ORDER BY requested_at NULLS FIRST, request_id) AS n, s.id_stay IS NOT NULL AS known,
+             s.date_in, struct_pack(id_room := s.id_room, date_out := s.date_out) AS s0, r.id_room IS NOT NULL AS bed_known,
+             coalesce(r.available, false) AS b0
+      FROM req LEFT JOIN stay s ON s.id_stay = req.id_stay LEFT JOIN room r ON r.id_room = req.bed),
+met AS (SELECT 1 AS n, MAP {{}}::MAP(BIGINT, STRUCT(id_room BIGINT, date_out TIMESTAMP)) AS stays, MAP {{}}::MAP(BIGINT, BOOLEAN) AS beds),
+step(n, stays, beds, request_id, reason) AS (
+  SELECT 0, stays, beds, NULL::BIGINT, NULL::VARCHAR FROM met
+  UNION ALL
+  SELECT n, CASE WHEN reason IS NOT NULL THEN stays
+                 WHEN action = 'discharge' THEN map_concat(stays, MAP {{id_stay: struct_pack(id_room := NULL::BIGINT, date_out := new_out)}})
+                 ELSE map_concat(stays, MAP {{id_stay: struct_pack(id_room := bed, date_out := NULL::TIMESTAMP)}}) END,
+         CASE WHEN reason IS NOT NULL OR action = 'discharge' AND s.id_room IS NULL THEN beds
+              WHEN action = 'discharge' THEN map_concat(beds, MAP {{s.id_room: true}})
+              ELSE map_concat(beds, MAP {{bed: false}}) END, request_id, reason
+  FROM (SELECT *, CASE
+          WHEN id_stay = 0 THEN 'invalid: id_stay'
+          WHEN action = 'reactivate' AND bed = 0 THEN 'invalid: id_room'
+          WHEN action = 'reactivate' AND NOT bed_known THEN 'unknown bed'
+          WHEN action = 'reactivate' AND NOT coalesce(beds[bed], b0) THEN 'bed not free'
+          WHEN NOT known THEN 'unknown stay'
+          WHEN action = 'reactivate' AND s.date_out IS NULL THEN 'already active'
+          WHEN action = 'discharge' AND s.date_out IS NOT NULL THEN 'not active'
+          WHEN action = 'discharge' AND new_out < date_in THEN 'end before entry' END AS reason
+        FROM (SELECT q.*, p.stays, p.beds, CASE WHEN map_contains(p.stays, q.id_stay) THEN p.stays[q.id_stay] ELSE q.s0 END AS s
+              FROM step p JOIN q ON q.n = p.n + 1))),
+fin AS (SELECT * FROM step ORDER BY n DESC LIMIT 1),
+new_stay AS (SELECT unnest(map_keys(stays)) AS id_stay, unnest(map_values(stays)) AS s FROM fin),
+new_bed AS (SELECT unnest(map_keys(beds)) AS id_room, unnest(map_values(beds)) AS free FROM fin)
+{result}""")
+
+
+_STATUS_RESULTS = {
+    "stays": """SELECT s.id_stay, s.id_patient, CASE WHEN n.id_stay IS NULL THEN s.id_room ELSE n.s.id_room END AS id_room,
+  s.date_in, CASE WHEN n.id_stay IS NULL THEN s.date_out ELSE n.s.date_out END AS date_out
+FROM stay s LEFT JOIN new_stay n ON n.id_stay = s.id_stay""",
+    "rooms": """SELECT r.id_room, r.id_service, r.room_no, r.bed_no, coalesce(n.free, r.available) AS available
+FROM room r LEFT JOIN new_bed n ON n.id_room = r.id_room""",
+    "rejects": "SELECT request_id, reason FROM step WHERE reason IS NOT NULL",
+}
 
 
-@register("apply_status_stays", with_standin(_STATUS_SQL + """
-SELECT s.id_stay, s.id_patient, CASE WHEN a.id_stay IS NOT NULL THEN a.bed ELSE s.id_room END AS id_room,
-       s.date_in, CASE WHEN a.id_stay IS NOT NULL THEN NULL ELSE s.date_out END AS date_out
-FROM stay1 s LEFT JOIN ra a ON a.id_stay = s.id_stay"""))
-def q_apply_status_stays(spark, sf_dir):
-    return _status(spark, sf_dir).tables.stay
+def _register_status(prefix: str, stay_of: str, repeated: bool) -> None:
+    pick = {"stays": lambda r: r.tables.stay, "rooms": lambda r: r.tables.room, "rejects": lambda r: r.rejects}
+    for part, result in _STATUS_RESULTS.items():
+        def query(spark, sf_dir, part=part):
+            asked = rq.status_requests(spark, sf_dir, repeated)
+            return pick[part](changes.apply_status(standin_tables(spark, sf_dir), asked, BATCH_TS))
+        register(f"{prefix}_{part}", _status_sql(stay_of, result))(query)
 
 
-@register("apply_status_rooms", with_standin(_STATUS_SQL + """
-SELECT id_room, id_service, room_no, bed_no,
-       CASE WHEN id_room IN (SELECT bed FROM ra) THEN false ELSE available END AS available
-FROM room1"""))
-def q_apply_status_rooms(spark, sf_dir):
-    return _status(spark, sf_dir).tables.room
-
-
-@register("apply_status_rejects", with_standin(_STATUS_SQL + """
-SELECT request_id, reason FROM dq WHERE reason IS NOT NULL
-UNION ALL SELECT request_id, 'conflict' FROM dw WHERE rk > 1
-UNION ALL SELECT request_id, reason FROM rq WHERE reason IS NOT NULL
-UNION ALL SELECT request_id, 'conflict' FROM rw WHERE rs > 1 OR rb > 1"""))
-def q_apply_status_rejects(spark, sf_dir):
-    return _status(spark, sf_dir).rejects
+_register_status("apply_status", "event_id", False)
+_register_status("apply_status_repeated", "event_id % 50", True)  # a stay is named again and again
 
 
 # ------------------------------------------------------------------ M1

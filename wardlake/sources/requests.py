@@ -116,12 +116,14 @@ def staff_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                      email.alias("email"), role.alias("role"))
 
 
-def status_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``purchase`` events on the status route: stay ``event_id`` is
+def status_requests(spark: SparkSession, sf_dir: str, repeated: bool = False) -> DataFrame:
+    """``purchase`` events on the status route: stay ``event_id`` (with
+    ``repeated``: ``event_id % 50``, so that a stay is named many times) is
     reactivated in bed ``event_id % 100`` when the value is above 25, else
     discharged at the event time."""
     ev = _events(spark, sf_dir, "purchase")
-    return ev.select(*_base(ev), F.col("event_id").cast("string").alias("id_stay"),
+    stay = F.col("event_id") % 50 if repeated else F.col("event_id")
+    return ev.select(*_base(ev), stay.cast("string").alias("id_stay"),
                      F.when(F.col("value") > 25, F.lit("reactivate")).otherwise(F.lit("discharge")).alias("action"),
                      (F.col("event_id") % 100).cast("string").alias("id_room"),
                      F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("date_out"))

@@ -199,6 +199,8 @@ prescription AS (SELECT l_orderkey AS id_stay, CAST(l_partkey AS VARCHAR) AS dru
 def with_standin(sql_body: str) -> str:
     """Prefix a query over our table names with the stand-in views."""
     body = sql_body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + STANDIN_SQL_CTES.strip() + ",\n" + body[15:]
     if body.upper().startswith("WITH "):
         return "WITH " + STANDIN_SQL_CTES.strip() + ",\n" + body[5:]
     return "WITH " + STANDIN_SQL_CTES.strip() + "\n" + body
