@@ -84,9 +84,15 @@ def test_cleaning_goldens(spark):
 def test_markup_height_time_and_empty_goldens(spark):
     """Worked by hand from what the source's functions are documented to do."""
     texts = {"temp < 38 and spo2 > 95": "temp < 38 and spo2 > 95", "a<!-- x > y -->b": "ab", "a<b": "a",
-             "<a t='>'>k</a> z": "k z", "x <": "x <", "p <!-- open": "p "}
+             "<a t='>'>k</a> z": "k z", "x <": "x <", "p <!-- open": "p ", "a <b t='x> y": "a ", "a <b t=\"x' > y\">z": "a z",
+             "<!-->k": "k", "<!--->k": "k", "<!-- it's -->k": "k", "<a t='<!-- '>k": "k", "a <> b": "a  b", "<b\n>k</b\n>": "k",
+             "": "", "1 <2 and 3> 2": "1  2", "<br/>k<?php echo 1 ?>": "k"}
     df = spark.createDataFrame(list(texts.items()), "i string, want string")
     assert [(r.i, r.got) for r in df.select("i", X.strip_tags("i").alias("got")).collect()] == list(texts.items())
+    n = 10_000_000  # what is left open at the end of a long text costs no stack
+    for open_ in ("<b ", "<b t='", "<!-- ", "<b t=''", "<b 'x'\"y\""):
+        long = spark.range(1).select(F.concat(F.lit("k" + open_), F.repeat(F.lit("x='1' "), n // 6), F.lit("'")).alias("t"))
+        assert long.select(X.strip_tags("t").alias("t")).first().t == "k"
     zone = spark.conf.get("spark.sql.session.timeZone")
     try:  # a wall-clock time that this zone skips
         spark.conf.set("spark.sql.session.timeZone", "America/New_York")

@@ -45,13 +45,18 @@ def parse_timestamp(c, default) -> Column:
 
 
 # ------------------------------------------------------------------ X6, X7
+# A comment, or a tag whose quoted attribute values may hold ``>``; possessive throughout, so the
+# scan never goes back and runs in constant stack, whatever is left open at the end of a long text.
+MARKUP = (r"""(?s)<!--(?:-?>|.*?(?:-->|\z))|<(?!\s|\z)(?:[^>"']++|"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))*+(?:>|\z)""")
+
+
 def strip_tags(c) -> Column:
-    """Remove markup: comments first (also one that is never closed), then
-    tags, whose quoted attribute values may hold ``>``; a tag that is never
-    closed goes to the end of the text.  A ``<`` before white space or at the
+    """Remove markup in one pass from the left: comments, then tags with their
+    quoted attribute values.  A comment, a quote or a tag that is never closed
+    goes to the end of the text; a comment mark inside a quoted value and a
+    quote inside a comment mean nothing.  A ``<`` before white space or at the
     end is no tag and stays (``temp < 38``)."""
-    no_comments = F.regexp_replace(_c(c), r"(?s)<!--.*?(-->|\z)", "")
-    return F.regexp_replace(no_comments, r"""(?s)<(?!\s|\z)(?:"[^"]*"|'[^']*'|[^>"'])*(?:>|\z)""", "")
+    return F.regexp_replace(_c(c), MARKUP, "")
 
 
 def escape_html(c) -> Column:

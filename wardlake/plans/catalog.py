@@ -493,10 +493,9 @@ def q_transfer_rooms(spark, sf_dir):
 
 
 def _clean_sql(c: str) -> str:
-    s = f"regexp_replace({c}, '(?s)<!--.*?(-->|\\z)', '', 'g')"
-    part = """"[^"]*"|''[^'']*''|[^>"'']"""
-    first = """"[^"]*"|''[^'']*''|[^>"''[:space:]]"""
-    s = f"regexp_replace({s}, '(?s)<(?:{first})(?:{part})*(?:>|\\z)|<>', '', 'g')"
+    quoted = r""""[^"]*(?:"|\z)|''[^'']*(?:''|\z)"""
+    s = (f"regexp_replace({c}, '(?s)<!--(?:-?>|.*?(?:-->|\\z))|<(?:{quoted}|[^>\"''[:space:]])(?:{quoted}|[^>\"''])*(?:>|\\z)|<>', "
+         "'', 'g')")
     for raw, esc in (("&", "&amp;"), ('"', "&quot;"), ("''", "&#039;"), ("<", "&lt;"), (">", "&gt;")):
         s = f"replace({s}, '{raw}', '{esc}')"
     return s
