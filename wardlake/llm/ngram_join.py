@@ -13,8 +13,8 @@
    most of the rest.
 5. Verification counts common shingles. Each group's members are compared with the group's head,
    and the groups of a prefix shingle with two of them (a star, not all pairs); what then is one
-   component needs no more comparing. Where a shingle still has several components, its members
-   are compared with a few more of them; and at last, what isn't in a shingle's main component is
+   component needs no more comparing. Where a shingle still has several components, what isn't in
+   its main one is compared with a few members of that and of the others; and at last, what isn't in a shingle's main component is
    compared with every candidate of another component, so no link between components is missed.
 
 Shingles are 64-bit hashes; within a pair of texts two different shingles meet by chance less
@@ -40,7 +40,7 @@ from wardlake.llm.common import (HASH, WordHash, ascii_lower_words, block_count,
 WORDS = 4
 PERCENT = 85
 SIGNATURE = 8  # longs
-PIVOTS = 12  # members a shingle's others are compared with before the rest is compared in full
+WIDE = 32  # longs of the signature that only members of shingles with several components carry
 
 _C = np.uint64(0xBF58476D1CE4E5B9)
 _S = np.uint64(29)
@@ -114,7 +114,7 @@ def _count(key: tuple, t: pa.Table) -> pa.Table:
                      "fps": pa.array(fps, pa.binary()), "dfs": pa.array(dfs, pa.binary())})
 
 
-CLASS = "dig binary, n bigint, gid binary, toks array<bigint>, pos array<int>, shared array<bigint>, sig array<bigint>"
+CLASS = "dig binary, n bigint, gid binary, toks array<bigint>, pos array<int>, shared array<bigint>, sig array<bigint>, wide array<bigint>"
 
 
 def _prefixes(k: int, bits: int, percent: int):
@@ -138,7 +138,7 @@ def _prefixes(k: int, bits: int, percent: int):
         h, df = h[order], df[order]
         starts = np.concatenate([[0], np.cumsum(n)])
         plen = prefix_length(n, percent)
-        gid, toks, pos, shared, sig = [], [], [], [], []
+        gid, toks, pos, shared, sig, wide = [], [], [], [], [], []
         for i in range(len(n)):
             a = starts[i]
             p = h[a:a + plen[i]] if n[i] else h[:0]
@@ -149,14 +149,17 @@ def _prefixes(k: int, bits: int, percent: int):
                 toks.append(p[hit].view(np.int64))
                 pos.append(hit.astype(np.int32))
                 shared.append(own[df[a:starts[i + 1]] > 1].view(np.int64))
-                odd = np.bincount((own & np.uint64(SIGNATURE * 64 - 1)).astype(np.int64), minlength=SIGNATURE * 64) & 1
-                sig.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                odd = np.bincount((own & np.uint64(WIDE * 64 - 1)).astype(np.int64), minlength=WIDE * 64) & 1
+                wide.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                folded = np.bitwise_xor.reduce(odd.reshape(-1, SIGNATURE * 64), axis=0)  # the parity of fewer, larger buckets
+                sig.append(np.packbits(folded.astype(np.uint8)).view(np.int64))
             else:
-                for column in (gid, toks, pos, shared, sig):
+                for column in (gid, toks, pos, shared, sig, wide):
                     column.append(None)
         return pa.table({"dig": pa.array(digs, pa.binary()), "n": pa.array(n), "gid": pa.array(gid, pa.binary()),
                          "toks": pa.array(toks, pa.list_(pa.int64())), "pos": pa.array(pos, pa.list_(pa.int32())),
-                         "shared": pa.array(shared, pa.list_(pa.int64())), "sig": pa.array(sig, pa.list_(pa.int64()))})
+                         "shared": pa.array(shared, pa.list_(pa.int64())), "sig": pa.array(sig, pa.list_(pa.int64())),
+                         "wide": pa.array(wide, pa.list_(pa.int64()))})
 
     return run
 
@@ -174,12 +177,17 @@ def _marked(stats: DataFrame) -> DataFrame:
     return stats.select("tok", *[F.col(f"m.{c}").alias(f"{c}2") for c in ("nid", "n", "s", "p", "sig")])
 
 
-def _possible(percent: int) -> F.Column:
+def _apart(a: str, b: str, longs: int) -> F.Column:
+    """In how many bits two signatures differ; the sets differ in as many shingles at least."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(longs)), F.lit(0))
+
+
+def _possible(percent: int, longs: int = SIGNATURE) -> F.Column:
     """The sizes n, n2, the numbers s, s2 of shingles that can be common at all, and the places of a
     common shingle allow the threshold: before it at most the smaller q can be common."""
     need = F.col("n") + F.col("n2")
     most = F.least("s", "s2", F.col("n") - F.col("p"), F.col("n2") - F.col("p2"))
-    apart = sum((F.bit_count(F.col("sig")[i].bitwiseXOR(F.col("sig2")[i])) for i in range(SIGNATURE)), F.lit(0))
+    apart = _apart("sig", "sig2", longs)
     return ((F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (most * (100 + percent) >= need * percent)
             & ((need - apart) * (100 + percent) >= need * (2 * percent)))
 
@@ -210,27 +218,33 @@ def links(classes: DataFrame, percent: int) -> DataFrame:
     found = keep(_verify(stars.unionByName(inside), sets, percent), "stars")
 
     def still_open(found: DataFrame, name: str) -> DataFrame:
-        """Postings of the shingles with several components: ``c`` the component, ``main`` the
-        shingle's most frequent one."""
+        """Postings of the shingles with several components, with the wide signature: ``c`` the
+        component, ``main`` the shingle's most frequent one."""
         label = components(found, name).withColumnRenamed("node", "nid")
-        post = _postings(some).join(label, "nid", "left").withColumn("c", F.coalesce("component", "nid")).drop("component")
+        post = _postings(some).drop("sig").join(label, "nid", "left").withColumn("c", F.coalesce("component", "nid")).drop("component")
         main = (post.groupBy("tok", "c").agg(F.count("*").alias("k")).groupBy("tok")
                 .agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("cs")).where("cs > 1")
                 .select("tok", F.col("m.c").alias("main")))
-        return keep(post.join(main, "tok"), name)
+        return keep(post.join(main, "tok").join(some.selectExpr("nid", "wide sig"), "nid"), name)
 
-    # a few members outside the main component, others for each shingle
+    # a few members of the main component and a few outside it, others for each shingle: what is not
+    # in the main component meets both, the main component those outside it
     open_ = still_open(found, "near1")
-    member = [F.struct(F.xxhash64(F.lit(i), "nid", "tok").alias("h"), mark.alias("m")) for i in range(PIVOTS // 2)]
-    picked = open_.where("c <> main").groupBy("tok").agg(*[f(m).alias(f"{f.__name__}{i}") for i, m in enumerate(member) for f in (F.min, F.max)])
-    picked = _marked(picked.select("tok", F.array_distinct(F.array(*[F.col(f"{f}{i}.m") for i in range(PIVOTS // 2) for f in ("min", "max")])).alias("m")))
-    more = (open_.join(picked, "tok").where("nid <> nid2").where(_possible(percent)).selectExpr(*pair).distinct())
+    member = F.struct(F.xxhash64("nid", "tok").alias("h"), mark.alias("m"))
+
+    def picked(rows: DataFrame) -> DataFrame:
+        few = rows.groupBy("tok").agg(F.min(member).alias("lo"), F.max(member).alias("hi"))
+        return _marked(few.select("tok", F.array_distinct(F.array("lo.m", "hi.m")).alias("m")))
+
+    met = open_.join(picked(open_.where("c <> main")), "tok").unionByName(
+        open_.where("c <> main").join(picked(open_.where("c = main")), "tok"))
+    more = met.where("nid <> nid2").where(_possible(percent, WIDE)).selectExpr(*pair).distinct()
     found = keep(found.unionByName(_verify(more, sets, percent)), "more")
 
     open_ = still_open(found, "near2")
     rest = open_.where("c <> main").drop("main")
     other = open_.selectExpr("tok", "nid nid2", "n n2", "s s2", "p p2", "sig sig2", "c c2", "main")
-    cross = (rest.join(other, "tok").where("c <> c2 and (c2 = main or nid < nid2)").where(_possible(percent))
+    cross = (rest.join(other, "tok").where("c <> c2 and (c2 = main or nid < nid2)").where(_possible(percent, WIDE))
              .selectExpr(*pair).distinct())
     return found.unionByName(_verify(cross, sets, percent))
 
