@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from wardlake.llm.common import (HASH, WordHash, ascii_lower_words, block_count, blocked, components, from_blobs, hashes,
-                                 keep)
+from wardlake.llm.common import (HASH, WordHash, ascii_lower_words, block_count, blocked, components, drop_kept, from_blobs,
+                                 hashes, keep)
 
 WORDS = 4
 PERCENT = 85
@@ -200,8 +200,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(common * (100 + percent) >= (F.col("n") + F.col("n2")) * percent).select("a", "b")
 
 
-def links(classes: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between classes that connect exactly what the threshold connects."""
+def linked(classes: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the classes with links: exactly what the threshold connects."""
+    spark = classes.sparkSession
     some = classes.where("gid is not null")
     sets = some.select("nid", "n", "shared")
     mark = F.struct("nid", "n", "s", "p", "sig")
@@ -215,12 +216,12 @@ def links(classes: DataFrame, percent: int) -> DataFrame:
              .where(_possible(percent)).selectExpr(*pair).distinct())
     inside = (some.select("gid", F.col("nid").alias("b")).join(groups.select("gid", F.col("nid").alias("a")), "gid")
               .where("a <> b").select("a", "b"))
-    found = keep(_verify(stars.unionByName(inside), sets, percent), "stars")
+    label = components(_verify(stars.unionByName(inside), sets, percent), "near1")
 
-    def still_open(found: DataFrame, name: str) -> DataFrame:
+    def still_open(label: DataFrame, name: str) -> DataFrame:
         """Postings of the shingles with several components, with the wide signature: ``c`` the
         component, ``main`` the shingle's most frequent one."""
-        label = components(found, name).withColumnRenamed("node", "nid")
+        label = label.withColumnRenamed("node", "nid")
         post = _postings(some).drop("sig").join(label, "nid", "left").withColumn("c", F.coalesce("component", "nid")).drop("component")
         main = (post.groupBy("tok", "c").agg(F.count("*").alias("k")).groupBy("tok")
                 .agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("cs")).where("cs > 1")
@@ -229,7 +230,7 @@ def links(classes: DataFrame, percent: int) -> DataFrame:
 
     # a few members of the main component and a few outside it, others for each shingle: what is not
     # in the main component meets both, the main component those outside it
-    open_ = still_open(found, "near1")
+    open_ = still_open(label, "open1")
     member = F.struct(F.xxhash64("nid", "tok").alias("h"), mark.alias("m"))
 
     def picked(rows: DataFrame) -> DataFrame:
@@ -239,14 +240,19 @@ def links(classes: DataFrame, percent: int) -> DataFrame:
     met = open_.join(picked(open_.where("c <> main")), "tok").unionByName(
         open_.where("c <> main").join(picked(open_.where("c = main")), "tok"))
     more = met.where("nid <> nid2").where(_possible(percent, WIDE)).selectExpr(*pair).distinct()
-    found = keep(found.unionByName(_verify(more, sets, percent)), "more")
+    label = components(label.selectExpr("node a", "component b").unionByName(_verify(more, sets, percent)), "near2")
+    drop_kept(spark, open_)
 
-    open_ = still_open(found, "near2")
+    open_ = still_open(label, "open2")
     rest = open_.where("c <> main").drop("main")
     other = open_.selectExpr("tok", "nid nid2", "n n2", "s s2", "p p2", "sig sig2", "c c2", "main")
     cross = (rest.join(other, "tok").where("c <> c2 and (c2 = main or nid < nid2)").where(_possible(percent, WIDE))
              .selectExpr(*pair).distinct())
-    return found.unionByName(_verify(cross, sets, percent))
+    cross = keep(_verify(cross, sets, percent), "cross")
+    drop_kept(spark, open_)
+    if not cross.limit(1).count():
+        return label
+    return components(label.selectExpr("node a", "component b").unionByName(cross), "near3")
 
 
 def _by_text(base: DataFrame, percent: int, k: int) -> DataFrame:
@@ -258,7 +264,7 @@ def _by_text(base: DataFrame, percent: int, k: int) -> DataFrame:
                .groupBy("bucket").applyInArrow(_count, "blk bigint, bucket bigint, fps binary, dfs binary"))
     found = texts_.groupBy("blk").cogroup(counted.groupBy("blk")).applyInArrow(_prefixes(k, bits, percent), CLASS)
     classes = keep(found.withColumn("nid", F.monotonically_increasing_id()), "classes")
-    label = components(links(classes, percent), "near3").withColumnRenamed("node", "nid")
+    label = linked(classes, percent).withColumnRenamed("node", "nid")
     return classes.select("dig", "nid", "n").join(label, "nid", "left").select("dig", "n", F.coalesce("component", "nid").alias("c"))
 
 
