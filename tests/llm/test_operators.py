@@ -546,3 +546,27 @@ def test_packing_rows(spark):
     places = sorted((r.shard, r.bin, r.bin_offset, r.n_words) for r in out if r.bin is not None)
     assert all(a[:2] != b[:2] or a[2] + a[3] == b[2] for a, b in zip(places, places[1:]))
     assert packing.pack(docs_of(spark, [])).count() == 0
+
+
+def test_maximal_segments_in_linear_time():
+    import time
+
+    # places ten tokens apart that never merge: each search must not walk over all before
+    t0 = time.perf_counter()
+    got = toxicity.maximal_segments(((10 * i, 2.0) for i in range(1_000_000)), drift=-0.5)
+    assert len(got) == 1_000_000 and time.perf_counter() - t0 < 30
+    rng = random.Random(3)
+    for _ in range(300):
+        scores = [(i, rng.choice([-3, -1, 1, 2, 0.5])) for i in range(rng.randrange(40)) if rng.random() < 0.7]
+        drift = rng.choice([0.0, -0.25, -1.0])
+        dense = [drift] * (scores[-1][0] + 1) if scores else []
+        for at, s in scores:
+            dense[at] = s
+        sums = [0.0]
+        for d in dense:
+            sums.append(sums[-1] + d)
+        # by definition: positive runs whose every prefix and suffix is positive, not inside a larger one
+        runs = [(a, b) for a in range(len(dense)) for b in range(a + 1, len(dense) + 1)
+                if all(sums[m] > sums[a] and sums[b] > sums[m] for m in range(a + 1, b)) and sums[b] > sums[a]]
+        best = [(a, b, sums[b] - sums[a]) for a, b in runs if not any(x <= a and b <= y and (x, y) != (a, b) for x, y in runs)]
+        assert [(a, b) for a, b, _ in toxicity.maximal_segments(scores, drift)] == [(a, b) for a, b, _ in best]

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from wardlake.llm.common import WordHash, ascii_lower_words, hashes, texts
 from wardlake.llm.toxicity import sample
@@ -138,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                                                  + [pa.array(got, pa.binary())], ["id", "y", "f"])
 
     data = (sample(docs, labels, label_col, id_col, text_col, max_labelled)
-            .mapInArrow(run, "id bigint, y int, f binary").dropDuplicates(["f", "y"]).toArrow().sort_by("id"))
+            .mapInArrow(run, "id bigint, y int, f binary").groupBy("f", "y").agg(F.min("id").alias("id")).select("id", "y", "f").toArrow().sort_by("id"))
     rows = [np.frombuffer(x.as_buffer(), "<u4") for x in data.column("f")]  # views, no copies
     return train(rows, np.array(data.column("y").to_pylist(), np.int64))
 

@@ -54,8 +54,9 @@ class Model:
 def maximal_segments(scores: Iterable[tuple[int, float]], drift: float = DRIFT) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, stop exclusive, score) in one pass over the scored
     places; the tokens between two places cost ``drift`` each."""
-    # left and right: cumulative score before and behind each candidate
-    out: list[list[float]] = []
+    # left and right: cumulative score before and behind each candidate; below: the last candidate
+    # before it with a smaller left. Those between have larger ones, so no search visits them again.
+    out: list[tuple[int, int, float, float, int]] = []
     total, last = 0.0, -1
     for at, s in scores:
         total += drift * (at - last - 1)
@@ -63,18 +64,18 @@ def maximal_segments(scores: Iterable[tuple[int, float]], drift: float = DRIFT)
         if s <= 0:
             total += s
             continue
-        new = [at, at + 1, total, total + s]
+        start, left, j = at, total, len(out) - 1
         total += s
         while True:
-            j = len(out) - 1
-            while j >= 0 and out[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or out[j][3] >= new[3]:
-                out.append(new)
+            while j >= 0 and out[j][2] >= left:
+                j = out[j][4]
+            if j < 0 or out[j][3] >= total:
+                out.append((start, at + 1, left, total, j))
                 break
-            new = [out[j][0], new[1], out[j][2], new[3]]
+            start, _, left, _, below = out[j]
             del out[j:]
-    return [(int(a), int(b), right - left) for a, b, left, right in out]
+            j = below
+    return [(a, b, right - left) for a, b, left, right, _ in out]
 
 
 def segments_of(model: Model, words: list[bytes]) -> list[tuple[int, int, float]]:
