@@ -66,3 +66,33 @@ def test_hot_foreign_key(spark):
     assert bad.count() == child.where("id_stay >= 490").count() > 0
     assert good.count() + bad.count() == 60_000 and good.columns == child.columns
     assert not any("Exchange" in x and "remark" in x for x in _plan(bad).splitlines())
+
+
+def test_hot_stay_is_split_in_a_sort_merge_join(spark, seed):
+    """A third of the prescriptions are one stay's: with sort-merge joins forced, no task of the join has more than
+    three times the median's rows, and the answer is the plain join's."""
+    from wardlake.operators import hot, reads
+    n = 120_000
+    key = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 20_000 + 100).cast("bigint")
+    presc = spark.range(0, n, 1, 6).select(F.col("id").alias("id_prescription"), key.alias("id_stay"), F.lit("d").alias("drug"),
+                                           F.lit(1).alias("dose"), F.lit(1).alias("frequency"), F.lit("x").alias("instructions"))
+    stay = spark.range(0, 25_000).selectExpr("id id_stay", "1L id_patient", "id % 50 id_room", "timestamp_ntz'2025-01-01 00:00:00' date_in",
+                                             "cast(null as timestamp_ntz) date_out")
+    assert hot.hot_keys(presc, "id_stay", 5_000) == {7: 8} and hot.hot_keys(presc, "id_stay") == {}
+    t = seed.replace(stay=stay.select(*seed.stay.columns), prescription=presc.select(*seed.prescription.columns))
+    plain = presc.join(stay.select("id_stay"), on="id_stay", how="right").groupBy("id_stay").agg(F.count("drug").alias("n"), F.sum("id_prescription").alias("s"))
+    keep = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "12"}
+    before = {k: spark.conf.get(k, None) for k in keep}
+    for k, v in keep.items():
+        spark.conf.set(k, v)
+    try:
+        split = hot.join_split(presc, stay.select("id_stay", "id_room"), "id_stay", hot_rows=5_000)
+        assert "SortMergeJoin" in _plan(split) and "_salt" in _plan(split)
+        sizes = sorted(r["count"] for r in split.groupBy(F.spark_partition_id()).count().collect())
+        assert len(sizes) == 12 and sizes[-1] <= 3 * sizes[6], sizes
+        got = reads.stay_summary(t, hot_rows=5_000).groupBy("id_stay").agg(F.count("drug").alias("n"), F.sum("id_prescription").alias("s"))
+        assert got.exceptAll(plain).count() == plain.exceptAll(got).count() == 0
+        assert got.count() == 25_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)

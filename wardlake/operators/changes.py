@@ -169,8 +169,8 @@ PATIENT_REQUIRED = ["full_name", "nin", "birth_date", "sex", "address", "blood_g
 
 def _patient_checks() -> list[tuple[Column, str]]:
     lim = schemas.TEXT_LIMITS["patient"]
-    checks = [(X.first_missing(PATIENT_REQUIRED).isNotNull(),
-               "missing: patient field")]
+    missing = X.first_missing(PATIENT_REQUIRED)
+    checks = [(missing.isNotNull(), F.concat(F.lit("missing: "), missing))]
     checks.append((~X.valid_date_text("birth_date"), "invalid: birth_date"))
     checks.append((~F.col("sex").isin(list(schemas.SEX_VALUES)), "invalid: sex"))
     for c, n in lim.items():
@@ -468,7 +468,8 @@ def amend_observations(t: Tables, requests: DataFrame, own_only: bool = False) -
         X.to_decimal("temperature", 5, 2).alias("temperature"), X.to_int("heart_rate").alias("heart_rate"),
         X.to_int("spo2").alias("spo2"), X.to_decimal("glucose", 3, 1).alias("glucose"),
         X.to_decimal("weight", 5, 2).alias("weight"), X.to_decimal("height", 4, 2).alias("height"),
-        X.parse_timestamp("observed_at", F.lit(None).cast("timestamp_ntz")).alias("observed_at"))
+        X.parse_timestamp("observed_at", F.lit(None).cast("timestamp_ntz")).alias("observed_at"),
+        *[F.col(c).alias("_raw_" + c) for c in ("temperature", "glucose", "weight", "height")])
     owner = _named(t.observation, "id_obs", r, "id_obs").select(
         "id_obs", F.col("id_nurse").alias("_owner"), F.lit(True).alias("_found"))
     r = r.join(owner, on="id_obs", how="left")
@@ -478,8 +479,6 @@ def amend_observations(t: Tables, requests: DataFrame, own_only: bool = False) -
         cols = ["state", "blood_pressure", "temperature", "heart_rate", "spo2", "glucose", "remark", "observed_at"]
     else:
         cols = OBS_VALUE_COLS
-    raw = requests.select("request_id", *[F.col(c).alias("_raw_" + c) for c in ("temperature", "glucose", "weight", "height")])
-    r = r.join(raw, on="request_id", how="left")
     checks = [(~found, "not found")]
     for col in ("temperature", "glucose", "weight", "height"):
         if col in cols:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import age_years, contains_folded, day_text, fold, like_ci, trigrams
 from ..sources.snapshot import Tables
+from .hot import HOT_ROWS, join_split
 from .latest import latest_per_key
 
 PATIENT_COLS = ["id_patient", "full_name", "nin", "birth_date", "sex", "address", "phone", "blood_group"]
@@ -292,18 +293,25 @@ def _last_obs_for_summary(t: Tables, stays) -> DataFrame:
     return obs.select("id_stay", *[F.col(c).alias(a) for c, a in LAST_OBS_NAMES.items() if c in obs.columns])
 
 
-def stay_summary(t: Tables, stays=None) -> DataFrame:
+def stay_summary(t: Tables, stays=None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Per stay: its prescriptions and its newest observation (with the
     nurse's name), flat: one row per (stay, prescription), or one row with
     empty prescription columns for a stay without any.  The prescription
-    order columns are kept so the list order is explicit."""
+    order columns are kept so the list order is explicit.
+
+    The stays with their newest observation, one row each, meet the
+    prescriptions in a join that deals out the prescriptions of a stay with
+    more than ``hot_rows`` of them over several tasks; the stays without any
+    follow by an anti join against the distinct keys, which are combined on
+    the map side."""
     presc_cols = [c for c in t.prescription.columns if c != "id_stay"]
-    base = _keys_df(t.stay, "id_stay", stays).select("id_stay")
-    return (base.join(_keys_df(t.prescription, "id_stay", stays), on="id_stay", how="left")
-                .join(_last_obs_for_summary(t, stays), on="id_stay", how="left")
-                .select("id_stay", *presc_cols,
-                        *[a for c, a in LAST_OBS_NAMES.items()
-                          if c in t.observation.columns or c == "nurse_name"]))
+    base = (_keys_df(t.stay, "id_stay", stays).select("id_stay")
+            .join(_last_obs_for_summary(t, stays), on="id_stay", how="left"))
+    last = [c for c in base.columns if c != "id_stay"]
+    presc = _keys_df(t.prescription, "id_stay", stays)
+    some = join_split(presc, base, "id_stay", hot_rows=hot_rows).select("id_stay", *presc_cols, *last)
+    none = base.join(presc.select("id_stay").distinct(), on="id_stay", how="left_anti")
+    return some.unionByName(none, allowMissingColumns=True)
 
 
 def stay_summary_nested(t: Tables, stays) -> DataFrame:
