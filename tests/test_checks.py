@@ -48,5 +48,61 @@ def test_append_path(spark, seed):
     write_snapshot(seed, root)
     good, _ = checks.violations(seed.prescription.withColumn("id_prescription", F.col("id_prescription") + 100),
                                 checks.default_rules(seed)["prescription"])
-    append_rows(good, root, "prescription")
+    append_rows(good, root, "prescription", "b1")
+    append_rows(good, root, "prescription", "b1")  # sent again: its rows stay once
     assert read_snapshot(spark, root).prescription.count() == 16
+
+
+def test_half_written_append_is_not_read(spark, seed):
+    import os
+    import tempfile
+    root = tempfile.mkdtemp(prefix="wardlake-app-", dir="/tmp") + "/v1"
+    write_snapshot(seed, root)
+    n = seed.prescription.count()
+    append_rows(seed.prescription, root, "prescription", "b1")
+    append_rows(seed.prescription.limit(1), root, "prescription", "b2")
+    assert read_snapshot(spark, root).prescription.count() == 2 * n + 1
+    os.remove(f"{root}/prescription-appends/b2/_SUCCESS")
+    assert read_snapshot(spark, root).prescription.count() == 2 * n
+
+
+def test_service_changes_equal_a_model(spark, seed):
+    """Random batches of removals and renames, with swaps, chains and clashes, against a plain model."""
+    import random
+
+    from conftest import rows
+    rng = random.Random(8)
+    for _ in range(6):
+        services = list(range(1, 9))
+        beds, staff = {10 + i: rng.choice(services[:5]) for i in range(4)}, {i: rng.choice([*services, None]) for i in range(12)}
+        reqs = [(i, rng.choice([*services, 77]), rng.choice([None, *range(1, 12)])) for i in range(rng.randrange(3, 9))]
+        why, todo = {}, {}
+        for i, s, new in reqs:
+            why[i] = ("unknown service" if s not in services else "conflict" if s in todo.values() or any(s == q[1] for q in reqs if q[0] < i)
+                      else "service has beds" if new is None and s in beds.values() else None)
+            if why[i] is None:
+                todo[i] = s
+        moves = {i: (s, new) for i, s, new in reqs if why[i] is None}
+        taken = {}
+        for i, (s, new) in moves.items():
+            if new is not None and taken.setdefault(new, i) != i:
+                why[i] = "key taken"
+        moves = {i: m for i, m in moves.items() if not why[i]}
+        while True:
+            leaving = {s for s, new in moves.values() if new != s}
+            bad = [i for i, (s, new) in moves.items() if new not in (None, s) and new in services and new not in leaving]
+            if not bad:
+                break
+            for i in bad:
+                why[i] = "key taken"
+                del moves[i]
+        to = dict(moves.values())
+        t = seed.replace(
+            service=spark.createDataFrame([(s, "n", None) for s in services], seed.service.schema),
+            room=spark.createDataFrame([(b, s, 1, 1, True) for b, s in beds.items()], seed.room.schema),
+            staff=spark.createDataFrame([(k, s, "n", f"{k}@x", "nurse") for k, s in staff.items()], "id_staff long, id_service long, full_name string, email string, role string"))
+        got, rejects = checks.change_services(t, spark.createDataFrame(reqs, "request_id long, id_service long, new_id_service long"))
+        assert dict(rows(rejects, "request_id", "reason")) == {i: w for i, w in why.items() if w}
+        assert sorted(r.id_service for r in got.service.collect()) == sorted(to.get(s, s) for s in services if to.get(s, s) is not None)
+        assert dict(rows(got.room, "id_room", "id_service")) == {b: to.get(s, s) for b, s in beds.items()}
+        assert dict((r.id_staff, r.id_service) for r in got.staff.collect()) == {k: to.get(s, s) for k, s in staff.items()}

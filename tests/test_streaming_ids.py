@@ -152,3 +152,52 @@ def test_json_requests_split_malformed(spark):
     good, bad = read_json_requests(spark, folder, S.STATUS_REQ)
     assert [r.request_id for r in good.collect()] == [1]
     assert [r.reason for r in bad.collect()] == ["malformed"]
+
+
+def test_a_request_sent_again_is_taken_once_and_new_versions_are_seen(spark, seed):
+    folder = tempfile.mkdtemp(prefix="wardlake-req3-", dir="/tmp")
+    out_dir = tempfile.mkdtemp(prefix="wardlake-ing3-", dir="/tmp")
+    good = dict(request_id=1, requested_at="2025-06-01T08:00:00", id_stay="3", id_nurse="2", state="Ok",
+                blood_pressure="120/80", temperature="37.2", heart_rate="80", spo2="97", glucose="5.5",
+                weight="70", height="170", remark="fine", observed_at="2025-06-01T08:00")
+    version = [seed]
+
+    def put(name, *requests):
+        with open(f"{folder}/{name}.json", "w") as f:
+            f.write("".join((r if isinstance(r, str) else json.dumps(r)) + "\n" for r in requests))
+
+    def run():
+        st.start_observation_ingest(spark, lambda: version[0], folder, out_dir, "2025-06-01 00:00:00", f"{out_dir}-state").awaitTermination()
+
+    put("a", good, good, "{broken", "{broken too", dict(good, request_id=2, id_stay="99"))
+    run()
+    # sent again after a restart, with an old time; and a stay that only the next version knows
+    version[0] = seed.replace(stay=seed.stay.unionByName(seed.stay.where("id_stay = 3").withColumn("id_stay", F.lit(99).cast("bigint"))))
+    put("b", dict(good, requested_at="2020-01-01T00:00:00"), dict(good, request_id=3, id_stay="99", requested_at="2019-01-01T00:00:00"))
+    run()
+    assert sorted(r.request_id for r in spark.read.parquet(f"{out_dir}/accepted").collect()) == [1, 3]
+    assert rows(spark.read.parquet(f"{out_dir}/rejects"), "reason") == [("malformed",), ("malformed",), ("unknown stay",)]
+
+
+def test_newest_observation_output_does_not_grow_with_the_batches(spark, seed):
+    import random
+
+    folder = tempfile.mkdtemp(prefix="wardlake-gen-in-", dir="/tmp")
+    out_dir = tempfile.mkdtemp(prefix="wardlake-gen-out-", dir="/tmp") + "/newest"
+    obs = seed.observation
+    hours = list(range(7))
+    random.Random(2).shuffle(hours)
+    parts = [obs.withColumn("observed_at", F.col("observed_at") + F.expr(f"INTERVAL {h} HOUR")).withColumn("id_obs", F.col("id_obs") + 100 * h) for h in hours]
+    for i, p in enumerate(parts):
+        p.coalesce(1).write.parquet(f"{folder}/f{i}")
+    source = spark.readStream.schema(obs.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    st.start_newest_observation(spark, source, out_dir, f"{out_dir}-state", merge_after=2).awaitTermination()
+    live = st._parts(spark, out_dir)
+    assert 1 <= len(live) <= 2 and len(list(__import__("pathlib").Path(out_dir).glob("part=*"))) == 7
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    got = st.read_newest_observation(spark, out_dir)
+    assert rows(got, "id_stay", "id_obs") == rows(reads.newest_observation(seed.replace(observation=whole)), "id_stay", "id_obs")
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    assert "RocksDB" in provider

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..session import checkpoint_dir
 from ..sources.snapshot import Tables
 from .latest import flag_first_per_key
 
@@ -213,6 +214,56 @@ def fill_defaults(df: DataFrame, defaults: dict) -> DataFrame:
                        for c in df.columns])
 
 
+def change_services(t: Tables, changes: DataFrame) -> tuple[Tables, DataFrame]:
+    """Removals and renames of services in one step, with what the source's
+    foreign keys do (C2, C9): (new tables, rejects).
+
+    ``changes``: request_id, id_service, new_id_service (NULL: remove).  Beds
+    refuse the removal of their service; its staff keep their row without a
+    service.  A new key is carried to beds and staff.  All renames are one
+    mapping old -> new, so swaps and chains (1 -> 2, 2 -> 3) move every row
+    once.  Of several requests for a service the first in request id order
+    counts; a new key must be free, or be freed by another rename of the batch
+    that itself stands, and is taken by one service only."""
+    checkpoint_dir(t.service.sparkSession)
+    known = t.service.select("id_service")
+    used = t.room.select("id_service").distinct().withColumn("_beds", F.lit(True))
+    first = changes.groupBy("id_service").agg(F.min(F.struct("request_id", "new_id_service")).alias("_f"))
+    first = first.select("id_service", F.col("_f.request_id").alias("_first"))
+    r = (changes.join(first, on="id_service", how="left").join(known.withColumn("_known", F.lit(True)), on="id_service", how="left")
+                .join(used, on="id_service", how="left"))
+    target = F.col("new_id_service")
+    r = r.withColumn("reason", F.coalesce(
+        F.when(F.col("id_service").isNull() | F.col("_known").isNull(), F.lit("unknown service")),
+        F.when(F.col("request_id") != F.col("_first"), F.lit("conflict")),
+        F.when(target.isNull() & F.coalesce("_beds", F.lit(False)), F.lit("service has beds"))))
+    ok = r.filter(F.col("reason").isNull()).select("request_id", "id_service", "new_id_service")
+    refused = r.filter(F.col("reason").isNotNull()).select("request_id", "reason")
+    # one service per new key; then a rename whose key is not free falls, and with it those that wait for its old key
+    taker = ok.filter(target.isNotNull()).groupBy("new_id_service").agg(F.min("request_id").alias("request_id"))
+    twice = ok.filter(target.isNotNull()).join(taker.select("request_id"), on="request_id", how="left_anti")
+    refused = refused.unionByName(twice.select("request_id", F.lit("key taken").alias("reason")))
+    standing = ok.join(twice.select("request_id"), on="request_id", how="left_anti").checkpoint(eager=True)
+    while True:
+        leaving = standing.filter(target.isNull() | (target != F.col("id_service"))).select("id_service")
+        held = known.join(leaving, on="id_service", how="left_anti").withColumnRenamed("id_service", "new_id_service")
+        blocked = (standing.filter(target.isNotNull() & (target != F.col("id_service")))
+                           .join(held, on="new_id_service", how="left_semi").select("request_id")).checkpoint(eager=True)
+        if not blocked.limit(1).count():
+            break
+        refused = refused.unionByName(blocked.select("request_id", F.lit("key taken").alias("reason")))
+        standing = standing.join(blocked, on="request_id", how="left_anti").checkpoint(eager=True)
+    mapping = standing.select("id_service", "new_id_service", F.lit(True).alias("_hit"))
+
+    def moved(df: DataFrame) -> DataFrame:
+        return (df.join(mapping, on="id_service", how="left")
+                  .withColumn("id_service", F.when(F.col("_hit"), F.col("new_id_service")).otherwise(F.col("id_service")))
+                  .select(*df.columns))
+
+    service = moved(t.service).filter(F.col("id_service").isNotNull())
+    return t.replace(service=service, room=moved(t.room), staff=moved(t.staff)), refused
+
+
 def cascade_service_delete(staff: DataFrame, removed_services: DataFrame) -> DataFrame:
     """Staff of a removed service keep their row with no service (C9)."""
     gone = removed_services.select("id_service").distinct().withColumn("_gone", F.lit(True))

@@ -55,6 +55,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none when it isn't there."""
+    if not _exists(spark, path):
+        return []
+    p = _path(spark, path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    return sorted(f.getPath().getName() for f in found)
+
+
 def check_apart(spark: SparkSession, source: str, target: str) -> None:
     """Refuse a target that is the source, lies in it or holds it: writing
     there would destroy what is being read."""
@@ -66,6 +75,7 @@ def check_apart(spark: SparkSession, source: str, target: str) -> None:
 
 
 MANIFEST = "_manifest"
+APPENDS = "-appends"  # beside a table's folder: a folder per appended batch
 
 
 def table_paths(spark: SparkSession, root: str) -> dict[str, str]:
@@ -80,10 +90,16 @@ def table_paths(spark: SparkSession, root: str) -> dict[str, str]:
 
 def read_snapshot(spark: SparkSession, root: str) -> Tables:
     """Read every table with its declared schema (never inferred)."""
-    return Tables(**{n: spark.read.schema(schemas.TABLE_SCHEMAS[n]).parquet(p)
+    return Tables(**{n: spark.read.schema(schemas.TABLE_SCHEMAS[n]).parquet(p, *appended(spark, p))
                      for n, p in table_paths(spark, root).items()})
 
 
+def appended(spark: SparkSession, path: str) -> list[str]:
+    """The appended batches of a table folder, each once: those written to the end."""
+    root = f"{path}{APPENDS}"
+    return [f"{root}/{n}" for n in child_names(spark, root) if _exists(spark, f"{root}/{n}/_SUCCESS")]
+
+
 def write_snapshot(tables: Tables, root: str, partition_stays_by_month: bool = False) -> None:
     """Write a whole snapshot version into a new folder.  Stays may be
     partitioned by entry month so that date filters prune whole folders."""
@@ -160,8 +176,13 @@ def read_catalog_snapshot(spark: SparkSession, database: str, **ties) -> Tables:
     return Tables(**{n: spark.table(f"{database}.{n}") for n in TABLE_NAMES}, **ties)
 
 
-def append_rows(df: DataFrame, root: str, name: str) -> None:
+def append_rows(df: DataFrame, root: str, name: str, batch_id: str) -> None:
     """Append checked rows to one table of a snapshot folder (the insert
-    path: run the constraint checks first, append only the good rows)."""
+    path: run the constraint checks first, append only the good rows).  The
+    batch lies in a folder named by ``batch_id``: the same batch sent again
+    takes its own place, one that failed half way is not read, and the table's
+    other files are never touched."""
     target = schemas.TABLE_SCHEMAS[name]
-    df.select(*[df[f.name].cast(f.dataType) for f in target.fields]).write.mode("append").parquet(f"{root}/{name}")
+    path = table_paths(df.sparkSession, root)[name]
+    (df.select(*[df[f.name].cast(f.dataType) for f in target.fields])
+       .write.mode("overwrite").parquet(f"{path}{APPENDS}/{batch_id}"))

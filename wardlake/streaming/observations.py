@@ -3,17 +3,25 @@
 ST1 ``start_observation_ingest``: JSON request lines arrive in a folder;
 each micro-batch is cleaned and checked exactly like the batch operator and
 written, per batch id, to an accepted folder and a rejects folder.  A
-retried batch overwrites its own folder, so the sink stays exactly-once.
+retried batch overwrites its own folder, so the sink stays exactly-once.  A
+request that is sent again, in another file or after a restart, is taken
+once: the request ids of the last ``resend_within`` are kept in the state store,
+by arrival time, so no late request is ever dropped for its own time.  The tables
+may be a function, called for every micro-batch: a stay that a newer snapshot
+version adds is known to the next one.
 
 ST2 ``newest_observation_stream``: the newest observation per stay, kept
 up to date as observations arrive in any order.  It is a streaming
 aggregate (max of a struct, as the batch operator), so late rows need no
-watermark: the maximum is taken by event time, not arrival time.
+watermark: the maximum is taken by event time, not arrival time.  Its state
+lives in RocksDB (see ``session``), its output in generations: each
+micro-batch adds a part, after ``MERGE_AFTER`` parts they are merged into one,
+and a small manifest per micro-batch, written last, names the parts that count.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +29,9 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..operators import changes
-from ..sources.snapshot import Tables, _exists as path_exists
+from ..sources.snapshot import Tables, _exists as path_exists, child_names
+
+MERGE_AFTER = 8  # parts of the newest-observation output
 
 
 # ---------------------------------------------------------------- ST1
@@ -66,16 +76,31 @@ def ingest_batch(t: Tables, batch: DataFrame, batch_id: int, out_dir: str, batch
         batch.unpersist()
 
 
-def start_observation_ingest(spark: SparkSession, t: Tables, in_folder: str, out_dir: str, batch_ts: str,
-                             checkpoint: str, available_now: bool = True, max_files: int | None = None):
+def each_request_once(stream: DataFrame, within: str) -> DataFrame:
+    """The stream without requests whose id arrived before, up to ``within``
+    ago.  Lines that are malformed, and requests without an id, are told apart
+    by their whole content."""
+    content = F.coalesce(F.col("_corrupt_record"), F.to_json(F.struct(*[c for c in stream.columns if c != "_corrupt_record"])))
+    key = F.when(F.col("request_id").isNotNull(), F.concat(F.lit("id "), F.col("request_id").cast("string"))).otherwise(
+        F.concat(F.lit("line "), F.sha2(content, 256)))
+    return (stream.withColumn("_arrived", F.current_timestamp()).withColumn("_request", key)
+                  .withWatermark("_arrived", within).dropDuplicatesWithinWatermark(["_request"]).drop("_arrived", "_request"))
+
+
+def start_observation_ingest(spark: SparkSession, t: Tables | Callable[[], Tables], in_folder: str, out_dir: str, batch_ts: str,
+                             checkpoint: str, available_now: bool = True, max_files: int | None = None,
+                             resend_within: str = "7 days"):
     """Start ST1.  ``checkpoint`` is the stream's own lasting folder: a start
     with the same one goes on behind the last finished batch; with another one
-    the whole folder is read again."""
+    the whole folder is read again.  ``t``: the tables, or a function that
+    gives the newest ones."""
+    tables = t if callable(t) else lambda: t
     # the snapshot's greatest id, taken once (one number) rather than per batch
-    base_id = (t.observation.agg(F.max("id_obs")).first()[0] or 0) if "id_obs" in t.observation.columns else 0
-    stream = read_observation_requests(spark, in_folder, max_files)
+    first = tables().observation
+    base_id = (first.agg(F.max("id_obs")).first()[0] or 0) if "id_obs" in first.columns else 0
+    stream = each_request_once(read_observation_requests(spark, in_folder, max_files), resend_within)
     writer = (stream.writeStream.option("checkpointLocation", checkpoint)
-                    .foreachBatch(lambda df, bid: ingest_batch(t, df, bid, out_dir, batch_ts, base_id)))
+                    .foreachBatch(lambda df, bid: ingest_batch(tables(), df, bid, out_dir, batch_ts, base_id)))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
 
@@ -92,13 +117,34 @@ def newest_observation_stream(obs: DataFrame, ties: Sequence[str] = ("id_obs",),
     return obs.groupBy("id_stay").agg(top).select("id_stay", *[F.col("_top").getField(c).alias(c) for c in fields])
 
 
+def _parts(spark: SparkSession, out_dir: str, before: int | None = None) -> list[str]:
+    """The parts that count, by the newest manifest (of a batch earlier than ``before``)."""
+    numbers = [int(n.split("=")[1]) for n in child_names(spark, f"{out_dir}/_manifest")]
+    numbers = [n for n in numbers if before is None or n < before]
+    if not numbers:
+        return []
+    rows = spark.read.schema("part string").json(f"{out_dir}/_manifest/n={max(numbers)}").collect()
+    return sorted(f"{out_dir}/{r.part}" for r in rows)
+
+
 def start_newest_observation(spark: SparkSession, source: DataFrame, out_dir: str, checkpoint: str,
-                             ties: Sequence[str] = ("id_obs",), available_now: bool = True):
+                             ties: Sequence[str] = ("id_obs",), available_now: bool = True, merge_after: int = MERGE_AFTER):
     """Run ST2 in update mode (``checkpoint``: the stream's own lasting folder): every micro-batch writes the stays whose
-    newest observation changed to ``out_dir/batch_id=<n>`` (overwrite, so a
-    replayed batch is idempotent).  Nothing is collected on the driver."""
+    newest observation changed as a part of their own (overwrite, so a
+    replayed batch is idempotent), and once there are more than ``merge_after``
+    parts, one part in their place.  Nothing is collected on the driver but the
+    names of the parts."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        own = batch.sparkSession
+        part = f"part={batch_id}"
+        batch.write.mode("overwrite").parquet(f"{out_dir}/{part}")
+        parts = [p.rsplit("/", 1)[1] for p in _parts(own, out_dir, batch_id)] + [part]
+        if len(parts) > merge_after:
+            rows = own.read.schema(batch.schema).parquet(*[f"{out_dir}/{p}" for p in parts])
+            merged = f"merged={batch_id}"
+            newest_observation_stream(rows, ties).select(*batch.columns).write.mode("overwrite").parquet(f"{out_dir}/{merged}")
+            parts = [merged]
+        own.createDataFrame([(p,) for p in parts], "part string").coalesce(1).write.mode("overwrite").json(f"{out_dir}/_manifest/n={batch_id}")
 
     writer = (newest_observation_stream(source, ties).writeStream.outputMode("update")
               .option("checkpointLocation", checkpoint).foreachBatch(write))
@@ -107,14 +153,13 @@ def start_newest_observation(spark: SparkSession, source: DataFrame, out_dir: st
 
 
 def read_newest_observation(spark: SparkSession, out_dir: str, ties: Sequence[str] = ("id_obs",)) -> DataFrame:
-    """The current answer of ST2: every written row is a candidate, the
-    greatest per stay wins (the same aggregate once more)."""
-    rows = spark.read.parquet(out_dir).drop("batch_id")
-    return newest_observation_stream(rows, ties)
+    """The current answer of ST2: the rows of the parts that count are
+    candidates, the greatest per stay wins (the same aggregate once more).
+    What is read is the merged part and at most ``merge_after`` small ones,
+    however many micro-batches there were."""
+    return newest_observation_stream(spark.read.parquet(*_parts(spark, out_dir)), ties)
 
 
 def compact_newest_observation(spark: SparkSession, out_dir: str, target: str, ties: Sequence[str] = ("id_obs",)) -> None:
-    """Write the current answer as one table into a new folder.  A stream that
-    is started anew on what arrives later, with its own output folder, then
-    needs no older batch: the two answers are merged by the same aggregate."""
+    """Write the current answer as one table into a new folder."""
     read_newest_observation(spark, out_dir, ties).write.mode("errorifexists").parquet(target)
