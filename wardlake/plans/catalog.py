@@ -595,23 +595,25 @@ from ..streaming import observations as st  # noqa: E402
 @register("stream_newest_observation", with_standin(f"WITH {_NEWEST_OBS} SELECT * FROM newest_obs"))
 def q_stream_newest_observation(spark, sf_dir):
     """The newest observation per stay computed by the streaming operator
-    over the observation feed (lineitem read as a file stream)."""
+    over the observation feed (lineitem as a file stream of seven
+    micro-batches)."""
     import uuid
 
     from ..session import checkpoint_dir
     from ..sources.standin import DRIVER_SCHEMAS
     schema = DRIVER_SCHEMAS["lineitem"]
-    # a file stream watches a folder; the glob keeps it to the observation feed
-    feed = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
+    root = f"{checkpoint_dir(spark).rstrip('/')}/newest-obs-{uuid.uuid4().hex}"
+    # seven files in an order that has nothing to do with time: a micro-batch each, merged after three
+    read_table(spark, sf_dir, "lineitem").repartition(7, "l_partkey").write.parquet(f"{root}/in")
+    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     obs = feed.select(F.col("l_orderkey").alias("id_stay"), F.col("l_suppkey").alias("id_nurse"),
                       F.col("l_returnflag").alias("state"), F.col("l_linestatus").alias("blood_pressure"),
                       F.col("l_quantity").alias("temperature"), F.col("l_linenumber").alias("heart_rate"),
                       F.col("l_shipdate").alias("observed_at"), F.col("l_linenumber").alias("t_line"),
                       F.col("l_partkey").alias("t_part"), F.col("l_suppkey").alias("t_supp"))
     ties = ("t_line", "t_part", "t_supp")
-    out_dir = f"{checkpoint_dir(spark).rstrip('/')}/newest-obs-{uuid.uuid4().hex[:8]}"
-    st.start_newest_observation(spark, obs, out_dir, f"{out_dir}-state", ties).awaitTermination()
-    return st.read_newest_observation(spark, out_dir, ties)
+    st.start_newest_observation(spark, obs, f"{root}/out", f"{root}/state", ties, merge_after=3).awaitTermination()
+    return st.read_newest_observation(spark, f"{root}/out", ties)
 
 
 # ------------------------------------------------------------------ Q6 batch form
@@ -1062,3 +1064,6 @@ def q_stream_ingest_observations(spark, sf_dir):
     st.start_observation_ingest(spark, standin_tables(spark, sf_dir), f"{root}/in", f"{root}/out", BATCH_TS, f"{root}/state",
                                 max_files=1).awaitTermination()
     return spark.read.parquet(f"{root}/out/accepted").select("request_id", "id_stay", "id_nurse", "state", "remark", "observed_at")
+
+
+from . import catalog_changes  # noqa: E402, F401  (registers its queries)
