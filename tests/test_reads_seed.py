@@ -113,6 +113,25 @@ def test_search_batch(spark, seed):
     assert got == [(1, "Harry S. Truman"), (1, "Laura Palmer"), (2, "Laura Palmer"), (3, "Dale Cooper")]
 
 
+def test_batch_search_of_short_terms_and_patterns(spark, seed):
+    """Every term against every row of its service, by hand."""
+    import re
+
+    from wardlake.operators.reads import service_census
+    texts = ["a", "al", "LA", "", "x", "%", "_", "__%", "a%r", "%u_p%", "l_u", "0712", "07%2", "%%%", "zz%a", "é", "\\", "harry s. truman"]
+    nurses = {r.id_staff: r.id_service for r in seed.staff.where("role = 'nurse'").collect()}
+    asks = [(len(nurses) * i + j, t, n) for i, t in enumerate(texts) for j, n in enumerate(nurses)]
+    terms = spark.createDataFrame([*asks, (9999, None, 2)], "term_id long, term string, id_staff long")
+    census = [(r.id_service, r.id_stay, r.full_name.lower(), (r.nin or "").lower()) for r in service_census(seed, ordered=False).collect()]
+    for wildcards in (False, True):
+        def rule(t):
+            parts = [{"%": ".*", "_": "."}.get(c, re.escape(c)) if wildcards else re.escape(c) for c in t.lower().replace("é", "e")]
+            return re.compile("".join(parts), re.S)
+        want = sorted((i, s) for i, t, n in asks for svc, s, name, nin in census if svc == nurses[n] and (rule(t).search(name) or rule(t).search(nin)))
+        got = reads.search_patients_batch(seed, terms, wildcards)
+        assert sorted((r.term_id, r.id_stay) for r in got.collect()) == want
+
+
 def test_foreign_key_rule_finds_orphans(spark, seed):
     from wardlake import schemas
     bad_stay = spark.createDataFrame([(99, 42, 5, None, None)], schemas.STAY)

@@ -188,9 +188,22 @@ def contains_folded(c, term) -> Column:
     return F.contains(fold(c), fold(t))
 
 
-def trigrams(c) -> Column:
-    """Distinct 3-character substrings of a (folded) text; empty when shorter."""
+def grams(c, size: int) -> Column:
+    """Distinct ``size``-character substrings of a (folded) text; empty when shorter."""
     s = _c(c)
-    n = F.char_length(s)
-    grams = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(s, i, 3))
-    return F.when(n >= 3, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    last = F.char_length(s) - (size - 1)
+    pieces = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(s, i, size))
+    return F.when(last >= 1, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+
+
+def literal_runs(c, wildcards: bool) -> Column:
+    """The pieces of a search term that every match holds as they are: the
+    whole term, or with ``wildcards`` what lies between ``%`` and ``_``."""
+    pieces = F.split(_c(c), "[%_]") if wildcards else F.array(_c(c))
+    return F.filter(pieces, lambda p: p != "")
+
+
+def run_grams(runs: Column) -> Column:
+    """The index entries that a match must have, from its literal runs: the
+    trigrams of the longer runs, runs of one or two characters themselves."""
+    return F.array_distinct(F.flatten(F.transform(runs, lambda r: F.when(F.char_length(r) < 3, F.array(r)).otherwise(grams(r, 3)))))

@@ -18,7 +18,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cleaning import age_years, contains_folded, day_text, fold, like_ci, trigrams
+from ..functions.cleaning import age_years, contains_folded, day_text, fold, grams, like_ci, literal_runs, run_grams
 from ..sources.snapshot import Tables
 from .hot import HOT_ROWS, join_split
 from .latest import latest_per_key
@@ -205,48 +205,44 @@ def search_patients_batch(t: Tables, terms: DataFrame, wildcards: bool = False)
     ``id_staff`` (the nurse asking); each term is matched against the census
     of its nurse's service (case and accents ignored).
 
-    A term of 3+ characters is looked up through a trigram index: the census
-    rows' folded name and national id are split into distinct trigrams, each
-    term picks its rarest trigram in its service, and only rows holding that
-    trigram are verified.  So a term is never compared with every patient of
-    the service.  Shorter terms (and ``wildcards=True`` patterns) are few
-    distinct values; they are de-duplicated per service and matched by an
-    equi-join on the service with the text test as join condition."""
+    The census rows' folded name and national id are indexed by their distinct
+    substrings of one, two and three characters.  A term, or with
+    ``wildcards`` a pattern, is looked up by the rarest entry that any match
+    must have (a trigram of a literal run, or a run of one or two characters
+    itself), and only rows with that entry are verified; only entries that
+    some term asks for are counted and shuffled.  So no term is compared with
+    every patient of the service, but one without any literal character (``''``,
+    ``%``, ``__``), whose answer is the service's census but for its lengths.
+    Equal terms of a service are looked up once."""
     nurses = (t.staff.filter((F.col("role") == "nurse") & F.col("id_service").isNotNull())
                      .select("id_staff", "id_service"))
     asks = (terms.select("term_id", "term", "id_staff").join(nurses, on="id_staff", how="inner")
-                 .withColumn("_nterm", fold("term")))
+                 .withColumn("_nterm", fold("term")).filter(F.col("_nterm").isNotNull()))
     census = service_census(t, ordered=False)
     keyed = census.select("id_service", "id_stay", fold("full_name").alias("_nname"), fold("nin").alias("_nnin"))
-    indexed = F.char_length("_nterm") >= 3
-    if wildcards:
-        indexed = F.lit(False)
-
-    # short terms / patterns: distinct per service, equi-join on the service
-    short = asks.filter(~indexed).select("id_service", "_nterm").distinct()
-    test = (lambda col: like_ci(F.col(col), F.col("_nterm"))) if wildcards else \
-        (lambda col: F.contains(F.col(col), F.col("_nterm")))
-    short_hits = (short.join(keyed, on="id_service", how="inner")
-                       .filter(test("_nname") | test("_nnin")).select("id_service", "_nterm", "id_stay"))
-    short_out = asks.filter(~indexed).join(short_hits, on=["id_service", "_nterm"], how="inner")
-
-    # long terms: rarest trigram per term, equi-join on (service, trigram), verify
-    grams = keyed.select("id_service", "id_stay", "_nname", "_nnin",
-                         F.explode(F.array_distinct(F.concat(trigrams("_nname"), trigrams("_nnin")))).alias("_g"))
-    freq = grams.groupBy("id_service", "_g").agg(F.count(F.lit(1)).alias("_f"))
-    term_grams = (asks.filter(indexed)
-                      .select("term_id", "id_service", "_nterm", F.explode(trigrams("_nterm")).alias("_g"))
-                      .join(freq, on=["id_service", "_g"], how="left")
-                      .withColumn("_f", F.coalesce(F.col("_f"), F.lit(0))))
-    rarest = latest_per_key(term_grams, ["term_id"], ["_f", "_g"], ["id_service", "_nterm"], newest=False)
-    long_out = (rarest.filter(F.col("_f") > 0).join(grams, on=["id_service", "_g"], how="inner")
-                      .filter(F.contains(F.col("_nname"), F.col("_nterm")) | F.contains(F.col("_nnin"), F.col("_nterm")))
-                      .select("term_id", "id_stay"))
-    long_out = asks.filter(indexed).join(long_out, on="term_id", how="inner")
-
-    hits = (short_out.select("term_id", "id_staff", "id_stay")
-            .unionByName(long_out.select("term_id", "id_staff", "id_stay")))
-    return hits.join(census, on="id_stay", how="inner").select("term_id", "id_staff", *census.columns)
+    wanted = asks.select("id_service", "_nterm").distinct()
+    wanted = wanted.withColumn("_need", run_grams(literal_runs("_nterm", wildcards)))
+
+    def matches(col: str) -> Column:
+        return like_ci(F.col(col), F.col("_nterm")) if wildcards else F.contains(F.col(col), F.col("_nterm"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return pairs.filter(F.coalesce(matches("_nname"), F.lit(False)) | F.coalesce(matches("_nnin"), F.lit(False))).select(
+            "id_service", "_nterm", "id_stay")
+
+    need = wanted.select("id_service", "_nterm", F.explode("_need").alias("_g"))
+    entries = F.array_distinct(F.concat(*[F.coalesce(grams(c, n), F.array().cast("array<string>")) for c in ("_nname", "_nnin") for n in (1, 2, 3)]))
+    postings = (keyed.select("id_service", "id_stay", "_nname", "_nnin", F.explode(entries).alias("_g"))
+                     .join(need.select("id_service", "_g").distinct(), on=["id_service", "_g"], how="left_semi"))
+    freq = postings.groupBy("id_service", "_g").agg(F.count(F.lit(1)).alias("_f"))
+    # an entry that no row has makes its term empty: it counts as the rarest
+    rarest = latest_per_key(need.join(freq, on=["id_service", "_g"], how="left").withColumn("_f", F.coalesce("_f", F.lit(0))),
+                            ["id_service", "_nterm"], ["_f", "_g"], newest=False)
+    hits = verified(rarest.filter(F.col("_f") > 0).select("id_service", "_nterm", "_g").join(postings, on=["id_service", "_g"], how="inner"))
+    open_ = wanted.filter(F.size("_need") == 0).select("id_service", "_nterm")
+    hits = hits.unionByName(verified(open_.join(keyed, on="id_service", how="inner")))
+    found = asks.join(hits, on=["id_service", "_nterm"], how="inner").select("term_id", "id_staff", "id_stay")
+    return found.join(census, on="id_stay", how="inner").select("term_id", "id_staff", *census.columns)
 
 
 # ---------------------------------------------------------------- Q7, Q8

@@ -189,6 +189,37 @@ def q_search_wildcards(spark, sf_dir):
     return reads.search_patients(standin_tables(spark, sf_dir), "MER#%0_7", wildcards=True)
 
 
+# Terms of one and two characters, and patterns with several literal runs.
+_BATCH_TERMS = {
+    "short_terms": (False, "CAST(e.event_id % 100 AS VARCHAR)"),
+    "patterns": (True, "'mer#%' || CAST(e.event_id % 10 AS VARCHAR) || '_' || CAST(e.user_id % 10 AS VARCHAR) || '%'"),
+}
+
+
+def _register_batch_search(kind: str) -> None:
+    wildcards, term = _BATCH_TERMS[kind]
+    match = "p.{0} ILIKE '%' || q.term || '%'" if wildcards else "contains(lower(strip_accents(p.{0})), q.term)"
+
+    @register(f"search_patients_batch_{kind}", with_standin(_CENSUS_SQL.replace("WHERE s.date_out IS NULL", f"""
+JOIN (SELECT e.event_id AS term_id, {term} AS term, e.user_id % 100 AS id_staff, st.id_service AS term_service
+      FROM events e JOIN staff st ON st.id_staff = e.user_id % 100
+      WHERE e.event_type = 'error' AND st.role = 'nurse' AND st.id_service IS NOT NULL) q
+  ON q.term_service = r.id_service AND ({match.format('full_name')} OR {match.format('nin')})
+WHERE s.date_out IS NULL""").replace(
+        "SELECT r.id_service, sv.name AS service_name", "SELECT q.term_id, q.id_staff, r.id_service, sv.name AS service_name", 1)))
+    def query(spark, sf_dir) -> DataFrame:
+        ev = read_table(spark, sf_dir, "events").where("event_type = 'error'")
+        e, u = F.col("event_id"), F.col("user_id")
+        text = (F.concat(F.lit("mer#%"), (e % 10).cast("string"), F.lit("_"), (u % 10).cast("string"), F.lit("%")) if wildcards
+                else (e % 100).cast("string"))
+        terms = ev.select(e.alias("term_id"), text.alias("term"), (u % 100).alias("id_staff"))
+        return reads.search_patients_batch(standin_tables(spark, sf_dir), terms, wildcards)
+
+
+for _kind in _BATCH_TERMS:
+    _register_batch_search(_kind)
+
+
 # ------------------------------------------------------------------ Q11 lists, O3
 @register("stay_summary_lists", with_standin("""
 SELECT s.id_stay, coalesce(string_agg(p.drug || ' x' || p.dose::INTEGER, ';' ORDER BY p_line, p_part, p_supp, p_qty), '') AS prescriptions
