@@ -96,3 +96,20 @@ def test_hot_stay_is_split_in_a_sort_merge_join(spark, seed):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_duplicated_hot_key_is_no_hot_join(spark):
+    """A third of the rows repeat one primary key and one foreign key: one aggregate finds the broken keys of all
+    rules, and the rows meet them without being shuffled."""
+    from wardlake.operators import checks
+    child = spark.range(0, 60_000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).cast("bigint").alias("id"),
+        F.when(F.col("id") % 3 == 1, F.lit(-5)).otherwise(F.col("id") % 500).cast("bigint").alias("id_stay"), F.lit("long remark").alias("remark"))
+    parent = spark.range(0, 490).select(F.col("id").alias("id_stay"))
+    rules = [checks.primary_key("id"), checks.foreign_key("id_stay", parent), checks.not_null("remark"), checks.primary_key("id", "id_stay")]
+    good, bad = checks.violations(child, rules)
+    by = {r.reason: r["count"] for r in bad.groupBy("reason").count().collect()}
+    assert by["primary_key:id"] == 20_000
+    assert by["foreign_key:id_stay"] == child.where("id <> -1 and (id_stay = -5 or id_stay >= 490)").count()
+    assert set(by) == {"primary_key:id", "foreign_key:id_stay"} and good.count() == 60_000 - sum(by.values())
+    assert "Exchange hashpartitioning" not in _plan(bad) and "SortMergeJoin" not in _plan(bad)

@@ -11,6 +11,7 @@ hot key costs one row per map task.
 from __future__ import annotations
 
 import dataclasses
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,6 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..session import checkpoint_dir
 from ..sources.snapshot import Tables
-from .latest import flag_first_per_key
 
 
 @dataclasses.dataclass(frozen=True)
@@ -89,40 +89,84 @@ def _row_test(rule: Rule) -> Column | None:
     return None
 
 
+KEY_KINDS = ("primary_key", "foreign_key", "unique")
+
+
+def _whole_number(df: DataFrame, cols: Sequence[str]) -> bool:
+    return len(cols) == 1 and dict(df.dtypes)[cols[0]] in ("tinyint", "smallint", "int", "bigint")
+
+
+def _key(df: DataFrame, rule: Rule, cols: Sequence[str]) -> tuple[Column, Column]:
+    """A rule's key as (number, text): whole numbers stay numbers, all else is text."""
+    if _whole_number(df, cols):
+        return F.col(cols[0]).cast("bigint"), F.lit(None).cast("string")
+    text = F.col(cols[0]).cast("string") if len(cols) == 1 else F.to_json(F.array(*[F.col(c).cast("string") for c in cols]))
+    return F.lit(None).cast("bigint"), F.lower(text) if rule.kind == "unique" else text
+
+
+def _broken_keys(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """The keys that break a rule, for all key rules of a table in one pass:
+    each row gives an entry per rule, each parent table its keys, and one
+    aggregate by (rule, key) counts them.  It is combined before the shuffle,
+    so a key that very many rows hold is one row per task.  Written as a table:
+    broken keys are few as a rule, and the planner then knows their size."""
+    spark = df.sparkSession
+    entries, parents, broken = [], [], F.lit(False)
+    orders = {i: r.arg for i, r in enumerate(rules) if r.kind == "unique"}
+    for i, rule in enumerate(rules):
+        if rule.kind not in KEY_KINDS:
+            continue
+        number, text = _key(df, rule, rule.cols)
+        whole = F.lit(True)
+        for c in rule.cols:
+            whole = whole & F.col(c).isNotNull()
+        entries.append(F.when(whole, F.struct(F.lit(i).alias("rule"), number.alias("number"), text.alias("text"),
+                                              *[F.col(c).alias(f"o{j}") for j, c in orders.items()])))
+        if rule.kind == "foreign_key":
+            parent, pcol = rule.arg
+            number, text = _key(parent, rule, [pcol])
+            parents.append(parent.select(F.lit(i).alias("rule"), number.alias("number"), text.alias("text")))
+            broken = broken | ((F.col("rule") == i) & F.col("parent").isNull())
+        else:
+            broken = broken | ((F.col("rule") == i) & (F.col("n") > 1))
+    keys = df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")).select("e.*", F.lit(1).alias("child"))
+    for p in parents:
+        keys = keys.unionByName(p.withColumn("parent", F.lit(True)), allowMissingColumns=True)
+    if not parents:
+        keys = keys.withColumn("parent", F.lit(None).cast("boolean"))
+    found = keys.groupBy("rule", "number", "text").agg(
+        F.count("child").alias("n"), F.max("parent").alias("parent"), *[F.min(f"o{j}").alias(f"o{j}") for j in orders])
+    found = found.filter((F.col("n") > 0) & broken).drop("n", "parent")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/broken-keys-{uuid.uuid4().hex}"
+    found.write.parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
+
+
 def violations(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
+    """(rows that keep all rules, rows that break one, with the ``reason``:
+    the first broken rule).  One shuffle finds the broken keys of all key rules
+    (``_broken_keys``); the rows then meet those, few as they are, and the
+    other rules are tested on the row itself."""
     flagged = df
     tests: list[tuple[str, Column]] = []
+    keys = _broken_keys(df, rules) if any(r.kind in KEY_KINDS for r in rules) else None
     for i, rule in enumerate(rules):
-        flag = f"_rule_{i}_flag"
-        if rule.kind == "primary_key":
-            keys = list(rule.cols)
-            dup = (df.groupBy(*keys).count().filter(F.col("count") > 1)
-                     .select(*keys, F.lit(True).alias(flag)))
-            flagged = flagged.join(dup, on=keys, how="left")
-            null_key = F.lit(False)
-            for k in keys:
-                null_key = null_key | F.col(k).isNull()
-            tests.append((rule.reason, F.coalesce(F.col(flag), F.lit(False)) | null_key))
-        elif rule.kind == "foreign_key":
-            col = rule.cols[0]
-            parent, pcol = rule.arg
-            probe, key = f"_rule_{i}_probe", f"_rule_{i}_parent"
-            # the child's distinct keys (combined before the shuffle, so a key that very
-            # many rows hold is one row) against the parent, scanned once; the keys that
-            # are missing there are few or none, and only they meet the whole child again
-            missing = (df.select(F.col(col).alias(key)).where(F.col(key).isNotNull()).distinct()
-                         .join(parent.select(F.col(pcol).alias(probe)), F.col(key) == F.col(probe), "left_anti")
-                         .withColumn(flag, F.lit(True)))
-            flagged = flagged.join(missing, F.col(col) == F.col(key), "left")
-            tests.append((rule.reason, F.coalesce(F.col(flag), F.lit(False))))
-        elif rule.kind == "unique":
-            col = rule.cols[0]
-            key = f"_rule_{i}_key"
-            flagged = flagged.withColumn(key, F.lower(F.col(col)))
-            flagged = flag_first_per_key(flagged, [key], [rule.arg], flag)
-            tests.append((rule.reason, ~F.col(flag)))
-        else:
+        if rule.kind not in KEY_KINDS:
             tests.append((rule.reason, _row_test(rule)))
+            continue
+        flag, order = f"_rule_{i}_flag", f"_rule_{i}_first"
+        number, text = _key(df, rule, rule.cols)
+        by, own = ("number", number) if _whole_number(df, rule.cols) else ("text", text)
+        mine = keys.filter(F.col("rule") == i).select(
+            F.col(by).alias(f"_rule_{i}_key"), F.lit(True).alias(flag), *([F.col(f"o{i}").alias(order)] if rule.kind == "unique" else []))
+        flagged = flagged.join(mine, own == F.col(f"_rule_{i}_key"), "left")
+        hit = F.coalesce(F.col(flag), F.lit(False))
+        if rule.kind == "unique":  # the first row keeps the value
+            hit = hit & ~F.col(rule.arg).eqNullSafe(F.col(order))
+        if rule.kind == "primary_key":
+            for k in rule.cols:
+                hit = hit | F.col(k).isNull()
+        tests.append((rule.reason, hit))
     reason = F.coalesce(*[F.when(t, F.lit(r)) for r, t in tests]) if tests else F.lit(None).cast("string")
     helper = [c for c in flagged.columns if c not in df.columns]
     out = flagged.withColumn("reason", reason).drop(*helper)
