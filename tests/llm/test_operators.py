@@ -201,7 +201,7 @@ def test_suffix_tree_counts_and_scores(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choice(["ab", "abc", "b", "Ca", "déf"]) for _ in range(rng.randrange(25)))) for i in range(80)]
     rows += [(i, t) for i, t in ODD if i != 5] + [(5, "word " * 300)]
-    got = suffix_lm.score(docs_of(spark, rows), p_min=1e-4).collect()
+    got = suffix_lm.score(docs_of(spark, rows)).collect()
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     toks = [(i, re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)) + ["\n"]) for i, t in rows]
     count = Counter()
@@ -570,3 +570,28 @@ def test_maximal_segments_in_linear_time():
                 if all(sums[m] > sums[a] and sums[b] > sums[m] for m in range(a + 1, b)) and sums[b] > sums[a]]
         best = [(a, b, sums[b] - sums[a]) for a, b in runs if not any(x <= a and b <= y and (x, y) != (a, b) for x, y in runs)]
         assert [(a, b) for a, b, _ in toxicity.maximal_segments(scores, drift)] == [(a, b) for a, b, _ in best]
+
+
+def test_license_expressions_decide():
+    a = licenses.automaton()
+    either, both = (licenses.scan_text(a, f"SPDX-License-Identifier: MIT {op} GPL-3.0") for op in ("OR", "AND"))
+    # ..., labels, score, expressions, in force, restrictiveness, spans
+    assert either[5] == both[5] == "gpl,mit" and either[6] < both[6]
+    assert (either[8], either[9]) == ("", 1) and (both[8], both[9]) == ("gpl,mit", 3)
+    assert licenses.scan_text(a, "SPDX-License-Identifier: see LICENSE file")[5:7] == ("", 0.0)
+    assert licenses.scan_text(a, " * SPDX-License-Identifier:\n *  Apache-2.0 WITH LLVM-exception\n")[5] == "apache"
+    assert licenses.scan_text(a, "SPDX-License-Identifier: LicenseRef-own")[5] == "licenseref-own"
+    assert licenses.scan_text(a, "Nothing here")[8:10] == ("", None)
+
+
+@pytest.mark.parametrize("kind", ["audio", "canvas", "video", "svg", "iframe"])
+def test_html_open_silent_element_ends_with_its_block(kind):
+    for html in (f"<article><p>one <{kind} src=x><p>two<p>three</article>", f"<ul><li>one<{kind}><li>two<li>three</ul>"):
+        if kind == "iframe":  # its content is raw text to its end tag
+            html = html.replace("<iframe", "</iframe><iframe").replace("<p>two", "</iframe><p>two").replace("<li>two", "</iframe><li>two")
+        got = "".join(p[2] for p in html_main.Page(html).pieces)
+        assert all(w in got for w in ("one", "two", "three")), (kind, html, got)
+
+
+def test_html_map_is_shown():
+    assert "link text" in "".join(p[2] for p in html_main.Page("a<map><a>link text</a></map> b").pieces)

@@ -34,7 +34,7 @@ from wardlake.llm.common import texts
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody
 td tfoot th thead tr ul""".split())
-SILENT = frozenset("head script style noscript template iframe svg object select option button canvas audio video map".split())
+SILENT = frozenset("head script style noscript template iframe svg object select option button canvas audio video".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 # what may stand in a head; anything else ends it, as its end tag may be left out
 HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
@@ -42,7 +42,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 # a start tag of the first kind ends an open element of the second kinds
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
-SCOPES = frozenset("table ul ol dl td th div section article body html main aside nav footer header form".split())
+SCOPES = frozenset("table ul ol dl td th div section article body html main aside nav footer header form object template button select".split())
 
 GROUPS = {
     "content": "article main content post entry story text body articlebody prose page blog news paragraph".split(),
@@ -141,6 +141,7 @@ class Page:
                     if stack[i][0] in closes:
                         for name, _ in stack[i:]:
                             links -= name == "a"
+                            silent -= name in SILENT
                             block += name in BLOCKS
                         del stack[i:]
                         break

@@ -37,9 +37,18 @@ NOTICES = {
     "this is free and unencumbered software released into the public domain": ("unlicense", 0.95),
     "creative commons attribution": ("cc", 0.9),
     "licensed under cc by": ("cc", 0.9),
+    "zlib license": ("zlib", 0.7),
+    "this software is provided as is without any express or implied warranty": ("zlib", 0.6),
+    "permission to use copy modify and or distribute this software for any purpose with or without fee": ("isc", 0.9),
+    "permission is hereby granted free of charge to any person obtaining a copy": ("mit", 0.95),
+    "neither the name of the copyright holder nor the names of its contributors": ("bsd", 0.9),
+    "this source code form is subject to the terms of the mozilla public license": ("mpl", 0.98),
+    "made available under the terms of the eclipse public license": ("epl", 0.98),
+    "cc0 1 0 universal": ("cc0", 0.95),
+    "creative commons zero": ("cc0", 0.9),
     "all rights reserved": ("proprietary", 0.3),
 }
-BASE_WEIGHT, TAG_WEIGHT = 0.7, 0.98
+BASE_WEIGHT, TAG_WEIGHT, CHOICE_WEIGHT = 0.7, 0.98, 0.9  # the last: a tag whose choices have no licence in common
 TAG = "spdx license identifier"
 
 # First part of an identifier -> label; others are labelled by the identifier itself.
@@ -48,12 +57,13 @@ _COPYLEFT = {"gpl": 3, "agpl": 4, "lgpl": 2, "mpl": 2, "epl": 2}
 
 # Every ASCII character outside 0-9a-z becomes a blank, A-Z lower case; other bytes stay.
 _WORDS = bytes(c if c >= 128 or chr(c).isdigit() or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
-_TAG_LINE = re.compile(r"spdx[^0-9a-z\n]{1,3}license[^0-9a-z\n]{1,3}identifier[^\S\n]*:?[^\S\n]*([^\n]*)", re.I)
+# the value may stand on the next line, behind comment marks
+_TAG_LINE = re.compile(r"spdx[^0-9a-z\n]{1,3}license[^0-9a-z\n]{1,3}identifier[^\S\n]*:?[\s*#/;-]*([^\n]*)", re.I)
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 SCHEMA = ("id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, "
-          "labels string, score double, expressions array<string>, "
+          "labels string, score double, expressions array<string>, in_force string, restrictiveness int, "
           "spans array<struct<label:string,kind:string,word:bigint,n_words:int>>")
 
 
@@ -61,6 +71,12 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
 
 
+def known(identifier: str) -> bool:
+    """A licence of a listed family, or one that a document defines itself."""
+    low = identifier.lower()
+    return low.startswith(("licenseref-", "documentref-")) or label_of(low) in FAMILIES
+
+
 def label_of(identifier: str) -> str:
     low = identifier.lower()
     return next((f for f in FAMILIES if low == f or low.startswith(f + "-")), low)
@@ -69,7 +85,8 @@ def label_of(identifier: str) -> str:
 def parse(expression: str) -> list[str] | None:
     """Shunting-yard: the expression in postfix order; None if it isn't one.
 
-    Reads the longest well-formed start, so prose after an expression is no error."""
+    Reads the longest well-formed start, so prose after an expression is no error. Operands are
+    known licences, but for what stands behind ``with``."""
     out: list[str] = []
     ops: list[str] = []
     best: list[str] | None = None
@@ -78,7 +95,7 @@ def parse(expression: str) -> list[str] | None:
         low = token.lower()
         if want and token == "(":
             ops.append(token)
-        elif want and token != ")" and low not in _PRECEDENCE:
+        elif want and token != ")" and low not in _PRECEDENCE and (ops[-1:] == ["with"] or known(token)):
             out.append(token)
             want = False
         elif not want and low in _PRECEDENCE:
@@ -137,7 +154,7 @@ def scan_text(a: ahocorasick.Automaton, text: str | None) -> tuple:
     line = " " + b" ".join(words).decode("utf-8", "surrogatepass") + " "
     spans, expressions, unsure, base, labels = [], [], 1.0, [], set()
     read = at = 0  # words counted up to a character
-    tagged = False
+    tagged, in_force, duty = False, set(), None
     for end, (size, n, meanings) in a.iter(line):
         start = end - size + 1
         if start + 1 >= at:
@@ -159,30 +176,34 @@ def scan_text(a: ahocorasick.Automaton, text: str | None) -> tuple:
         for m in _TAG_LINE.finditer(text):
             postfix = parse(m[1])
             if postfix:
-                named, _, _ = evaluate(postfix)
+                named, binding, freest = evaluate(postfix)
                 labels |= named
-                unsure *= 1 - TAG_WEIGHT
+                in_force |= binding
+                duty = max(duty or 0, freest)
+                unsure *= 1 - (TAG_WEIGHT if binding else CHOICE_WEIGHT)
                 expressions.append(" ".join(postfix))
     at_words = [w for w, _ in base]
     return (len(words), len(base), min(at_words, default=None), max(at_words, default=None),
-            ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), 1 - unsure, expressions,
+            ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), 1 - unsure, expressions, ",".join(sorted(in_force)), duty,
             [dict(zip(("label", "kind", "word", "n_words"), s)) for s in spans])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs`` with the counts, labels, score, the postfix form of each
-    tag's expression and every span found (label, kind, first word, words)."""
+    tag's expression, the labels in force under every choice its tags leave, the restrictiveness of
+    the freest choice (1 free to 4, the strictest tag's; null without tags) and every span found
+    (label, kind, first word, words)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton()
         for batch in batches:
             for start, values in texts(batch.column(1)):
                 cols = list(zip(*(scan_text(a, t) for t in values)))
-                kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.string()), pa.list_(
+                kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.list_(
                     pa.struct([("label", pa.string()), ("kind", pa.string()), ("word", pa.int64()), ("n_words", pa.int32())]))]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, len(values)), *(pa.array(c, k) for c, k in zip(cols, kinds))],
                     ["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
-                     "expressions", "spans"])
+                     "expressions", "in_force", "restrictiveness", "spans"])
 
     return docs.selectExpr(f"cast(`{id_col}` as bigint) id", f"`{text_col}` text").mapInArrow(run, SCHEMA)

@@ -69,7 +69,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return licenses.scan(table(spark, sf_dir, "documents")).selectExpr(
         "id doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
-        "array_join(expressions, '; ') expressions", "cast(size(spans) as bigint) n_spans")
+        "array_join(expressions, '; ') expressions", "cast(size(spans) as bigint) n_spans", "in_force", "restrictiveness")
 
 
 def op6_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,10 +191,10 @@ def log10_grams(values: np.ndarray, n: np.ndarray, low: list[Level], depth: int,
     return np.log10(out)
 
 
-def low_levels(counted: pa.Table, depth: int, p_min: float, min_count: int, divergence: float) -> tuple[list[Level], float]:
+def low_levels(counted: pa.Table, depth: int, min_count: int, divergence: float) -> tuple[list[Level], float]:
     """The contexts of up to ``LOW`` bytes from their counts (gram, n), and the count a candidate needs."""
     g, n = (counted.column(c).to_numpy() for c in ("gram", "n"))
-    least = max(p_min * n.sum(), min_count)
+    least = min_count
     out: list[Level] = []
     for d in range(min(LOW, depth) + 1):
         out.append(level(d, *_sums(_ending(g, d + 1), n), out[-1] if out else None, least, divergence))
@@ -410,18 +410,17 @@ SCHEMA = ("id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_t
 
 
 def score(docs: DataFrame, held_out_fold: int = 1, id_col: str = "doc_id", text_col: str = "text",
-          depth: int = DEPTH, p_min: float = 0.0, spell_weight: float = SPELL_WEIGHT, min_count: int = MIN_COUNT,
+          depth: int = DEPTH, spell_weight: float = SPELL_WEIGHT, min_count: int = MIN_COUNT,
           divergence: float = DIVERGENCE) -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known (tokens that training has),
-    train_tokens, base_score (smoothed unigram words) and score (the model's log10 probability).
-    ``p_min``: a share of all symbols that contexts must have besides ``min_count``; none by default."""
+    train_tokens, base_score (smoothed unigram words) and score (the model's log10 probability)."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     learn = F.coalesce(fold("id") != held_out_fold, F.lit(False))
     n_blocks = block_count(base, "text")
     bits = max(1, (n_blocks - 1).bit_length())
     counted = grams(base.where(learn), min(LOW, depth)).toArrow()
-    low = spark.sparkContext.broadcast(low_levels(counted, depth, p_min, min_count, divergence))  # bounded by the alphabet
+    low = spark.sparkContext.broadcast(low_levels(counted, depth, min_count, divergence))  # bounded by the alphabet
     n_ends = base.where(learn).count()
 
     texts_ = blocked(base.withColumn(HASH, F.xxhash64("id", "text")).withColumn("learn", learn), n_blocks)
