@@ -17,7 +17,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardlake.llm import bpe, html_main, licenses, mih, nbsvm, ngram_join, packing, queries, rp_forest, suffix_lm, toxicity
-from wardlake.llm.common import components, ship
+from wardlake.llm import common
+from wardlake.llm.common import ascii_lower_words, components, ship, word_hashes
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, h int, score double, component_id int"
 
@@ -331,6 +332,34 @@ def test_ngram_join_by_brute_force(spark, percent, k):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _, c in want if i == c)
 
 
+def test_word_hashes_are_those_of_the_words(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abAB \t\x1c\u00e9") for _ in range(300)) for _ in range(40)] + [
+        "", " \n", "x" * 70_000, "Ab" * 16_384 + " q", " " * 32_767 + "zz y", ODD[4][1]]
+    whole = [word_hashes(t) for t in texts]
+    number, word = {}, {}
+    for text, h in zip(texts, whole):
+        words = ascii_lower_words(text)
+        assert len(words) == len(h)
+        for w, x in zip(words, h.tolist()):
+            assert number.setdefault(w, x) == x and word.setdefault(x, w) == w
+    for piece in (1, 2, 7, 1000):  # words that lie over several pieces
+        monkeypatch.setattr(common, "PIECE", piece)
+        assert all((word_hashes(t) == h).all() for t, h in zip(texts, whole) if piece > 2 or len(t) < 400)
+
+
+def test_keep_one_tells_unlike_texts_of_an_id_apart(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, near), (1, other), (2, near + " x"), (3, other), (1, near), (5, None), (5, ""), (5, "  "), (None, near), (None, near)]
+    want = sorted([(1, near), (1, other), (5, "  "), (None, near), (None, near)], key=str)
+    for parts in (1, 4, 9):
+        kept = ngram_join.keep_one(docs_of(spark, rows).repartition(parts), 80, 5)
+        assert kept.columns == docs_of(spark, rows).columns
+        assert sorted([(r.doc_id, r.text) for r in kept.collect() if r.text], key=str) == want
+        assert kept.where("doc_id = 5").count() == 2  # null is the empty text
+
+
 def test_ngram_join_edges(spark):
     got = ngram_join.near_duplicates(docs_of(spark, ODD))
     assert got.count() == len(ODD)

@@ -73,6 +73,44 @@ def hashes(memo: WordHash, words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
+# A word's hash is the sum of its bytes' numbers times powers of an odd number, so that a whole text
+# is hashed by one running sum; A-Z have the numbers of a-z. ``PIECE`` bytes are worked on at a time.
+PIECE = 1 << 15
+_M = 0x94D049BB133111EB
+_POWER = np.concatenate([[np.uint64(1)], np.cumprod(np.full(PIECE, _M, np.uint64))])
+_INVERSE = np.concatenate([[np.uint64(1)], np.cumprod(np.full(PIECE, pow(_M, -1, 1 << 64), np.uint64))])
+_BYTE = np.array([xxhash.xxh3_64_intdigest(bytes([b]).lower()) for b in range(256)], np.uint64)
+_IN_WORD = np.array([not bytes([b]).isspace() for b in range(256)])
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of every word that ``ascii_lower_words`` finds, in order, without the words."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    found, begun, length = [], 0, 0  # sum and length of the word that the last piece left open
+    for at in range(0, len(data), PIECE):
+        b = np.frombuffer(data, np.uint8, min(PIECE, len(data) - at), at)
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(_BYTE[b] * _POWER[:len(b)], out=sums[1:])
+        inside = np.zeros(len(b) + 2, np.int8)
+        inside[1:-1] = _IN_WORD[b]
+        edges = np.flatnonzero(np.diff(inside))
+        starts, ends = edges[::2], edges[1::2]
+        h = (sums[ends] - sums[starts]) * _INVERSE[starts]
+        grown = length if len(h) and starts[0] == 0 else 0  # bytes of the open word that the first word goes on with
+        if grown:
+            h[0] = (begun + int(h[0]) * pow(_M, grown, 1 << 64)) % (1 << 64)
+        elif length:
+            found.append(np.array([begun], np.uint64))
+        length = 0
+        if len(h) and ends[-1] == len(b):
+            begun, length = int(h[-1]), int(ends[-1] - starts[-1]) + (grown if len(h) == 1 else 0)
+            h = h[:-1]
+        found.append(h)
+    if length:
+        found.append(np.array([begun], np.uint64))
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
 def ascii_lower_words(text: str | None) -> list[bytes]:
     """Lower-case A-Z, then the words ``[^\\x20\\x09-\\x0D]+`` as UTF-8 bytes."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()

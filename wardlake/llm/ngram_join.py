@@ -30,25 +30,29 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from wardlake.llm.common import (HASH, WordHash, ascii_lower_words, block_count, blocked, components, drop_kept, from_blobs,
-                                 hashes, keep)
+from wardlake.llm.common import HASH, block_count, blocked, components, drop_kept, from_blobs, keep, word_hashes
 
 WORDS = 4
 PERCENT = 85
 SIGNATURE = 8  # longs
+KEY = "__row_key"
 WIDE = 32  # longs of the signature that only members of shingles with several components carry
 
 _C = np.uint64(0xBF58476D1CE4E5B9)
 _S = np.uint64(29)
 
 
-def shingles(memo: WordHash, text: str | None, k: int = WORDS) -> np.ndarray:
+def distinct(ascending: np.ndarray) -> np.ndarray:
+    return ascending[np.concatenate([[True], ascending[1:] != ascending[:-1]])] if len(ascending) else ascending
+
+
+def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
     """The distinct ``k``-word shingles as ascending 64-bit hashes; a shorter text is one shingle."""
-    h = hashes(memo, ascii_lower_words(text))
+    h = word_hashes(text)
     n = len(h)
     if n == 0:
         return h
@@ -57,7 +61,7 @@ def shingles(memo: WordHash, text: str | None, k: int = WORDS) -> np.ndarray:
     for j in range(1, span):
         acc = (acc ^ (acc >> _S)) * _C + h[j:n - span + 1 + j]
     acc = (acc ^ (acc >> _S)) * _C
-    return np.unique(acc ^ (acc >> np.uint64(32)))
+    return distinct(np.sort(acc ^ (acc >> np.uint64(32))))
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -66,14 +70,14 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 def _block(blobs: pa.ChunkedArray, k: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Digests, numbers of shingles and the shingles one after another, each class once."""
-    memo, digs, sets = WordHash(), [], []
+    digs, sets = [], []
     seen: set[bytes] = set()
     for t in from_blobs(blobs):
         for dig, text in zip(t.column("dig").to_pylist(), t.column("text").to_pylist()):
             if dig not in seen:
                 seen.add(dig)
                 digs.append(dig)
-                sets.append(shingles(memo, text, k))
+                sets.append(shingles(text, k))
     order = sorted(range(len(digs)), key=digs.__getitem__)
     sets = [sets[i] for i in order]
     return ([digs[i] for i in order], np.array([len(s) for s in sets], np.int64),
@@ -98,11 +102,13 @@ def _send(k: int, bits: int):
 def _count(key: tuple, t: pa.Table) -> pa.Table:
     """Counts of a bucket's fingerprints; to every block those of its own that occur twice or more."""
     own = [np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("fps")]
-    values, counts = np.unique(np.concatenate(own), return_counts=True)
-    often, times = values[counts > 1], counts[counts > 1].astype(np.uint32)
+    whole = np.sort(np.concatenate(own))
+    first = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]]))
+    counts = np.diff(first, append=len(whole))
+    often, times = whole[first[counts > 1]], counts[counts > 1].astype(np.uint32)
     blks, fps, dfs = [], [], []
     for blk, f in zip(t.column("blk").to_pylist(), own):
-        f = np.unique(f)
+        f = distinct(f)
         at = np.searchsorted(often, f)
         hit = at < len(often)
         hit[hit] = often[at[hit]] == f[hit]
@@ -134,7 +140,7 @@ def _prefixes(k: int, bits: int, percent: int):
             at = np.minimum(np.searchsorted(fps, f), len(fps) - 1)
             df = np.where(fps[at] == f, dfs[at], 1).astype(np.int64)
         doc = np.repeat(np.arange(len(n)), n)
-        order = np.lexsort((h, df, doc))
+        order = np.argsort((doc << 32) | df, kind="stable")  # a class has its hashes in ascending order
         h, df = h[order], df[order]
         starts = np.concatenate([[0], np.cumsum(n)])
         plen = prefix_length(n, percent)
@@ -177,12 +183,12 @@ def _marked(stats: DataFrame) -> DataFrame:
     return stats.select("tok", *[F.col(f"m.{c}").alias(f"{c}2") for c in ("nid", "n", "s", "p", "sig")])
 
 
-def _apart(a: str, b: str, longs: int) -> F.Column:
+def _apart(a: str, b: str, longs: int) -> Column:
     """In how many bits two signatures differ; the sets differ in as many shingles at least."""
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(longs)), F.lit(0))
 
 
-def _possible(percent: int, longs: int = SIGNATURE) -> F.Column:
+def _possible(percent: int, longs: int = SIGNATURE) -> Column:
     """The sizes n, n2, the numbers s, s2 of shingles that can be common at all, and the places of a
     common shingle allow the threshold: before it at most the smaller q can be common."""
     need = F.col("n") + F.col("n2")
@@ -292,26 +298,38 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, id_
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, of which each group of linked documents keeps the one with
-    the smallest id. Of rows that repeat an id one stays; rows with a null id, and documents
-    without words, all stay."""
-    kept = near_duplicates(docs, percent, k, id_col, text_col).where("id = component_id").select("id").distinct()
+    the smallest id, among rows of that id the one whose text has the smallest MD5. Documents without
+    words stay. Of rows that repeat both id and text one stays; unlike texts under one id are
+    different documents; rows with a null id all stay."""
+    base = docs.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = base.withColumn("dig", F.unhex(F.md5("text")))
+    rows = base.select("id", "dig").distinct().join(_by_text(base, percent, k), "dig")
+    first = rows.where("n > 0").groupBy("c").agg(F.min(F.struct("id", "dig")).alias("f")).select("f.id", "f.dig")
+    kept = first.unionByName(rows.where("n = 0").select("id", "dig"))
+
+    def row_key(i: Column, dig: Column) -> Column:
+        return F.concat(dig, F.encode(i.cast("string"), "utf-8"))
+
     n_blocks = block_count(docs, text_col)
-    at = docs.columns.index(id_col)
-    named = docs.where(F.col(id_col).isNotNull()).withColumn(HASH, F.xxhash64(F.col(id_col).cast("bigint")))
+    named = docs.where(F.col(id_col).isNotNull())
+    named = named.withColumn(KEY, row_key(F.col(id_col).cast("bigint"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))))
+    named = named.withColumn(HASH, F.xxhash64(KEY))
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        stay = set(right.column("id").to_pylist())
+        stay = set(right.column("k").to_pylist())
         parts = []
         for t in from_blobs(left.column("blob")):
             mask = []
-            for i in t.column(at).to_pylist():
+            for i in t.column(KEY).to_pylist():
                 mask.append(i in stay)
                 stay.discard(i)
-            parts.append(t.filter(pa.array(mask, pa.bool_())))
+            parts.append(t.drop_columns([KEY]).filter(pa.array(mask, pa.bool_())))
         return pa.concat_tables(parts) if parts else empty
 
     schema = docs.schema
     empty = pa.Table.from_batches([], to_arrow_schema(schema))
-    one = (blocked(named, n_blocks, once=id_col).groupBy("blk")
-           .cogroup(kept.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(n_blocks))).groupBy("blk")).applyInArrow(run, schema))
+    kept = kept.select(row_key(F.col("id"), F.col("dig")).alias("k"))
+    one = (blocked(named, n_blocks, once=KEY).groupBy("blk")
+           .cogroup(kept.withColumn("blk", F.pmod(F.xxhash64("k"), F.lit(n_blocks))).groupBy("blk")).applyInArrow(run, schema))
     return one.unionByName(docs.where(F.col(id_col).isNull()))

@@ -128,9 +128,12 @@ def pack_shard(rows: pd.DataFrame, capacity: int, max_per_source: int) -> pd.Dat
         "bin_offset": pd.array([o[5] for o in out], "Int64")})
 
 
-def lengths(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, source, n_words, cluster, dig): the cluster is a hash of the lower-cased word sequence,
-    ``dig`` the MD5 of the text; texts without words have neither."""
+def lengths(docs: DataFrame, id_col: str, text_col: str, source_col: str, by_text: bool = False) -> DataFrame:
+    """(id, source, n_words, cluster): the cluster is a hash of the lower-cased word sequence, or
+    ``by_text`` the MD5 of the text; texts without words have none."""
+
+    def cluster(text: str, words: list[bytes]) -> bytes:
+        return hashlib.md5(text.encode()).digest() if by_text else xxhash.xxh3_128_digest(b" ".join(words))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,12 +143,11 @@ def lengths(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Dat
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, n), batch.column(1).slice(start, n),
                      pa.array([len(w) for w in words], pa.int64()),
-                     pa.array([xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in words], pa.binary()),
-                     pa.array([hashlib.md5(t.encode()).digest() if w else None for t, w in zip(values, words)], pa.binary())],
-                    ["id", "source", "n_words", "cluster", "dig"])
+                     pa.array([cluster(t, w) if w else None for t, w in zip(values, words)], pa.binary())],
+                    ["id", "source", "n_words", "cluster"])
 
     return (docs.selectExpr(f"cast(`{id_col}` as bigint) id", f"cast(`{source_col}` as string) source", f"`{text_col}` text")
-            .mapInArrow(run, "id bigint, source string, n_words bigint, cluster binary, dig binary"))
+            .mapInArrow(run, "id bigint, source string, n_words bigint, cluster binary"))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, max_per_source: int = MAX_PER_SOURCE, shard_rows: int = SHARD_ROWS,
@@ -159,9 +161,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, max_per_source: int = MAX_PE
 
     ``clusters`` (dig, cluster): the duplicate cluster of a text by its MD5, each text once; a text
     that isn't in it conflicts with nothing. Without it exact copies are the clusters."""
-    rows = keep(lengths(docs, id_col, text_col, source_col).withColumn("row", F.monotonically_increasing_id()), "pack")
+    rows = keep(lengths(docs, id_col, text_col, source_col, clusters is not None).withColumn("row", F.monotonically_increasing_id()), "pack")
     shards = max(1, math.ceil(rows.count() / shard_rows))
     if clusters is not None:
-        rows = rows.drop("cluster").join(clusters.select("dig", F.col("cluster").cast("string")), "dig", "left")
-    return (rows.drop("dig").withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
+        rows = rows.withColumnRenamed("cluster", "dig").join(clusters.select("dig", F.col("cluster").cast("string")), "dig", "left").drop("dig")
+    return (rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
             .groupBy("shard").applyInPandas(lambda g: pack_shard(g, capacity, max_per_source), SCHEMA))
