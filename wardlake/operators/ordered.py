@@ -1,4 +1,4 @@
-"""What came last before a row, per key, for keys of any size.
+"""What came last before a row, and a row's place, per key, for keys of any size.
 
 A window over the key would sort a hot key in one task. Here the rows are
 range-partitioned by (key, order), so a hot key lies in several pieces; each
@@ -36,3 +36,38 @@ def last_before(df: DataFrame, key: str, order: Sequence[str], value: str, name:
     return (pieces.withColumn("_own", F.last(value, ignorenulls=True).over(within))
                   .join(F.broadcast(carry), on=[key, "_piece"], how="left")
                   .withColumn(name, F.coalesce("_own", "_carry")).drop("_own", "_carry", "_piece"))
+
+
+def place_in_key(df: DataFrame, key: str, order: Sequence[str], name: str) -> DataFrame:
+    """Add ``name``: how many rows of the same ``key`` come before this one in
+    ascending ``order`` (NULL first), which must be unique per key.  A piece
+    numbers its own rows; a key that goes on from earlier pieces adds their
+    rows, counted per piece."""
+    checkpoint_dir(df.sparkSession)
+    asc = [F.col(c).asc_nulls_first() for c in order]
+    pieces = (df.repartitionByRange(F.col(key), *asc).withColumn("_piece", F.spark_partition_id())
+                .checkpoint(eager=True))
+    within = Window.partitionBy("_piece", key).orderBy(*asc)
+    spread = (pieces.groupBy(key).agg(F.min("_piece").alias("_a"), F.max("_piece").alias("_b"))
+                    .filter("_a < _b").select(key))
+    sizes = pieces.join(F.broadcast(spread), on=key, how="left_semi").groupBy(key, "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sizes.select(key, "_piece", F.sum("_n").over(earlier).alias("_carry"))
+    return (pieces.withColumn("_own", F.row_number().over(within) - 1)
+                  .join(F.broadcast(carry), on=[key, "_piece"], how="left")
+                  .withColumn(name, F.col("_own") + F.coalesce("_carry", F.lit(0))).drop("_own", "_carry", "_piece"))
+
+
+CHUNK_ROWS = 1000
+
+
+def list_chunks(df: DataFrame, key: str, order: Sequence[str], fields: Sequence[str], name: str,
+                chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(key, chunk, name): the rows of each ``key`` as lists of structs of
+    ``fields`` in ascending ``order`` (unique per key), cut after every
+    ``chunk_rows`` rows and numbered from 0, so the list of a key of any size
+    is never one value.  Rows whose key is NULL are in no list."""
+    placed = place_in_key(df.filter(F.col(key).isNotNull()).select(key, *dict.fromkeys([*order, *fields])), key, order, "_place")
+    rows = F.array_sort(F.collect_list(F.struct("_place", F.struct(*fields).alias("v"))))
+    lists = placed.groupBy(key, F.floor(F.col("_place") / chunk_rows).alias("chunk")).agg(rows.alias("_l"))
+    return lists.select(key, "chunk", F.transform("_l", lambda x: x["v"]).alias(name))

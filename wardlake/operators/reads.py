@@ -22,6 +22,7 @@ from ..functions.cleaning import age_years, contains_folded, day_text, fold, gra
 from ..sources.snapshot import Tables
 from .hot import HOT_ROWS, join_split
 from .latest import latest_per_key
+from .ordered import CHUNK_ROWS, list_chunks
 
 PATIENT_COLS = ["id_patient", "full_name", "nin", "birth_date", "sex", "address", "phone", "blood_group"]
 
@@ -313,7 +314,7 @@ def stay_summary(t: Tables, stays=None, hot_rows: int = HOT_ROWS) -> DataFrame:
 def stay_summary_nested(t: Tables, stays) -> DataFrame:
     """The nested answer (prescription list in order + newest observation
     struct) for the named stays.  Meant for a bounded set of stays: the list
-    of one stay is built in one task."""
+    of one stay is built in one task; see ``stay_summary_chunks``."""
     presc = _keys_df(t.prescription, "id_stay", stays)
     order = list(t.presc_order)
     fields = order + [c for c in ("drug", "dose", "frequency", "instructions") if c not in order]
@@ -330,6 +331,23 @@ def stay_summary_nested(t: Tables, stays) -> DataFrame:
                         .alias("prescriptions"), "latest_obs"))
 
 
+def stay_summary_chunks(t: Tables, stays=None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The nested answer for all stays with rows of bounded size: (id_stay,
+    chunk, prescriptions, latest_obs), the ordered prescription list cut after
+    every ``chunk_rows`` entries.  Every stay has chunk 0, which carries its
+    newest observation; its list is empty for a stay without prescriptions."""
+    fields = ["drug", "dose", "frequency", "instructions"]
+    lists = list_chunks(_keys_df(t.prescription, "id_stay", stays), "id_stay", t.presc_order, fields, "prescriptions", chunk_rows)
+    last = _last_obs_for_summary(t, stays)
+    last = last.select("id_stay", F.struct(*[c for c in last.columns if c != "id_stay"]).alias("latest_obs"))
+    first = (_keys_df(t.stay, "id_stay", stays).select("id_stay", F.lit(0).cast("bigint").alias("chunk"))
+             .join(last, on="id_stay", how="left"))
+    known = lists.join(first.select("id_stay"), on="id_stay", how="left_semi")
+    return (first.join(known, on=["id_stay", "chunk"], how="full")
+                 .select("id_stay", "chunk", F.coalesce("prescriptions", F.array().cast(lists.schema["prescriptions"].dataType))
+                         .alias("prescriptions"), "latest_obs"))
+
+
 # ---------------------------------------------------------------- Q12 .. Q16
 def lookup(requests: DataFrame, table: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """Left join of requests to a keyed table: a missing key gives NULLs."""

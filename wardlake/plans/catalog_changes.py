@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import changes, checks, reads
+from ..operators import changes, checks, ordered, reads
 from ..session import checkpoint_dir
 from ..sources import requests as rq
 from ..sources import snapshot
@@ -166,6 +166,21 @@ def q_version_round_trip(spark, sf_dir):
     return spark.read.schema(schemas.TABLE_SCHEMAS["room"]).parquet(paths["room"])
 
 
+@register("version_parts_round_trip_rooms", with_standin(_TRANSFER_SQL + """
+SELECT r.id_room, r.id_service, r.room_no, r.bed_no, coalesce(p.available, r.available) AS available
+FROM room r LEFT JOIN per_bed p ON p.id_room = r.id_room"""))
+def q_version_parts_round_trip(spark, sf_dir):
+    """Stays and beds in parts by key; a batch of transfers written as the
+    next version (only the parts it changed) and read back."""
+    t = standin_tables(spark, sf_dir)
+    root = f"{checkpoint_dir(spark)}/parts-{uuid.uuid4().hex}"
+    snapshot.write_snapshot_parts(t, f"{root}/v1", {"stay": 16, "room": 16}, ("stay", "room"))
+    base = t.replace(**{n: snapshot.read_snapshot_table(spark, f"{root}/v1", n) for n in ("stay", "room")})
+    after = changes.transfer(base, rq.transfer_requests(spark, sf_dir)).tables
+    snapshot.write_version(after, base, f"{root}/v1", f"{root}/v2")
+    return snapshot.read_snapshot_table(spark, f"{root}/v2", "room")
+
+
 @register("append_round_trip", "SELECT o_orderkey AS id_prescription, o_custkey AS id_stay, o_orderpriority AS drug FROM orders")
 def q_append_round_trip(spark, sf_dir):
     """A prescription table and two batches appended to it, one of them
@@ -229,3 +244,25 @@ def q_stay_summary_lists(spark, sf_dir):
     nested = reads.stay_summary_nested(t, t.stay.where("date_out is null"))
     return nested.select("id_stay", F.array_join(F.transform("prescriptions", lambda p: F.concat(
         p["drug"], F.lit(" x"), p["dose"].cast("int").cast("string"))), ";").alias("prescriptions"))
+
+
+@register("stay_summary_chunks", with_standin("""
+SELECT s.id_stay, coalesce(p.chunk, 0) AS chunk, coalesce(string_agg(p.drug || ' x' || p.dose::INTEGER, ';' ORDER BY p.n), '') AS prescriptions
+FROM stay s LEFT JOIN (SELECT *, n // 3 AS chunk FROM (
+  SELECT *, row_number() OVER (PARTITION BY id_stay ORDER BY p_line, p_part, p_supp, p_qty) - 1 AS n FROM prescription)) p
+  ON p.id_stay = s.id_stay GROUP BY s.id_stay, p.chunk"""))
+def q_stay_summary_chunks(spark, sf_dir):
+    """Every stay's ordered prescriptions in numbered lists of three."""
+    chunks = reads.stay_summary_chunks(standin_tables(spark, sf_dir), chunk_rows=3)
+    return chunks.select("id_stay", "chunk", F.array_join(F.transform("prescriptions", lambda p: F.concat(
+        p["drug"], F.lit(" x"), p["dose"].cast("int").cast("string"))), ";").alias("prescriptions"))
+
+
+@register("free_rooms_chunks", with_standin("""
+SELECT id_service, n // 100 AS chunk, string_agg(id_room::VARCHAR, ',' ORDER BY n) AS rooms FROM (
+  SELECT id_service, id_room, row_number() OVER (PARTITION BY id_service ORDER BY id_room) - 1 AS n FROM room WHERE available)
+GROUP BY ALL"""))
+def q_free_rooms_chunks(spark, sf_dir):
+    """The free beds of every service in numbered lists of a hundred."""
+    rooms = ordered.list_chunks(reads.free_rooms(standin_tables(spark, sf_dir)), "id_service", ["id_room"], ["id_room"], "rooms", 100)
+    return rooms.select("id_service", "chunk", F.array_join(F.transform("rooms", lambda r: r["id_room"].cast("string")), ",").alias("rooms"))

@@ -29,6 +29,7 @@ def write_answers(df: DataFrame, path: str, mode: str = "overwrite", partition_b
 def keyed_answers(df: DataFrame, key: str, list_name: str) -> DataFrame:
     """``{key: ..., list_name: [...]}`` documents, one per key, for answers
     that are a list per key (e.g. free beds per service).  The list of one
-    key is built in one task, so use it for keys with bounded lists."""
+    key is built in one task, so use it for keys with bounded lists;
+    ``operators.ordered.list_chunks`` cuts lists of any length."""
     rows = F.struct(*[F.col(c) for c in df.columns if c != key])
     return df.groupBy(key).agg(F.collect_list(rows).alias(list_name))
