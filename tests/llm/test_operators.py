@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from wardlake.llm import bpe, html_main, licenses, mih, nbsvm, ngram_join, packing, queries, rp_forest, suffix_lm, toxicity
 from wardlake.llm import common
-from wardlake.llm.common import ascii_lower_words, components, ship, word_hashes
+from wardlake.llm.common import ascii_lower_words, components, ship, word_count, word_hashes
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, h int, score double, component_id int"
 
@@ -340,7 +340,7 @@ def test_word_hashes_are_those_of_the_words(monkeypatch):
     number, word = {}, {}
     for text, h in zip(texts, whole):
         words = ascii_lower_words(text)
-        assert len(words) == len(h)
+        assert len(words) == len(h) == word_count(text)
         for w, x in zip(words, h.tolist()):
             assert number.setdefault(w, x) == x and word.setdefault(x, w) == w
     for piece in (1, 2, 7, 1000):  # words that lie over several pieces

@@ -80,7 +80,19 @@ _M = 0x94D049BB133111EB
 _POWER = np.concatenate([[np.uint64(1)], np.cumprod(np.full(PIECE, _M, np.uint64))])
 _INVERSE = np.concatenate([[np.uint64(1)], np.cumprod(np.full(PIECE, pow(_M, -1, 1 << 64), np.uint64))])
 _BYTE = np.array([xxhash.xxh3_64_intdigest(bytes([b]).lower()) for b in range(256)], np.uint64)
-_IN_WORD = np.array([not bytes([b]).isspace() for b in range(256)])
+_IN_WORD = bytes(not bytes([b]).isspace() for b in range(256))
+
+
+def _edges(data: bytes) -> np.ndarray:
+    """Where words start and end, in turn."""
+    inside = np.frombuffer(b"\0" + data.translate(_IN_WORD) + b"\0", np.bool_)
+    return np.flatnonzero(inside[1:] != inside[:-1])
+
+
+def word_count(text: str | None) -> int:
+    """How many words ``ascii_lower_words`` finds."""
+    inside = np.frombuffer(b"\0" + (text or "").encode("utf-8", "surrogatepass").translate(_IN_WORD), np.bool_)
+    return int(np.count_nonzero(inside[1:] > inside[:-1]))
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -88,12 +100,10 @@ def word_hashes(text: str | None) -> np.ndarray:
     data = (text or "").encode("utf-8", "surrogatepass")
     found, begun, length = [], 0, 0  # sum and length of the word that the last piece left open
     for at in range(0, len(data), PIECE):
-        b = np.frombuffer(data, np.uint8, min(PIECE, len(data) - at), at)
+        b = data[at:at + PIECE]
         sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(_BYTE[b] * _POWER[:len(b)], out=sums[1:])
-        inside = np.zeros(len(b) + 2, np.int8)
-        inside[1:-1] = _IN_WORD[b]
-        edges = np.flatnonzero(np.diff(inside))
+        np.cumsum(_BYTE.take(np.frombuffer(b, np.uint8)) * _POWER[:len(b)], out=sums[1:])
+        edges = _edges(b)
         starts, ends = edges[::2], edges[1::2]
         h = (sums[ends] - sums[starts]) * _INVERSE[starts]
         grown = length if len(h) and starts[0] == 0 else 0  # bytes of the open word that the first word goes on with

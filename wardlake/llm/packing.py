@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlake.llm.common import ascii_lower_words, keep, texts
+from wardlake.llm.common import ascii_lower_words, keep, texts, word_count
 
 CAPACITY = 2048
 SHARD_ROWS = 8192
@@ -132,18 +132,22 @@ def lengths(docs: DataFrame, id_col: str, text_col: str, source_col: str, by_tex
     """(id, source, n_words, cluster): the cluster is a hash of the lower-cased word sequence, or
     ``by_text`` the MD5 of the text; texts without words have none."""
 
-    def cluster(text: str, words: list[bytes]) -> bytes:
-        return hashlib.md5(text.encode()).digest() if by_text else xxhash.xxh3_128_digest(b" ".join(words))
+    def of_text(text: str | None) -> tuple[int, bytes | None]:
+        n = word_count(text)
+        return n, hashlib.md5(text.encode()).digest() if n else None
+
+    def of_words(text: str | None) -> tuple[int, bytes | None]:
+        words = ascii_lower_words(text)
+        return len(words), xxhash.xxh3_128_digest(b" ".join(words)) if words else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, values in texts(batch.column(2)):
-                words = [ascii_lower_words(t) for t in values]
-                n = len(words)
+                found = [of_text(t) if by_text else of_words(t) for t in values]
+                n = len(found)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, n), batch.column(1).slice(start, n),
-                     pa.array([len(w) for w in words], pa.int64()),
-                     pa.array([cluster(t, w) if w else None for t, w in zip(values, words)], pa.binary())],
+                     pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())],
                     ["id", "source", "n_words", "cluster"])
 
     return (docs.selectExpr(f"cast(`{id_col}` as bigint) id", f"cast(`{source_col}` as string) source", f"`{text_col}` text")
