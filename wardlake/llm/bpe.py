@@ -87,6 +87,7 @@ class Bpe:
         self.vocabulary, self.pattern = vocabulary, pattern
         self.index = MinimalPerfectHash([vocabulary[i] for i in known], known)
         self.ranks = {vocabulary[i]: i for i in known}  # of parts, while bytes are merged
+        self.digest = xxhash.xxh3_128_hexdigest(repr((vocabulary, pattern)).encode("utf-8", "surrogatepass"))
 
     def piece(self, piece: bytes) -> list[int]:
         rank = self.index.get(piece)
@@ -158,7 +159,7 @@ class Pretokens:
         return self.latin(text)
 
 
-_MEMOS: dict[int, dict] = {}  # of this worker, by broadcast
+_MEMOS: dict[str, dict] = {}  # of this worker, by digest of the vocabulary and pattern
 
 
 class _Memo(dict):
@@ -178,11 +179,11 @@ class _Memo(dict):
         return ids
 
     @classmethod
-    def of(cls, key: int, bpe: Bpe) -> _Memo:
-        if key not in _MEMOS:
+    def of(cls, bpe: Bpe) -> _Memo:
+        if bpe.digest not in _MEMOS:
             _MEMOS.clear()
-            _MEMOS[key] = cls(bpe)
-        return _MEMOS[key]
+            _MEMOS[bpe.digest] = cls(bpe)
+        return _MEMOS[bpe.digest]
 
 
 def encode(docs: DataFrame, bpe: Bpe, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,10 +193,9 @@ def encode(docs: DataFrame, bpe: Bpe, id_col: str = "doc_id", text_col: str = "t
     other columns are not read. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(bpe)  # bounded: one vocabulary
-    key = id(shared)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, memo = Pretokens(shared.value.pattern), _Memo.of(key, shared.value)
+        find, memo = Pretokens(shared.value.pattern), _Memo.of(shared.value)
         for batch in batches:
             for start, values in texts(batch.column(1)):
                 ids = [b"".join(map(memo.__getitem__, find(t))) if t else b"" for t in values]
