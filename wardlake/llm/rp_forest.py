@@ -59,8 +59,10 @@ def _direction(seed: int, dim: int) -> np.ndarray:
 
 
 def fit_subtree(x: np.ndarray, size: int, seed: int, spill: float, leaf: int) -> np.ndarray:
-    """Thresholds of a subtree (heap order, NaN: leaf) for a node of ``size`` points."""
+    """Thresholds of a subtree (heap order, NaN: leaf) for a node of ``size`` points. ``spill`` is the
+    overlap of vectors of one component; longer ones lie closer along a direction."""
     thresholds = np.full(2 ** LEVELS - 1, np.nan)
+    spill /= math.sqrt(x.shape[1])
     todo = [(0, np.arange(len(x)))]
     while todo:
         node, own = todo.pop()
@@ -81,6 +83,7 @@ def route(x: np.ndarray, thresholds: np.ndarray, seed: int, spill: float) -> tup
     """(row, place, grows): the leaves of the subtree each point falls into. ``grows``: the leaf
     lies at the subtree's last level, so it may be split further."""
     rows, places, grows = [], [], []
+    spill /= math.sqrt(x.shape[1])
     todo = [(0, np.arange(len(x)))]
     while todo:
         node, own = todo.pop()
@@ -204,7 +207,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, trees: int = TREES
                     label_col: str = "label") -> DataFrame:
     """(id, n_links, component_id, kept) for every row of ``vectors``: links join vectors of one
     label with a cosine of ``cosine`` or more, in double precision. The overlap of a split is
-    ``spill_share`` of the standard deviation that a pair at the bound has along a direction."""
+    ``spill_share`` of the standard deviation that a pair at the bound has along a direction, for
+    vectors of that length."""
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("bigint").alias("label"),
                           F.col(emb_col).cast("array<double>").alias("emb"))
     rows = rows.withColumn("part", F.col("id").isNotNull() & F.col("label").isNotNull() & usable(F.col("emb")))
@@ -214,8 +218,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, trees: int = TREES
     classes = (rows.where("part").groupBy("k1", "k2").agg(
         F.min("id").alias("rep"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("emb").alias("emb")))
     classes = keep(classes.withColumn("dim", dim).withColumn("nid", F.monotonically_increasing_id()), "vectors")
-    widest = classes.agg(F.max("dim")).first()[0] or 1
-    spill = spill_share * math.sqrt(max(2 - 2 * cosine, 0.0)) / math.sqrt(widest)
+    spill = spill_share * math.sqrt(max(2 - 2 * cosine, 0.0))
     points = classes.select("nid", "label", "dim", F.col("emb"))
     # directions apply to unit vectors
     norm = F.sqrt(F.aggregate("emb", F.lit(0.0), lambda s, v: s + v * v))
