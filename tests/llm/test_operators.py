@@ -266,28 +266,55 @@ def test_suffix_tree_by_definition_at_every_size(spark, monkeypatch):
             assert got[i].score == pytest.approx(sum(math.log10(prob(h[k:k + 5], s[k])) for k in range(len(s))), abs=1e-3), t
 
 
-def test_suffix_tree_is_a_distribution():
-    text = b"\n\n" + b"abra cadabra abra \nabra dabra \n" * 40
-    counts = {d: {} for d in range(3)}
-    for d in range(3):
-        for i in range(2, len(text)):
-            m = counts[d].setdefault(text[i - d:i], {})
-            m[text[i]] = m.get(text[i], 0) + 1
-    tree = suffix_lm.build(counts)
-    others = suffix_lm.SYMBOLS - tree.logp.shape[1] + 1
-    p = 10.0 ** tree.logp.astype(float)
-    assert np.allclose(p[:, :-1].sum(1) + p[:, -1] * others, 1, atol=1e-4)
-    # one text at a time, by the longest suffix, as all texts together
-    spelled = [b"abra \n", b"\n", b"dabra zzz cadabra \n"]
-    together = suffix_lm.log10_symbols(tree, spelled)
-    alone = []
-    for s in spelled:
-        state = tree.start
-        for c in s:
-            alone.append(tree.logp[state, tree.symbols[c]])
-            state = tree.step[state, tree.symbols[c]]
-    assert np.allclose(together, alone)
-    assert p[0, tree.symbols[ord("a")]] > p[0, tree.symbols[ord("d")]]
+def test_suffix_tree_is_a_distribution(spark):
+    """The probabilities of all symbols behind a history sum to one, whole and split endings alike,
+    and splitting an ending changes no probability."""
+    spelled = [suffix_lm.spell("abra cadabra zzz abra " * 40), suffix_lm.spell("dabra abracadabra " * 30)]
+    seen, n = np.unique(suffix_lm.numbers(spelled, 5), return_counts=True)
+    counted, times = suffix_lm._sums(seen & 0xFFFFFFFF, n)
+    df = spark.createDataFrame([(int(g), int(c)) for g, c in zip(counted, times)], "gram bigint, n bigint")
+    low = suffix_lm.learn_low(df, 5, 2, 5.0)
+    assert len(low.hot)
+    whole = suffix_lm.Low(low.levels, low.hot[:0], low.cells[:0], low.n[:0])
+    for history in (b"\n\n\n\n\n", b"cadab", b" abra", b"zzzzz", b"\x00qqab", b"abra "):
+        start = int.from_bytes(history, "big") << 8
+        values = np.union1d(seen, start + np.arange(256))
+        counts = np.zeros(len(values), np.int64)
+        counts[np.searchsorted(values, seen)] = n
+        p = suffix_lm.log10_grams(values, counts, low, 5, 2, 5.0)
+        assert (10 ** p[values >> 8 == start >> 8]).sum() == pytest.approx(1), history
+        assert np.array_equal(p, suffix_lm.log10_grams(values, counts, whole, 5, 2, 5.0))
+        # a part alone: the grams with the same four bytes before the symbol
+        part = (values >> 8) & 0xFFFFFFFF == (start >> 8) & 0xFFFFFFFF
+        if np.isin(start >> 8 & 0xFFFFFF, low.hot):
+            assert np.array_equal(p[part], suffix_lm.log10_grams(values[part], counts[part], low, 5, 2, 5.0))
+
+
+def test_tokens_mix_share_and_spelling(spark):
+    rows = [(i, t) for i, t in enumerate(["alpha beta", "beta beta gamma", "alpha delta", "beta"] * 6)]
+    train = [suffix_lm.spell(t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    _, prob = _tree_by_definition(train)
+    words = Counter(w for s in train for w in s.split())
+    n_all = sum(words.values()) + len(train)
+    got = {r.id: r.score for r in suffix_lm.score(docs_of(spark, rows)).collect()}
+    for i, t in rows[:4]:
+        s, want, spelling, word = suffix_lm.spell(t), 0.0, 1.0, b""
+        h = b"\n" * 5 + s
+        for k in range(len(s)):
+            spelling *= prob(h[k:k + 5], s[k])
+            if s[k] in b" \n":
+                share = (len(train) if s[k] == 10 else words[word]) / n_all
+                want += math.log10(0.15 * share + 0.85 * spelling)
+                spelling, word = 1.0, b""
+            else:
+                word += s[k:k + 1]
+        assert got[i] == pytest.approx(want, abs=1e-3), t
+
+
+def test_memo_is_told_by_its_vocabulary():
+    one, two = bpe.Bpe([bytes([i]) for i in range(256)] + [b"ab"], "x"), bpe.Bpe([bytes([i]) for i in range(256)] + [b"bc"], "x")
+    assert bpe._Memo.of(one)["ab"] != bpe._Memo.of(two)["ab"]
+    assert bpe._Memo.of(bpe.Bpe(two.vocabulary, "x")) is bpe._Memo.of(two)
 
 
 # --- 4: n-gram join ----------------------------------------------------------------------------
@@ -423,8 +450,8 @@ def test_forest_by_brute_force(spark):
 
 def test_forest_splits_and_overlaps():
     x = rp_forest.unit(np.random.default_rng(1).standard_normal((3000, 16)))
-    th = rp_forest.fit_subtree(x, 3000, 5, 0.05, 200)
-    rows, places, _ = rp_forest.route(x, th, 5, 0.05)
+    th = rp_forest.fit_subtree(x, 3000, 5, 0.2, 200)
+    rows, places, _ = rp_forest.route(x, th, 5, 0.2)
     assert set(rows) == set(range(3000)) and len(rows) > 3000
     assert np.bincount(places).max() < 1000
 

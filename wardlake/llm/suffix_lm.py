@@ -12,8 +12,12 @@ its history, so it follows from its (depth + 1)-gram.
 No task and no driver holds the tree. Blocks of texts send their distinct (depth + 1)-grams with
 their training counts to counting tasks, dealt out by the last ``LOW + 1`` bytes of the context:
 all longer contexts with that ending meet there, are counted, tested and smoothed, and the block
-gets the probabilities of its own grams back in the same order. Only the counts of contexts up to
-``LOW`` bytes come to the driver, all of them: the alphabet bounds them.
+gets the probabilities of its own grams back in the same order. An ending with more than the share
+``HOT`` of all training symbols is dealt out by one more byte, so that no task gets all of it; its
+own counts, which its parts need, go to every counting task. It is split only if its own divergence
+keeps it, so that no part has to know of the others: where it is counted changes no result. What
+comes to the driver are the counts of all contexts up to ``LOW`` bytes, bounded by the alphabet, and
+those of the hot endings, at most 1 / ``HOT`` of them.
 
 A token's probability is a mixture of its share of the training tokens and, with weight
 ``spell_weight``, its spelling by the tree, so every text has a positive probability.
@@ -42,6 +46,7 @@ from wardlake.llm.common import HASH, WordHash, ascii_lower_words, block_count,
 DEPTH = 5
 MIN_COUNT = 2  # occurrences of a context
 LOW = 2  # bytes of the contexts whose counts every counting task gets
+HOT = 1 / 1024  # of all training symbols: an ending of more is counted in parts
 DIVERGENCE = 5.0
 SMOOTHING = 2.0
 END = 10  # the end symbol, also what stands before a text; no word holds it
@@ -58,17 +63,6 @@ def spell(text: str | None) -> bytes:
 # --- the tree --------------------------------------------------------------------------------
 
 
-@dataclass
-class Tree:
-    """A tree as an automaton, for counts that one process holds: state -> (symbol -> next state,
-    log10 probability)."""
-
-    symbols: np.ndarray  # byte -> column
-    step: np.ndarray  # int32 [states, columns]
-    logp: np.ndarray  # float32 [states, columns]
-    start: int
-
-
 def numbers(spelled: list[bytes], depth: int) -> np.ndarray:
     """The (depth + 1)-gram that ends at each symbol of the texts, as a number, one text after another."""
     pad = bytes([END]) * depth
@@ -170,13 +164,31 @@ def level(length: int, cells: np.ndarray, n: np.ndarray, parents: Level | None,
     return Level(cells, p, contexts, back, (total * apart >= divergence) | (length <= LOW))
 
 
-def log10_grams(values: np.ndarray, n: np.ndarray, low: list[Level], depth: int, least: float, divergence: float) -> np.ndarray:
+@dataclass
+class Low:
+    """What every counting task knows: the contexts of up to ``LOW`` bytes, and the counts of the
+    endings that are dealt out in parts."""
+
+    levels: list[Level]
+    hot: np.ndarray  # endings of LOW + 1 bytes, ascending
+    cells: np.ndarray  # those with their next symbols, ascending
+    n: np.ndarray
+
+
+def log10_grams(values: np.ndarray, n: np.ndarray, low: Low, depth: int, least: float, divergence: float) -> np.ndarray:
     """The log10 probability of the last symbol of each gram of ``values``, which have every gram of
-    the corpus (``n`` times in the training) with the same ``LOW + 1`` bytes before the symbol."""
-    levels = list(low)
-    for d in range(len(low), depth + 1):
-        levels.append(level(d, *_sums(_ending(values[n > 0], d + 1), n[n > 0]), levels[-1], least, divergence))
-    for d in range(depth, len(low), -1):
+    the corpus (``n`` times in the training) with the same ``LOW + 1`` bytes before the symbol, one
+    byte more for the endings in ``low.hot``."""
+    levels = list(low.levels)
+    for d in range(len(levels), depth + 1):
+        cells, times = _sums(_ending(values[n > 0], d + 1), n[n > 0])
+        if d == LOW + 1 and len(low.hot):
+            whole = ~np.isin(cells >> 8, low.hot)
+            cells, times = np.concatenate([cells[whole], low.cells]), np.concatenate([times[whole], low.n])
+            order = np.argsort(cells)
+            cells, times = cells[order], times[order]
+        levels.append(level(d, cells, times, levels[-1], least, divergence))
+    for d in range(depth, len(low.levels), -1):
         levels[d - 1].kept |= np.isin(levels[d - 1].contexts, _ending(levels[d].contexts[levels[d].kept], d - 1))
     p = np.full(len(values), 1 / SYMBOLS)
     out = p.copy()
@@ -191,92 +203,25 @@ def log10_grams(values: np.ndarray, n: np.ndarray, low: list[Level], depth: int,
     return np.log10(out)
 
 
-def low_levels(counted: pa.Table, depth: int, min_count: int, divergence: float) -> tuple[list[Level], float]:
-    """The contexts of up to ``LOW`` bytes from their counts (gram, n), and the count a candidate needs."""
-    g, n = (counted.column(c).to_numpy() for c in ("gram", "n"))
-    least = min_count
-    out: list[Level] = []
-    for d in range(min(LOW, depth) + 1):
-        out.append(level(d, *_sums(_ending(g, d + 1), n), out[-1] if out else None, least, divergence))
-    return out, least
-
-
-def build(counts: dict[int, dict[bytes, dict[int, int]]], divergence: float = DIVERGENCE, smoothing: float = SMOOTHING) -> Tree:
-    """The automaton from next-symbol counts by depth and context."""
-    seen = sorted({s for by in counts.values() for m in by.values() for s in m} | {END})
-    # one column for each symbol seen, one for all others
-    symbols = np.full(SYMBOLS, len(seen), np.int64)
-    symbols[seen] = np.arange(len(seen))
-    width, others = len(seen) + 1, max(SYMBOLS - len(seen), 1)
-
-    def dist(m: dict[int, int], parent: np.ndarray) -> np.ndarray:
-        row = np.zeros(width)
-        for s, n in m.items():
-            row[symbols[s]] = n
-        total = row.sum()
-        back = smoothing * max(np.count_nonzero(row), 1)
-        return (row + back * parent) / (total + back)
-
-    flat = np.full(width, 1 / SYMBOLS)
-    flat[-1] = 1 / SYMBOLS * others  # the unseen symbols' column holds all of them
-    prob = {b"": dist(counts.get(0, {}).get(b"", {}), flat)}
-    for d in range(1, max(counts, default=0) + 1):
-        for c, m in counts[d].items():
-            if c[1:] in prob:
-                prob[c] = dist(m, prob[c[1:]])
-    kept = {b""}
-    for c in sorted(prob, key=len, reverse=True):
-        if c and c not in kept:
-            m = counts[len(c)][c]
-            p, q = prob[c], prob[c[1:]]
-            if sum(m.values()) * float((p * np.log(p / q)).sum()) < divergence:
-                continue
-        for i in range(len(c) + 1):  # suffixes and prefixes, and theirs
-            for j in range(i, len(c) + 1):
-                kept.add(c[i:j])
-    kept = {c for c in kept if c in prob}
-    states = sorted(kept, key=lambda c: (len(c), c))
-    index = {c: i for i, c in enumerate(states)}
-    step = np.zeros((len(states), width), np.int32)
-    logp = np.zeros((len(states), width), np.float32)
-    for c, i in index.items():
-        logp[i] = np.log10(prob[c])
-        logp[i, -1] -= np.log10(others)
-        for s in seen:
-            nxt = c + bytes([s])
-            while nxt not in index:
-                nxt = nxt[1:]
-            step[i, symbols[s]] = index[nxt]
-    start = bytes([END]) * max(counts, default=0)
-    while start not in index:
-        start = start[1:]
-    return Tree(symbols.astype(np.uint8 if width <= 256 else np.int64), step, logp, index[start])
-
-
-def log10_symbols(tree: Tree, spelled: list[bytes]) -> np.ndarray:
-    """The log10 probability of every symbol of the texts, one text after another. All texts step
-    through the automaton together."""
-    n = np.array([len(x) for x in spelled], np.int64)
-    raw = tree.symbols[np.frombuffer(b"".join(spelled), np.uint8)].astype(np.int64)
-    out = np.empty(len(raw))
-    order = np.argsort(-n, kind="stable")
-    at, n = (np.cumsum(n) - n)[order], n[order]
-    width = tree.step.shape[1]
-    step, logp = tree.step.ravel(), tree.logp.ravel()
-    state = np.full(len(n), tree.start, np.int64)
-    done, alive = 0, len(n)
-    while alive:
-        stop = n[alive - 1]  # until the shortest text still alive ends
-        s, p = state[:alive], at[:alive]
-        for k in range(done, stop):
-            cell = s * width + raw[p + k]
-            out[p + k] = logp[cell]
-            s = step[cell]
-        state[:alive] = s
-        done = stop
-        while alive and n[alive - 1] == done:
-            alive -= 1
-    return out
+def learn_low(counted: DataFrame, depth: int, least: float, divergence: float) -> Low:
+    """From the corpus counts (gram, n) of the (LOW + 2)-grams, or of shorter ones for a lower depth."""
+    width = min(LOW, depth) + 1
+    t = counted.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * width) - 1)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    g, n = (t.column(c).to_numpy() for c in ("gram", "n"))
+    levels: list[Level] = []
+    for d in range(width):
+        levels.append(level(d, *_sums(_ending(g, d + 1), n), levels[-1] if levels else None, least, divergence))
+    none = np.zeros(0, np.int64)
+    if depth < LOW + 2:  # there is no further byte to split by
+        return Low(levels, none, none, none)
+    counted = counted.withColumn("ending", F.shiftright("gram", 8))
+    hot = counted.groupBy("ending").agg(F.sum("n").alias("times")).where(F.col("times") > float(n.sum()) * HOT)
+    t = counted.join(F.broadcast(hot), "ending").select("gram", "n").toArrow()  # at most 1 / HOT endings
+    cells, n = _sums(t.column("gram").to_numpy(), t.column("n").to_numpy())
+    own = level(LOW + 1, cells, n, levels[-1], least, divergence)
+    hot = own.contexts[own.kept]
+    stay = np.isin(cells >> 8, hot)
+    return Low(levels, hot, cells[stay], n[stay])
 
 
 def log10_tokens(by_symbol: np.ndarray, spelled: list[bytes], share: np.ndarray, weight: float) -> np.ndarray:
@@ -305,13 +250,16 @@ def _words(blobs: pa.ChunkedArray) -> tuple[pa.Table, list[np.ndarray], list[byt
     return t, words, spelled
 
 
-def _grams(spelled: list[bytes], depth: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _grams(spelled: list[bytes], depth: int, bits: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct grams of a block by counting bucket and value, the buckets' cuts, the order of
     that among the grams as found, and for each symbol the gram as found."""
     found = pa.array(numbers(spelled, depth)).dictionary_encode()
     values = found.dictionary.to_numpy()
-    ending = _ending(values >> 8, min(LOW + 1, depth)).astype(np.uint64)
-    bucket = ((ending + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+    ending = _ending(values >> 8, min(LOW + 1, depth))
+    if len(hot):  # the mark tells a longer ending from a short one
+        split = _find(hot, ending)[1]
+        ending = np.where(split, _ending(values >> 8, LOW + 2) | (1 << 8 * (LOW + 2)), ending)
+    bucket = ((ending.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
     order = np.lexsort((values, bucket))
     cuts = np.searchsorted(bucket[order], np.arange((1 << bits) + 1, dtype=np.uint64))
     return values[order], cuts, order, found.indices.to_numpy()
@@ -337,7 +285,7 @@ def _cut(values: np.ndarray, bits: int) -> np.ndarray:
     return np.searchsorted(values >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
 
 
-def _send(bits: int, depth: int):
+def _send(bits: int, depth: int, low):
     """A block's distinct words, and behind them its distinct grams, with their training counts, by
     counting bucket; 0 where one occurs in texts outside the training only."""
 
@@ -355,7 +303,7 @@ def _send(bits: int, depth: int):
         sent = [values[cuts[b]:cuts[b + 1]].tobytes() for b in full]
         times = [counts[cuts[b]:cuts[b + 1]].astype("<i8").tobytes() for b in full]
 
-        g, cuts, order, at = _grams(spelled, depth, bits)
+        g, cuts, order, at = _grams(spelled, depth, bits, low.value.hot)
         counts = np.bincount(at, weights=np.repeat(np.array(learns, float), [len(x) for x in spelled]))[order]
         some = np.flatnonzero(np.diff(cuts))
         sent += [_pack(g[cuts[b]:cuts[b + 1]], depth) for b in some]
@@ -384,7 +332,7 @@ def _count(key: tuple, t: pa.Table) -> pa.Table:
                      "totals": pa.array(out, pa.binary()), "figures": figures})
 
 
-def _answer(bits: int, depth: int, low, divergence: float):
+def _answer(bits: int, depth: int, low, least: float, divergence: float):
     """``_count`` for buckets of words; for buckets of grams their log10 probabilities, to every block
     for its own grams in its own order."""
 
@@ -396,8 +344,7 @@ def _answer(bits: int, depth: int, low, divergence: float):
         n = np.zeros(len(values), np.int64)
         for g, c in zip(own, t.column("counts")):
             n[np.searchsorted(values, g)] += np.frombuffer(c.as_buffer(), "<i4")
-        levels, least = low.value
-        p = log10_grams(values, n, levels, depth, least, divergence).astype("<f4")
+        p = log10_grams(values, n, low.value, depth, least, divergence).astype("<f4")
         return pa.table({"blk": t.column("blk"), "bucket": t.column("bucket"),
                          "totals": pa.array([p[np.searchsorted(values, g)].tobytes() for g in own], pa.binary()),
                          "figures": pa.array([None] * len(own), FIGURES)})
@@ -419,13 +366,13 @@ def score(docs: DataFrame, held_out_fold: int = 1, id_col: str = "doc_id", text_
     learn = F.coalesce(fold("id") != held_out_fold, F.lit(False))
     n_blocks = block_count(base, "text")
     bits = max(1, (n_blocks - 1).bit_length())
-    counted = grams(base.where(learn), min(LOW, depth)).toArrow()
-    low = spark.sparkContext.broadcast(low_levels(counted, depth, min_count, divergence))  # bounded by the alphabet
+    counted = keep(grams(base.where(learn), min(LOW + 1, depth)), "endings")
+    low = spark.sparkContext.broadcast(learn_low(counted, depth, min_count, divergence))  # bounded, see the module
     n_ends = base.where(learn).count()
 
     texts_ = blocked(base.withColumn(HASH, F.xxhash64("id", "text")).withColumn("learn", learn), n_blocks)
-    totals = (texts_.groupBy("blk").applyInArrow(_send(bits, depth), "bucket bigint, blk bigint, words binary, counts binary")
-              .groupBy("bucket").applyInArrow(_answer(bits, depth, low, divergence), "blk bigint, bucket bigint, totals binary, figures struct<known:bigint,tokens:bigint>"))
+    totals = (texts_.groupBy("blk").applyInArrow(_send(bits, depth, low), "bucket bigint, blk bigint, words binary, counts binary")
+              .groupBy("bucket").applyInArrow(_answer(bits, depth, low, min_count, divergence), "blk bigint, bucket bigint, totals binary, figures struct<known:bigint,tokens:bigint>"))
     totals = keep(totals, "words")
     seen = totals.agg(F.sum("figures.known"), F.sum("figures.tokens")).first()
     # the end is a word of its own: its count is the number of training texts
@@ -442,7 +389,7 @@ def score(docs: DataFrame, held_out_fold: int = 1, id_col: str = "doc_id", text_
         c = [np.frombuffer(right.column("totals")[int(i)].as_buffer(), "<i8") for i in order[:n_words]]
         c = np.concatenate(c) if c else np.zeros(0, np.int64)
         answers = [np.frombuffer(right.column("totals")[int(i)].as_buffer(), "<f4") for i in order[n_words:]]
-        _, _, found, at_gram = _grams(spelled, depth, bits)
+        _, _, found, at_gram = _grams(spelled, depth, bits, low.value.hot)
         by_gram = np.empty(len(found))
         by_gram[found] = np.concatenate(answers)
         gain = np.log10(c + 0.5) - floor
