@@ -179,13 +179,11 @@ def _calibrate(model: Model, figures: list) -> None:
     """Extreme-value parameters from the clean rows' best segments, then the logistic curve."""
     clean = [(n, max(s)) for y, n, s in figures if y == 0 and s]
     n_clean = max(sum(y == 0 for y, _, _ in figures), 1)
-    if len(clean) >= 20:  # tail of the best score: rate from its mean excess, K from its frequency
-        model.lam = 1 / max(np.mean([s for _, s in clean]) - MIN_SEGMENT, 0.25)
-        places = np.mean([n for _, n, _ in figures])
-        model.k = min(1.0, len(clean) / n_clean / max(places, 1) * math.exp(min(model.lam * MIN_SEGMENT, 30)))
-    else:  # natural-log odds are their own scale; K from the share of clean rows with a segment
-        places = max(np.mean([n for _, n, _ in figures]), 1)
-        model.lam, model.k = 1.0, (len(clean) + 0.5) / n_clean / places * math.exp(MIN_SEGMENT)
+    # tail of the best score: its rate from the mean excess, its frequency K from the share of clean rows
+    # with a segment; natural-log odds are their own scale, so one excess of 1 and half a row stand beforehand
+    model.lam = 1 / max((sum(v - MIN_SEGMENT for _, v in clean) + 1) / (len(clean) + 1), 0.25)
+    places = max(np.mean([n for _, n, _ in figures]), 1)
+    model.k = min(1.0, (len(clean) + 0.5) / n_clean / places * math.exp(model.lam * MIN_SEGMENT))
     x = np.array([min(evidence_of(model, n, s), 20.0) for _, n, s in figures])
     y = np.array([f[0] for f in figures], float)
     w = np.zeros(2)
