@@ -113,3 +113,67 @@ def test_duplicated_hot_key_is_no_hot_join(spark):
     assert by["foreign_key:id_stay"] == child.where("id <> -1 and (id_stay = -5 or id_stay >= 490)").count()
     assert set(by) == {"primary_key:id", "foreign_key:id_stay"} and good.count() == 60_000 - sum(by.values())
     assert "Exchange hashpartitioning" not in _plan(bad) and "SortMergeJoin" not in _plan(bad)
+
+
+def _with_conf(spark, conf, run):
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        return run()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def _even(df):
+    """The final plan, and the rows by task: none has more than three times the median's."""
+    sizes = df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("count"), F.max(F.xxhash64(*df.columns)))
+    n = sorted(r["count"] for r in sizes.collect())
+    assert n[-1] <= 3 * n[len(n) // 2], n
+    return sizes._jdf.queryExecution().executedPlan().toString()
+
+
+NO_STATIC_BROADCAST = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "12",
+                       "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+
+
+def test_existence_of_a_hot_key(spark):
+    """A third of a batch names one stay, a sixth one that does not exist, some none: the rows meet the missing keys only."""
+    from wardlake.operators import changes
+    n = 60_000
+    batch = spark.range(0, n, 1, 8).select(
+        F.col("id").alias("request_id"), F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 6 == 1, -3)
+        .when(F.col("id") % 100 == 50, F.lit(None)).otherwise(F.col("id")).cast("bigint").alias("id_stay"))
+    stay = spark.range(0, 50_000).selectExpr("id id_stay").union(spark.createDataFrame([(7,), (7,)], "id_stay bigint"))
+
+    def run():
+        flagged = changes._exists(batch, stay, "id_stay", "id_stay", "_stay")
+        assert "BroadcastHashJoin" in _even(flagged)
+        got = {r.request_id: r._stay for r in flagged.collect()}
+        want = {r.request_id: r.id_stay is not None and 0 <= r.id_stay < 50_000 for r in batch.collect()}
+        assert got == want and flagged.count() == n
+    _with_conf(spark, {**NO_STATIC_BROADCAST, "spark.sql.adaptive.autoBroadcastJoinThreshold": "1m"}, run)
+
+
+def test_hot_bed_lookup_is_split(spark, seed):
+    """A third of a batch wants one bed and a fifth none, and the beds are too many for a broadcast: their rows are
+    dealt out, and every request gets the state of its bed."""
+    from wardlake.operators import changes, hot
+    n = 120_000
+    batch = spark.range(0, n, 1, 12).select(
+        F.col("id").alias("request_id"), F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 15 < 5, F.lit(None))
+        .otherwise(F.col("id") % 30_000).cast("bigint").alias("bed"))
+    room = spark.range(0, 29_000).selectExpr("id id_room", "id % 40 id_service", "id % 2 = 0 available")
+    t = seed.replace(room=seed.room.limit(0).unionByName(room, allowMissingColumns=True).select(*seed.room.columns))
+    found = hot.hot_values(batch, ["bed", "request_id"], 5_000)
+    assert set(found["bed"]) == {7, None} and found["bed"][7] in (8, 9) and found["request_id"] == {}
+
+    def run():
+        looked = changes._with_bed(batch, t, found["bed"])
+        assert "SortMergeJoin" in _even(looked)
+        plain = batch.join(room.withColumnRenamed("id_room", "bed"), on="bed", how="left").selectExpr(
+            "request_id", "bed", "id_service bed_service", "coalesce(available, false) bed_free", "available is not null bed_exists")
+        got = looked.select(*plain.columns)
+        assert got.exceptAll(plain).count() == plain.exceptAll(got).count() == 0
+    _with_conf(spark, {**NO_STATIC_BROADCAST, "spark.sql.adaptive.enabled": "false"}, run)

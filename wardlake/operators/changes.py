@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import cleaning as X
 from ..sources.snapshot import Tables
+from .hot import hot_values, join_split
 from .ids import assign_dense_ids
 from .latest import flag_first_per_key, latest_per_key
 from .reads import current_stay
@@ -57,22 +58,26 @@ def _named(t_df: DataFrame, t_col: str, df: DataFrame, col: str) -> DataFrame:
 
 
 def _exists(df: DataFrame, t_df: DataFrame, col: str, t_col: str, flag: str) -> DataFrame:
-    """Flag whether ``col`` names a row of ``t_df``: a correlated EXISTS,
-    planned as an existence join (no DISTINCT over the key column, and a
-    duplicated key can never duplicate a request), against only the rows
-    the batch names."""
-    probe = f"_probe{flag}"  # a name only the outer side has, so the reference cannot bind inside
-    keys = _named(t_df.select(t_col), t_col, df, col).select(F.col(t_col).alias(f"_key{flag}"))
-    return (df.withColumn(probe, F.col(col))
-              .withColumn(flag, keys.where(F.col(f"_key{flag}") == F.col(probe).outer()).exists())
-              .drop(probe))
-
-
-def _with_bed(df: DataFrame, t: Tables, col: str = "bed") -> DataFrame:
+    """Flag whether ``col`` names a row of ``t_df``.  The batch's distinct
+    keys (combined on the map side, so a hot key is one row) meet the table;
+    the rows then meet only the keys the table lacks, as a rule few enough
+    for a broadcast: the rows of a hot key are never brought together.  A
+    duplicated key of the table cannot duplicate a request."""
+    lacking = f"_lacking{flag}"
+    asked = df.select(F.col(col).alias(lacking)).where(F.col(lacking).isNotNull()).distinct()
+    known = _named(t_df.select(F.col(t_col).alias(lacking)), lacking, df, col)
+    unknown = asked.join(known, on=lacking, how="left_anti")
+    return (df.join(unknown, on=F.col(col) == F.col(lacking), how="left")
+              .withColumn(flag, F.col(col).isNotNull() & F.col(lacking).isNull())
+              .drop(lacking))
+
+
+def _with_bed(df: DataFrame, t: Tables, hot: dict, col: str = "bed") -> DataFrame:
+    """Service and state of the bed that a request names; ``hot``: the batch's ``hot_values`` of ``col``."""
     named = _named(t.room, "id_room", df, col)
     beds = named.select(F.col("id_room").alias(col), F.col("id_service").alias(col + "_service"),
                         F.col("available").alias(col + "_free"), F.lit(True).alias(col + "_exists"))
-    return (df.join(beds, on=col, how="left")
+    return (join_split(df, beds, col, "left", hot=hot)
               .withColumn(col + "_exists", F.coalesce(F.col(col + "_exists"), F.lit(False)))
               .withColumn(col + "_free", F.coalesce(F.col(col + "_free"), F.lit(False))))
 
@@ -141,7 +146,7 @@ def admit_existing(t: Tables, requests: DataFrame, check_free: bool = True) -> C
         F.col("id_room").alias("_bed_text"), F.col("date_in").alias("_date_text"))
     r = _exists(r, t.patient, "id_patient", "id_patient", "_pat")
     r = _exists(r, t.stay.filter(F.col("date_out").isNull()), "id_patient", "id_patient", "_in")
-    r = _with_bed(r, t)
+    r = _with_bed(r, t, hot_values(r.select("bed"), ["bed"])["bed"])
     checked = r.withColumn("reason", _reason(
         (~X.positive_int("id_patient"), "invalid: id_patient"),
         (F.col("_bed_text").isNull(), "missing: id_room"),
@@ -181,7 +186,7 @@ def _patient_checks() -> list[tuple[Column, str]]:
 def admit_new(t: Tables, requests: DataFrame, batch_ts: str) -> ChangeResult:
     """New patient + new stay in a free bed, all or nothing."""
     r = requests.withColumn("bed", X.to_long("id_room"))
-    r = _with_bed(r, t)
+    r = _with_bed(r, t, hot_values(r.select("bed"), ["bed"])["bed"])
     checked = r.withColumn("reason", _reason(
         *_patient_checks(),
         (~X.positive_int("id_room"), "invalid: id_room"),
@@ -212,12 +217,13 @@ def transfer(t: Tables, requests: DataFrame, lenient: bool = False) -> ChangeRes
     bed (a no-op)."""
     r = requests.select(*ORDER, X.to_long("id_stay").alias("id_stay"), X.to_long("id_room").alias("bed"),
                         X.to_long("id_staff").alias("id_staff"), F.col("id_room").alias("_bed_text"))
+    hot = hot_values(r, ["bed", "id_stay", "id_staff"])
     staff = _named(t.staff, "id_staff", r, "id_staff").select("id_staff", F.col("id_service").alias("staff_service"))
-    r = r.join(staff, on="id_staff", how="left")
-    r = _with_bed(r, t)
+    r = join_split(r, staff, "id_staff", "left", hot=hot["id_staff"])
+    r = _with_bed(r, t, hot["bed"])
     cur = _named(t.stay, "id_stay", r, "id_stay").select(
         "id_stay", F.col("id_room").alias("old_bed"), F.col("date_out").alias("_out"), F.lit(True).alias("_stay"))
-    r = r.join(cur, on="id_stay", how="left").withColumn("_stay", F.coalesce(F.col("_stay"), F.lit(False)))
+    r = join_split(r, cur, "id_stay", "left", hot=hot["id_stay"]).withColumn("_stay", F.coalesce(F.col("_stay"), F.lit(False)))
     same = F.coalesce(F.col("old_bed") == F.col("bed"), F.lit(False))
     checked = r.withColumn("reason", _reason(
         (X.is_empty("id_stay") | X.is_empty("id_staff") | F.col("_bed_text").isNull(), "missing: field"),
@@ -246,10 +252,11 @@ def discharge(t: Tables, requests: DataFrame, batch_ts: str, lenient: bool = Fal
     before the entry."""
     r = requests.select(*ORDER, X.to_long("id_stay").alias("id_stay"), F.col("id_room").alias("_bed_text"),
                         X.parse_timestamp("date_out", batch_ts).alias("new_out"))
+    hot = hot_values(r, ["id_stay"])
     cur = _named(t.stay, "id_stay", r, "id_stay").select(
         "id_stay", F.col("id_room").alias("old_bed"), F.col("date_out").alias("old_out"),
         F.col("date_in").alias("_in"), F.lit(True).alias("_stay"))
-    r = r.join(cur, on="id_stay", how="left").withColumn("_stay", F.coalesce(F.col("_stay"), F.lit(False)))
+    r = join_split(r, cur, "id_stay", "left", hot=hot["id_stay"]).withColumn("_stay", F.coalesce(F.col("_stay"), F.lit(False)))
     checked = r.withColumn("reason", _reason(
         (X.is_empty("id_stay"), "invalid: id_stay"),
         (F.col("_bed_text").isNull(), "missing: id_room"),
@@ -273,10 +280,11 @@ def reactivate(t: Tables, requests: DataFrame, lenient: bool = False) -> ChangeR
     which leaves the bed of an active stay taken by nobody)."""
     r = requests.select(*ORDER, X.to_long("id_stay").alias("id_stay"), X.to_long("id_room").alias("bed"),
                         F.col("id_room").alias("_bed_text"))
-    r = _with_bed(r, t)
+    hot = hot_values(r, ["bed", "id_stay"])
+    r = _with_bed(r, t, hot["bed"])
     cur = _named(t.stay, "id_stay", r, "id_stay").select(
         "id_stay", F.col("date_out").alias("_out"), F.lit(True).alias("_stay"))
-    r = r.join(cur, on="id_stay", how="left").withColumn("_stay", F.coalesce(F.col("_stay"), F.lit(False)))
+    r = join_split(r, cur, "id_stay", "left", hot=hot["id_stay"]).withColumn("_stay", F.coalesce(F.col("_stay"), F.lit(False)))
     checked = r.withColumn("reason", _reason(
         (X.is_empty("id_stay"), "invalid: id_stay"),
         (~X.positive_int("_bed_text"), "invalid: id_room"),
@@ -329,11 +337,12 @@ def update_patient(t: Tables, requests: DataFrame, batch_ts: str) -> ChangeResul
     there (the old bed is freed first, so the same bed is fine), or open a
     new stay when there is none and an admission date is given."""
     r = requests.withColumn("id_patient", X.to_long("id_patient")).withColumn("bed", X.to_long("id_room"))
+    hot = hot_values(r, ["bed", "id_patient"])
     r = _exists(r, t.patient, "id_patient", "id_patient", "_pat")
-    r = _with_bed(r, t)
+    r = _with_bed(r, t, hot["bed"])
     cur = (current_stay(t, patients=r.select("id_patient"))
            .select("id_patient", F.col("id_stay").alias("cur_stay"), F.col("id_room").alias("old_bed")))
-    r = r.join(cur, on="id_patient", how="left")
+    r = join_split(r, cur, "id_patient", "left", hot=hot["id_patient"])
     wants_bed = ~X.is_empty("id_room")
     same = F.coalesce(F.col("old_bed") == F.col("bed"), F.lit(False))
     checked = r.withColumn("reason", _reason(
@@ -472,7 +481,7 @@ def amend_observations(t: Tables, requests: DataFrame, own_only: bool = False) -
         *[F.col(c).alias("_raw_" + c) for c in ("temperature", "glucose", "weight", "height")])
     owner = _named(t.observation, "id_obs", r, "id_obs").select(
         "id_obs", F.col("id_nurse").alias("_owner"), F.lit(True).alias("_found"))
-    r = r.join(owner, on="id_obs", how="left")
+    r = join_split(r, owner, "id_obs", "left")
     found = F.coalesce(F.col("_found"), F.lit(False))
     if own_only:
         found = found & (F.col("_owner") == F.col("id_nurse"))

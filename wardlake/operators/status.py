@@ -48,11 +48,12 @@ def _requests(t: Tables, requests: DataFrame, batch_ts: str) -> DataFrame:
     r = requests.select(*ORDER, "action", X.to_long("id_stay").alias("id_stay"), F.col("id_room").alias("_bed_text"),
                         F.when(X.positive_int("id_room"), X.to_long("id_room")).alias("bed"),
                         X.parse_timestamp("date_out", batch_ts).alias("new_out"))
-    r = C._with_bed(r, t)
+    hot = C.hot_values(r, ["bed", "id_stay"])
+    r = C._with_bed(r, t, hot["bed"])
     cur = C._named(t.stay, "id_stay", r, "id_stay").select(
         "id_stay", F.col("id_room").alias("_held"), F.col("date_out").alias("_out"),
         F.col("date_in").alias("_in"), F.lit(True).alias("_stay"))
-    r = r.join(cur, on="id_stay", how="left").withColumn("_stay", F.coalesce(F.col("_stay"), F.lit(False)))
+    r = C.join_split(r, cur, "id_stay", "left", hot=hot["id_stay"]).withColumn("_stay", F.coalesce(F.col("_stay"), F.lit(False)))
     return r.withColumn("o", F.struct(*ORDER)).withColumn("_was_active", F.col("_stay") & F.col("_out").isNull())
 
 
