@@ -14,7 +14,7 @@ ST2 ``newest_observation_stream``: the newest observation per stay, kept
 up to date as observations arrive in any order.  It is a streaming
 aggregate (max of a struct, as the batch operator), so late rows need no
 watermark: the maximum is taken by event time, not arrival time.  Its state
-lives in RocksDB (see ``session``), its output in generations: each
+lives in RocksDB (``session.state_on_disk``, whatever the session's own settings), its output in generations: each
 micro-batch adds a part, after ``MERGE_AFTER`` parts they are merged into one,
 and a small manifest per micro-batch, written last, names the parts that count.
 """
@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..operators import changes
+from ..session import state_on_disk
 from ..sources.snapshot import Tables, _exists as path_exists, child_names
 
 MERGE_AFTER = 8  # parts of the newest-observation output
@@ -117,6 +118,13 @@ def newest_observation_stream(obs: DataFrame, ties: Sequence[str] = ("id_obs",),
     return obs.groupBy("id_stay").agg(top).select("id_stay", *[F.col("_top").getField(c).alias(c) for c in fields])
 
 
+def _newest_of_parts(rows: DataFrame, ties: Sequence[str]) -> DataFrame:
+    """The newest observation per stay of several parts.  A part has a row per
+    stay, so combining before the shuffle would only sort: the rows go to their
+    stay's task as they are."""
+    return newest_observation_stream(rows.repartition("id_stay"), ties)
+
+
 def _parts(spark: SparkSession, out_dir: str, before: int | None = None) -> list[str]:
     """The parts that count, by the newest manifest (of a batch earlier than ``before``)."""
     numbers = [int(n.split("=")[1]) for n in child_names(spark, f"{out_dir}/_manifest")]
@@ -142,14 +150,15 @@ def start_newest_observation(spark: SparkSession, source: DataFrame, out_dir: st
         if len(parts) > merge_after:
             rows = own.read.schema(batch.schema).parquet(*[f"{out_dir}/{p}" for p in parts])
             merged = f"merged={batch_id}"
-            newest_observation_stream(rows, ties).select(*batch.columns).write.mode("overwrite").parquet(f"{out_dir}/{merged}")
+            _newest_of_parts(rows, ties).select(*batch.columns).write.mode("overwrite").parquet(f"{out_dir}/{merged}")
             parts = [merged]
         own.createDataFrame([(p,) for p in parts], "part string").coalesce(1).write.mode("overwrite").json(f"{out_dir}/_manifest/n={batch_id}")
 
     writer = (newest_observation_stream(source, ties).writeStream.outputMode("update")
               .option("checkpointLocation", checkpoint).foreachBatch(write))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
-    return writer.start()
+    with state_on_disk(source.sparkSession):
+        return writer.start()
 
 
 def read_newest_observation(spark: SparkSession, out_dir: str, ties: Sequence[str] = ("id_obs",)) -> DataFrame:
@@ -157,7 +166,7 @@ def read_newest_observation(spark: SparkSession, out_dir: str, ties: Sequence[st
     candidates, the greatest per stay wins (the same aggregate once more).
     What is read is the merged part and at most ``merge_after`` small ones,
     however many micro-batches there were."""
-    return newest_observation_stream(spark.read.parquet(*_parts(spark, out_dir)), ties)
+    return _newest_of_parts(spark.read.parquet(*_parts(spark, out_dir)), ties)
 
 
 def compact_newest_observation(spark: SparkSession, out_dir: str, target: str, ties: Sequence[str] = ("id_obs",)) -> None:
